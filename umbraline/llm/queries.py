@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, sharding, token_counts
+from . import exact_dedup, langid, mixing, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -33,6 +33,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS s_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+  row_number() OVER (ORDER BY source NULLS LAST) AS sid, 2 * s_size AS cap FROM s0),
+s2 AS (SELECT *, row_number() OVER o AS pos,
+  ((sum(s_size) OVER () * 3 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::DOUBLE
+   / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * 2)::DOUBLE) AS level
+  FROM s1 WINDOW o AS (ORDER BY cap / w, sid)),
+s3 AS (SELECT min(pos) AS fst, arg_min(level, pos) AS level FROM s2 WHERE cap >= level * w),
+s4 AS (SELECT s2.source, s2.s_size, CASE WHEN s3.fst IS NULL OR pos < s3.fst THEN cap::DOUBLE ELSE s3.level * w END AS target FROM s2, s3),
+p AS (SELECT d.*, s4.s_size, s4.target, floor(s4.target)::BIGINT AS take,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
+  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
+SELECT doc_id, size, s_size AS source_size, target,
+  greatest(0, least(size, take - lo)) + greatest(0, least(size, take - s_size - lo)) AS taken FROM p
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +72,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": OP10_SQL}
+SQL = {"op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
