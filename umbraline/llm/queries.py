@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, sharding, token_counts
+from . import exact_dedup, langid, mixing, quality, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +22,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.references(docs))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -70,6 +75,7 @@ FROM d JOIN g USING (t)
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op9_mixing": op9_mixing,
