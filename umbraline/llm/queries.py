@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality, sharding, token_counts
+from . import chat, exact_dedup, langid, mixing, quality, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -38,6 +38,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM d),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS l FROM p GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l),
+pre AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM u)),
+m AS (SELECT conv_id, len(l) AS n_turns FROM u WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.l = u.l))
+SELECT conv_id, ((pos - 1) // 256)::INTEGER AS part, n_turns, count(*)::INTEGER AS part_turns,
+  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+    || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+FROM p JOIN m USING (conv_id) GROUP BY conv_id, part, n_turns
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -78,7 +96,8 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL = {"op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+SQL = {"op8_chat": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
