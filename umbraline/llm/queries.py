@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, quality, sharding, token_counts
+from . import chat, exact_dedup, langid, mixing, pieces, quality, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shuffled_shards(docs)
@@ -92,6 +96,7 @@ FROM d JOIN g USING (t)
 """
 
 QUERIES = {
+    "op3_pieces": op3_pieces,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
