@@ -170,7 +170,9 @@ class Sampler:
         node, root = lattices.end[code], lattices.root[code]
         nth = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
         state = _mix(np.repeat(keys.astype(np.uint64), count) + np.uint64(self.seed) + _mix(nth.astype(np.uint64) + np.uint64(1)))
-        live, steps = np.arange(len(code)), []
+        # in the order of the lattices, so that searches for neighbouring nodes touch the same memory
+        live, steps = np.argsort(code, kind="stable"), []
+        node, root, state = node[live], root[live], state[live]
         length = np.zeros(len(code), dtype=np.int64)
         while len(live):
             state = state + np.uint64(0x9E3779B97F4A7C15)
