@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, pieces, quality, sharding, token_counts
+from . import chat, exact_dedup, langid, lm, mixing, pieces, quality, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -96,6 +100,7 @@ FROM d JOIN g USING (t)
 """
 
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_pieces": op3_pieces,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
