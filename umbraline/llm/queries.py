@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, lm, mixing, pieces, quality, sharding, token_counts
+from . import chat, exact_dedup, langid, lm, mixing, near_dedup, pieces, quality, sharding, token_counts
 from .common import crc_mod, table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -100,6 +104,7 @@ FROM d JOIN g USING (t)
 """
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_pieces": op3_pieces,
     "op4_sharding": op4_sharding,
