@@ -18,7 +18,7 @@ only then fetched. Prediction is one map-only pass over whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -160,30 +160,34 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return Model(samples) if samples else None
 
 
-def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns key, ``lang_pred`` and ``score`` for each row.
+def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Returns key, the columns to keep, ``lang_pred`` and ``score`` for each row.
 
     Null texts, texts without a letter, and all texts where no language was
     learned, are ``und`` with score 0. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("k"), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("t"))
+    kept = {f"c{i}": c for i, c in enumerate([key, *keep, text])}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()])
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
+    last = len(kept) - 1
+    rows = rows.withColumn("some", F.coalesce(F.col(f"c{last}").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = [i for i, t in enumerate(texts) if t is not None and model is not None]
-            langs, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if at:
-                found, own = model.predict([texts[i] for i in at])
+            at = np.flatnonzero(np.asarray(batch.column(last + 1))) if model is not None else []
+            langs, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            if len(at):
+                found, own = model.predict(batch.column(last).take(pa.array(at)).to_pylist())
                 score[at] = own
                 for i, x in zip(at, found, strict=True):
                     langs[i] = x
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["k", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(score)], [*list(kept)[:last], "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
-    return out.withColumnRenamed("k", key)
+    out = rows.mapInArrow(run, schema.replace(f", c{last} {rows.schema[f'c{last}'].dataType.simpleString()}", "") + ", lang_pred string, score double")
+    names = list(kept.items())[:last]
+    return out.select(*[F.col(n).alias(c) for n, c in names], "lang_pred", "score")
 
 
 def held_out(docs: DataFrame, key: str = "doc_id", n: int = 4, remainder: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -235,29 +235,32 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """Adds ``ids``, the piece ids of a sampled segmentation of the text, to key and text.
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """Key, text, the columns to keep, and ``ids``, the piece ids of a sampled segmentation of the text.
 
     Equal keys and texts get equal segmentations, in every run. A null text has
     null ids, an empty one none. A null key counts as one more key. Other
     columns are left out, whatever their names.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"))
+    kept = {f"c{i}": c for i, c in enumerate([key, text, *keep])}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()])
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
+    rows = rows.withColumn("h", F.xxhash64("c0"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             sampler = Sampler(load(path, alpha), seed)
             for batch in batches:
-                texts, hashes = batch.column(1).to_pylist(), np.asarray(batch.column(2)).astype(np.int64).view(np.uint64)
+                texts, hashes = batch.column(1).to_pylist(), np.asarray(batch.column(len(kept))).astype(np.int64).view(np.uint64)
                 for a, z in _slices(texts):
                     ids = sampler.segment([t or "" for t in texts[a:z]], hashes[a:z])
                     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     null = pa.array([t is None for t in texts[a:z]])
                     got = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32()), mask=null)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), got], ["k", "t", "ids"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, z - a) for i in range(len(kept))), got], [*kept, "ids"])
 
-    out = rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, t string, ids array<int>")
-    return out.select(F.col("k").alias(key), F.col("t").alias(text), "ids")
+    out = rows.mapInArrow(run, f"{schema}, ids array<int>")
+    return out.select(*[F.col(n).alias(c) for n, c in kept.items()], "ids")
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
