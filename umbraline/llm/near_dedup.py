@@ -7,10 +7,14 @@ candidates (a few centres against all members) bound the pairs; a pair is a
 link only if the full sets are similar enough.
 
 A star can miss two members that are similar to each other but not to the
-centre. Buckets whose members are not all in one component therefore elect new
-centres, first from their smallest component, and go on until all are in one
-component or every member has been a centre. So every pair of a bucket is
-tested or connected, and none of it is capped.
+centre. Buckets whose members are not all in one component afterwards are
+compared inside a task, by signatures: all members outside the bucket's largest
+component with each other and with that component, which is dealt over as many
+tasks as its size asks for. Only pairs that agree enough leave the task, to be
+confirmed on full sets. A bucket with too many such members for a task gets
+more stars, with centres from its smallest components, until it has fewer or
+every member has been a centre. So every pair of a bucket is tested or
+connected, and none of it is capped.
 
 Sets that are equal are one node from the start, so a group of exact copies
 costs one row in each step.
@@ -37,13 +41,17 @@ from .common import ascii_lower, scratch
 
 SHINGLE = 5
 PERCENT = 80
-#: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**5)**50 = 2e-9.
-BANDS, ROWS = 50, 5
+#: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**7)**64 = 3e-7; one of 0.85, with 1e-11.
+BANDS, ROWS = 64, 7
 BINS = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share of bins, over eight standard deviations below 0.8, are not fetched.
-LEAST_AGREEMENT = 0.55
-#: Centres of a bucket in each round after the first.
+#: Bins that are compared before full sets are fetched; their agreement estimates the similarity.
+COMPARED = 256
+#: Pairs that agree in a smaller share of them, eight standard deviations below 0.8, are not fetched.
+LEAST_AGREEMENT = 0.6
+#: Centres of a bucket in each round of stars after the first.
 CENTRES = 16
+#: Members of a bucket outside its largest component that are compared in one task, and members of that component beside them.
+TASK_MEMBERS = 4_096
 #: Up to so many keys of 8 bytes are broadcast to pick rows; beyond that, rows are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -130,7 +138,7 @@ def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 # two sums over the set stand for its equality: 128 bits, with its size
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (17, 29)]
                 digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-                short = sig.astype(np.uint16)
+                short = np.ascontiguousarray(sig[:, :COMPARED]).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array([x.tobytes() for x in short], pa.binary()),
@@ -180,7 +188,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, BINS) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, COMPARED) for i in (2, 3))
                 ok = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
@@ -217,6 +225,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _stars(open_: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's centres with its members of other components that are not too different in size."""
+    pairs = open_.join(chosen, "bucket").filter((F.col("comp") != F.col("cc")) & (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent))
+    return pairs.select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")).distinct()
+
+
+def _compared(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of a bucket whose signatures agree, found in tasks of bounded size."""
+    chunks = F.ceil(F.col("most") / TASK_MEMBERS).cast("int")
+    rows = open_.select("bucket", "rid", "n", "comp").join(buckets, "bucket").withColumn("top", F.col("comp") == F.col("top"))
+    own = F.array(F.pmod(F.xxhash64("rid"), chunks).cast("int"))
+    rows = rows.withColumn("chunk", F.explode(F.when(F.col("top"), own).otherwise(F.sequence(F.lit(0), chunks - 1))))
+    rows = rows.select("bucket", "chunk", "rid", "n", "comp", "top").join(sigs, "rid")
+
+    def run(group: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint16).reshape(-1, COMPARED)
+        rid, n, comp, top = (group[c].to_numpy() for c in ("rid", "n", "comp", "top"))
+        order = np.lexsort((rid, n, top))  # those outside the largest component first
+        sig, rid, n, comp = sig[order], rid[order], n[order], comp[order]
+        pairs = []
+        for i in range(int((~top).sum())):
+            at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
+            at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
+            if len(at):
+                pairs.append(np.stack([np.minimum(rid[i], rid[at]), np.maximum(rid[i], rid[at])]))
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return rows.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long").distinct()
+
+
+class _Linking:
+    """Confirms candidate pairs on full sets and keeps the components of what was confirmed."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int, reps: DataFrame, sigs: DataFrame) -> None:
+        self.source, self.reps, self.sigs, self.percent = (docs, key, text, width), reps, sigs, percent
+        self.labels: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def link(self, pairs: DataFrame) -> None:
+        pairs = scratch(self.relabelled_pairs(pairs), "pairs")
+        likely = scratch(_agreement(pairs, self.sigs), "likely")
+        wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("rid"), "rid", "left_anti")
+        wanted = scratch(wanted, "wanted")
+        if not wanted.isEmpty():
+            docs, key, text, width = self.source
+            more = scratch(_sets(docs, key, text, width, self.reps, wanted), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return
+        links = scratch(_confirmed(likely, self.sets, self.percent), "links")
+        if links.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = components(links)
+        else:
+            links = _relabel(_relabel(links, self.labels, "a"), self.labels, "b").filter(F.col("a") != F.col("b"))
+            self.labels = scratch(_merge(self.labels, components(links)), "labels")
+
+    def relabelled(self, df: DataFrame) -> DataFrame:
+        return df if self.labels is None else _relabel(df, self.labels, "comp")
+
+    def relabelled_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose rows are not in one component yet."""
+        if self.labels is None:
+            return pairs
+        both = _relabel(_relabel(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), self.labels, "x"), self.labels, "y")
+        return both.filter(F.col("x") != F.col("y")).select("a", "b")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components of the documents linked by similar shingle sets.
 
@@ -237,42 +317,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("bucket")
     members = scratch(buckets.join(scratch(full, "full"), "bucket"), "members").withColumn("comp", F.col("rid"))
     sigs = scratch(sigs.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "sig"), "signatures")
-    labels, tested, centres = None, None, 1
-    open_ = members
+    step = _Linking(docs, key, text, width, percent, reps, sigs)
+    open_ = members.withColumn("used", F.lit(False))
+    chosen = scratch(open_.groupBy("bucket").agg(F.min_by(F.struct("rid", "n"), "rid").alias("c")).select("bucket", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"), F.col("c.rid").alias("cc")), "centres")
     while True:
-        # centres: of each bucket the least rows of its smallest components that were none before
-        sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-        rank = Window.partitionBy("bucket").orderBy("m", "comp", "rid")
-        left = open_.filter(~F.col("used")) if "used" in open_.columns else open_
-        ranked = left.join(sizes, ["bucket", "comp"]) if centres > 1 else left.withColumn("m", F.lit(1))
-        chosen = ranked.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= centres)
-        chosen = scratch(chosen.select("bucket", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
-        pairs = open_.join(chosen, "bucket").filter((F.col("comp") != F.col("cc")))
-        pairs = pairs.filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
-        pairs = pairs.select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = scratch(_agreement(pairs, sigs), "likely")
-        wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
-        links = scratch(_confirmed(likely, scratch(_sets(docs, key, text, width, reps, wanted), "sets"), percent), "links")
-        if not links.isEmpty():
-            if labels is not None:
-                links = _relabel(_relabel(links, labels, "a"), labels, "b").filter(F.col("a") != F.col("b"))
-            merged = components(links)
-            labels = merged if labels is None else scratch(_merge(labels, merged), "labels")
+        step.link(_stars(open_, chosen, percent))
         used = open_.join(chosen.select("bucket", F.col("c").alias("rid"), F.lit(True).alias("now")), ["bucket", "rid"], "left")
-        before = F.col("used") if "used" in open_.columns else F.lit(False)
-        open_ = used.select("bucket", "rid", "n", F.col("rid").alias("comp"), (before | F.coalesce("now", F.lit(False))).alias("used"))
-        open_ = _relabel(open_, labels, "comp") if labels is not None else open_
-        open_ = scratch(open_, "open")
-        unsettled = open_.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.when(~F.col("used"), 1)).alias("left"))
+        now = F.col("used") | F.coalesce("now", F.lit(False))
+        open_ = scratch(step.relabelled(used.select("bucket", "rid", "n", F.col("rid").alias("comp"), now.alias("used"))), "open")
+        sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("used"), 1)).alias("left"))
+        buckets = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("left").alias("left"))
         # one member left without a turn has met all others
-        unsettled = scratch(unsettled.filter((F.col("x") != F.col("y")) & (F.col("left") > 1)).select("bucket"), "unsettled")
-        if unsettled.isEmpty():
+        buckets = scratch(buckets.filter((F.col("comps") > 1) & (F.col("left") > 1)).withColumn("others", F.col("all") - F.col("most")), "unsettled")
+        few = buckets.filter(F.col("others") <= TASK_MEMBERS).select("bucket", "top", "most")
+        step.link(_compared(open_, few, sigs, percent))
+        many = buckets.filter(F.col("others") > TASK_MEMBERS).select("bucket")
+        if many.isEmpty():
             break
-        open_, centres = open_.join(unsettled, "bucket", "left_semi"), CENTRES
+        open_ = open_.join(many, "bucket", "left_semi")
+        rank = Window.partitionBy("bucket").orderBy("m", "comp", "rid")
+        ranked = open_.filter(~F.col("used")).join(sizes.select("bucket", "comp", "m"), ["bucket", "comp"])
+        chosen = ranked.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= CENTRES)
+        chosen = scratch(chosen.select("bucket", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
+    labels = step.labels
     out = nodes.withColumnRenamed("node", "comp")
     out = scratch(_relabel(out, labels, "comp") if labels is not None else out, "labelled")
     shared = out.groupBy("comp").agg(F.min("k").alias("component_id"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
