@@ -1,0 +1 @@
+"""Sensitive-text analytics on Spark: detection, masking, restoration, audit."""
