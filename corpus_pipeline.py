@@ -51,10 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document: doc_id, lang, source, n_pieces, ids, and whether decoding gives the text back."""
-    path = public_tokenizers.path(TOKENIZER)
-    got = pieces.decode(pieces.encode(docs, path, keep=["lang", "source"]), path)
-    same = F.col("decoded").eqNullSafe(F.col("text"))
-    return got.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", same.alias("lossless"))
+    got = pieces.encode(docs, public_tokenizers.path(TOKENIZER), keep=["lang", "source"])
+    return got.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", "lossless")
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("pieces", encode)]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MARK = "▁"
 ALPHA = 1.5
 SHIFT = 2.7
 SEED = 11
-#: Characters of text that are segmented at once, unless one text alone is longer.
-SLICE_CHARS = 4_000_000
+#: Text that is segmented at once, unless one text alone is longer.
+SLICE_BYTES = 1_000_000
 _SPLIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -225,42 +228,44 @@ def load(path: str, alpha: float = ALPHA) -> Vocabulary:
     return _LOADED[path, alpha]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > SLICE_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    yield start, len(texts)
+def _coded(docs: DataFrame, path: str, key: str, text: str, alpha: float, seed: int, keep: Sequence[str], fields: str, emit) -> DataFrame:
+    """Key, text, the columns to keep, and what ``emit`` makes of the vocabulary, texts and ids of a slice of rows."""
+    kept = {f"c{i}": c for i, c in enumerate([key, text, *keep])}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()])
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
+    rows = rows.withColumn("h", F.xxhash64("c0"))
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = load(path, alpha)
+        sampler = Sampler(vocabulary, seed)
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
+            texts, hashes = batch.column(1).to_pylist(), np.asarray(batch.column(len(kept))).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                ids = sampler.segment([t or "" for t in texts], hashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *emit(vocabulary, texts, ids)], [*kept, *names])
+
+    out = rows.mapInArrow(run, f"{schema}, {fields}")
+    return out.select(*[F.col(n).alias(c) for n, c in kept.items()], *names)
+
+
+def _same(vocabulary: Vocabulary, texts: list[str | None], ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([t is None or join(vocabulary, x.tolist()) == t for t, x in zip(texts, ids, strict=True)])
+
+
+def _lists(texts: list[str | None], ids: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in texts]))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """Key, text, the columns to keep, and ``ids``, the piece ids of a sampled segmentation of the text.
+    """Key, text, the columns to keep, ``ids`` (piece ids of a sampled segmentation) and ``lossless`` (they decode to the text).
 
     Equal keys and texts get equal segmentations, in every run. A null text has
     null ids, an empty one none. A null key counts as one more key. Other
     columns are left out, whatever their names.
     """
-    kept = {f"c{i}": c for i, c in enumerate([key, text, *keep])}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()])
-    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
-    rows = rows.withColumn("h", F.xxhash64("c0"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            sampler = Sampler(load(path, alpha), seed)
-            for batch in batches:
-                texts, hashes = batch.column(1).to_pylist(), np.asarray(batch.column(len(kept))).astype(np.int64).view(np.uint64)
-                for a, z in _slices(texts):
-                    ids = sampler.segment([t or "" for t in texts[a:z]], hashes[a:z])
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    null = pa.array([t is None for t in texts[a:z]])
-                    got = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32()), mask=null)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, z - a) for i in range(len(kept))), got], [*kept, "ids"])
-
-    out = rows.mapInArrow(run, f"{schema}, ids array<int>")
-    return out.select(*[F.col(n).alias(c) for n, c in kept.items()], "ids")
+    return _coded(docs, path, key, text, alpha, seed, keep, "ids array<int>, lossless boolean", lambda v, t, x: [_lists(t, x), _same(v, t, x)])
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -283,9 +288,11 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return got.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], F.col("decoded").alias(out))
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Digest of encoding and decoding: key, ``n_pieces``, ``ids_crc32``, and ``lossless`` (the decoded text is the text)."""
-    got = decode(encode(docs, path, key, text, **options), path)
-    ids = F.coalesce(F.array_join("ids", ","), F.lit(""))
-    same = F.col("decoded").eqNullSafe(F.col(text))
-    return got.select(F.col(key), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(ids).alias("ids_crc32"), same.alias("lossless"))
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """Digest of encoding and decoding: key, ``n_pieces``, ``ids_crc32`` (of the ids as 32-bit little-endian integers), and ``lossless``."""
+
+    def digest(vocabulary: Vocabulary, texts: list[str | None], ids: list[np.ndarray]) -> list[pa.Array]:
+        n, crc = pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64())
+        return [n, crc, _same(vocabulary, texts, ids)]
+
+    return _coded(docs, path, key, text, alpha, seed, (), "n_pieces long, ids_crc32 long, lossless boolean", digest).drop(text)
