@@ -122,7 +122,8 @@ def token_udf(key: bytes) -> Callable[[Column, Column], Column]:
 
         return pd.Series([None if a is None else [one(x, t) for x, t in zip(a, b, strict=True)] for a, b in zip(labels, texts, strict=True)])
 
-    return pandas_udf(mint, "array<string>")
+    # marked so that no optimiser rule copies or moves the call
+    return pandas_udf(mint, "array<string>").asNondeterministic()
 
 
 def hmac_udf(secret: str, chars: int = 16) -> Callable[[Column, Column], Column]:
@@ -138,7 +139,8 @@ def hmac_udf(secret: str, chars: int = 16) -> Callable[[Column, Column], Column]
 
         return pd.Series([None if a is None else [one(x, t) for x, t in zip(a, b, strict=True)] for a, b in zip(labels, texts, strict=True)])
 
-    return pandas_udf(mint, "array<string>")
+    # marked so that no optimiser rule copies or moves the call
+    return pandas_udf(mint, "array<string>").asNondeterministic()
 
 
 MATCH = "struct<start:int,end:int,token:string,label:string,hash:string,normalized:string,kind:string>"

@@ -48,7 +48,7 @@ STOPWORDS = (
     "주문", "주소", "주민", "우리", "우선", "나무", "나이", "나라", "나중", "진행", "진짜", "지역", "지원", "지금", "공부", "공원",
     "현재", "함께", "변화", "변경", "방법", "방문", "추가", "추천", "사람", "사용", "사용자", "사랑", "사고", "연락", "연락처", "연구",
     "연결", "남자", "기능", "기본", "기록", "명령", "반드시", "구현", "구조", "성공", "성능", "소개", "시간", "테스트", "은행", "여기",
-    "여자", "예약", "예정", "용도", "경우", "경험", "부분", "부탁", "복사", "모두", "모든", "제공", "제목", "국가", "원인", "천천히",
+    "여자", "예약", "예정", "용도", "경우", "경험", "부분", "부탁", "복사", "모두", "모든", "제공", "제목", "국가", "원인", "천천히", "강남", "인사", "정리했다", "도착했다", "예약했어", "한국에서",
 )
 
 

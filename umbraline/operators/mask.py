@@ -8,7 +8,6 @@ first step runs before the shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -65,13 +64,10 @@ ASSIGNED = "array<struct<start:int,end:int,category:string,confidence:double,tex
 
 
 def _assigned(spans: Column, tokens: Column, values: Column) -> Column:
-    def one(s: Column, i: Column) -> Column:
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["confidence"].alias("confidence"),
-            s["text"].alias("text"), F.get(tokens, i).alias("token"), F.get(values, i).alias("value"),
-        )
-
-    return F.transform(spans, one)
+    """The three arrays as one. Results of Arrow functions stay outside of lambdas, where they could not be evaluated."""
+    put = F.zip_with(tokens, values, lambda t, v: F.struct(t.alias("token"), v.alias("value")))
+    names = ("start", "end", "category", "confidence", "text")
+    return F.zip_with(spans, put, lambda s, p: F.struct(*[s[n].alias(n) for n in names], p["token"].alias("token"), p["value"].alias("value")))
 
 
 def mask(df: DataFrame, options: MaskOptions, text: str = "text", spans: str | None = None, out: str = "masked", tokens: str = "tokens") -> DataFrame:
@@ -98,9 +94,7 @@ def mask(df: DataFrame, options: MaskOptions, text: str = "text", spans: str | N
         values = F.col("__values")
     elif options.mode == "synthetic":
         digest = lambda t: F.regexp_extract(t, T.STRICT, 2)
-        values = F.transform(
-            "__spans", lambda s, i: replacements.synthetic(s["category"], s["text"], replacements.seed(digest(F.get("__tokens", i))))
-        )
+        values = F.zip_with("__spans", "__tokens", lambda s, t: replacements.synthetic(s["category"], s["text"], replacements.seed(digest(t))))
     if options.rules:
         rule = replacements.by_type(options.rules)
         values = F.zip_with("__spans", values, lambda s, v: F.coalesce(rule(s), v))
@@ -202,5 +196,3 @@ def hook_decision(n_spans: Column, has_proxy: Column, failed: Column | None = No
     out = F.when(n_spans == 0, "allow_silent").when(has_proxy, "allow_warn").otherwise("block")
     return out if failed is None else F.when(failed, "block").otherwise(out)
 
-
-SKIP_FIELDS = re.compile(r"(?:_(?:path|dir|file|id|uri|url|name))$")

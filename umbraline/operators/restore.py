@@ -82,10 +82,10 @@ def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = Tr
     )
     near = miss.join(known, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("near") == F.col("__n")))
     near = near.filter(within_one_edit(F.col("hash"), F.col("__h")))
-    fixed = near.groupBy("mid").agg(F.count_distinct("__h").alias("__k"), F.min("__text").alias("__fix"))
+    fixed = near.groupBy("mid").agg(F.count_distinct("__h").alias("__ways"), F.min("__text").alias("__fix"))
     out = hit.join(fixed, "mid", "left")
-    repaired = F.col("found").isNull() & (F.coalesce("__k", F.lit(0)) == 1)
-    cause = F.when(F.col("__k") > 1, "ambiguous").when(own, "expired").otherwise("foreign")
+    repaired = F.col("found").isNull() & (F.coalesce("__ways", F.lit(0)) == 1)
+    cause = F.when(F.col("__ways") > 1, "ambiguous").when(own, "expired").otherwise("foreign")
     return out.select(
         *[c for c in matches.columns], F.when(repaired, F.col("__fix")).otherwise(F.col("found")).alias("found"), repaired.alias("repaired"),
         F.when(F.col("found").isNull() & ~repaired, cause).alias("cause"),
