@@ -25,6 +25,10 @@ BIZ = f"{B}\\d{{3}}-?\\d{{2}}-?\\d{{5}}{B}"
 SSN = f"{B}\\d{{3}}-\\d{{2}}-\\d{{4}}{B}"
 HANGUL_RUN = r"[가-힣]{2,4}"
 
+#: Cheap tests that a text with a match passes: a literal, or a pattern that starts with a plain class.
+SIGNS = {EMAIL: "@", URL: "://", CARD: r"\d{4}[- ]?\d{4}", US_PHONE: r"\d{3}[-.\s\u0085\p{Z}\ufeff]\d{4}", KR_PHONE: r"01\d-?\d{3}", RRN: r"\d{6}-?[1-4]\d{6}", BIZ: r"\d{3}-?\d{2}-?\d{5}", SSN: r"\d-\d\d-\d"}
+LITERAL_SIGNS = ("@", "://")
+
 EMAIL_RE2 = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 URL_RE2 = r"\bhttps?://[^\s<>""'`)]+"
 CARD_RE2 = r"\b(?:\d{4}[- ]?){3}\d{4}\b"

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import LITERAL_SIGNS, SIGNS
+
 SPAN = "struct<start:int,end:int,category:string,confidence:double,text:string>"
 
 
@@ -38,7 +40,9 @@ def matches(text: Column, pattern: str) -> Column:
         return F.transform(hits, at)
 
     found = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: located(p, h)))
-    return F.when(text.rlike(pattern), found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>"))
+    sign = SIGNS.get(pattern)
+    some = text.rlike(pattern) if sign is None else (text.contains(sign) if sign in LITERAL_SIGNS else text.rlike(sign)) & text.rlike(pattern)
+    return F.when(some, found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>"))
 
 
 def span(start: Column, text: Column, category: str | Column, confidence: float | Column) -> Column:
@@ -80,7 +84,7 @@ def merge_longest(spans: Column) -> Column:
     def fold(spans: Column) -> Column:
         return F.aggregate(_ranked(spans), no_spans(), lambda k, s: _safe(step, k, s))
 
-    return F.when(F.size(spans) > 1, fold(spans)).otherwise(spans)
+    return let(spans, lambda s: F.when(F.size(s) > 1, fold(s)).otherwise(s))
 
 
 def _safe(step: Callable[[Column, Column], Column], kept: Column, s: Column) -> Column:
@@ -89,13 +93,15 @@ def _safe(step: Callable[[Column, Column], Column], kept: Column, s: Column) ->
 
 def merge_leftmost(spans: Column) -> Column:
     """Disjoint spans: the leftmost, then longest, stays; what overlaps it goes."""
-    tagged = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
-    ordered = F.transform(F.array_sort(tagged), lambda t: t["s"])
 
     def step(kept: Column, s: Column) -> Column:
         return F.when(s["start"] >= F.element_at(kept, -1)["end"], F.concat(kept, F.array(s))).otherwise(kept)
 
-    return F.when(F.size(spans) > 1, F.aggregate(ordered, no_spans(), lambda k, s: _safe(step, k, s))).otherwise(spans)
+    def fold(spans: Column) -> Column:
+        tagged = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
+        return F.aggregate(F.transform(F.array_sort(tagged), lambda t: t["s"]), no_spans(), lambda k, s: _safe(step, k, s))
+
+    return let(spans, lambda s: F.when(F.size(s) > 1, fold(s)).otherwise(s))
 
 
 MERGES = {"longest": merge_longest, "leftmost": merge_leftmost}
@@ -109,7 +115,7 @@ def overlapping(spans: Column) -> Column:
 
 def assert_disjoint(spans: Column) -> Column:
     """The spans; an error for the row if two overlap."""
-    return F.when(F.coalesce(overlapping(spans), F.lit(False)), F.raise_error(F.lit("overlapping spans"))).otherwise(spans)
+    return let(spans, lambda s: F.when(F.coalesce(overlapping(s), F.lit(False)), F.raise_error(F.lit("overlapping spans"))).otherwise(s))
 
 
 def rewrite(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
@@ -123,8 +129,7 @@ def rewrite(text: Column, spans: Column, replacement: Callable[[Column], Column]
         tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
         return F.concat(F.array_join(F.transform(spans, part), ""), tail)
 
-    ordered = F.array_sort(F.filter(spans, lambda s: s["start"].isNotNull()))
-    return F.when(F.size(spans) > 0, let(ordered, parts)).otherwise(text)
+    return let(F.array_sort(spans), lambda s: F.when(F.size(s) > 0, parts(s)).otherwise(text))
 
 
 def redact(text: Column, spans: Column, filler: str = "·") -> Column:

@@ -103,17 +103,31 @@ SECRETS = {
 GENERIC_SECRET = r"(?i)(?<=(?:secret|token|passwd|password|api_key|apikey)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]{16,}"
 
 
+#: What a text must hold to be scanned for credentials at all: cheap tests, one of which each family implies.
+_SIGNS = (
+    "PRIVATE KEY", "eyJ", "_authToken=", "AKIA", "sb_publishable_", "sb_secret_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-",
+    "AIza", "xox", "k_live_", "k_test_", "glpat-", "SG.", "dop_v1_", "shpat_", "shpss_", "PMAK-", "dapi", "pypi-AgEI", "key-", "Bearer ",
+)
+_RARE_SIGNS = r"\d{5}:[A-Za-z0-9_-]{30}|AC[a-f0-9]{32}|SK[a-zA-Z0-9]{32}|[MNO][A-Za-z\d_-]{22,27}\.[A-Za-z\d_-]{6,7}\."
+
+
 def secret_spans(generic: bool = False) -> Detector:
     """Credentials of the known families, but nothing inside a reversible token."""
     pattern = "|".join(f"(?:{p})" for p in SECRETS.values())
 
+    def free(found: Column, tokens: Column) -> Column:
+        inside = lambda s, t: (s["start"] < t["start"] + F.length(t["text"])) & (s["end"] > t["start"])
+        return F.filter(found, lambda s: ~F.exists(tokens, lambda t: inside(s, t)))
+
     def detect(text: Column) -> Column:
-        found = S.find_spans(text, pattern, "secret", 0.99)
+        sign = F.lit(False)
+        for x in _SIGNS:
+            sign = sign | text.contains(x)
+        sign = sign | (text.contains("://") & text.contains("@")) | text.rlike(_RARE_SIGNS)
+        found = F.when(sign, S.find_spans(text, pattern, "secret", 0.99)).otherwise(S.no_spans())
         if generic:
             found = F.concat(found, S.find_spans(text, GENERIC_SECRET, "secret", 0.8))
-        tokens = S.matches(text, STRICT)
-        inside = lambda s, t: (s["start"] < t["start"] + F.length(t["text"])) & (s["end"] > t["start"])
-        return F.when(text.contains("{{OPF:"), F.filter(found, lambda s: ~F.exists(tokens, lambda t: inside(s, t)))).otherwise(found)
+        return S.let(found, lambda s: F.when((F.size(s) > 0) & text.contains("{{OPF:"), free(s, S.matches(text, STRICT))).otherwise(s))
 
     return detect
 
@@ -250,6 +264,10 @@ def person_authority(local_spans: Column, remote: Column) -> Column:
     A remote person that holds exactly one shorter local person becomes that
     one; local persons count for nothing else. Other categories are joined.
     """
+    return S.let(local_spans, lambda a: S.let(remote, lambda b: _person_authority(a, b)))
+
+
+def _person_authority(local_spans: Column, remote: Column) -> Column:
     person = lambda s: s["category"] == "private_person"
     mine = F.filter(local_spans, person)
 

@@ -301,7 +301,7 @@ p AS (SELECT page_id, regexp_extract(url, '{_URL_PARTS}', 2) AS a, regexp_extrac
 h AS (SELECT *, regexp_replace(lower(split_part(a, ':', 1)), '\\.+$', '') AS host FROM p)
 SELECT page_id, count(*) AS urls, count(*) FILTER (contains(a, '@') OR starts_with(a, '[') OR host = '' OR regexp_matches(host, '^\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}$')
   OR NOT contains(host, '.') OR regexp_matches(host, '{_SUFFIX_RE}')
-  OR len(list_filter(string_split(q, '&'), x -> lower(trim(split_part(x, '=', 1))) IN ({", ".join(f"'{k}'" for k in checks.CREDENTIAL_KEYS)}))) > 0) AS private
+  OR len(list_filter(string_split(q, '&'), lambda x: lower(trim(split_part(x, '=', 1))) IN ({", ".join(f"'{k}'" for k in checks.CREDENTIAL_KEYS)}))) > 0) AS private
 FROM h GROUP BY page_id"""
 
 _ENTRIES = ("token", "password", "api_key", "secret")
@@ -367,7 +367,7 @@ SQL = {
     "audit_rollup": _AUDIT_ROLLUP_SQL,
     "audit_integrity": _AUDIT_INTEGRITY_SQL,
     "audit_categories": f"WITH {_AUDIT_SQL} SELECT event_type AS category, sum(cat_n)::BIGINT AS spans FROM a WHERE event = 'mask' GROUP BY 1",
-    "latency": """SELECT event_type, len(v) AS n, v[least((len(v) * 0.5)::INT, len(v) - 1) + 1] AS p50, v[least(floor(len(v) * 0.95)::INT, len(v) - 1) + 1] AS p95,
+    "latency": """SELECT event_type, len(v) AS n, v[least(floor(len(v) * 0.5)::INT, len(v) - 1) + 1] AS p50, v[least(floor(len(v) * 0.95)::INT, len(v) - 1) + 1] AS p95,
       v[least(floor(len(v) * 0.99)::INT, len(v) - 1) + 1] AS p99 FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)""",
     "precision_recall": _PR_SQL,
     "page_url_policy": _PAGE_URL_SQL,
