@@ -10,11 +10,14 @@ A star can miss two members that are similar to each other but not to the
 centre. Buckets whose members are not all in one component afterwards are
 compared inside a task, by signatures: all members outside the bucket's largest
 component with each other and with that component, which is dealt over as many
-tasks as its size asks for. Only pairs that agree enough leave the task, to be
-confirmed on full sets. A bucket with too many such members for a task gets
-more stars, with centres from its smallest components, until it has fewer or
-every member has been a centre. So every pair of a bucket is tested or
-connected, and none of it is capped.
+tasks as its size asks for. What leaves a task is a spanning forest of the
+components that look alike, fewer rows than it read. Components that hang
+together by such forests are a cluster; its rows outside its largest component
+are compared with all of its rows on full sets, in tasks of bounded size, which
+give a spanning forest of the links found. A bucket with too many members
+outside its largest component gets more stars first, with centres from its
+smallest components, until it has fewer or every member has been a centre. So
+every pair of a bucket is tested or connected, and none of it is capped.
 
 Sets that are equal are one node from the start, so a group of exact copies
 costs one row in each step.
@@ -37,21 +40,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch
+from .common import ascii_lower, scratch, slices
 
 SHINGLE = 5
 PERCENT = 80
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**7)**64 = 3e-7; one of 0.85, with 1e-11.
 BANDS, ROWS = 64, 7
 BINS = BANDS * ROWS
-#: Bins that are compared before full sets are fetched; their agreement estimates the similarity.
-COMPARED = 256
-#: Pairs that agree in a smaller share of them, eight standard deviations below 0.8, are not fetched.
-LEAST_AGREEMENT = 0.6
+#: Pairs whose signatures agree in a smaller share of the bins, over four standard deviations below 0.8, are not fetched.
+LEAST_AGREEMENT = 0.72
 #: Centres of a bucket in each round of stars after the first.
 CENTRES = 16
 #: Members of a bucket outside its largest component that are compared in one task, and members of that component beside them.
 TASK_MEMBERS = 4_096
+#: Shingles on either side of a task that compares full sets.
+TASK_SHINGLES = 2_000_000
 #: Up to so many keys of 8 bytes are broadcast to pick rows; beyond that, rows are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -126,19 +129,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """rid, k, size and digest of the set, signature (low 16 bits of each bin) and band keys of each row."""
+    """rid, k, size and digest of the set, signature (low 8 bits of each bin) and band keys of each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 sets, at = shingle_sets(batch.column(1), width)
                 n = np.diff(at)
                 sig = signatures(sets, at)
                 # two sums over the set stand for its equality: 128 bits, with its size
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (17, 29)]
                 digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-                short = np.ascontiguousarray(sig[:, :COMPARED]).astype(np.uint16)
+                short = sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array([x.tobytes() for x in short], pa.binary()),
@@ -188,7 +191,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, COMPARED) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (2, 3))
                 ok = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
@@ -205,7 +208,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, nodes: DataFrame, wa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 0)):
                 sets, at = shingle_sets(batch.column(0), width)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (17, 29)]
                 digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
@@ -231,8 +234,38 @@ def _stars(open_: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")).distinct()
 
 
-def _compared(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components of a bucket whose signatures agree, found in tasks of bounded size."""
+class _Forest:
+    """Union-find that keeps the edges that joined something."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int, edge: tuple[int, int]) -> None:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.edges.append(edge)
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array([a for a, _ in self.edges], pa.int64()), "b": pa.array([b for _, b in self.edges], pa.int64())})
+
+
+def _alike(i: int, at: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Of the rows ``at``, those of other components than row i whose sizes and signatures allow a link, most alike first."""
+    at = at[(comp[at] != comp[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)]
+    same = (sig[at] == sig[i]).mean(axis=1) if len(at) else np.zeros(0)
+    order = np.argsort(-same, kind="stable")
+    return at[order][same[order] >= LEAST_AGREEMENT]
+
+
+def _look_alikes(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Forest of the components whose rows agree, as pairs of components, found bucket by bucket in tasks of bounded size."""
     chunks = F.ceil(F.col("most") / TASK_MEMBERS).cast("int")
     rows = open_.select("bucket", "rid", "n", "comp").join(buckets, "bucket").withColumn("top", F.col("comp") == F.col("top"))
     own = F.array(F.pmod(F.xxhash64("rid"), chunks).cast("int"))
@@ -240,22 +273,52 @@ def _compared(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent: in
     rows = rows.select("bucket", "chunk", "rid", "n", "comp", "top").join(sigs, "rid")
 
     def run(group: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint16).reshape(-1, COMPARED)
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         rid, n, comp, top = (group[c].to_numpy() for c in ("rid", "n", "comp", "top"))
         order = np.lexsort((rid, n, top))  # those outside the largest component first
-        sig, rid, n, comp = sig[order], rid[order], n[order], comp[order]
-        pairs = []
+        sig, n, comp = sig[order], n[order], comp[order]
+        forest = _Forest()
         for i in range(int((~top).sum())):
-            at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
-            at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
-            if len(at):
-                pairs.append(np.stack([np.minimum(rid[i], rid[at]), np.maximum(rid[i], rid[at])]))
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+            for j in _alike(i, np.arange(i + 1, len(n)), n, comp, sig, percent).tolist():
+                forest.join(int(comp[i]), int(comp[j]), (int(comp[i]), int(comp[j])))
+        return forest.table()
 
     return rows.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long").distinct()
 
 
+def _links_in_clusters(rows: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Forest of the confirmed links in each cluster (cluster, rid, n, comp), from comparing rows outside its largest component with all of its rows."""
+    sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by(F.struct("comp", "s"), F.struct("m", "comp")).alias("big"), F.sum("s").alias("s"))
+    parts = lambda x: F.greatest(F.ceil(x / TASK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sizes.select("cluster", F.col("big.comp").alias("big"), parts(F.col("s")).alias("c"), parts(F.col("s") - F.col("big.s")).alias("k"))
+    rows = rows.join(scratch(sizes, "clusters"), "cluster")
+    mark = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
+    every = rows.select("cluster", "rid", "comp", mark(F.col("c")).alias("ci"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ki"), F.lit(False).alias("probe"))
+    probes = rows.filter(F.col("comp") != F.col("big"))
+    probes = probes.select("cluster", "rid", "comp", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("ci"), mark(F.col("k")).alias("ki"), F.lit(True).alias("probe"))
+    tasks = every.unionByName(probes).join(sets, "rid").join(sigs, "rid")
+
+    def run(group: pa.Table) -> pa.Table:
+        probe = group["probe"].to_numpy()
+        order = np.lexsort((group["rid"].to_numpy(), probe))
+        group, probe = group.take(pa.array(order)), probe[order]
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        rid, n, comp = (group[c].to_numpy() for c in ("rid", "n", "comp"))
+        lists = group["shingles"].combine_chunks()
+        flat, at = lists.values.to_numpy(), np.asarray(lists.offsets)
+        forest, all_rows = _Forest(), np.flatnonzero(~probe)
+        for i in np.flatnonzero(probe):
+            for j in _alike(i, all_rows, n, comp, sig, percent).tolist():
+                if forest.top(int(comp[i])) != forest.top(int(comp[j])):
+                    both = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
+                    if both * 100 >= (n[i] + n[j] - both) * percent:
+                        forest.join(int(comp[i]), int(comp[j]), (int(comp[i]), int(comp[j])))
+        return forest.table()
+
+    return tasks.groupBy("cluster", "ci", "ki").applyInArrow(run, "a long, b long").distinct()
+
+
 class _Linking:
     """Confirms candidate pairs on full sets and keeps the components of what was confirmed."""
 
@@ -264,20 +327,18 @@ class _Linking:
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
 
-    def link(self, pairs: DataFrame) -> None:
-        pairs = scratch(self.relabelled_pairs(pairs), "pairs")
-        likely = scratch(_agreement(pairs, self.sigs), "likely")
-        wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
+    def fetch(self, wanted: DataFrame) -> None:
+        """Adds the full sets of the rows that have none yet."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("rid"), "rid", "left_anti")
         wanted = scratch(wanted, "wanted")
-        if not wanted.isEmpty():
+        if self.sets is None or not wanted.isEmpty():
             docs, key, text, width = self.source
             more = scratch(_sets(docs, key, text, width, self.reps, wanted), "sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
-        if self.sets is None:
-            return
-        links = scratch(_confirmed(likely, self.sets, self.percent), "links")
+
+    def add(self, links: DataFrame) -> None:
+        """Joins the components of linked rows or components."""
         if links.isEmpty():
             return
         if self.labels is None:
@@ -286,16 +347,25 @@ class _Linking:
             links = _relabel(_relabel(links, self.labels, "a"), self.labels, "b").filter(F.col("a") != F.col("b"))
             self.labels = scratch(_merge(self.labels, components(links)), "labels")
 
+    def stars(self, pairs: DataFrame) -> None:
+        likely = scratch(_agreement(scratch(pairs, "pairs"), self.sigs), "likely")
+        self.fetch(likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct())
+        self.add(scratch(_confirmed(likely, self.sets, self.percent), "links"))
+
+    def rest(self, open_: DataFrame, buckets: DataFrame) -> None:
+        """All pairs of the buckets that are not in one component."""
+        forest = scratch(_look_alikes(open_, buckets, self.sigs, self.percent), "forest")
+        if forest.isEmpty():
+            return
+        clusters = components(forest).select(F.col("v").alias("comp"), F.col("label").alias("cluster"))
+        rows = self.relabelled(self.reps.select("rid", "n", F.col("rid").alias("comp"))).join(clusters, "comp")
+        rows = scratch(rows.select("cluster", "rid", "n", "comp"), "cluster_rows")
+        self.fetch(rows.select("rid"))
+        self.add(scratch(_links_in_clusters(rows, self.sets, self.sigs, self.percent), "links"))
+
     def relabelled(self, df: DataFrame) -> DataFrame:
         return df if self.labels is None else _relabel(df, self.labels, "comp")
 
-    def relabelled_pairs(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose rows are not in one component yet."""
-        if self.labels is None:
-            return pairs
-        both = _relabel(_relabel(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), self.labels, "x"), self.labels, "y")
-        return both.filter(F.col("x") != F.col("y")).select("a", "b")
-
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components of the documents linked by similar shingle sets.
@@ -321,7 +391,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     open_ = members.withColumn("used", F.lit(False))
     chosen = scratch(open_.groupBy("bucket").agg(F.min_by(F.struct("rid", "n"), "rid").alias("c")).select("bucket", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"), F.col("c.rid").alias("cc")), "centres")
     while True:
-        step.link(_stars(open_, chosen, percent))
+        step.stars(_stars(open_, chosen, percent))
         used = open_.join(chosen.select("bucket", F.col("c").alias("rid"), F.lit(True).alias("now")), ["bucket", "rid"], "left")
         now = F.col("used") | F.coalesce("now", F.lit(False))
         open_ = scratch(step.relabelled(used.select("bucket", "rid", "n", F.col("rid").alias("comp"), now.alias("used"))), "open")
@@ -330,7 +400,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         # one member left without a turn has met all others
         buckets = scratch(buckets.filter((F.col("comps") > 1) & (F.col("left") > 1)).withColumn("others", F.col("all") - F.col("most")), "unsettled")
         few = buckets.filter(F.col("others") <= TASK_MEMBERS).select("bucket", "top", "most")
-        step.link(_compared(open_, few, sigs, percent))
+        step.rest(open_, few)
         many = buckets.filter(F.col("others") > TASK_MEMBERS).select("bucket")
         if many.isEmpty():
             break
