@@ -264,7 +264,8 @@ def person_authority(local_spans: Column, remote: Column) -> Column:
     A remote person that holds exactly one shorter local person becomes that
     one; local persons count for nothing else. Other categories are joined.
     """
-    return S.let(local_spans, lambda a: S.let(remote, lambda b: _person_authority(a, b)))
+    # both are bound at once, as an Arrow function's result cannot stand inside a lambda
+    return S.let(F.struct(local_spans.alias("a"), remote.alias("b")), lambda x: _person_authority(x["a"], x["b"]))
 
 
 def _person_authority(local_spans: Column, remote: Column) -> Column:
@@ -300,10 +301,11 @@ class Strategy:
     strict_reference_merge: bool = False
     names: Sequence[str] = field(default=("local",))
 
-    def spans(self, text: Column) -> Column:
+    def spans(self, text: Column, keep: Callable[[Column], Column] = lambda s: s) -> Column:
+        """Disjoint spans; ``keep`` filters them before they are merged."""
         if self.kind not in ("single", "merge", "tiered"):
             raise ValueError(f"unknown strategy: {self.kind}")
-        fold = S.MERGES[self.merge]
+        fold = lambda s: S.MERGES[self.merge](keep(s))
         base = self.local(text)
         if self.kind == "single":
             return fold(base)
@@ -335,7 +337,7 @@ def detections(
     """
     strategy = strategy or Strategy(local())
     gone = list(excluded)
-    found = S.confident(S.without(strategy.spans(text), gone), least_confidence)
+    found = strategy.spans(text, lambda s: S.confident(S.without(s, gone), least_confidence))
     found = S.merge_longest(S.expand_person_words(text, found))
     if secret_scan and "secret" not in gone:
         found = S.merge_longest(F.concat(secret_spans(generic_secrets)(text), found))
