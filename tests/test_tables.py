@@ -41,8 +41,8 @@ def test_responses_restored(spark):
     vault, token = M.build_vault(masked, "session_id", "id"), masked.first().masked
     cases = {
         "anthropic": {"content": [{"type": "text", "text": f"hi {token}"}, {"type": "tool_use", "input": {"a": [token, 1]}}, {"type": "thinking", "thinking": token}]},
-        "openai": {"choices": [{"message": {"content": token, "tool_calls": [{"function": {"arguments": json.dumps({"x": token})}}, {"function": {"arguments": f"raw {token}"}}]}}]},
-        "responses": {"output": [{"content": [{"type": "output_text", "text": token}]}, {"arguments": json.dumps([token])}], "output_text": token},
+        "openai": {"choices": [{"message": {"content": token, "tool_calls": [{"function": {"arguments": messages.dump({"x": token})}}, {"function": {"arguments": f"raw {token}"}}]}}]},
+        "responses": {"output": [{"content": [{"type": "output_text", "text": token}]}, {"arguments": messages.dump([token])}], "output_text": token},
         "tree": {"path": token, "deep": [{"x": token}]},
     }
     for provider, body in cases.items():
