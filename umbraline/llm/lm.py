@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, scratch, words
+from .common import ascii_lower, crc_mod, scratch, slices, words
 
 #: Words with an entry of their own in the model.
 VOCABULARY = 16_384
@@ -71,7 +71,7 @@ class Model:
     def ids(self) -> int:
         return self.known + CLASSES
 
-    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
         """Ids of all texts in a row, an end after each, where each text's begin, and each text's words that are not frequent."""
         texts = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), characters=SPACES)
         split = pc.ascii_split_whitespace(texts)
@@ -94,9 +94,8 @@ class Model:
         rare = table[index] >= known if len(table) else np.zeros(0, dtype=bool)
         if empty.any():
             rare[at[:-1][empty]] = False
-        rare_words = flat.filter(pa.array(rare)).to_pylist()
-        bounds = np.concatenate([[0], np.cumsum(rare)])[at].tolist()
-        return ids, starts, [rare_words[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        bounds = np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)
+        return ids, starts, pa.ListArray.from_arrays(pa.array(bounds), flat.filter(pa.array(rare)).cast(pa.string()))
 
     def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class and subclass of each token, and the feature rows of both factors."""
@@ -113,15 +112,18 @@ class Model:
         b[:, 0], b[:, 1] = _row(p1 * CLASSES + c, 4, SUBCLASS_ROWS), _row(p2 * CLASSES + c, 5, SUBCLASS_ROWS)
         return c, leaf % CLASSES, a, b
 
+    def window(self, ids: np.ndarray, starts: np.ndarray, a: int, z: int) -> list[np.ndarray]:
+        """``features`` of the tokens from a to z; their history may lie before a."""
+        lo, z = max(0, a - 2), min(len(ids), z)
+        own = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, z)] - lo
+        return [v[a - lo :] for v in self.features(ids[lo:z], own)]
+
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token, without log10(c + 1) of words that are not frequent."""
         out = self.share[ids]
         for a in range(0, len(ids), BATCH):
-            z = min(len(ids), a + BATCH)
-            lo = max(0, a - 2)
-            own = starts[(starts >= lo) & (starts < z)] - lo
-            c, s, x, y = (v[a - lo :] for v in self.features(ids[lo:z], own))
-            out[a:z] += (_log_softmax(self.class_bias + self.class_rows[x].sum(axis=1), c) + _log_softmax(self.subclass_bias[c] + self.subclass_rows[y].sum(axis=1), s)) / np.log(10)
+            c, s, x, y = self.window(ids, starts, a, a + BATCH)
+            out[a : a + BATCH] += (_log_softmax(_summed_rows(self.class_bias, self.class_rows, x), c) + _log_softmax(_summed_rows(self.subclass_bias[c], self.subclass_rows, y), s)) / np.log(10)
         return out
 
 
@@ -139,24 +141,46 @@ def _row(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
     return (h >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
 
 
+def _summed_rows(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = bias + table.take(rows[:, 0], axis=0)
+    for i in range(1, rows.shape[1]):
+        out += table.take(rows[:, i], axis=0)
+    return out
+
+
+_ONES = np.ones(CLASSES, dtype=np.float32)
+
+
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums by row, after the logits were shifted in place; one shift does for nearly all rows."""
+    logits -= logits.max()
+    e = np.exp(logits)
+    total = e @ _ONES
+    low = np.flatnonzero(total < 1e-30)
+    if len(low):
+        logits[low] -= logits[low].max(axis=1)[:, None]
+        e[low] = np.exp(logits[low])
+        total[low] = e[low] @ _ONES
+    return e, total
+
+
 def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    total = _exp(logits)[1]
+    return logits[np.arange(len(at)), at] - np.log(total)
 
 
 def _step(logits: np.ndarray, at: np.ndarray, rows: np.ndarray, weights: np.ndarray, past: np.ndarray, uses: np.ndarray) -> None:
     """One gradient update of the feature rows, at rates that fall with the gradients a row has had."""
-    logits -= logits.max(axis=1)[:, None]
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1)[:, None]
-    logits[np.arange(len(at)), at] -= 1
+    e, total = _exp(logits)
+    e /= total[:, None]
+    e[np.arange(len(at)), at] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     sorted_rows = flat[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     found = sorted_rows[first]
-    grad = np.add.reduceat(logits[order // rows.shape[1]], first, axis=0)
-    past[found] += (grad * grad).mean(axis=1)
+    grad = np.add.reduceat(e.take(order // rows.shape[1], axis=0), first, axis=0)
+    past[found] += np.einsum("ij,ij->i", grad, grad) / CLASSES
     uses[found] += np.diff(np.append(first, len(flat)))
     weights[found] -= (RATE / np.sqrt(past[found] + 1e-6))[:, None] * grad
 
@@ -168,10 +192,10 @@ def tokens_table(docs: DataFrame, model_of: Broadcast, key: str, text: str, held
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             ids, starts, rare = model.code(batch.column(2))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(rare, pa.list_(pa.string()))], ["k", "held_out", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, rare], ["k", "held_out", "ids", "rare"])
 
     coded = rows.mapInArrow(run, f"k {kind}, held_out boolean, ids array<int>, rare array<string>")
     return scratch(coded.withColumn("rid", F.monotonically_increasing_id()), "coded")
@@ -312,11 +336,10 @@ def train(spark: SparkSession, coded: DataFrame, model: Model, rounds: int = ROU
                 ids, starts = _lists(batch.column(0))
                 if not len(ids):
                     continue
-                c, s, x, y = m.features(ids, starts)
                 for i in range(0, len(ids), BATCH):
-                    at = slice(i, i + BATCH)
-                    _step(m.class_bias + a[x[at]].sum(axis=1), c[at], x[at], a, past_a, uses_a)
-                    _step(m.subclass_bias[c[at]] + b[y[at]].sum(axis=1), s[at], y[at], b, past_b, uses_b)
+                    c, s, x, y = m.window(ids, starts, i, i + BATCH)
+                    _step(_summed_rows(m.class_bias, a, x), c, x, a, past_a, uses_a)
+                    _step(_summed_rows(m.subclass_bias[c], b, y), s, y, b, past_b, uses_b)
             yield from _emit([a * uses_a[:, None], b * uses_b[:, None], uses_a, uses_b])
 
         sizes = [model.class_rows.size, model.subclass_rows.size, CLASS_ROWS, SUBCLASS_ROWS]
