@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 #: Bounds of the labelled sample, for each language.
 TRAIN_ROWS = 96
@@ -34,6 +34,8 @@ TRAIN_BYTES = 24_000
 ROW_BYTES = 1_000
 #: A document is parsed in blocks of so many bytes; a phrase ends with its block.
 BLOCK = 1_024
+#: Text that advances in step at once, unless one text alone is longer.
+SLICE_BYTES = 4 << 20
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, last, SLICE_BYTES)):
             at = np.flatnonzero(np.asarray(batch.column(last + 1))) if model is not None else []
             langs, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if len(at):
