@@ -40,7 +40,7 @@ def test_distance(spark):
 
     for counts, shares in (([1, 1], [0.5, 0.5]), ([4, 0], [0.0, 1.0]), ([3, 1, 0], [0.2, 0.3, 0.5])):
         got = spark.range(1).select(quality.distance(F.array(*[F.lit(float(c)) for c in counts]), shares)).first()[0]
-        assert got == pytest.approx(js([c / sum(counts) for c in counts], shares), abs=1e-9)
+        assert got == pytest.approx(js([c / sum(counts) for c in counts], shares), abs=1e-6)
     assert spark.range(1).select(quality.distance(F.array(F.lit(0.0)), [1.0])).first()[0] is None
 
 
