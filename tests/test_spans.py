@@ -103,6 +103,7 @@ def test_rewriting(spark):
     text = F.lit("0123456789")
     cut = make((2, 4, "private_email", 1), (6, 10, "card", 1))
     assert one(spark, S.placeholders(text, cut)) == "01[EMAIL]45[CARD]"
+    assert one(spark, S.placeholders(text, cut, "OPF:")) == "01[OPF:EMAIL]45[OPF:CARD]"
     assert one(spark, S.redact(text, cut)) == "01··45····"
     assert one(spark, S.rewrite(text, S.no_spans(), lambda s: s["text"])) == "0123456789"
     with pytest.raises(ValueError):

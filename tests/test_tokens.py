@@ -129,6 +129,15 @@ def test_vault_rules(spark):
     assert sorted(r.status for r in M.token_status(seen, vault, "k").collect()) == ["expired", "foreign", "live"]
 
 
+def test_idle_sessions_go(spark):
+    from datetime import datetime
+
+    used = spark.createDataFrame([(f"s{i}", datetime(2025, 1, 1, 12, i)) for i in range(5)], "session_id string, last_access timestamp")
+    now = F.lit(datetime(2025, 1, 1, 12, 10))
+    assert [r.session_id for r in M.retain(used, now, 60 * 9).collect()] == ["s4", "s3", "s2"]
+    assert [r.session_id for r in M.retain(used, now, 3600, most=1).collect()] == ["s4"]
+
+
 def test_neutralise(spark, vault):
     df = spark.createDataFrame([(1, "s", f"{MAIL} {{{{OPF:CARD:zzzzzzzzzzzzzzzz}}}} end")], "id int, session_id string, text string")
     assert R.neutralise(df, vault, SECRET, "id").first().neutral == f"{MAIL} [UNRESTORABLE:CARD/foreign] end"

@@ -139,9 +139,9 @@ def redact(text: Column, spans: Column, filler: str = "·") -> Column:
     return rewrite(text, merge_longest(spans), lambda s: F.repeat(F.lit(filler), s["end"] - s["start"]))
 
 
-def placeholders(text: Column, spans: Column) -> Column:
-    """The text with each span as ``[LABEL]``."""
-    return rewrite(text, spans, lambda s: F.concat(F.lit("["), label(s["category"]), F.lit("]")))
+def placeholders(text: Column, spans: Column, prefix: str = "") -> Column:
+    """The text with each span as ``[LABEL]``; the detection service's wire form has the prefix ``OPF:``."""
+    return rewrite(text, spans, lambda s: F.concat(F.lit(f"[{prefix}"), label(s["category"]), F.lit("]")))
 
 
 def label(category: Column) -> Column:
