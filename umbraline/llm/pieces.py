@@ -38,7 +38,7 @@ ALPHA = 1.5
 SHIFT = 2.7
 SEED = 11
 #: Text that is segmented at once, unless one text alone is longer.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 1_500_000
 _SPLIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
