@@ -14,6 +14,8 @@ sorting hashes, in n log n.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,11 @@ def base_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def repeated_words(h: Column, width: int = 3) -> Column:
     """Words inside windows of ``width`` words that occur twice or more, given the words' hashes."""
+    # bound once: an optimiser that moves a filter over this column would else put the text's whole splitting inside the lambdas
+    return let(h, lambda own: _repeated_words(own, width))
+
+
+def _repeated_words(h: Column, width: int) -> Column:
     n = F.size(h) - (width - 1)
     windows = F.transform(
         F.slice(h, 1, F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)])
@@ -105,15 +112,16 @@ def _doubles(values: list[float]) -> Column:
 
 def distance(counts: Column, shares: list[float]) -> Column:
     """Jensen-Shannon distance in [0, 1] of a histogram of counts from fixed shares; null for an empty histogram."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    plogp = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    fixed = sum(q * math.log2(q) for q in shares if q > 0) / 2  # the entropy terms: H((p + q) / 2) - (H(p) + H(q)) / 2
 
-    def term(p: Column, q: Column) -> Column:
-        m = (p + q) / 2
-        part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-        return (part(p) + part(q)) / 2
+    def bits(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+        own = let(total, lambda t: F.transform(counts, lambda c: c / t))
+        terms = F.zip_with(own, _doubles(shares), lambda p, q: plogp(p) / 2 - plogp((p + q) / 2))
+        return F.when(total > 0, F.aggregate(terms, F.lit(fixed), lambda a, x: a + x))
 
-    bits = let(total, lambda t: F.aggregate(F.zip_with(counts, _doubles(shares), lambda c, q: term(c / t, q)), F.lit(0.0), lambda a, x: a + x))
-    return F.when(total > 0, F.sqrt(F.greatest(bits, F.lit(0.0))))
+    return let(let(counts, bits), lambda b: F.when(b.isNotNull(), F.sqrt(F.greatest(b, F.lit(0.0)))))
 
 
 def quality(
@@ -137,8 +145,7 @@ def quality(
     if refs:
         known = F.array(*[F.lit(h) for h in vocabulary])
         common = F.filter("h", lambda x: x.isin(vocabulary))
-        rows = rows.withColumn("common", common).drop("h")
-        rows = rows.withColumn("tally", F.transform(known, lambda v: F.size("common") - F.size(F.array_remove("common", v)))).drop("common")
+        rows = rows.withColumn("tally", let(common, lambda c: F.transform(known, lambda v: F.size(c) - F.size(F.array_remove(c, v))))).drop("h")
         shape = F.array(*[c.cast("double") for _, c in _classes()])
         found = []
         for r in refs:
@@ -146,8 +153,9 @@ def quality(
             rest = F.col("n_words").cast("double") - sum(own[1:], own[0])
             a = distance(shape, r["classes"])
             b = distance(F.array(*own, rest), [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
-            found.append(F.struct((a + b).alias("sum"), a.alias("class_distance"), b.alias("word_distance")))
-        rows = rows.withColumn("best", F.array_min(F.filter(F.array(*found), lambda x: x["sum"].isNotNull())))
+            found.append(F.struct(a.alias("class_distance"), b.alias("word_distance")))
+        scored = F.transform(F.array(*found), lambda x: F.struct((x["class_distance"] + x["word_distance"]).alias("sum"), x["class_distance"], x["word_distance"]))
+        rows = rows.withColumn("best", F.array_min(F.filter(scored, lambda x: x["sum"].isNotNull())))
         judged_words = F.col("n_words") >= MIN_WORDS_FOR_WORDS
         close = F.coalesce((F.col("best.class_distance") <= max_class) & (~judged_words | (F.col("best.word_distance") <= max_word)), F.lit(False))
         distances = [F.col("best.class_distance").alias("class_distance"), F.col("best.word_distance").alias("word_distance")]
