@@ -132,6 +132,12 @@ def test_secrets(spark, text, n):
     assert len(spans(spark, f"x {text} y", D.secret_spans())) == n
 
 
+def test_generic_secrets(spark):
+    text = 'api_key = "abcdefghij0123456789" and token: short'
+    assert [(t, a) for _, t, a, _ in spans(spark, text, D.secret_spans(True))] == [("abcdefghij0123456789", 11)]
+    assert spans(spark, text, D.secret_spans()) == []
+
+
 def test_dictionary(spark):
     find = D.dictionary([D.DictionaryEntry("ana", "private_person", word_boundary=False), D.DictionaryEntry("Acme", "private_address"), D.DictionaryEntry("김", "private_person")])
     got = [(t, a) for _, t, a, _ in spans(spark, "banana acme acmes 김치", find)]

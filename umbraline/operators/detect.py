@@ -100,7 +100,15 @@ SECRETS = {
     "bearer": r"(?<=Bearer )(?=[A-Za-z0-9._~+/-]*\d)[A-Za-z0-9._~+/-]{32,}=*",
 }
 #: With ``generic``: a long value after a key that says it is a secret (this engine's choice).
-GENERIC_SECRET = r"(?i)(?<=(?:secret|token|passwd|password|api_key|apikey)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]{16,}"
+GENERIC_SECRET = r"(?i)(?:secret|token|passwd|password|api_key|apikey)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,}=*)"
+
+
+def _generic_secrets(text: Column) -> Column:
+    def value(m: Column) -> Column:
+        own = F.regexp_extract(m["text"], GENERIC_SECRET, 1)
+        return S.span(m["start"] + F.length(m["text"]) - F.length(own), own, "secret", 0.8)
+
+    return F.transform(S.matches(text, GENERIC_SECRET), value)
 
 
 #: What a text must hold to be scanned for credentials at all: cheap tests, one of which each family implies.
@@ -126,7 +134,7 @@ def secret_spans(generic: bool = False) -> Detector:
         sign = sign | (text.contains("://") & text.contains("@")) | text.rlike(_RARE_SIGNS)
         found = F.when(sign, S.find_spans(text, pattern, "secret", 0.99)).otherwise(S.no_spans())
         if generic:
-            found = F.concat(found, S.find_spans(text, GENERIC_SECRET, "secret", 0.8))
+            found = F.concat(found, _generic_secrets(text))
         return S.let(found, lambda s: F.when((F.size(s) > 0) & text.contains("{{OPF:"), free(s, S.matches(text, STRICT))).otherwise(s))
 
     return detect
