@@ -30,6 +30,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def _met(rows: DataFrame, group: list[str], *least: Column) -> DataFrame:
+    """The rows with the size and least members of their group, null for a group of one.
+
+    Groups of more are a table of their own first: both sides of the join then
+    come from plain exchanges, which adaptive execution splits for a large group.
+    """
+    sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), *least).filter(F.col("size") > 1)
+    # a sort-merge join at every size, as only that one is split
+    return rows.join(scratch(sums, "groups").hint("merge"), group, "left").withColumn("size", F.coalesce("size", F.lit(1)))
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first: int = FIRST_DIGIT) -> DataFrame:
     """Group of equal normalised texts for each row.
 
@@ -46,8 +57,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
     base = docs.select(F.col(key).alias("k"), body.alias("b")).select(
         "k", "b", F.octet_length("b").alias("n"), F.substring("b", 1, first).alias("digit"), F.sha2("b", 256).alias("sha")
     )
-    groups = base.groupBy("n", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("keep"))
-    met = base.join(groups, ["n", "digit"])
+    met = _met(base, ["n", "digit"], F.min("k").alias("keep"))
     still = (F.col("size") > 1) & (F.col("n") > first)
     # The row id is fixed once the table is written; it names groups in later rounds, as keys may repeat.
     table = scratch(
@@ -63,10 +73,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
     done, width = first, first * WIDEN
     while done < longest:
         digit = F.substring("rest", 1, width)
-        groups = state.groupBy("grp", digit.alias("digit")).agg(
-            F.count(F.lit(1)).alias("size"), F.min("k").alias("keep"), F.min("rid").alias("low")
-        )
-        met = state.withColumn("digit", digit).join(groups, ["grp", "digit"])
+        met = _met(state.withColumn("digit", digit), ["grp", "digit"], F.min("k").alias("keep"), F.min("rid").alias("low"))
         done += width
         still = (F.col("size") > 1) & (F.col("n") > done)
         table = scratch(
@@ -76,6 +83,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
         closed.append(table.filter(F.col("rest").isNull()).select("k", "sha", "size", "keep"))
         state = table.filter(F.col("rest").isNotNull()).select("k", "sha", "n", F.col("low").alias("grp"), "rest", "rid")
         width *= WIDEN
+    closed = [part.withColumn("keep", F.when(F.col("size") > 1, F.col("keep")).otherwise(F.col("k"))) for part in closed]
     out = closed[0]
     for part in closed[1:]:
         out = out.unionByName(part)
