@@ -310,8 +310,7 @@ def classify(model: Model, table: np.ndarray) -> None:
     leaf[known:] = (CLASSES - 1) * CLASSES + np.arange(CLASSES)
     mass = np.concatenate([model.counts, model.other_totals]).astype(np.float64)
     of_leaf = np.bincount(leaf, mass, minlength=CLASSES * CLASSES)
-    with np.errstate(divide="ignore"):
-        model.share = np.log10(np.maximum(mass, 1e-300) / of_leaf[leaf])
+    model.share = np.log10(np.maximum(mass, 1e-300) / np.maximum(of_leaf[leaf], 1e-300))
     model.share[known:] = -np.log10(model.other_totals)
     model.leaf = leaf
     by_class = of_leaf.reshape(CLASSES, CLASSES)
