@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,22 @@ def test_junk_goes_and_prose_stays(spark, small):
     assert good.filter("kept").count() >= 0.97 * good.count()
 
 
+def test_no_common_word_no_pass(spark, small):
+    """Letter-only junk, and junk between pipes where a reference lacks the pipe, lie within the class bound and beyond the word bound."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    refs = quality.references(docs)
+    pipe = spark.range(1).select(F.xxhash64(F.lit("|"))).first()[0]
+    assert refs and all(pipe not in [*r["words"], *r["more"]] for r in refs)
+    r = random.Random(1)
+    made = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(9, 14))) for _ in range(200)]
+    junk = spark.createDataFrame([(1, " ".join(made)), (2, " | ".join(made)), (3, " | ".join(made) + ".")], "doc_id long, text string")
+    got = quality.quality(junk, refs).collect()
+    assert not any(x.base_failed or x.kept for x in got) and all(x.class_distance <= quality.MAX_CLASS_DISTANCE for x in got)
+    piped = docs.filter("size(split(text, ' [|] ')) > 30 and 0.3 * size(split(text, ' ')) < size(split(text, ' [|] '))")
+    bad = quality.quality(piped, refs).filter("not base_failed")
+    assert bad.count() and bad.filter("kept").count() == 0
+
+
 def test_empty(spark, empty, odd):
     assert quality.references(empty) == [] and quality.quality(empty, []).count() == 0
     refs = quality.references(odd)

@@ -3,10 +3,12 @@
 A document's histograms of character classes and of common words are compared
 with those of each language of the corpus by the Jensen-Shannon distance; it is
 kept if it lies close enough to one of them. Short documents, whose histograms
-say little, are left to the base rules.
+say little, are left to the base rules. A language's ``COMMON`` most frequent
+words have a cell each in the word histogram, its next ones up to ``WIDE`` share
+one, and all other words the last.
 
 Scale: one aggregation over all words with map-side combining gives the
-languages' references, of which the driver gets ``COMMON`` words and the class
+languages' references, of which the driver gets ``WIDE`` words and the class
 counts of each language. The rules themselves are one map-only pass of built-in
 functions without a shuffle; inside a document, repeated windows are found by
 sorting hashes, in n log n.
@@ -24,13 +26,17 @@ from .common import SPACES, WORD, let, words
 MIN_WORDS = 50
 MAX_REPEATED = 50
 SYMBOLS = "#*$%&|<>"
-#: Common words of each language's reference.
-COMMON = 24
+#: Common words of each language's reference: those with a cell of their own, and all of them.
+COMMON, WIDE = 24, 512
+#: A common word has a letter, and stands in so many different texts of its language; passages that one text repeats are not common.
+MIN_TEXTS = 3
 #: A language needs so many rows of at least MIN_WORDS words to be a reference.
 MIN_ROWS = 20
 #: Largest distances (square root of the divergence in bits, 0 to 1) of a kept document.
 MAX_CLASS_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.31
+#: Largest word distance from a reference as a share of the distance of a text without any of its common words.
+MAX_OF_ZERO = 0.9
 #: Below so many words, the word histogram is not judged.
 MIN_WORDS_FOR_WORDS = 50
 CLASSES = ("letters", "digits", "symbols", "others")
@@ -75,29 +81,39 @@ def _repeated_words(h: Column, width: int) -> Column:
     return let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), 0).otherwise(covered(ws))).cast("long")
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> list[dict]:
-    """For each language of the corpus: its common words with their shares, and the shares of its character classes.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, wide: int = WIDE) -> list[dict]:
+    """For each language of the corpus: its common words, the shares of the first ``common`` and of all others, and the shares of its character classes.
 
-    Over all rows with a language. The result has ``common`` words for each language.
+    Over all rows with a language. The result has at most ``wide`` words for each language.
     """
     named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = named.select("l", F.explode(words(F.col("t"))).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("l").agg(F.sum("n").alias("total"))
+    # each text sets one of 64 bits, equal texts the same; the bits that a word has tell few texts from many
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("t"), F.lit(64)).cast("int"))
+    # in a select of its own, or it would be computed for each word
+    each = named.select("l", "t", bit.alias("bit")).select("l", "bit", F.explode(words(F.col("t"))).alias("w"))
+    counts = each.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("texts"))
     # two steps, as one language may hold most words: first within (language, part), then among the parts' best
     part = Window.partitionBy("l", "part").orderBy(F.desc("n"), "w")
-    top = counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64))).withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= common)
-    top = top.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("nth") <= common)
-    top = top.join(sums, "l").select("l", "nth", "w", F.xxhash64("w").alias("h"), (F.col("n") / F.col("total")).alias("share"))
-    feats = base_features(named.withColumn("l2", F.col("l")), "l2", "t").filter(F.col("n_words") >= MIN_WORDS)
-    shapes = feats.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(name) for name, c in _classes()])
-    found = {r["k"]: [r[c] for c in CLASSES] for r in shapes.filter(F.col("rows") >= MIN_ROWS).collect()}
+    usual = counts.filter((F.bit_count("texts") >= MIN_TEXTS) & F.col("w").rlike(r"\p{L}")).drop("texts")
+    top = usual.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64))).withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= wide)
+    top = top.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("nth") <= wide)
+    top = top.select("l", "nth", F.xxhash64("w").alias("h"), "n")
+    feats = base_features(named.withColumn("l2", F.col("l")), "l2", "t").withColumn("whole", F.col("n_words") >= MIN_WORDS)
+    shapes = feats.groupBy("k").agg(F.count_if("whole").alias("rows"), F.sum("n_words").alias("total"), *[F.sum(F.when(F.col("whole"), c)).alias(name) for name, c in _classes()])
+    shapes = shapes.filter(F.col("rows") >= MIN_ROWS).collect()
+    found, totals = {r["k"]: [r[c] for c in CLASSES] for r in shapes}, {r["k"]: r["total"] for r in shapes}
     out: dict[str, dict] = {}
     for r in sorted(top.collect(), key=lambda r: (r["l"], r["nth"])):
         if r["l"] in found and sum(found[r["l"]]):
             shape = found[r["l"]]
-            ref = out.setdefault(r["l"], {"lang": r["l"], "words": [], "shares": [], "classes": [x / sum(shape) for x in shape]})
-            ref["words"].append(r["h"])
-            ref["shares"].append(r["share"])
+            ref = out.setdefault(r["l"], {"lang": r["l"], "words": [], "shares": [], "more": [], "more_share": 0.0, "classes": [x / sum(shape) for x in shape]})
+            share = r["n"] / totals[r["l"]]
+            if r["nth"] <= common:
+                ref["words"].append(r["h"])
+                ref["shares"].append(share)
+            else:
+                ref["more"].append(r["h"])
+                ref["more_share"] += share
     return list(out.values())
 
 
@@ -124,6 +140,18 @@ def distance(counts: Column, shares: list[float]) -> Column:
     return let(let(counts, bits), lambda b: F.when(b.isNotNull(), F.sqrt(F.greatest(b, F.lit(0.0)))))
 
 
+def _word_shares(ref: dict) -> list[float]:
+    """The word histogram of a reference: its first words, its other common words, all others."""
+    return [*ref["shares"], ref["more_share"], max(0.0, 1 - sum(ref["shares"]) - ref["more_share"])]
+
+
+def _word_bound(ref: dict, most: float) -> float:
+    """The largest word distance from a reference, below that of a text without any of its common words."""
+    rest = _word_shares(ref)[-1]
+    bits = (1 - rest) / 2 - math.log2((1 + rest) / 2) / 2 + (rest * math.log2(2 * rest / (1 + rest)) / 2 if rest else 0)
+    return min(most, MAX_OF_ZERO * math.sqrt(max(0.0, bits)))
+
+
 def quality(
     docs: DataFrame, refs: list[dict], key: str = "doc_id", text: str = "text", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE
 ) -> DataFrame:
@@ -144,20 +172,27 @@ def quality(
     rows = rows.withColumn("n_repeat_words", repeated_words(F.col("h")))
     if refs:
         known = F.array(*[F.lit(h) for h in vocabulary])
-        common = F.filter("h", lambda x: x.isin(vocabulary))
-        rows = rows.withColumn("tally", let(common, lambda c: F.transform(known, lambda v: F.size(c) - F.size(F.array_remove(c, v))))).drop("h")
+        own_words = [[*r["words"], *r["more"]] for r in refs]
+        common = F.filter("h", lambda x: x.isin(sorted(set().union(*own_words))))
+
+        def tallies(c: Column) -> Column:
+            frequent = F.filter(c, lambda x: x.isin(vocabulary))
+            tally = let(frequent, lambda f: F.transform(known, lambda v: F.size(f) - F.size(F.array_remove(f, v))))
+            return F.struct(tally.alias("tally"), F.array(*[F.size(F.filter(c, lambda x, own=own: x.isin(own))) for own in own_words]).alias("inside"))
+
+        rows = rows.withColumn("found", let(common, tallies)).drop("h")
         shape = F.array(*[c.cast("double") for _, c in _classes()])
         found = []
-        for r in refs:
-            own = [F.get("tally", F.lit(place[h])).cast("double") for h in r["words"]]
-            rest = F.col("n_words").cast("double") - sum(own[1:], own[0])
+        for i, r in enumerate(refs):
+            own = [F.get("found.tally", F.lit(place[h])).cast("double") for h in r["words"]]
+            inside = F.get("found.inside", F.lit(i)).cast("double")
             a = distance(shape, r["classes"])
-            b = distance(F.array(*own, rest), [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
-            found.append(F.struct(a.alias("class_distance"), b.alias("word_distance")))
-        scored = F.transform(F.array(*found), lambda x: F.struct((x["class_distance"] + x["word_distance"]).alias("sum"), x["class_distance"], x["word_distance"]))
+            b = distance(F.array(*own, inside - sum(own[1:], own[0]), F.col("n_words").cast("double") - inside), _word_shares(r))
+            found.append(F.struct(a.alias("class_distance"), b.alias("word_distance"), F.lit(_word_bound(r, max_word)).alias("bound")))
+        scored = F.transform(F.array(*found), lambda x: F.struct((x["class_distance"] + x["word_distance"]).alias("sum"), x["class_distance"], x["word_distance"], x["bound"]))
         rows = rows.withColumn("best", F.array_min(F.filter(scored, lambda x: x["sum"].isNotNull())))
         judged_words = F.col("n_words") >= MIN_WORDS_FOR_WORDS
-        close = F.coalesce((F.col("best.class_distance") <= max_class) & (~judged_words | (F.col("best.word_distance") <= max_word)), F.lit(False))
+        close = F.coalesce((F.col("best.class_distance") <= max_class) & (~judged_words | (F.col("best.word_distance") <= F.col("best.bound"))), F.lit(False))
         distances = [F.col("best.class_distance").alias("class_distance"), F.col("best.word_distance").alias("word_distance")]
     else:
         close, distances = F.lit(True), [F.lit(None).cast("double").alias(c) for c in ("class_distance", "word_distance")]
