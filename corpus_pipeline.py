@@ -20,16 +20,34 @@ from umbraline.llm.queries import TOKENIZER
 
 #: Of crc32(doc_id) mod 4, the remainder whose rows the language model does not learn from.
 HELD_OUT = 2
+#: Language ID rejects texts of so many bytes of letters or more: those whose disorder is so large, gibberish in every language,
+#: and those whose label another language contradicts with such a score.
+MIN_LETTERS = 100
+MAX_DISORDER = 0.85
+CONTRADICTION = 0.2
+#: A labelled language speaks for its texts' order if so many bytes of it were learned; less orders hardly any text.
+MIN_LEARNED = 8_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or without a letter go. ``lang`` keeps its label, or gets the prediction where it has none."""
+    """Documents with a language. ``lang`` keeps its label, or gets the prediction where it has none.
+
+    Those without text or without a letter go, as do gibberish and texts whose
+    label the prediction contradicts with confidence. A label that was not
+    learned (or, for gibberish, hardly) cannot be judged and stays.
+    """
     model = langid.fit(docs.filter(crc_mod(F.col("doc_id"), 4) != HELD_OUT))
     own = [f"c{i}" for i in range(len(docs.columns))]  # any names, clashing with the prediction's or not
     rows = docs.toDF(*own)
     at = {c: n for c, n in zip(docs.columns, own, strict=True)}
     found = langid.identify(rows, model, at["doc_id"], at["text"], keep=[c for c in own if c != at["doc_id"]])
     found = found.filter(F.col("lang_pred") != langid.UNDETERMINED)
+    learned = model.sizes if model else {}
+    sure = [x for x, size in learned.items() if size >= MIN_LEARNED]
+    label = F.col(at["lang"])
+    gibberish = (F.col("disorder") >= MAX_DISORDER) & (label.isin(sure) | (label.isNull() & F.lit(bool(sure))))
+    contradicted = label.isin(list(learned)) & (F.col("lang_pred") != label) & (F.col("score") >= CONTRADICTION)
+    found = found.filter(~F.coalesce((F.col("n_letters") >= MIN_LETTERS) & (gibberish | contradicted), F.lit(False)))
     found = found.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred"))
     return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])
 

@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -25,6 +28,25 @@ def test_stages_on_their_own_inputs(spark, small):
     assert coded.count() == mixed.count() and coded.filter("not lossless").count() == 0
 
 
+def test_language_id_decides(spark, small):
+    """Gibberish and contradicted labels go; clean, short and unlearned ones stay, and a missing label is filled."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    of = {r.lang: r.text for r in docs.filter("length(text) > 2000 and lang in ('en', 'de', 'fr')").orderBy("doc_id").collect()}
+    r = random.Random(1)
+    noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(600))
+    mixed = "".join(r.sample(of["en"], 1500))
+    cases = [(of["fr"], "de"), (of["en"], "fr"), (noise, "en"), (mixed, "en"), (noise, None)]
+    stay = [(of["en"], "en"), (of["de"], "de"), (of["fr"], None), (of["fr"][:40], "de"), (of["en"], "xx"), (noise[:60], "en")]
+    # the cases are no labelled text to learn from: only keys of the held-out remainder are planted
+    keys = [k for k in range(10_000_000, 10_001_000) if zlib.crc32(str(k).encode()) % 4 == P.HELD_OUT]
+    planted = [(k, t, lang, "s", len(t)) for k, (t, lang) in zip(keys, cases + stay)]
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {x.doc_id: x.lang for x in P.language_id(spark, both, small).collect()}
+    assert [k in got for k in keys[: len(planted)]] == [False] * len(cases) + [True] * len(stay)
+    assert got[keys[len(cases) + 2]] == "fr"
+    assert len(got) == docs.filter(r"text rlike '\\p{L}'").count() + len(stay)
+
+
 def test_odd_table(spark, odd):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = odd.dropDuplicates(["doc_id"])

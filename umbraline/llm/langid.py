@@ -3,7 +3,8 @@
 For each language, labelled text is held in a suffix automaton. A document is
 parsed against it greedily into longest matches; the language that needs the
 fewest phrases, each weighed with the bits that point into its labelled text,
-wins.
+wins. Its cost over that of the language's own letters in random order tells
+text from gibberish.
 
 The automata become dense transition tables over byte classes, in which a
 missing transition starts the next phrase. Many documents then advance in step,
@@ -17,6 +18,7 @@ only then fetched. Prediction is one map-only pass over whole texts.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -99,14 +101,22 @@ class Model:
         self.n_classes = len(used) + 1
         self.tables = [automaton(samples[x], self.classes, self.n_classes) for x in self.langs]
         self.bits = np.array([np.log2(len(samples[x]) + 2) for x in self.langs])
+        self.sizes = {x: len(samples[x]) for x in self.langs}
+        # bits a byte of each sample's letters in random order
+        found, sizes = self._parse([_shuffled(samples[x]) for x in self.langs])
+        self.noise = found.diagonal() * self.bits / np.maximum(sizes, 1)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
+        return self._parse(texts)[0]
+
+    def _parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text in each language, and each text's bytes of letters."""
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         data = [letters(t) for t in texts]
         sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
         if not sizes.sum():
-            return out
+            return out, sizes
         codes = self.classes[np.frombuffer(b"".join(data), dtype=np.uint8)]
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -127,20 +137,36 @@ class Model:
                 states[k, :n] = got >> 1
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, ended[k] + 1, minlength=len(texts)).astype(np.int64)
-        return out
+        return out, sizes
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ties go to the first language by name.
 
         Score: by how much of the second-best language's bits the best one falls short, 0 to 1.
         """
-        cost = self.phrases(texts) * self.bits
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, disorder and bytes of letters of each text.
+
+        Disorder: bits a byte over those of the language's letters in random
+        order, the least of all languages; 1 is a text that no language orders.
+        """
+        found, sizes = self._parse(texts)
+        cost = found * self.bits
+        disorder = (cost / np.maximum(sizes, 1)[:, None] / np.maximum(self.noise, 1e-9)).min(axis=1)
         best = cost.argmin(axis=1) if len(texts) else np.zeros(0, dtype=np.int64)
         ordered = np.sort(cost, axis=1)
         second = ordered[:, 1] if len(self.langs) > 1 else np.full(len(texts), np.inf)
         with np.errstate(invalid="ignore", divide="ignore"):
             score = np.where(second > 0, 1 - ordered[:, 0] / second, 0.0)
-        return [self.langs[i] for i in best], np.clip(score, 0, 1)
+        return [self.langs[i] for i in best], np.clip(score, 0, 1), disorder, sizes
+
+
+def _shuffled(sample: bytes) -> str:
+    chars = list(sample.decode("utf-8", "ignore"))
+    random.Random(7).shuffle(chars)
+    return "".join(chars)
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model | None:
@@ -163,10 +189,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Returns key, the columns to keep, ``lang_pred`` and ``score`` for each row.
+    """Returns key, the columns to keep, ``lang_pred``, ``score``, ``disorder`` and ``n_letters`` (bytes of letters) for each row.
 
     Null texts, texts without a letter, and all texts where no language was
-    learned, are ``und`` with score 0. Other columns are ignored.
+    learned, are ``und`` with score 0 and no letters. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = {f"c{i}": c for i, c in enumerate([key, *keep, text])}
@@ -175,21 +201,22 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     last = len(kept) - 1
     rows = rows.withColumn("some", F.coalesce(F.col(f"c{last}").rlike(r"\p{L}"), F.lit(False)))
 
+    added = ("lang_pred", "score", "disorder", "n_letters")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (part for whole in batches for part in slices(whole, last, SLICE_BYTES)):
             at = np.flatnonzero(np.asarray(batch.column(last + 1))) if model is not None else []
-            langs, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            langs, (score, disorder), size = [UNDETERMINED] * batch.num_rows, np.zeros((2, batch.num_rows)), np.zeros(batch.num_rows, dtype=np.int64)
             if len(at):
-                found, own = model.predict(batch.column(last).take(pa.array(at)).to_pylist())
-                score[at] = own
+                found, score[at], disorder[at], size[at] = model.judge(batch.column(last).take(pa.array(at)).to_pylist())
                 for i, x in zip(at, found, strict=True):
                     langs[i] = x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(score)], [*list(kept)[:last], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(score), pa.array(disorder), pa.array(size)], [*list(kept)[:last], *added])
 
-    out = rows.mapInArrow(run, schema.replace(f", c{last} {rows.schema[f'c{last}'].dataType.simpleString()}", "") + ", lang_pred string, score double")
+    out = rows.mapInArrow(run, schema.replace(f", c{last} {rows.schema[f'c{last}'].dataType.simpleString()}", "") + ", lang_pred string, score double, disorder double, n_letters long")
     names = list(kept.items())[:last]
-    return out.select(*[F.col(n).alias(c) for n, c in names], "lang_pred", "score")
+    return out.select(*[F.col(n).alias(c) for n, c in names], *added)
 
 
 def held_out(docs: DataFrame, key: str = "doc_id", n: int = 4, remainder: int = 2) -> DataFrame:
