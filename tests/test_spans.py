@@ -200,3 +200,12 @@ def test_url_policy_options(spark):
     assert one(spark, checks.private_url(F.lit("https://example.com"), strict=True)) is True
     assert one(spark, checks.private_url(F.lit("https://a.acme.com"), extra_suffixes=["*.acme.com"])) is True
     assert checks.host_suffix(" *.Acme.com. ") == "acme.com"
+
+
+def test_ordinary_words_are_no_names(spark):
+    words = ["경제", "경찰", "국민", "감사", "공장", "반갑습니"]
+    assert set(words) <= set(D.STOPWORDS) and len(D.STOPWORDS) >= 348
+    find = D.korean_names()
+    df = spark.createDataFrame([(w,) for w in [*words, "김철수"]], "text string")
+    got = [r[0] for r in df.select(F.size(find(F.col("text")))).collect()]
+    assert got == [0] * len(words) + [1]
