@@ -11,11 +11,13 @@ def brute(rows):
     norm = [(k, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for k, t in rows]
     for k, t in norm:
         groups.setdefault(t, []).append(k)
-    out = []
+    out, had = [], set()
     for k, t in norm:
         keys = [x for x in groups[t] if x is not None]
         keep = min(keys) if keys else None
-        out.append((k, keep, len(groups[t]), k == keep, hashlib.sha256(t.encode()).hexdigest()))
+        out.append((k, keep, len(groups[t]), k == keep and t not in had, hashlib.sha256(t.encode()).hexdigest()))
+        if k == keep:
+            had.add(t)
     return sorted(out, key=str)
 
 
@@ -50,3 +52,15 @@ def test_repeated_key_with_other_texts(spark):
     rows = [(1, a), (1, b), (2, a), (3, b)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, exact_groups(df).collect()), key=str) == brute(rows)
+
+
+def test_drop_goes_by_row(spark, tmp_path):
+    """Repeated and null keys lose no text, and equal rows leave one, from files and from other tables."""
+    rows = [(1, "B", 1), (5, "A", 2), (5, "B", 3), (None, "C", 4), (None, "B", 5), (7, "D", 6), (7, "D", 6), (None, None, 7), (None, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_id long").repartition(3)
+    df.write.parquet(str(tmp_path / "t"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
+        got = drop_exact(docs)
+        assert got.columns == docs.columns
+        assert sorted(r.text or "" for r in got.collect()) == ["", "A", "B", "C", "D"]
+        assert {(r.doc_id, r.text) for r in got.collect()} >= {(1, "B"), (5, "A"), (None, "C"), (7, "D")}

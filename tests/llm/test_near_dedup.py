@@ -59,7 +59,7 @@ def test_groups_of_near_copies(spark, monkeypatch, small_tasks):
     if small_tasks:
         monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 3)
         monkeypatch.setattr(near_dedup, "TASK_SHINGLES", 500)
-        monkeypatch.setattr(near_dedup, "CENTRES", 2)
+        monkeypatch.setattr(near_dedup, "CROWD", 2)
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(4000)]
     rows = []
@@ -91,6 +91,86 @@ def test_drop_keeps_one_of_each_group(spark):
     assert got.count() <= 3
 
 
+def test_drop_goes_by_row(spark, tmp_path):
+    """Repeated and null keys lose no text, and equal rows leave one, from files and from other tables."""
+    t, u = (" ".join(f"{x}{i}" for i in range(40)) for x in "tu")
+    rows = [(1, t), (5, u), (5, f"{t} more"), (None, "short"), (None, t), (None, "short"), (8, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    df.write.parquet(str(tmp_path / "t"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
+        got = near_dedup.drop_near(docs)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, t), (5, u), (None, "short"), (8, None), (8, None)], key=str)
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_short_texts(spark, width):
+    """Small sets over few words: every link by one shingle, and all groups that hang together by them."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(700):
+        base = [f"v{r.randrange(300)}" for _ in range(r.randint(1, 12))]
+        rows.append((len(rows), " ".join(base)))
+        if r.random() < 0.6:
+            more = base + [f"v{r.randrange(300)}" for _ in range(r.randint(1, 2))]
+            rows.append((len(rows), " ".join(more)))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), width)
+
+
+def pairs_at_the_bound(n_pairs, sizes):
+    """Pairs of sets of one-word shingles with a similarity of exactly 0.8: n of the larger set's 5 n / 4."""
+    rows = []
+    for size in sizes:
+        for p in range(n_pairs):
+            words = [f"s{size}p{p}w{i}" for i in range(size * 5 // 4)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:size]))]
+    return rows
+
+
+def test_no_link_at_the_bound_is_lost(spark):
+    """Similarity of exactly 0.8 at 4 to 400 shingles, small sets by their exact way and large ones by signatures."""
+    rows = pairs_at_the_bound(400, (4, 8, 12, 20, 40, 100)) + [(k + 10**6, t) for k, t in pairs_at_the_bound(60, (400,))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_groups(df, width=1)
+    assert got.filter("component_id = doc_id").count() == len(rows) // 2
+
+
+@pytest.mark.parametrize("n", [8, 40, 64, 400])
+def test_least_agreement(n):
+    """Signatures of 4,000 pairs with a similarity of exactly 0.8: none agrees less than what is fetched."""
+    r = np.random.default_rng(n)
+    pairs = 4000 if n < 100 else 500
+    with np.errstate(over="ignore"):
+        sets = [np.unique(r.integers(0, 1 << 63, n * 5 // 4, dtype=np.uint64) * np.uint64(2)) for _ in range(pairs)]
+        both = [x for s in sets for x in (s, np.sort(r.permutation(s)[:n]))]
+        sig = near_dedup.signatures(np.concatenate(both), np.cumsum([0, *map(len, both)])).astype(np.uint8)
+    agree = (sig[::2] == sig[1::2]).mean(axis=1)
+    assert agree.min() >= near_dedup._floor(np.array([n]))[0]
+
+
+def test_signatures_by_table_and_by_attempts(monkeypatch):
+    r = np.random.default_rng(3)
+    sets = np.sort(r.integers(0, 1 << 63, 30, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        a = near_dedup.signatures(sets, np.array([0, 30]))
+        monkeypatch.setattr(near_dedup, "FEW_BINS", 0)
+        assert (a == near_dedup.signatures(sets, np.array([0, 30]))).all()
+
+
+def test_crowded_bucket_of_dissimilar_texts(spark, monkeypatch):
+    """Texts that share half of their words fall into common buckets without being links; a few pairs among them are."""
+    monkeypatch.setattr(near_dedup, "CROWD", 20)
+    r = random.Random(5)
+    frame = [f"f{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(30)]
+        rows.append((len(rows), " ".join(frame + own)))
+        if i % 50 == 0:
+            rows.append((len(rows), " ".join(frame + own[:-2] + ["z", f"y{i}"])))
+    r.shuffle(rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 1)
+
+
 def test_signatures_estimate_similarity():
     r = random.Random(1)
     for n, same in ((30, 27), (400, 380), (3000, 2400)):

@@ -2,25 +2,28 @@
 
 Each set of word shingles is cut by one hash into bins; a bin keeps its least
 hash, and an empty bin takes over a filled one by optimal densification. Bands
-of bins put similar sets into common buckets. In a bucket, star-shaped
-candidates (a few centres against all members) bound the pairs; a pair is a
-link only if the full sets are similar enough.
+of bins put similar sets into common buckets. In a bucket, a star (one centre
+against all members) bounds the pairs; a pair is a link only if the full sets
+are similar enough.
+
+Sets that are equal are one node from the start, so a group of exact copies
+costs one row in each step. A set so small that a link to it allows one shingle
+of difference only (below 8 at a similarity of 0.8) has an exact way: the larger
+set gives the digests of what remains without each one of its shingles, and an
+equi-join with the smaller sets' digests finds all such links.
 
 A star can miss two members that are similar to each other but not to the
 centre. Buckets whose members are not all in one component afterwards are
-compared inside a task, by signatures: all members outside the bucket's largest
-component with each other and with that component, which is dealt over as many
-tasks as its size asks for. What leaves a task is a spanning forest of the
-components that look alike, fewer rows than it read. Components that hang
-together by such forests are a cluster; its rows outside its largest component
-are compared with all of its rows on full sets, in tasks of bounded size, which
-give a spanning forest of the links found. A bucket with too many members
-outside its largest component gets more stars first, with centres from its
-smallest components, until it has fewer or every member has been a centre. So
-every pair of a bucket is tested or connected, and none of it is capped.
-
-Sets that are equal are one node from the start, so a group of exact copies
-costs one row in each step.
+compared by signatures in tasks of bounded size: all members outside the
+bucket's largest component with all of its members. What leaves a task is a
+spanning forest of the components that look alike, fewer rows than it read.
+Components that hang together by such forests are a cluster; its rows outside
+its largest component are compared with all of its rows on full sets, again in
+tasks of bounded size, which give a spanning forest of the links found. A bucket
+with too many members outside its largest component is first dealt anew by its
+members' rarest shingles: similar sets share one of each other's rarest fifth,
+so the members that share no rare shingle are never paired. Every pair of a
+bucket is tested, connected, or shown to be no link, and none of it is capped.
 
 Scale: a row of each distinct set goes to ``BANDS`` buckets. Buckets are counted
 with map-side combining and joined back, which adaptive execution splits for a
@@ -37,27 +40,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, slices
+from .common import ascii_lower, identified, release, scratch, slices, without
 
 SHINGLE = 5
 PERCENT = 80
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**7)**64 = 3e-7; one of 0.85, with 1e-11.
 BANDS, ROWS = 64, 7
 BINS = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share of the bins, over four standard deviations below 0.8, are not fetched.
-LEAST_AGREEMENT = 0.72
-#: Centres of a bucket in each round of stars after the first.
-CENTRES = 16
-#: Members of a bucket outside its largest component that are compared in one task, and members of that component beside them.
+#: Pairs whose signatures agree in a smaller share of the bins are not fetched. Bins of one pair of sets agree independently with the sets'
+#: similarity, so 0.65 lies eight standard deviations below 0.8; of small sets, a shingle that falls into another one's bin weighs more.
+LEAST_AGREEMENT, LEAST_OF_SMALL, SMALL = 0.65, 0.5, 64
+#: Members of a bucket that are compared in one task, on either side.
 TASK_MEMBERS = 4_096
+#: Members of a bucket outside its largest component beyond which its rarest shingles deal it anew.
+CROWD = 4_096
 #: Shingles on either side of a task that compares full sets.
 TASK_SHINGLES = 2_000_000
 #: Up to so many keys of 8 bytes are broadcast to pick rows; beyond that, rows are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
+#: Memory of a row's signature while it is made.
+ROW_BYTES = 8 * 1_024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,6 +106,29 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
+def _other_bin(bin_: np.ndarray, attempt: int) -> np.ndarray:
+    """Where an empty bin looks: the bin and the attempt alone decide, so that equal sets go the same way."""
+    return (_mix(bin_.astype(np.uint64) * _ODD + np.uint64(attempt + 1)) % np.uint64(BINS)).astype(np.int64)
+
+
+#: Sets with so few filled bins look up each empty bin's first attempt that hits a filled one, instead of making hundreds of attempts.
+FEW_BINS = 48
+_ATTEMPTS: list[np.ndarray] = []
+
+
+def _first_attempts() -> np.ndarray:
+    """Entry [b, j]: the first attempt at which the empty bin j looks into bin b; -1 in the diagonal, as a filled bin is its own."""
+    if not _ATTEMPTS:
+        table, bins, attempt = np.full((BINS, BINS), np.iinfo(np.int16).max, dtype=np.int16), np.arange(BINS), 0
+        table[bins, bins] = -1
+        while (table == np.iinfo(np.int16).max).any() and attempt < np.iinfo(np.int16).max:
+            other = _other_bin(bins, attempt)
+            table[other, bins] = np.minimum(table[other, bins], attempt)
+            attempt += 1
+        _ATTEMPTS.append(table)
+    return _ATTEMPTS[0]
+
+
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of each set, with optimal densification; zeros for an empty set."""
     d = len(at) - 1
@@ -109,11 +138,15 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else cell
     out.ravel()[cell[first]] = sets[first]
     filled.ravel()[cell[first]] = True
-    row, col = np.nonzero(~filled & (np.diff(at) > 0)[:, None])
+    held = filled.sum(axis=1)
+    few = np.flatnonzero((held > 0) & (held <= FEW_BINS))
+    for i in few.tolist():
+        own = np.flatnonzero(filled[i])
+        out[i] = out[i, own[_first_attempts()[own].argmin(axis=0)]]
+    row, col = np.nonzero(~filled & (held > FEW_BINS)[:, None])
     attempt = 0
     while len(row):
-        # the bin and the attempt alone choose the next bin, so that equal sets go the same way
-        other = (_mix(col.astype(np.uint64) * _ODD + np.uint64(attempt + 1)) % np.uint64(BINS)).astype(np.int64)
+        other = _other_bin(col, attempt)
         hit = filled[row, other]
         out[row[hit], col[hit]] = out[row[hit], other[hit]]
         row, col = row[~hit], col[~hit]
@@ -128,44 +161,74 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """rid, k, size and digest of the set, signature (low 8 bits of each bin) and band keys of each row."""
-    kind = docs.schema[key].dataType.simpleString()
+def _least(percent: int) -> int:
+    """Sets of fewer shingles link with another set only if one shingle is the whole difference."""
+    # a difference of two needs 2 * percent / (100 - percent) common ones
+    return -(-2 * percent // (100 - percent)) if percent < 100 else 1 << 62
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in (part for whole in batches for part in slices(whole, 1)):
-                sets, at = shingle_sets(batch.column(1), width)
-                n = np.diff(at)
-                sig = signatures(sets, at)
-                # two sums over the set stand for its equality: 128 bits, with its size
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (17, 29)]
-                digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-                short = sig.astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array([x.tobytes() for x in short], pa.binary()),
-                        _lists(band_keys(sig), n > 0),
-                    ],
-                    ["k", "n", "d1", "d2", "sig", "bands"],
-                )
 
-    rows = docs.select(F.col(key).alias("k"), ascii_lower(F.col(text).cast("string")).alias("t"))
-    found = rows.mapInArrow(run, f"k {kind}, n long, d1 long, d2 long, sig binary, bands array<long>")
-    return scratch(found.withColumn("rid", F.monotonically_increasing_id()), "described")
+def _sums(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set, which stand for its equality: 128 bits, with its size."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in SALTS]
+    return [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
 
 
-def _lists(keys: np.ndarray, some: np.ndarray) -> pa.ListArray:
-    size = np.where(some, BANDS, 0)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[some].ravel()))
+SALTS = (17, 29)
+
+
+def _described(docs: DataFrame, own: str, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """own, rid, k, size and digest of the set, signature (low 8 bits of each bin), band keys, and digests without a shingle, of each row.
+
+    Sets below ``_least`` have no band, sets above it no such digest.
+    """
+    kind, least = docs.schema[key].dataType.simpleString(), _least(percent)
+    place = docs.schema[own].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in (part for whole in batches for part in slices(whole, 2, 4 << 20, ROW_BYTES)):
+                sets, at = shingle_sets(batch.column(2), width)
+                n = np.diff(at)
+                large = n >= least
+                sig = np.zeros((len(n), BINS), dtype=np.uint64)
+                if large.any():
+                    sig[large] = signatures(sets[np.repeat(large, n)], np.concatenate([[0], np.cumsum(n[large])]))
+                d1, d2 = _sums(sets, at)
+                small = (n > 1) & (n <= least)
+                cut = sets[np.repeat(small, n)]
+                shorter = [np.repeat(d[small], n[small]) - _mix(cut + np.uint64(s)).view(np.int64) for d, s in zip((d1, d2), SALTS, strict=True)]
+                rows = [
+                    batch.column(0), batch.column(1), pa.array(n), pa.array(d1), pa.array(d2), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()),
+                    _lists(band_keys(sig[large]).ravel(), np.where(large, BANDS, 0)), *(_lists(x, np.where(small, n, 0)) for x in shorter),
+                ]
+                yield pa.RecordBatch.from_arrays(rows, ["own", "k", "n", "d1", "d2", "sig", "bands", "e1", "e2"])
+        release()
+
+    rows = docs.select(F.col(own).alias("own"), F.col(key).alias("k"), ascii_lower(F.col(text).cast("string")).alias("t"))
+    fields = f"own {place}, k {kind}, n long, d1 long, d2 long, sig binary, bands array<long>, e1 array<long>, e2 array<long>"
+    return scratch(rows.mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id()), "described")
+
+
+def _one_apart(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets below ``_least`` with sets that have one shingle more."""
+    least = _least(percent)
+    small = nodes.filter((F.col("rid") == F.col("node")) & (F.col("n") < least) & (F.col("n") * 100 >= (F.col("n") + 1) * percent))
+    small = small.select(F.col("rid").alias("a"), (F.col("n") + 1).alias("n"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    pairs = rows.filter((F.col("n") > 1) & (F.col("n") <= least)).join(nodes.filter(F.col("rid") == F.col("node")).select("rid"), "rid", "left_semi")
+    pairs = pairs.select(F.col("rid").alias("b"), "n", F.explode(F.arrays_zip("e1", "e2")).alias("e")).select("b", "n", "e.e1", "e.e2")
+    return pairs.join(small, ["n", "e1", "e2"]).select("a", "b")
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     """rid and node: the least rid of the rows with the same set; a row with an empty set is its own node."""
     some = rows.filter(F.col("n") > 0).select("rid", "n", "d1", "d2")
     shared = some.groupBy("n", "d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("node")).filter(F.col("m") > 1).drop("m")
-    joined = rows.select("rid", "k", "n", "d1", "d2").join(scratch(shared, "classes"), ["n", "d1", "d2"], "left")
-    return scratch(joined.select("rid", "k", "n", "d1", "d2", F.coalesce("node", "rid").alias("node")), "nodes")
+    joined = rows.select("rid", "own", "k", "n", "d1", "d2").join(scratch(shared, "classes"), ["n", "d1", "d2"], "left")
+    return scratch(joined.select("rid", "own", "k", "n", "d1", "d2", F.coalesce("node", "rid").alias("node")), "nodes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,42 +246,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("v", "label")
 
 
+def _floor(n: np.ndarray) -> np.ndarray:
+    return np.where(n < SMALL, LEAST_OF_SMALL, LEAST_AGREEMENT)
+
+
 def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs whose signatures agree often enough."""
-    one = sigs.select(F.col("rid").alias("a"), F.col("sig").alias("sa"))
+    one = sigs.select(F.col("rid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     two = sigs.select(F.col("rid").alias("b"), F.col("sig").alias("sb"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (2, 3))
-                ok = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
+                ok = pa.array((x == y).mean(axis=1) >= _floor(np.asarray(batch.column(4))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        release()
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rid and full set of the wanted nodes, from the texts of the rows that carry their keys."""
-    picked = scratch(nodes.join(wanted, "rid", "left_semi").select("rid", "k", "n", "d1", "d2"), "picked")
-    keys = picked.select(F.col("k").alias("pk")).distinct()
-    few = keys.count() <= BROADCAST_KEYS
-    rows = docs.select(F.col(key).alias("k"), ascii_lower(F.col(text).cast("string")).alias("t"))
-    rows = rows.join(F.broadcast(keys) if few else keys, F.col("k").eqNullSafe(F.col("pk")), "left_semi").select("t")
+def _sets(docs: DataFrame, own: str, text: str, width: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid, size and full set of the wanted nodes, from their rows' texts."""
+    picked = scratch(nodes.join(wanted, "rid", "left_semi").select("rid", F.col("own").alias("at")), "picked")
+    few = picked.count() <= BROADCAST_KEYS
+    rows = docs.select(F.col(own).alias("own"), ascii_lower(F.col(text).cast("string")).alias("t"))
+    rows = rows.join(F.broadcast(picked) if few else picked, F.col("own") == F.col("at")).select("rid", "t")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in (part for whole in batches for part in slices(whole, 0)):
-                sets, at = shingle_sets(batch.column(0), width)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (17, 29)]
-                digest = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), pa.array(digest[0]), pa.array(digest[1]), lists], ["n", "d1", "d2", "shingles"])
+            for batch in (part for whole in batches for part in slices(whole, 1)):
+                sets, at = shingle_sets(batch.column(1), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), _lists(sets.view(np.int64), np.diff(at))], ["rid", "n", "shingles"])
+        release()
 
-    found = rows.mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
-    # a key may repeat with other texts, so rows are matched by their sets; one row of a set is enough
-    found = found.join(picked.select("rid", "n", "d1", "d2"), ["n", "d1", "d2"])
-    return found.groupBy("rid", "n").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(run, "rid long, n long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,43 +323,62 @@ def _alike(i: int, at: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: np.ndar
     at = at[(comp[at] != comp[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)]
     same = (sig[at] == sig[i]).mean(axis=1) if len(at) else np.zeros(0)
     order = np.argsort(-same, kind="stable")
-    return at[order][same[order] >= LEAST_AGREEMENT]
+    return at[order][same[order] >= _floor(n[i])]
+
+
+def _parts(x: Column, size: int) -> Column:
+    return F.greatest(F.ceil(x / size), F.lit(1)).cast("int")
+
+
+def _blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows dealt over the tasks (ci, ki) of their group: each row once to each of ``k`` tasks, and as a probe, if outside ``top``, to each of ``c``."""
+    mark = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
+    every = rows.select(group, "rid", "n", "comp", mark(F.col("c")).alias("ci"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ki"), F.lit(False).alias("probe"))
+    probes = rows.filter(F.col("comp") != F.col("top"))
+    probes = probes.select(group, "rid", "n", "comp", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("ci"), mark(F.col("k")).alias("ki"), F.lit(True).alias("probe"))
+    return every.unionByName(probes)
 
 
 def _look_alikes(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Forest of the components whose rows agree, as pairs of components, found bucket by bucket in tasks of bounded size."""
-    chunks = F.ceil(F.col("most") / TASK_MEMBERS).cast("int")
-    rows = open_.select("bucket", "rid", "n", "comp").join(buckets, "bucket").withColumn("top", F.col("comp") == F.col("top"))
-    own = F.array(F.pmod(F.xxhash64("rid"), chunks).cast("int"))
-    rows = rows.withColumn("chunk", F.explode(F.when(F.col("top"), own).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    rows = rows.select("bucket", "chunk", "rid", "n", "comp", "top").join(sigs, "rid")
+    sizes = buckets.select("bucket", "top", _parts(F.col("all"), TASK_MEMBERS).alias("c"), _parts(F.col("others"), TASK_MEMBERS).alias("k"))
+    rows = _blocks(open_.select("bucket", "rid", "n", "comp").join(sizes, "bucket"), "bucket").join(sigs.select("rid", "sig"), "rid")
 
     def run(group: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        rid, n, comp, top = (group[c].to_numpy() for c in ("rid", "n", "comp", "top"))
-        order = np.lexsort((rid, n, top))  # those outside the largest component first
-        sig, n, comp = sig[order], n[order], comp[order]
-        forest = _Forest()
-        for i in range(int((~top).sum())):
-            for j in _alike(i, np.arange(i + 1, len(n)), n, comp, sig, percent).tolist():
+        probe = group["probe"].to_numpy()
+        order = np.lexsort((group["rid"].to_numpy(), group["n"].to_numpy(), probe))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)[order]
+        n, comp, probe = group["n"].to_numpy()[order], group["comp"].to_numpy()[order], probe[order]
+        forest, every = _Forest(), np.flatnonzero(~probe)
+        sizes = n[every]  # in order, so a probe meets a run of sizes only
+        for i in np.flatnonzero(probe):
+            a, z = np.searchsorted(sizes, [n[i] * percent // 100, n[i] * 100 // percent + 1])
+            for j in _alike(i, every[a : z + 1], n, comp, sig, percent).tolist():
                 forest.join(int(comp[i]), int(comp[j]), (int(comp[i]), int(comp[j])))
         return forest.table()
 
-    return rows.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "ci", "ki").applyInArrow(run, "a long, b long").distinct()
+
+
+def _by_rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Crowded rows (rid, n, comp) dealt anew, with ``bucket`` a shingle: each row to its rarest ones, of which similar sets share one.
+
+    Of n shingles, n - ceil(n * percent / 100) + 1 are the rarest, by count among the crowd and then by hash, an order for all.
+    """
+    each = crowd.join(sets.select("rid", "shingles"), "rid").select("rid", "n", "comp", F.explode("shingles").alias("bucket"))
+    each = scratch(each, "crowd")
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    ranked = each.join(counts, "bucket").groupBy("rid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("m", "bucket"))).alias("s"))
+    some = ranked.select("rid", "n", "comp", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("x"))
+    return some.filter(F.col("x.m") > 1).select("x.bucket", "rid", "n", "comp")
 
 
 def _links_in_clusters(rows: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Forest of the confirmed links in each cluster (cluster, rid, n, comp), from comparing rows outside its largest component with all of its rows."""
     sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     sizes = sizes.groupBy("cluster").agg(F.max_by(F.struct("comp", "s"), F.struct("m", "comp")).alias("big"), F.sum("s").alias("s"))
-    parts = lambda x: F.greatest(F.ceil(x / TASK_SHINGLES), F.lit(1)).cast("int")
-    sizes = sizes.select("cluster", F.col("big.comp").alias("big"), parts(F.col("s")).alias("c"), parts(F.col("s") - F.col("big.s")).alias("k"))
-    rows = rows.join(scratch(sizes, "clusters"), "cluster")
-    mark = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
-    every = rows.select("cluster", "rid", "comp", mark(F.col("c")).alias("ci"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ki"), F.lit(False).alias("probe"))
-    probes = rows.filter(F.col("comp") != F.col("big"))
-    probes = probes.select("cluster", "rid", "comp", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("ci"), mark(F.col("k")).alias("ki"), F.lit(True).alias("probe"))
-    tasks = every.unionByName(probes).join(sets, "rid").join(sigs, "rid")
+    sizes = sizes.select("cluster", F.col("big.comp").alias("top"), _parts(F.col("s"), TASK_SHINGLES).alias("c"), _parts(F.col("s") - F.col("big.s"), TASK_SHINGLES).alias("k"))
+    tasks = _blocks(rows.join(scratch(sizes, "clusters"), "cluster"), "cluster").join(sets.select("rid", "shingles"), "rid").join(sigs.select("rid", "sig"), "rid")
 
     def run(group: pa.Table) -> pa.Table:
         probe = group["probe"].to_numpy()
@@ -322,8 +403,8 @@ def _links_in_clusters(rows: DataFrame, sets: DataFrame, sigs: DataFrame, percen
 class _Linking:
     """Confirms candidate pairs on full sets and keeps the components of what was confirmed."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int, reps: DataFrame, sigs: DataFrame) -> None:
-        self.source, self.reps, self.sigs, self.percent = (docs, key, text, width), reps, sigs, percent
+    def __init__(self, docs: DataFrame, own: str, text: str, width: int, percent: int, reps: DataFrame, sigs: DataFrame) -> None:
+        self.source, self.reps, self.sigs, self.percent = (docs, own, text, width), reps, sigs, percent
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
 
@@ -333,8 +414,7 @@ class _Linking:
             wanted = wanted.join(self.sets.select("rid"), "rid", "left_anti")
         wanted = scratch(wanted, "wanted")
         if self.sets is None or not wanted.isEmpty():
-            docs, key, text, width = self.source
-            more = scratch(_sets(docs, key, text, width, self.reps, wanted), "sets")
+            more = scratch(_sets(*self.source, self.reps, wanted), "sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def add(self, links: DataFrame) -> None:
@@ -352,8 +432,25 @@ class _Linking:
         self.fetch(likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct())
         self.add(scratch(_confirmed(likely, self.sets, self.percent), "links"))
 
-    def rest(self, open_: DataFrame, buckets: DataFrame) -> None:
-        """All pairs of the buckets that are not in one component."""
+    def rest(self, open_: DataFrame) -> None:
+        """All pairs of the buckets (bucket, rid, n, comp) that are not in one component."""
+        open_, buckets = self.unsettled(open_)
+        many = buckets.filter(F.col("others") > CROWD)
+        if not many.isEmpty():
+            crowd = scratch(open_.join(many.select("bucket"), "bucket", "left_semi").select("rid", "n", "comp").distinct(), "crowd_rows")
+            self.fetch(crowd.select("rid"))
+            dealt = scratch(_by_rare_shingles(crowd, self.sets, self.percent), "dealt")
+            self.compare(*self.unsettled(dealt))
+        self.compare(open_, buckets.filter(F.col("others") <= CROWD))
+
+    def unsettled(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows under their present components, and the buckets with more than one: its largest one, and how many rows lie outside."""
+        open_ = scratch(self.relabelled(open_), "open")
+        sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+        buckets = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+        return open_, scratch(buckets.filter(F.col("comps") > 1).withColumn("others", F.col("all") - F.col("most")), "unsettled")
+
+    def compare(self, open_: DataFrame, buckets: DataFrame) -> None:
         forest = scratch(_look_alikes(open_, buckets, self.sigs, self.percent), "forest")
         if forest.isEmpty():
             return
@@ -367,6 +464,28 @@ class _Linking:
         return df if self.labels is None else _relabel(df, self.labels, "comp")
 
 
+def _grouped(docs: DataFrame, own: str, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """own, k, n, and ``least`` (no key last, key, row id) of the row's component, null for a component of one."""
+    rows = _described(docs, own, key, text, width, percent)
+    nodes = _classes(rows)
+    reps = nodes.filter((F.col("rid") == F.col("node")) & (F.col("n") > 0))
+    banded = rows.filter(F.size("bands") > 0).join(reps.select("rid"), "rid", "left_semi")
+    buckets = banded.select("rid", "n", F.explode("bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("bucket")
+    members = scratch(buckets.join(scratch(full, "full"), "bucket"), "members")
+    sigs = scratch(banded.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "n", "sig"), "signatures")
+    step = _Linking(docs, own, text, width, percent, reps, sigs)
+    open_ = members.select("bucket", "rid", "n", F.col("rid").alias("comp"))
+    centres = open_.groupBy("bucket").agg(F.min_by(F.struct("rid", "n"), "rid").alias("c"))
+    step.stars(_stars(open_, scratch(centres.select("bucket", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"), F.col("c.rid").alias("cc")), "centres"), percent))
+    step.rest(open_)
+    step.add(scratch(_one_apart(rows, nodes, percent), "links"))
+    out = nodes.withColumnRenamed("node", "comp")
+    out = scratch(_relabel(out, step.labels, "comp") if step.labels is not None else out, "labelled")
+    shared = out.groupBy("comp").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "own")).alias("least"), F.count(F.lit(1)).alias("m"))
+    return out.join(scratch(shared.filter(F.col("m") > 1).drop("m"), "groups"), "comp", "left").select("own", "k", "n", "least")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components of the documents linked by similar shingle sets.
 
@@ -376,46 +495,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Words are runs of characters other than ASCII white space, with A-Z in
     lower case. Null and empty texts have no shingle and link with nothing. A
     null key is no component's id unless all its keys are null. Rows that
-    repeat a key are nodes of their own. Other columns are ignored. An empty
-    table gives an empty result.
+    repeat a key are nodes of their own; all those that repeat the component's
+    key are ``kept`` here, while ``drop_near`` keeps one row. Other columns are
+    ignored. An empty table gives an empty result.
     """
-    rows = _described(docs, key, text, width)
-    nodes = _classes(rows)
-    reps = nodes.filter((F.col("rid") == F.col("node")) & (F.col("n") > 0))
-    sigs = rows.join(reps.select("rid"), "rid", "left_semi")
-    buckets = sigs.select("rid", "n", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("bucket")
-    members = scratch(buckets.join(scratch(full, "full"), "bucket"), "members").withColumn("comp", F.col("rid"))
-    sigs = scratch(sigs.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "sig"), "signatures")
-    step = _Linking(docs, key, text, width, percent, reps, sigs)
-    open_ = members.withColumn("used", F.lit(False))
-    chosen = scratch(open_.groupBy("bucket").agg(F.min_by(F.struct("rid", "n"), "rid").alias("c")).select("bucket", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"), F.col("c.rid").alias("cc")), "centres")
-    while True:
-        step.stars(_stars(open_, chosen, percent))
-        used = open_.join(chosen.select("bucket", F.col("c").alias("rid"), F.lit(True).alias("now")), ["bucket", "rid"], "left")
-        now = F.col("used") | F.coalesce("now", F.lit(False))
-        open_ = scratch(step.relabelled(used.select("bucket", "rid", "n", F.col("rid").alias("comp"), now.alias("used"))), "open")
-        sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("used"), 1)).alias("left"))
-        buckets = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("left").alias("left"))
-        # one member left without a turn has met all others
-        buckets = scratch(buckets.filter((F.col("comps") > 1) & (F.col("left") > 1)).withColumn("others", F.col("all") - F.col("most")), "unsettled")
-        few = buckets.filter(F.col("others") <= TASK_MEMBERS).select("bucket", "top", "most")
-        step.rest(open_, few)
-        many = buckets.filter(F.col("others") > TASK_MEMBERS).select("bucket")
-        if many.isEmpty():
-            break
-        open_ = open_.join(many, "bucket", "left_semi")
-        rank = Window.partitionBy("bucket").orderBy("m", "comp", "rid")
-        ranked = open_.filter(~F.col("used")).join(sizes.select("bucket", "comp", "m"), ["bucket", "comp"])
-        chosen = ranked.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= CENTRES)
-        chosen = scratch(chosen.select("bucket", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
-    labels = step.labels
-    out = nodes.withColumnRenamed("node", "comp")
-    out = scratch(_relabel(out, labels, "comp") if labels is not None else out, "labelled")
-    shared = out.groupBy("comp").agg(F.min("k").alias("component_id"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    out = out.join(scratch(shared.drop("m"), "groups").withColumn("multi", F.lit(True)), "comp", "left")
-    own = F.when(F.col("multi"), F.col("component_id")).otherwise(F.col("k"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("k").eqNullSafe(own).alias("kept"))
+    rows, own = identified(docs)
+    out = _grouped(rows, own, key, text, width, percent)
+    least = F.when(F.col("least").isNull(), F.col("k")).otherwise(F.col("least.k"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("k").eqNullSafe(least).alias("kept"))
 
 
 def _relabel(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -431,8 +518,8 @@ def _merge(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return _relabel(labels, merged, "label").unionByName(fresh)
 
 
-def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each group of near duplicates, with their own columns."""
-    gone = near_groups(docs, key, text, **options).filter(~F.col("kept")).select(F.col(key).alias("__gone"))
-    return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
-
+def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with its own columns: that with the least key, any one of them if rows repeat it. Rows go by row, not by key."""
+    rows, own = identified(docs)
+    out = _grouped(rows, own, key, text, width, percent)
+    return without(rows, own, out.filter(F.col("least").isNotNull() & (F.col("least.own") != F.col("own"))).select("own"))
