@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from umbraline.llm import langid
@@ -22,9 +24,39 @@ def test_parse_against_substring_search():
     texts = ["the garden", "das haus der", "zebra the", "the house in the green garden by the river", "x"]
     got = model.phrases(texts)
     for i, t in enumerate(texts):
-        for k, lang in enumerate(model.langs):
-            # a character that no reference holds ends one phrase and starts the next, so it may count once more than in the search
-            assert abs(got[i, k] - phrases(langid.letters(t), samples[lang])) <= sum(c not in samples[lang] for c in langid.letters(t)) + 1
+        assert got[i].tolist() == [phrases(langid.letters(t), samples[x]) for x in model.langs]
+
+
+def test_long_texts_against_substring_search(monkeypatch):
+    """Phrases reach over blocks; texts that repeat themselves never meet the walk from a block's start."""
+    r = random.Random(2)
+    words = "the house in a green garden by river und das haus am fluss q ".split(" ")
+    samples = {"a": b" the house in the green garden by the river aaaa", "b": b" der garten am fluss und das haus abab", "c": b"zz"}
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (5, 40, 300)] + ["a" * 700, "ab" * 333, "the house " * 60, "z", ""]
+    for block in (1, 7, 16, 64, 1024):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        model = langid.Model(samples)
+        got = model.phrases(texts)
+        for i, t in enumerate(texts):
+            assert got[i].tolist() == [phrases(langid.letters(t), samples[x]) for x in model.langs]
+
+
+def test_bounded_model(monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1 << 20)
+    r = random.Random(3)
+    model = langid.Model({f"l{i}": "".join(r.choice("abcdefgh ") for _ in range(9000)).encode() for i in range(10)})
+    assert sum(t.nbytes for t in model.tables) <= 1 << 20
+
+
+def test_repeated_and_null_keys(spark):
+    """Rows are no keys: each counts, with null texts, null languages and rows that repeat."""
+    en, de = "the house in the green garden by the river ", "der garten am fluss und das haus im gruenen "
+    rows = [(None, en * 3, "en"), (None, de * 3, "de"), (None, None, "en"), (1, de * 2, "de"), (1, None, "de"), (1, en * 2, None), (1, "12", "fr")] + [(2, en, "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, rows=4)
+    assert model.langs == ["de", "en"]
+    got = langid.identify(df, model, keep=["lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got if r.lang and r.n_letters > 20)
 
 
 def test_held_out_accuracy(spark, small):

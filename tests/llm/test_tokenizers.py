@@ -46,7 +46,7 @@ def test_token_counts_of_odd_tables(odd, empty, model):
 
 
 def test_lossless(spark, odd, empty):
-    coded = pieces.decode(pieces.encode(odd, PATH, keep=["lang"]), PATH).collect()
+    coded = pieces.decode(pieces.encode(odd, PATH, keep=["lang", "text"]), PATH).collect()
     assert len(coded) == odd.count()
     assert all(r.decoded == r.text and r.lossless for r in coded)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
@@ -62,6 +62,24 @@ def test_reproducible_and_seeded(spark, small):
     assert a != key(pieces.round_trip(docs, PATH, seed=12))
 
 
+def test_draws_do_not_depend_on_slices(spark, small):
+    """The same ids, however rows share a slice, and where a text's pre-tokens stand in its lattices."""
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()][:120] + ODD
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(77)
+    sampler = pieces.Sampler(pieces.load(PATH))
+    with np.errstate(over="ignore"):
+        whole = sampler.segment(texts, keys)
+        alone = [sampler.segment([t], keys[i : i + 1])[0] for i, t in enumerate(texts)]
+        turned = sampler.segment(texts[::-1], keys[::-1])[::-1]
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(whole, alone, turned, strict=True))
+
+
+def test_size_of_slices(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    a, b = (sorted((r.doc_id, r.ids) for r in pieces.encode(docs, PATH, size=n).collect()) for n in (10_000, 1 << 20))
+    assert a == b
+
+
 def test_samples_follow_the_weights():
     v = pieces.load(PATH)
     n = 40_000

@@ -7,13 +7,19 @@ wins. Its cost over that of the language's own letters in random order tells
 text from gibberish.
 
 The automata become dense transition tables over byte classes, in which a
-missing transition starts the next phrase. Many documents then advance in step,
-one byte each, with one table lookup per language.
-
-Scale: labelled text is a bounded sample (``TRAIN_ROWS`` rows and ``TRAIN_BYTES``
-bytes of each language, the rows with the lowest hashes of their keys), so the
-tables' size depends on the number of languages only. The rows are chosen by key alone and
-only then fetched. Prediction is one map-only pass over whole texts.
+missing transition starts the next phrase. Texts are cut into blocks, which
+advance in step, one byte each, with one table lookup per language. A block
+begins as if a phrase did; then those into which a phrase reaches are walked
+again from the state in which it does, until both walks meet, which gives the
+phrases of the whole text.
+
+Scale: labelled text is a bounded sample (of ``LANGUAGES`` languages at most,
+``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes of each, the rows with the lowest
+hashes of key and text), and all tables together have ``MODEL_BYTES`` at most,
+for which a language's share of bytes falls when there are many. A counted bound
+on the hash leaves few candidates of each language, of which equal rows are one,
+so no language's rows meet in a task. Prediction is one map-only pass over whole
+texts.
 """
 
 from __future__ import annotations
@@ -27,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, release, slices
 
 #: Bounds of the labelled sample, for each language.
 TRAIN_ROWS = 96
 TRAIN_BYTES = 24_000
-#: Bytes that one of the sample's rows adds at most, so that a few long rows do not make up all of it.
-ROW_BYTES = 1_000
-#: A document is parsed in blocks of so many bytes; a phrase ends with its block.
+#: Characters that one of the sample's rows adds at most, from a hashed place in its text; less with more rows, so that all of them count.
+ROW_CHARS = 1_000
+#: Languages that are learned at most, those with the most labelled rows.
+LANGUAGES = 256
+#: All transition tables together.
+MODEL_BYTES = 64 << 20
+#: Bytes of the blocks that advance in step.
 BLOCK = 1_024
 #: Text that advances in step at once, unless one text alone is longer.
 SLICE_BYTES = 4 << 20
@@ -50,8 +60,9 @@ def letters(text: str) -> bytes:
 def automaton(data: bytes, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """Dense table of the suffix automaton of ``data``.
 
-    Entry [state, class] holds (next state * n_classes) << 1, plus 1 if the
-    match could not go on and a new phrase began there.
+    Entry [state, class] holds (next state * n_classes) << 2, plus the number of
+    phrases that end there: the one so far, if the match cannot go on, and the
+    byte itself, if it does not occur in ``data``.
     """
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -80,13 +91,14 @@ def automaton(data: bytes, classes: np.ndarray, n_classes: int) -> np.ndarray:
                     p = link[p]
         last = cur
     table = np.empty((len(nexts), n_classes), dtype=np.int32)
-    root = np.zeros(n_classes, dtype=np.int32)
+    root = np.full(n_classes, 2, dtype=np.int32)
     for c, to in nexts[0].items():
-        root[c] = to * n_classes << 1
-    table[:] = root | 1
+        root[c] = (to * n_classes << 2) + 1
+    table[:] = root
+    table[0] -= 1
     for state, moves in enumerate(nexts):
         if moves:
-            table[state, list(moves)] = np.fromiter(moves.values(), dtype=np.int64, count=len(moves)) * n_classes << 1
+            table[state, list(moves)] = np.fromiter(moves.values(), dtype=np.int64, count=len(moves)) * n_classes << 2
     return table.ravel()
 
 
@@ -99,6 +111,8 @@ class Model:
         self.classes = np.full(256, len(used), dtype=np.int32)  # a byte not seen in training ends each phrase
         self.classes[used] = np.arange(len(used))
         self.n_classes = len(used) + 1
+        most = max(1, MODEL_BYTES // (8 * self.n_classes * max(1, len(samples))))  # two states a byte at most, of 4 bytes a class
+        samples = {x: s[:most] for x, s in samples.items()}
         self.tables = [automaton(samples[x], self.classes, self.n_classes) for x in self.langs]
         self.bits = np.array([np.log2(len(samples[x]) + 2) for x in self.langs])
         self.sizes = {x: len(samples[x]) for x in self.langs}
@@ -133,10 +147,16 @@ class Model:
             now = codes[start[:n] + i]
             for k, table in enumerate(self.tables):
                 got = table.take(states[k, :n] + now)
-                ended[k, :n] += got & 1
-                states[k, :n] = got >> 1
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, ended[k] + 1, minlength=len(texts)).astype(np.int64)
+                ended[k, :n] += got & 3
+                states[k, :n] = got >> 2
+        place = np.empty(len(order), dtype=np.int64)  # of each block in the order above
+        place[order] = np.arange(len(order))
+        before = np.where(nth[order] > 0, place[order - 1], -1)
+        after = np.full(len(order), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        for k, table in enumerate(self.tables):
+            _carry(table, codes, start, size, before, after, states[k], ended[k])
+            out[:, k] = np.bincount(owner, ended[k] + ((after < 0) & (states[k] != 0)), minlength=len(texts)).astype(np.int64)
         return out, sizes
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -163,6 +183,43 @@ class Model:
         return [self.langs[i] for i in best], np.clip(score, 0, 1), disorder, sizes
 
 
+def _carry(table: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray, states: np.ndarray, ended: np.ndarray) -> None:
+    """Last states and phrases of blocks that were walked from the first state, made those of a walk that goes on from the block before."""
+    entry = np.zeros_like(states)
+    at = np.flatnonzero(before >= 0)
+    entry[at] = states[before[at]]
+    at = at[entry[at] != 0]
+    ours, theirs, i = entry[at], np.zeros(len(at), dtype=np.int32), 0
+    changed: list[int] = []
+    while len(at):
+        now = codes[start[at] + i]
+        a, b = table.take(ours + now), table.take(theirs + now)
+        ended[at] += (a & 3) - (b & 3)
+        ours, theirs, i = a >> 2, b >> 2, i + 1
+        over = size[at] == i
+        if over.any():
+            states[at[over]] = ours[over]
+            changed += at[over & (ours != theirs)].tolist()
+        on = ~over & (ours != theirs)
+        at, ours, theirs = at[on], ours[on], theirs[on]
+    # blocks whose two walks did not meet, as in a text that repeats itself, hand another state on; one after the other
+    for block in sorted((int(after[x]) for x in changed if after[x] >= 0), key=lambda x: int(start[x])):
+        while block >= 0 and entry[block] != states[before[block]]:
+            a, b = int(states[before[block]]), int(entry[block])
+            entry[block] = a
+            for c in codes[start[block] : start[block] + size[block]].tolist():
+                x, y = int(table[a + c]), int(table[b + c])
+                ended[block] += (x & 3) - (y & 3)
+                a, b = x >> 2, y >> 2
+                if a == b:
+                    break
+            else:
+                states[block] = a
+                block = int(after[block])
+                continue
+            break
+
+
 def _shuffled(sample: bytes) -> str:
     chars = list(sample.decode("utf-8", "ignore"))
     random.Random(7).shuffle(chars)
@@ -170,18 +227,25 @@ def _shuffled(sample: bytes) -> str:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model | None:
-    """A model of the labelled rows' bounded sample; none if there is no labelled letter."""
-    rank = F.xxhash64(F.col(key), F.lit(7))
-    named = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(lang).alias("l"), rank.alias("r"))
-    # in two steps, as one language may hold most rows: first within (language, part), then among what is left
-    part = Window.partitionBy("l", "part").orderBy("r", "k")
-    few = named.withColumn("part", F.pmod("r", F.lit(256))).withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= rows)
-    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("r", "k"))).filter(F.col("nth") <= rows)
-    chosen = few.select("k", "nth").distinct()  # at most ``rows`` for each language
-    got = labelled.join(F.broadcast(chosen), labelled[key].eqNullSafe(chosen["k"]))
-    got = got.select(F.col(lang).alias("l"), "nth", F.substring(F.col(text), 1, ROW_BYTES).alias("t")).filter(F.col("l").isNotNull())
+    """A model of the labelled rows' bounded sample; none if there is no labelled letter.
+
+    Rows are told apart by key and text, so that null and repeated keys are
+    rows like others, and rows equal in both count once.
+    """
+    named = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("r"))
+    counts = named.groupBy("l").agg(F.approx_count_distinct("r", 0.02).alias("n"))
+    top = [(r["l"], r["n"]) for r in counts.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
+    if not top:
+        return None
+    # of the hashes of a language's n rows, about four times as many lie below the bound as are wanted; all of them if there are few
+    bound = lambda n: (1 << 63) - 1 if n <= 4 * rows else (4 * rows << 64) // n - (1 << 63)
+    bounds = labelled.sparkSession.createDataFrame([(x, bound(n), max(1, min(ROW_CHARS, -(-size // min(n, rows))))) for x, n in top], f"x {labelled.schema[lang].dataType.simpleString()}, most long, chars int")
+    some = named.join(F.broadcast(bounds), (F.col("l") == F.col("x")) & (F.col("r") <= F.col("most")))
+    first = F.pmod("r", F.greatest(F.length("t") - F.col("chars") + 1, F.lit(1))).cast("int") + 1
+    some = some.groupBy("l", "r").agg(F.min(F.substring(F.col("t"), first, F.col("chars"))).alias("t"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("r"))).filter(F.col("nth") <= rows)
     samples: dict[str, bytes] = {}
-    for r in sorted(got.collect(), key=lambda r: (r["l"], r["nth"], r["t"])):
+    for r in sorted(some.collect(), key=lambda r: (r["l"], r["nth"])):
         have = samples.get(r["l"], b"")
         samples[r["l"]] = have + b" " + letters(r["t"])[: max(0, size - len(have))]
     samples = {k: v for k, v in samples.items() if v.strip()}
@@ -213,6 +277,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                 for i, x in zip(at, found, strict=True):
                     langs[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(score), pa.array(disorder), pa.array(size)], [*list(kept)[:last], *added])
+        release()
 
     out = rows.mapInArrow(run, schema.replace(f", c{last} {rows.schema[f'c{last}'].dataType.simpleString()}", "") + ", lang_pred string, score double, disorder double, n_letters long")
     names = list(kept.items())[:last]

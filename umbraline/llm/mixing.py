@@ -8,12 +8,14 @@ and cut into blocks of equal size, the last one at the source's target.
 
 Golden-ratio points miss a source's exact block count by a few slots; those
 slots go, in order, to the sources that came out short, so each block of each
-source has one slot.
+source has one slot. What the mix takes of a document is what its blocks with a
+slot hold of it; a document's place in the mix is its first slot.
 
 Scale: positions in the stream and ranks are prefix sums in two levels (sums of
 parts, then windows inside a part), as one source may hold most documents.
-Parts are runs of a hash of the key, so no group grows with a source. Only sums
-for each source, each part and each 65,536 slots meet in one window.
+Parts are runs of a hash of key and text, so no group grows with a source, nor
+with a repeated key. Only sums for each source, each part and each 65,536 slots
+meet in one window; the number of sources must suit one task.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, words
+from .common import identified, scratch, words
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 512
@@ -35,13 +37,13 @@ CELLS = 4_096
 PART_ROWS = 4_096
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Narrow table of the rows: rid, key, source, words, and the order of the stream."""
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+def sized(docs: DataFrame, own: str, key: str, text: str, source: str) -> DataFrame:
+    """Narrow table of the rows: rid, own, key, source, words, and the order of the stream."""
+    name, body = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, text))
     return scratch(
         docs.select(
-            F.monotonically_increasing_id().alias("rid"), F.col(key).alias("k"), F.col(source).alias("src"),
-            F.size(words(F.col(text))).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{SEED}-"), name)).alias("ord"),
+            F.monotonically_increasing_id().alias("rid"), F.col(own).alias("own"), F.col(key).alias("k"), F.col(source).alias("src"),
+            F.size(words(F.col(text))).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{SEED}-"), name, F.lit("-"), F.md5(body))).alias("ord"),
         ),
         "sized",
     )
@@ -93,9 +95,9 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     turns = turns.withColumn("a", F.col("epoch") * F.col("s_size") + F.col("lo"))
     turns = turns.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("take"))).filter(F.col("a") < F.col("z"))
     first, last = F.floor(F.col("a") / block).cast("long"), F.floor((F.col("z") - 1) / block).cast("long")
-    out = turns.select("rid", "sid", "a", "z", F.explode(F.sequence(first, last)).alias("rank"))
+    out = turns.select("rid", "sid", "epoch", "a", "z", F.explode(F.sequence(first, last)).alias("rank"))
     start = F.greatest("a", F.col("rank") * block)
-    return out.select("rid", "sid", "rank", (start - F.col("a")).alias("from_word"), (F.least("z", (F.col("rank") + 1) * block) - start).alias("n"))
+    return out.select("rid", "sid", "epoch", "rank", (start - F.col("a")).alias("from_word"), (F.least("z", (F.col("rank") + 1) * block) - start).alias("n"))
 
 
 def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -131,26 +133,38 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> Dat
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The mix's parts and the rows with their sources.
 
-    Parts: ``slot`` (order of the mix), rid, ``from_word`` and ``n`` words of the
-    row's text. Rows: rid, k, src, size, s_size, target, take, lo.
+    Parts: ``slot`` (order of the mix), rid, ``epoch`` (0, or 1 for a repeat),
+    ``from_word`` and ``n`` words of the row's text. Rows: rid, k, src, size,
+    s_size, target, take, lo.
 
     A null source is a source of its own, numbered last. Null texts and texts
     without words have size 0 and no part. Rows that repeat a key count each
-    for itself. Other columns are ignored. Empty tables give empty results.
+    for itself; rows that are equal in key and text are interchangeable. Other
+    columns are ignored. Empty tables give empty results.
     """
-    rows = sized(docs, key, text, source)
+    return _mix(*identified(docs), key, text, source, weights, block)
+
+
+def _mix(docs: DataFrame, own: str, key: str, text: str, source: str, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    rows = sized(docs, own, key, text, source)
     sources = scratch(targets(rows, weights), "sources")
     placed = scratch(stream(rows, sources), "placed")
     parts = pieces(placed, block).join(schedule(docs.sparkSession, sources, block), ["sid", "rank"])
-    return parts.select("slot", "rid", "from_word", "n"), placed
+    return parts.select("slot", "rid", "epoch", "from_word", "n"), placed
 
 
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Words that the mix takes of each row, repeats counted."""
+    """Words that the mix takes of each row, repeats counted, the first of its slots, and the number of slots with a part of it.
+
+    A row of which nothing is taken has a null ``first_slot`` and no slots.
+    """
     parts, rows = mix(docs, key, text, source, **options)
-    sums = parts.groupBy("rid").agg(F.sum("n").alias("n"))
+    sums = parts.groupBy("rid").agg(F.sum("n").alias("n"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     out = rows.join(sums, "rid", "left")
-    return out.select(F.col("k").alias(key), "size", F.col("s_size").alias("source_size"), "target", F.coalesce("n", F.lit(0)).alias("taken"))
+    return out.select(
+        F.col("k").alias(key), "size", F.col("s_size").alias("source_size"), "target", F.coalesce("n", F.lit(0)).alias("taken"), "first_slot",
+        F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+    )
 
 
 def copies(size: Column, n: Column) -> Column:
@@ -159,7 +173,17 @@ def copies(size: Column, n: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents that the mix takes, as whole rows, twice where it takes them twice. Keys must be unique."""
-    n = taken(docs, key, text, source).select(F.col(key).alias("__k"), copies(F.col("size"), F.col("taken")).alias("__n")).filter(F.col("__n") > 0)
-    out = docs.join(n, docs[key].eqNullSafe(n["__k"]))
-    return out.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the mix takes, as whole rows in the order of the schedule, twice where it takes them twice.
+
+    A copy stands where the mix first takes the document, the second one where
+    it takes it again. Rows go by row, not by key: of rows that repeat a key,
+    or are equal, each is taken for itself.
+    """
+    rows, own = identified(docs)
+    parts, placed = _mix(rows, own, key, text, source)
+    turns = parts.groupBy("rid", "epoch").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"))
+    turns = turns.groupBy("rid").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("slot")).alias("slots"))  # two at most
+    chosen = placed.join(turns, "rid").select("own", F.slice("slots", F.lit(1), copies(F.col("size"), F.col("n"))).alias("slots")).filter(F.size("slots") > 0)
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(own).alias("at"))
+    out = whole.join(chosen, F.col("at") == F.col("own")).select("row", F.explode("slots").alias("slot"))
+    return out.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")

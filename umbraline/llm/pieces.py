@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices
 
 MARK = "▁"
 ALPHA = 1.5
@@ -39,6 +39,8 @@ SHIFT = 2.7
 SEED = 11
 #: Text that is segmented at once, unless one text alone is longer.
 SLICE_BYTES = 1_500_000
+#: Bits of the probabilities.
+BITS = 36
 _SPLIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -86,10 +88,11 @@ class Lattices:
 
     Nodes are the places between characters, numbered through all pre-tokens;
     ``end`` and ``root`` hold each pre-token's last and first node. Edges are in
-    order of the node they end at; ``key`` is that node plus the summed
-    probability of the edges before, ``back`` where the edge starts, ``piece``
-    its id, or the vocabulary's size plus the code point of a character without
-    a piece.
+    order of the node they end at; ``key`` is that node and, in ``BITS`` bits
+    below, the summed probability of the edges before, ``back`` where the edge
+    starts, ``piece`` its id, or the vocabulary's size plus the code point of a
+    character without a piece. Probabilities are whole numbers, so that sums
+    do not depend on what else the slice holds.
     """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]) -> None:
@@ -129,7 +132,7 @@ class Lattices:
         start, stop, piece, weight = map(np.concatenate, (starts, stops, ids, weights))
         order = np.argsort(stop, kind="stable")
         start, stop, piece, weight = start[order], stop[order], piece[order], weight[order]
-        self.key, self.back, self.piece = stop + self._filter(start, stop, weight, n), start, piece
+        self.key, self.back, self.piece = (stop << BITS) + self._filter(start, stop, weight, n), start, piece
 
     def _filter(self, start: np.ndarray, stop: np.ndarray, weight: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Forward filter; returns, for each edge, the summed probability of the edges before it at its end."""
@@ -148,10 +151,11 @@ class Lattices:
             z_ = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, size)), first))
             total[to[first]] = z_
             value[e] = np.exp(w - np.repeat(z_, size))
+        value = np.rint(value * (1 << BITS)).astype(np.int64)
         before = np.cumsum(value) - value
         first = np.flatnonzero(np.concatenate([[True], stop[1:] != stop[:-1]]))
         before -= np.repeat(before[first], np.diff(np.append(first, len(stop))))
-        return np.clip(before, 0, 1 - 1e-9)
+        return np.minimum(before, (1 << BITS) - 1)
 
 
 class Sampler:
@@ -179,8 +183,8 @@ class Sampler:
         length = np.zeros(len(code), dtype=np.int64)
         while len(live):
             state = state + np.uint64(0x9E3779B97F4A7C15)
-            u = (_mix(state) >> np.uint64(34)).astype(np.float64) / (1 << 30)
-            edge = np.searchsorted(lattices.key, node + u, side="right") - 1
+            u = (_mix(state) >> np.uint64(64 - BITS)).astype(np.int64)
+            edge = np.searchsorted(lattices.key, (node << BITS) + u, side="right") - 1
             steps.append((live, lattices.piece[edge]))
             length[live] += 1
             node = lattices.back[edge]
@@ -228,22 +232,24 @@ def load(path: str, alpha: float = ALPHA) -> Vocabulary:
     return _LOADED[path, alpha]
 
 
-def _coded(docs: DataFrame, path: str, key: str, text: str, alpha: float, seed: int, keep: Sequence[str], fields: str, emit) -> DataFrame:
-    """Key, text, the columns to keep, and what ``emit`` makes of the vocabulary, texts and ids of a slice of rows."""
-    kept = {f"c{i}": c for i, c in enumerate([key, text, *keep])}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()])
+def _coded(docs: DataFrame, path: str, key: str, text: str, alpha: float, seed: int, keep: Sequence[str], fields: str, emit, size: int) -> DataFrame:
+    """Key, the columns to keep, and what ``emit`` makes of the vocabulary, texts and ids of a slice of rows."""
+    kept = {f"c{i}": c for i, c in enumerate([key, *keep])}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()], F.col(f"`{text}`").cast("string").alias("t"))
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
     rows = rows.withColumn("h", F.xxhash64("c0"))
     names = [f.split()[0] for f in fields.split(", ")]
+    at = len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path, alpha)
         sampler = Sampler(vocabulary, seed)
-        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
-            texts, hashes = batch.column(1).to_pylist(), np.asarray(batch.column(len(kept))).astype(np.int64).view(np.uint64)
+        for batch in (part for whole in batches for part in slices(whole, at, size)):
+            texts, hashes = batch.column(at).to_pylist(), np.asarray(batch.column(at + 1)).astype(np.int64).view(np.uint64)
             with np.errstate(over="ignore"):
                 ids = sampler.segment([t or "" for t in texts], hashes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *emit(vocabulary, texts, ids)], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *emit(vocabulary, texts, ids)], [*kept, *names])
+        release()
 
     out = rows.mapInArrow(run, f"{schema}, {fields}")
     return out.select(*[F.col(n).alias(c) for n, c in kept.items()], *names)
@@ -258,14 +264,14 @@ def _lists(texts: list[str | None], ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in texts]))
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """Key, text, the columns to keep, ``ids`` (piece ids of a sampled segmentation) and ``lossless`` (they decode to the text).
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED, keep: Sequence[str] = (), size: int = SLICE_BYTES) -> DataFrame:
+    """Key, the columns to keep, ``ids`` (piece ids of a sampled segmentation) and ``lossless`` (they decode to the text).
 
     Equal keys and texts get equal segmentations, in every run. A null text has
     null ids, an empty one none. A null key counts as one more key. Other
     columns are left out, whatever their names.
     """
-    return _coded(docs, path, key, text, alpha, seed, keep, "ids array<int>, lossless boolean", lambda v, t, x: [_lists(t, x), _same(v, t, x)])
+    return _coded(docs, path, key, text, alpha, seed, keep, "ids array<int>, lossless boolean", lambda v, t, x: [_lists(t, x), _same(v, t, x)], size)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -295,4 +301,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         n, crc = pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64())
         return [n, crc, _same(vocabulary, texts, ids)]
 
-    return _coded(docs, path, key, text, alpha, seed, (), "n_pieces long, ids_crc32 long, lossless boolean", digest).drop(text)
+    return _coded(docs, path, key, text, alpha, seed, (), "n_pieces long, ids_crc32 long, lossless boolean", digest, SLICE_BYTES)

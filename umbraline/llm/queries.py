@@ -25,13 +25,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.shuffled_shards(docs)
-    text = F.coalesce("text", F.lit(""))
-    return out.select(
-        "doc_id", (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return sharding.digest(sharding.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +68,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+  md5('mix-' || coalesce(doc_id::VARCHAR, '') || '-' || md5(coalesce(text, ''))) AS ord FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS s_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
   row_number() OVER (ORDER BY source NULLS LAST) AS sid, 2 * s_size AS cap FROM s0),
@@ -83,12 +77,26 @@ s2 AS (SELECT *, row_number() OVER o AS pos,
    / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * 2)::DOUBLE) AS level
   FROM s1 WINDOW o AS (ORDER BY cap / w, sid)),
 s3 AS (SELECT min(pos) AS fst, arg_min(level, pos) AS level FROM s2 WHERE cap >= level * w),
-s4 AS (SELECT s2.source, s2.s_size, CASE WHEN s3.fst IS NULL OR pos < s3.fst THEN cap::DOUBLE ELSE s3.level * w END AS target FROM s2, s3),
+s4 AS (SELECT s2.source, s2.sid, s2.s_size, CASE WHEN s3.fst IS NULL OR pos < s3.fst THEN cap::DOUBLE ELSE s3.level * w END AS target FROM s2, s3),
 p AS (SELECT d.*, s4.s_size, s4.target, floor(s4.target)::BIGINT AS take,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
-  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
-SELECT doc_id, size, s_size AS source_size, target,
-  greatest(0, least(size, take - lo)) + greatest(0, least(size, take - s_size - lo)) AS taken FROM p
+  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+r AS (SELECT *, row_number() OVER () AS rid FROM (SELECT p.*, s4.sid FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source)),
+need AS (SELECT sid, ceil(floor(target) / 512)::BIGINT AS need FROM s4 WHERE floor(target) > 0),
+upto AS (SELECT *, (sum(need) OVER (ORDER BY sid))::BIGINT AS hi, (sum(need) OVER ())::BIGINT AS total FROM need),
+cells AS (SELECT sid, need, ceil((hi - need)::DOUBLE * 2147483648 / total) AS p, ceil(hi::DOUBLE * 2147483648 / total) AS q FROM upto),
+slots AS (SELECT slot, ((slot % 2147483648 + 1) * 1327217885) % 2147483648 AS x FROM (SELECT unnest(range((SELECT coalesce(max(hi), 0) FROM upto))) AS slot)),
+ranked AS (SELECT slot, sid, need, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM slots JOIN cells ON x >= p AND x < q),
+over_ AS (SELECT slot, row_number() OVER (ORDER BY slot) AS j FROM ranked WHERE rank >= need),
+got AS (SELECT sid, count(*) AS got FROM ranked GROUP BY sid),
+short AS (SELECT sid, rank, row_number() OVER (ORDER BY sid, rank) AS j
+  FROM (SELECT sid, unnest(range(coalesce(got, 0), need)) AS rank FROM need LEFT JOIN got USING (sid) WHERE coalesce(got, 0) < need)),
+sched AS (SELECT slot, sid, rank FROM ranked WHERE rank < need UNION ALL SELECT slot, sid, rank FROM over_ JOIN short USING (j)),
+turns AS (SELECT rid, sid, e * s_size + lo AS a, least(e * s_size + lo + size, take) AS z FROM r, (VALUES (0), (1)) AS t(e) WHERE size > 0),
+parts AS (SELECT *, unnest(range(a // 512, (z - 1) // 512 + 1)) AS rank FROM turns WHERE a < z),
+sums AS (SELECT rid, min(slot) AS first_slot, count(*) AS n_slots, sum(least(z, (rank + 1) * 512) - greatest(a, rank * 512))::BIGINT AS n
+  FROM parts JOIN sched USING (sid, rank) GROUP BY rid)
+SELECT doc_id, size, s_size AS source_size, target, coalesce(n, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM r LEFT JOIN sums USING (rid)
 """
 
 

@@ -1,13 +1,16 @@
 """Shuffled shards by a two-pass external shuffle.
 
-Pass one scatters rows uniformly into buckets by a seeded hash of their key; a
-bucket is sized to fit in a task's memory. Pass two orders each bucket by a
+Pass one scatters rows uniformly into buckets by a seeded hash of all their
+columns, so that neither a repeated key nor a repeated text makes a large
+bucket; a bucket is sized to fit in a task's memory. Pass two orders each bucket by a
 Fisher-Yates permutation seeded with the bucket's number. The buckets laid end
 to end are one uniform permutation of the table, which is cut into shards of
 equal row counts.
 
-Scale: one shuffle of the rows. Only a count per bucket is summed beyond it:
-the table of first positions has a row for each ``bucket_bytes`` of input.
+Scale: one shuffle of the rows, into as many partitions as there are buckets (up
+to ``PARTITIONS``, whose tasks then take one bucket after the other). Only a
+count per bucket is summed beyond it: the table of first positions has a row for
+each ``bucket_bytes`` of input.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ SHARDS = 40
 SEED = 20_250_101
 BUCKET_BYTES = 32 << 20
 ROW_BYTES = 16
+PARTITIONS = 100_000
 
 
 def shuffled_shards(
@@ -33,11 +37,12 @@ def shuffled_shards(
 
     Law: the shards' row counts differ by one at most. The outcome depends on
     the rows, the seed and the sizes only, not on partitions or task order:
-    a bucket is put in key order (ties by text) before it is permuted.
+    a bucket is put in key order (ties by text and hash) before it is permuted.
 
     Columns named ``shard`` or ``slot`` are replaced; others pass through.
-    Null keys and null texts are rows like others; rows that are equal in key
-    and text are interchangeable. An empty table gives an empty result.
+    Null keys and null texts are rows like others; rows that are equal in all
+    columns are interchangeable, and share a bucket. An empty table gives an
+    empty result.
     """
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     names = [f"c{i}" for i in range(len(columns))]
@@ -45,7 +50,8 @@ def shuffled_shards(
     k, t = names[columns.index(key)], names[columns.index(text)]
     total = rows.agg(F.sum(F.octet_length(F.coalesce(F.col(t).cast("string"), F.lit(""))) + ROW_BYTES)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(k)), F.lit(buckets)).cast("int"))
+    whole = [n for n in names if "map<" not in rows.schema[n].dataType.simpleString()]  # maps have no hash
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), *whole)).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket").count()
     everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("bucket", F.coalesce(F.sum("count").over(everything), F.lit(0)).alias("first"))
@@ -56,7 +62,7 @@ def shuffled_shards(
     )
 
     def permute(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([(k, "ascending"), (t, "ascending")])
+        bucket = bucket.sort_by([(k, "ascending"), (t, "ascending"), ("hash", "ascending")])
         number, first = bucket["bucket"][0].as_py(), bucket["first"][0].as_py()
         # numpy's permutation is a Fisher-Yates shuffle
         order = np.random.Generator(np.random.PCG64([seed, number])).permutation(bucket.num_rows)
@@ -66,10 +72,20 @@ def shuffled_shards(
         bucket = bucket.append_column("shard", pa.array(shard, pa.int32()))
         return bucket.append_column("slot", pa.array(place - bounds[shard], pa.int64()))
 
-    out = rows.join(firsts, "bucket").groupBy("bucket").applyInArrow(permute, schema)
+    dealt = rows.join(F.broadcast(firsts) if buckets <= PARTITIONS else firsts, "bucket").repartition(int(min(buckets, PARTITIONS)), "bucket")
+    out = dealt.groupBy("bucket").applyInArrow(permute, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], "shard", "slot")
 
 
+def digest(sharded: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, ``size`` (UTF-8 bytes and ``ROW_BYTES``), ``text_crc32``, ``law``, shard, slot and ``grown_shard`` (null, as the law is not by key)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return sharded.select(
+        key, (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """Writes the shuffled shards as Parquet folders ``shard=0`` and so on; order within a shard is ``slot``."""
     shuffled_shards(docs, **options).write.partitionBy("shard").parquet(path)
