@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraline.llm import exact_dedup, langid, mixing, near_dedup, pieces
-from umbraline.llm.common import crc_mod, scratch
+from umbraline.llm.common import crc_mod, passing, remove_at_exit, scratch_dir
 from umbraline.llm.queries import TOKENIZER
 
 #: Of crc32(doc_id) mod 4, the remainder whose rows the language model does not learn from.
 HELD_OUT = 2
+#: Text that a task encodes at once; small, as idle workers of the stages before share the executor's memory.
+SLICE_BYTES = 400_000
 #: Language ID rejects texts of so many bytes of letters or more: those whose disorder is so large, gibberish in every language,
 #: and those whose label another language contradicts with such a score.
 MIN_LETTERS = 100
@@ -69,7 +71,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document: doc_id, lang, source, n_pieces, ids, and whether decoding gives the text back."""
-    got = pieces.encode(docs, public_tokenizers.path(TOKENIZER), keep=["lang", "source"])
+    got = pieces.encode(docs, public_tokenizers.path(TOKENIZER), keep=["lang", "source"], size=SLICE_BYTES)
     return got.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", "lossless")
 
 
@@ -80,8 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote on its way goes at its end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with passing(spark):
+            done = stage(spark, docs, sf_dir)
+            path = f"{scratch_dir(spark)}/{name.replace(' ', '_')}"
+            done.write.parquet(path)
+        docs = spark.read.parquet(path)
+        remove_at_exit(spark, path)
     return docs
