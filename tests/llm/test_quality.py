@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from umbraline.llm import quality
@@ -21,6 +23,85 @@ def base(t):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+    return math.sqrt(max(0.0, kl(p) + kl(q)) / 2)
+
+
+def classes(t):
+    solid = "".join(WORD.findall(t or ""))
+    digits, symbols = sum(c in "0123456789" for c in solid), sum(c in quality.SYMBOLS for c in solid)
+    letters = sum(unicodedata.category(c)[0] == "L" for c in solid)
+    return [letters, digits, symbols, len(solid) - letters - digits - symbols]
+
+
+def brute_references(docs):
+    """Each language's common words with their shares of all words, and class shares, from plain counts."""
+    out = {}
+    for lang in sorted({r.lang for r in docs if r.lang is not None}):
+        own = [r for r in docs if r.lang == lang]
+        whole = [r for r in own if len(WORD.findall(r.text or "")) >= quality.MIN_WORDS]
+        if not whole:
+            continue
+        count, bits = Counter(), {}
+        for r in own:
+            bit = 0 if r.text is None else xxhash.xxh64_intdigest(r.text.encode(), 42) % 64
+            for w in WORD.findall(r.text or ""):
+                count[w] += 1
+                bits.setdefault(w, set()).add(bit)
+        usual = sorted((w for w in count if len(bits[w]) >= quality.MIN_TEXTS and any(unicodedata.category(c)[0] == "L" for c in w)), key=lambda w: (-count[w], w.encode()))[: quality.WIDE]
+        total, shape = sum(count.values()), [sum(x) for x in zip(*(classes(r.text) for r in whole))]
+        out[lang] = ([(w, count[w] / total) for w in usual], [x / sum(shape) for x in shape])
+    return out
+
+
+def brute_kept(text, refs):
+    n, _, _, _, repeated = base(text)
+    if n < 50 or 100 * repeated > 50 * n:
+        return False
+    count, shape = Counter(WORD.findall(text)), classes(text)
+    for common, class_shares in refs.values():
+        head, more = common[: quality.COMMON], common[quality.COMMON :]
+        q = [x for _, x in head] + [sum(x for _, x in more)]
+        q.append(max(0.0, 1 - sum(q)))
+        p = [count[w] / n for w, _ in head] + [sum(count[w] for w, _ in more) / n]
+        p.append(max(0.0, 1 - sum(p)))
+        none = [0.0] * (len(q) - 1) + [1.0]
+        bound = min(quality.MAX_WORD_DISTANCE, quality.MAX_OF_ZERO * js(none, q))
+        if js([x / sum(shape) for x in shape], class_shares) <= quality.MAX_CLASS_DISTANCE and js(p, q) <= bound + 1e-12:
+            return True
+    return not refs
+
+
+def test_kept_against_plain_counts(spark, odd, small):
+    for table in (spark.read.parquet(f"{small}/documents.parquet"), odd):
+        rows = table.collect()
+        refs = brute_references(rows)
+        found = quality.references(table)
+        assert [(r["lang"], len(r["words"]) + len(r["more"])) for r in found] == [(x, len(c)) for x, (c, _) in refs.items()]
+        got = sorted((str(r.doc_id), r.n_words, r.kept) for r in quality.quality(table, found).collect())
+        assert got == sorted((str(r.doc_id), len(WORD.findall(r.text or "")), brute_kept(r.text or "", refs)) for r in rows)
+
+
+def test_every_language_is_judged(spark):
+    """A text beyond the word bound of the nearest language, and within both bounds of another one, stays."""
+    one = {"lang": "a", "words": [], "shares": [], "more": [], "more_share": 0.0, "classes": [1.0, 0.0, 0.0, 0.0]}
+    words = [f"w{chr(97 + i)}" for i in range(10)]
+    hashes = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    near = one | {"lang": "b", "words": hashes, "shares": [0.06] * 10, "classes": [0.8, 0.2, 0.0, 0.0]}
+    df = spark.createDataFrame([(1, " ".join(words[:5] + [f"x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]))], "doc_id long, text string")
+    assert not quality.quality(df, [near | {"classes": [1.0, 0.0, 0.0, 0.0]}], max_word=0.2).first().kept
+    assert quality.quality(df, [near, one | {"classes": [0.95, 0.05, 0.0, 0.0]}], max_word=0.2).first().kept
+
+
+def test_cost_of_languages(spark):
+    """One lookup a word: forty references are judged by the same words as one."""
+    refs = [{"lang": f"l{i}", "words": list(range(i * 24, i * 24 + 24)), "shares": [0.01] * 24, "more": [], "more_share": 0.0, "classes": [1.0, 0.0, 0.0, 0.0]} for i in range(40)]
+    df = spark.range(20).selectExpr("id as doc_id", "repeat('some words of a text ', 100) as text")
+    assert quality.quality(df, refs).count() == 20
+
+
 def test_base_counts(odd):
     got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.quality(odd, []).collect())
     assert got == sorted((str(r.doc_id), *base(r.text)) for r in odd.collect())
@@ -34,11 +115,6 @@ def test_windows(spark):
 
 
 def test_distance(spark):
-    def js(p, q):
-        m = [(a + b) / 2 for a, b in zip(p, q)]
-        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
-        return math.sqrt((kl(p) + kl(q)) / 2)
-
     for counts, shares in (([1, 1], [0.5, 0.5]), ([4, 0], [0.0, 1.0]), ([3, 1, 0], [0.2, 0.3, 0.5])):
         got = spark.range(1).select(quality.distance(F.array(*[F.lit(float(c)) for c in counts]), shares)).first()[0]
         assert got == pytest.approx(js([c / sum(counts) for c in counts], shares), abs=1e-6)

@@ -2,7 +2,7 @@
 
 A document's histograms of character classes and of common words are compared
 with those of each language of the corpus by the Jensen-Shannon distance; it is
-kept if it lies close enough to one of them. Short documents, whose histograms
+kept if it lies close enough to one of them, whichever that is. Short documents, whose histograms
 say little, are left to the base rules. A language's ``COMMON`` most frequent
 words have a cell each in the word histogram, its next ones up to ``WIDE`` share
 one, and all other words the last.
@@ -10,8 +10,10 @@ one, and all other words the last.
 Scale: one aggregation over all words with map-side combining gives the
 languages' references, of which the driver gets ``WIDE`` words and the class
 counts of each language. The rules themselves are one map-only pass of built-in
-functions without a shuffle; inside a document, repeated windows are found by
-sorting hashes, in n log n.
+functions without a shuffle; inside a document, repeated windows and counts of
+common words are found by sorting hashes, in n log n. A word is looked up once,
+among all languages' common words; the languages are then compared on the
+document's distinct common words, of which they have ``WIDE`` each.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SYMBOLS = "#*$%&|<>"
 COMMON, WIDE = 24, 512
 #: A common word has a letter, and stands in so many different texts of its language; passages that one text repeats are not common.
 MIN_TEXTS = 3
-#: A language needs so many rows of at least MIN_WORDS words to be a reference.
-MIN_ROWS = 20
+#: Languages with a reference at most, those with the most words.
+LANGUAGES = 256
 #: Largest distances (square root of the divergence in bits, 0 to 1) of a kept document.
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.31
@@ -84,7 +86,10 @@ def _repeated_words(h: Column, width: int) -> Column:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, wide: int = WIDE) -> list[dict]:
     """For each language of the corpus: its common words, the shares of the first ``common`` and of all others, and the shares of its character classes.
 
-    Over all rows with a language. The result has at most ``wide`` words for each language.
+    Over all rows with a language; one with a text of ``MIN_WORDS`` words is a
+    reference, whatever the size of the corpus. The result has at most ``wide``
+    words for each of ``LANGUAGES``. A language without common words has a word
+    histogram of one cell, from which no text differs.
     """
     named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     # each text sets one of 64 bits, equal texts the same; the bits that a word has tell few texts from many
@@ -100,13 +105,14 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     top = top.select("l", "nth", F.xxhash64("w").alias("h"), "n")
     feats = base_features(named.withColumn("l2", F.col("l")), "l2", "t").withColumn("whole", F.col("n_words") >= MIN_WORDS)
     shapes = feats.groupBy("k").agg(F.count_if("whole").alias("rows"), F.sum("n_words").alias("total"), *[F.sum(F.when(F.col("whole"), c)).alias(name) for name, c in _classes()])
-    shapes = shapes.filter(F.col("rows") >= MIN_ROWS).collect()
+    shapes = shapes.filter(F.col("rows") > 0).orderBy(F.desc("total"), "k").limit(LANGUAGES).collect()
     found, totals = {r["k"]: [r[c] for c in CLASSES] for r in shapes}, {r["k"]: r["total"] for r in shapes}
     out: dict[str, dict] = {}
-    for r in sorted(top.collect(), key=lambda r: (r["l"], r["nth"])):
-        if r["l"] in found and sum(found[r["l"]]):
-            shape = found[r["l"]]
-            ref = out.setdefault(r["l"], {"lang": r["l"], "words": [], "shares": [], "more": [], "more_share": 0.0, "classes": [x / sum(shape) for x in shape]})
+    for lang_, shape in sorted(found.items()):
+        out[lang_] = {"lang": lang_, "words": [], "shares": [], "more": [], "more_share": 0.0, "classes": [x / sum(shape) for x in shape]}
+    for r in sorted(top.filter(F.col("l").isin(list(found))).collect() if found else [], key=lambda r: (r["l"], r["nth"])):
+        if r["l"] in out:
+            ref = out[r["l"]]
             share = r["n"] / totals[r["l"]]
             if r["nth"] <= common:
                 ref["words"].append(r["h"])
@@ -140,6 +146,44 @@ def distance(counts: Column, shares: list[float]) -> Column:
     return let(let(counts, bits), lambda b: F.when(b.isNotNull(), F.sqrt(F.greatest(b, F.lit(0.0)))))
 
 
+def runs(values: Column) -> Column:
+    """The distinct values of an array in order, as structs of ``x`` and its number ``n``."""
+
+    def counted(s: Column, ends: Column) -> Column:
+        return F.transform(ends, lambda z, j: F.struct(F.get(s, z - 1).alias("x"), (z - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("n")))
+
+    last = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), F.lit(None)).otherwise(i + 1)), lambda z: z.isNotNull())
+    return let(F.sort_array(values), lambda s: let(last(s), lambda ends: counted(s, ends)))
+
+
+def _term(p: Column, q: Column) -> Column:
+    """A cell's part of the divergence, without that of q alone."""
+    plogp = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    return plogp(p) / 2 - plogp((p + q) / 2)
+
+
+def word_distance(present: Column, n_words: Column, ref: dict) -> Column:
+    """Distance of a document's word histogram from a reference, from its distinct common words and their numbers; null without words."""
+    log = lambda q: q * math.log2(q) if q > 0 else 0.0
+    shares = _word_shares(ref)
+    # as if no common word was there; each that is there then changes its cell's part
+    absent = sum(log(q) / 2 for q in shares) - sum(log(q / 2) for q in ref["shares"])
+    total = lambda es: F.aggregate(es, F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    inside = total(F.filter(present, lambda e: e["x"].isin([*ref["words"], *ref["more"]])))
+
+    def bits(mine: Column, inside: Column) -> Column:
+        share = F.map_from_arrays(F.array(*[F.lit(h) for h in ref["words"]]), _doubles(ref["shares"]))
+        plain = lambda q: F.when(q > 0, q / 2 * F.log2(q / 2)).otherwise(0.0)
+        both = lambda e, q: _term(e["n"] / n_words, q) + plain(q)
+        cells = F.aggregate(mine, F.lit(absent), lambda a, e: a + let(F.element_at(share, e["x"]), lambda q: both(e, q)))
+        own = total(mine)
+        return cells + _term((inside - own) / n_words, F.lit(shares[-2])) + _term((n_words - inside) / n_words, F.lit(shares[-1]))
+
+    mine = F.filter(present, lambda e: e["x"].isin(ref["words"])) if ref["words"] else F.filter(present, lambda e: F.lit(False))
+    found = let(mine, lambda m: let(inside, lambda i: bits(m, i))) if ref["words"] else _term(F.lit(0.0), F.lit(0.0)) + absent + _term(F.lit(1.0), F.lit(1.0))
+    return F.when(n_words > 0, F.sqrt(F.greatest(found, F.lit(0.0))))
+
+
 def _word_shares(ref: dict) -> list[float]:
     """The word histogram of a reference: its first words, its other common words, all others."""
     return [*ref["shares"], ref["more_share"], max(0.0, 1 - sum(ref["shares"]) - ref["more_share"])]
@@ -166,33 +210,24 @@ def quality(
     and empty texts fail the base rules. Rows are judged one by one, so rows
     that repeat get the same verdict. Other columns are ignored.
     """
-    rows = base_features(docs, key, text)
-    vocabulary = sorted({h for r in refs for h in r["words"]})
-    place = {h: i for i, h in enumerate(vocabulary)}
-    rows = rows.withColumn("n_repeat_words", repeated_words(F.col("h")))
+    rows = base_features(docs, key, text).withColumn("n_repeat_words", repeated_words(F.col("h")))
     if refs:
-        known = F.array(*[F.lit(h) for h in vocabulary])
-        own_words = [[*r["words"], *r["more"]] for r in refs]
-        common = F.filter("h", lambda x: x.isin(sorted(set().union(*own_words))))
-
-        def tallies(c: Column) -> Column:
-            frequent = F.filter(c, lambda x: x.isin(vocabulary))
-            tally = let(frequent, lambda f: F.transform(known, lambda v: F.size(f) - F.size(F.array_remove(f, v))))
-            return F.struct(tally.alias("tally"), F.array(*[F.size(F.filter(c, lambda x, own=own: x.isin(own))) for own in own_words]).alias("inside"))
-
-        rows = rows.withColumn("found", let(common, tallies)).drop("h")
+        every = sorted({h for r in refs for h in (*r["words"], *r["more"])})
+        common = F.filter("h", lambda x: x.isin(every)) if every else F.slice("h", 1, 0)
+        rows = rows.withColumn("present", runs(common)).drop("h")
         shape = F.array(*[c.cast("double") for _, c in _classes()])
-        found = []
-        for i, r in enumerate(refs):
-            own = [F.get("found.tally", F.lit(place[h])).cast("double") for h in r["words"]]
-            inside = F.get("found.inside", F.lit(i)).cast("double")
-            a = distance(shape, r["classes"])
-            b = distance(F.array(*own, inside - sum(own[1:], own[0]), F.col("n_words").cast("double") - inside), _word_shares(r))
-            found.append(F.struct(a.alias("class_distance"), b.alias("word_distance"), F.lit(_word_bound(r, max_word)).alias("bound")))
-        scored = F.transform(F.array(*found), lambda x: F.struct((x["class_distance"] + x["word_distance"]).alias("sum"), x["class_distance"], x["word_distance"], x["bound"]))
+        found = [
+            F.struct(
+                distance(shape, r["classes"]).alias("class_distance"), word_distance(F.col("present"), F.col("n_words"), r).alias("word_distance"),
+                F.lit(_word_bound(r, max_word)).alias("bound"),
+            )
+            for r in refs
+        ]
+        rows = rows.withColumn("each", F.array(*found)).drop("present")
+        scored = F.transform("each", lambda x: F.struct((x["class_distance"] + x["word_distance"]).alias("sum"), x["class_distance"], x["word_distance"]))
         rows = rows.withColumn("best", F.array_min(F.filter(scored, lambda x: x["sum"].isNotNull())))
-        judged_words = F.col("n_words") >= MIN_WORDS_FOR_WORDS
-        close = F.coalesce((F.col("best.class_distance") <= max_class) & (~judged_words | (F.col("best.word_distance") <= F.col("best.bound"))), F.lit(False))
+        few = F.col("n_words") < MIN_WORDS_FOR_WORDS
+        close = F.exists("each", lambda x: F.coalesce((x["class_distance"] <= max_class) & (few | (x["word_distance"] <= x["bound"])), F.lit(False)))
         distances = [F.col("best.class_distance").alias("class_distance"), F.col("best.word_distance").alias("word_distance")]
     else:
         close, distances = F.lit(True), [F.lit(None).cast("double").alias(c) for c in ("class_distance", "word_distance")]
