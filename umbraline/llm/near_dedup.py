@@ -50,15 +50,15 @@ PERCENT = 80
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**7)**64 = 3e-7; one of 0.85, with 1e-11.
 BANDS, ROWS = 64, 7
 BINS = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share of the bins are not fetched. Bins of one pair of sets agree independently with the sets'
-#: similarity, so 0.65 lies eight standard deviations below 0.8; of small sets, a shingle that falls into another one's bin weighs more.
-LEAST_AGREEMENT, LEAST_OF_SMALL, SMALL = 0.65, 0.5, 64
+#: Pairs whose signatures agree in a smaller share of the bins are not fetched. Of sets with a similarity of 0.8, that share has a standard
+#: deviation of 0.018 to 0.022 from ``SMALL`` shingles on and of 0.024 below, so these bounds lie five and six of them below 0.8.
+LEAST_AGREEMENT, LEAST_OF_SMALL, SMALL = 0.69, 0.65, 64
 #: Members of a bucket that are compared in one task, on either side.
 TASK_MEMBERS = 4_096
 #: Members of a bucket outside its largest component beyond which its rarest shingles deal it anew.
 CROWD = 4_096
 #: Shingles on either side of a task that compares full sets.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 500_000
 #: Up to so many keys of 8 bytes are broadcast to pick rows; beyond that, rows are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -259,7 +259,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (2, 3))
-                ok = pa.array((x == y).mean(axis=1) >= _floor(np.asarray(batch.column(4))))
+                ok = pa.array(_agreeing(x, y) >= _floor(np.asarray(batch.column(4))) * BINS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
         release()
 
@@ -318,12 +318,18 @@ class _Forest:
         return pa.table({"a": pa.array([a for a, _ in self.edges], pa.int64()), "b": pa.array([b for _, b in self.edges], pa.int64())})
 
 
-def _alike(i: int, at: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
-    """Of the rows ``at``, those of other components than row i whose sizes and signatures allow a link, most alike first."""
-    at = at[(comp[at] != comp[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)]
-    same = (sig[at] == sig[i]).mean(axis=1) if len(at) else np.zeros(0)
-    order = np.argsort(-same, kind="stable")
-    return at[order][same[order] >= _floor(n[i])]
+def _agreeing(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """In how many bins each signature agrees with one: bytes of 0 and 1 are summed eight at a time, in halves so that no byte overflows."""
+    same = (sig == own).view(np.uint64).reshape(len(sig), 2, -1).sum(axis=2)
+    return ((same * np.uint64(0x0101010101010101)) >> np.uint64(56)).sum(axis=1)
+
+
+def _alike(i: int, every: int, n: np.ndarray, comp: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Of the first rows, which are in order of size, those of other components than row i whose sizes and signatures allow a link, most alike first."""
+    a, z = np.searchsorted(n[:every], [-(-n[i] * percent // 100), n[i] * 100 // percent + 1])
+    same = _agreeing(sig[a:z], sig[i])
+    at = np.flatnonzero((same >= _floor(n[i]) * BINS) & (comp[a:z] != comp[i]))
+    return at[np.argsort(-same[at].astype(np.int64), kind="stable")] + a
 
 
 def _parts(x: Column, size: int) -> Column:
@@ -349,11 +355,9 @@ def _look_alikes(open_: DataFrame, buckets: DataFrame, sigs: DataFrame, percent:
         order = np.lexsort((group["rid"].to_numpy(), group["n"].to_numpy(), probe))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)[order]
         n, comp, probe = group["n"].to_numpy()[order], group["comp"].to_numpy()[order], probe[order]
-        forest, every = _Forest(), np.flatnonzero(~probe)
-        sizes = n[every]  # in order, so a probe meets a run of sizes only
-        for i in np.flatnonzero(probe):
-            a, z = np.searchsorted(sizes, [n[i] * percent // 100, n[i] * 100 // percent + 1])
-            for j in _alike(i, every[a : z + 1], n, comp, sig, percent).tolist():
+        forest, every = _Forest(), int((~probe).sum())
+        for i in range(every, len(n)):
+            for j in _alike(i, every, n, comp, sig, percent).tolist():
                 forest.join(int(comp[i]), int(comp[j]), (int(comp[i]), int(comp[j])))
         return forest.table()
 
@@ -382,17 +386,18 @@ def _links_in_clusters(rows: DataFrame, sets: DataFrame, sigs: DataFrame, percen
 
     def run(group: pa.Table) -> pa.Table:
         probe = group["probe"].to_numpy()
-        order = np.lexsort((group["rid"].to_numpy(), probe))
+        order = np.lexsort((group["rid"].to_numpy(), group["n"].to_numpy(), probe))
         group, probe = group.take(pa.array(order)), probe[order]
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         rid, n, comp = (group[c].to_numpy() for c in ("rid", "n", "comp"))
         lists = group["shingles"].combine_chunks()
-        flat, at = lists.values.to_numpy(), np.asarray(lists.offsets)
-        forest, all_rows = _Forest(), np.flatnonzero(~probe)
-        for i in np.flatnonzero(probe):
-            for j in _alike(i, all_rows, n, comp, sig, percent).tolist():
+        flat, at = lists.values.to_numpy().view(np.uint64), np.asarray(lists.offsets)  # in order as unsigned numbers
+        forest, every = _Forest(), int((~probe).sum())
+        for i in range(every, len(n)):
+            for j in _alike(i, every, n, comp, sig, percent).tolist():
                 if forest.top(int(comp[i])) != forest.top(int(comp[j])):
-                    both = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
+                    a, b = flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]]
+                    both = int((a.take(np.searchsorted(a, b), mode="clip") == b).sum())
                     if both * 100 >= (n[i] + n[j] - both) * percent:
                         forest.join(int(comp[i]), int(comp[j]), (int(comp[i]), int(comp[j])))
         return forest.table()
