@@ -1,20 +1,26 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(subclass | class, history)
-+ log P(word | subclass). The first two factors are softmaxes over hashed
+All words stand at the leaves of a tree of ``WAYS`` branches and ``LEVELS``
+levels: classes, subclasses, and so on. log P(word | history) is the sum of the
+log probabilities of the branches that lead to it, each a softmax over hashed
 features of the history: the word before, the word two before (a skip feature)
-and the pair of both. The last one is the word's share of its subclass.
+and the pair of both, each with the node. So each factor learns from n-gram and
+skip features, that of the word itself too.
 
-Frequent words have classes by k-means over their neighbours. All other words
-share the classes of one more group, by their last character; their share is
-(c + 1) / (N + V + 1) of that class, with one part for all words not seen.
+Frequent words have a leaf each, in an order by k-means over their neighbours,
+below all classes but the last. All other words, unseen ones too, have leaves of
+the last class by their hash, whatever their number. Words that share such a
+leaf share its probability as (c + 1) / (N + V + 1) of that leaf, with one part
+for all words not seen. As history, each word has a hash of its own.
 
 Scale: word counts are one aggregation over all training text with map-side
 combining. A two-tier lookup gives each token its count: frequent words
-(``VOCABULARY``, a fixed bound) from a broadcast table, all others from an
-equi-join with the table of counts. Training passes are map-only over coded
-text; each task updates its own copy of the weights, a few MB, and the copies are
-averaged, row by row, in two levels. The number of tasks follows the input.
+(``VOCABULARY`` at most) from a broadcast table, all others from an equi-join
+with the table of counts. For training, coded texts are dealt by a hash of key
+and text over tasks of ``TASK_TOKENS`` tokens, in the order of that hash, so
+that neither the cores nor the layout of the table change a score. Each task
+updates its own copy of the weights, and the copies are averaged, row by row, in
+two levels.
 """
 
 from __future__ import annotations
@@ -30,46 +36,46 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, scratch, slices, words
-
-#: Words with an entry of their own in the model.
-VOCABULARY = 16_384
-CLASSES = 16
-#: Rows of hashed features of the class and the subclass factor.
-CLASS_ROWS, SUBCLASS_ROWS = 1 << 15, 1 << 16
+from .common import ascii_lower, crc_mod, release, scratch, slices, words
+
+#: Branches of a node, and levels of the tree.
+WAYS, LEVELS = 16, 4
+#: Leaves of the last class, and those of all others.
+RARE_LEAVES = WAYS ** (LEVELS - 1)
+RARE = (WAYS - 1) * RARE_LEAVES
+#: Words with an entry of their own, beside the end of a text.
+VOCABULARY = RARE - 1
+#: Rows of hashed features at each level.
+ROWS = 1 << 16
 #: Buckets of a word's neighbours on either side, of which the first are single frequent words.
-NEIGHBOURS, SINGLE = 32, 24
+NEIGHBOURS, SINGLE = 16, 12
 ROUNDS = 1
 RATE = 0.3
 BATCH = 16_384
 #: Coded tokens of a training task.
-TASK_TOKENS = 16_000_000
+TASK_TOKENS = 8_000_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass
 class Model:
-    """What scoring needs. Ids: 0 is the end of a text, then frequent words, then one for each class of other words."""
+    """What scoring needs. Ids: 0 is the end of a text, then frequent words, and from ``RARE`` on the hashes of all other words."""
 
     words: dict[str, int]
     counts: np.ndarray  # of the end and the frequent words
-    other_totals: np.ndarray  # N + V + 1 of each class of other words
+    other_totals: np.ndarray  # N + V + 1 of each leaf of other words
     tokens: int  # N
     types: int  # V
-    leaf: np.ndarray = field(default=None)  # class * CLASSES + subclass of each id
-    share: np.ndarray = field(default=None)  # log10 P(word | subclass); for other words without their log10(c + 1)
-    class_bias: np.ndarray = field(default=None)
-    subclass_bias: np.ndarray = field(default=None)
-    class_rows: np.ndarray = field(default=None)
-    subclass_rows: np.ndarray = field(default=None)
+    place: np.ndarray = field(default=None)  # leaf of each frequent word
+    bias: list = field(default=None)  # of each level, by node
+    rows: list = field(default=None)  # weights of each level's features
 
     @property
     def known(self) -> int:
         return len(self.counts)
 
-    @property
-    def ids(self) -> int:
-        return self.known + CLASSES
+    def leaf(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < RARE, self.place[np.minimum(ids, self.known - 1)], RARE + (ids - RARE) % RARE_LEAVES)
 
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
         """Ids of all texts in a row, an end after each, where each text's begin, and each text's words that are not frequent."""
@@ -80,8 +86,7 @@ class Model:
         empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
         coded = flat.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        known = self.known
-        table = np.array([self.words.get(w) or known + last_class(w) for w in kinds], dtype=np.int32)
+        table = np.array([self.words.get(w) or RARE + hashed(w) for w in kinds], dtype=np.int32)
         index = np.asarray(coded.indices)
         ids = np.zeros(len(flat) + len(n), dtype=np.int32)
         place = np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)
@@ -91,77 +96,81 @@ class Model:
             gone = starts[:-1][empty]
             ids = np.delete(ids, gone)
             starts = np.concatenate([[0], np.cumsum(np.where(empty, 1, n + 1))])
-        rare = table[index] >= known if len(table) else np.zeros(0, dtype=bool)
+        rare = table[index] >= RARE if len(table) else np.zeros(0, dtype=bool)
         if empty.any():
             rare[at[:-1][empty]] = False
         bounds = np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)
         return ids, starts, pa.ListArray.from_arrays(pa.array(bounds), flat.filter(pa.array(rare)).cast(pa.string()))
 
-    def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Class and subclass of each token, and the feature rows of both factors."""
-        begin = self.ids
-        p1 = np.concatenate([[begin], ids[:-1]]).astype(np.int64)
-        p1[starts] = begin
-        p2 = np.concatenate([[begin], p1[:-1]])
-        p2[starts] = begin
-        leaf = self.leaf[ids]
-        c = (leaf // CLASSES).astype(np.int64)
-        a = np.empty((len(ids), 3), dtype=np.int64)
-        a[:, 0], a[:, 1], a[:, 2] = _row(p1, 1, CLASS_ROWS), _row(p2, 2, CLASS_ROWS), _row(p1 * 1_000_003 + p2, 3, CLASS_ROWS)
-        b = np.empty((len(ids), 2), dtype=np.int64)
-        b[:, 0], b[:, 1] = _row(p1 * CLASSES + c, 4, SUBCLASS_ROWS), _row(p2 * CLASSES + c, 5, SUBCLASS_ROWS)
-        return c, leaf % CLASSES, a, b
-
-    def window(self, ids: np.ndarray, starts: np.ndarray, a: int, z: int) -> list[np.ndarray]:
+    def features(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: the branch to each token, the node that it leaves from, and the rows of its features."""
+        begin = np.uint64((1 << 31) - 1)
+        one = np.concatenate([[begin], ids[:-1].astype(np.uint64)])
+        one[starts] = begin
+        two = np.concatenate([[begin], one[:-1]])
+        two[starts] = begin
+        histories = [_mixed(one, 1), _mixed(two, 2), _mixed(one * np.uint64(1_000_003) + two, 3)]
+        leaf, out = self.leaf(ids.astype(np.int64)), []
+        for level in range(LEVELS):
+            node = leaf // WAYS ** (LEVELS - level)
+            rows = np.empty((len(ids), len(histories)), dtype=np.uint16)
+            for i, h in enumerate(histories):
+                rows[:, i] = _row(h + node.astype(np.uint64), level)
+            out.append((leaf // WAYS ** (LEVELS - level - 1) % WAYS, node, rows))
+        return out
+
+    def window(self, ids: np.ndarray, starts: np.ndarray, a: int, z: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``features`` of the tokens from a to z; their history may lie before a."""
         lo, z = max(0, a - 2), min(len(ids), z)
         own = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, z)] - lo
-        return [v[a - lo :] for v in self.features(ids[lo:z], own)]
+        return [tuple(v[a - lo :] for v in level) for level in self.features(ids[lo:z], own)]
 
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token, without log10(c + 1) of words that are not frequent."""
-        out = self.share[ids]
+        out = np.zeros(len(ids))
+        rare = ids >= RARE
+        out[rare] = -np.log10(self.other_totals[(ids[rare] - RARE) % RARE_LEAVES])
         for a in range(0, len(ids), BATCH):
-            c, s, x, y = self.window(ids, starts, a, a + BATCH)
-            out[a : a + BATCH] += (_log_softmax(_summed_rows(self.class_bias, self.class_rows, x), c) + _log_softmax(_summed_rows(self.subclass_bias[c], self.subclass_rows, y), s)) / np.log(10)
+            for level, (branch, node, rows) in enumerate(self.window(ids, starts, a, a + BATCH)):
+                out[a : a + BATCH] += _log_softmax(_summed_rows(self.bias[level][node], self.rows[level], rows), branch) / np.log(10)
         return out
 
 
-def last_class(word: str) -> int:
-    """Class of a word by its last character."""
-    return zlib.crc32(word[-1:].encode("utf-8", "replace")) % CLASSES
+def hashed(word: str) -> int:
+    """30 bits of a word's hash."""
+    return zlib.crc32(word.encode("utf-8", "replace")) >> 2
 
 
-def last_class_sql(word: Column) -> Column:
-    return F.crc32(F.right(word, F.lit(1))) % CLASSES
+def rare_leaf_sql(word: Column) -> Column:
+    """Leaf of a word that is not frequent, within the last class."""
+    return F.shiftrightunsigned(F.crc32(word), 2) % RARE_LEAVES
 
 
-def _row(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
-    h = (x.astype(np.uint64) * np.uint64(8) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x * np.uint64(8) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _row(x: np.ndarray, level: int) -> np.ndarray:
+    return (((x << np.uint64(2)) + np.uint64(level)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - ROWS.bit_length() + 1)
 
 
 def _summed_rows(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = bias + table.take(rows[:, 0], axis=0)
-    for i in range(1, rows.shape[1]):
-        out += table.take(rows[:, i], axis=0)
-    return out
+    for i in range(rows.shape[1]):
+        bias = bias + table.take(rows[:, i], axis=0)
+    return bias
 
 
-_ONES = np.ones(CLASSES, dtype=np.float32)
+_ONES = np.ones(WAYS, dtype=np.float32)
+#: Logits stay below this, so that no shift is needed before they are exponents.
+MOST = 60.0
 
 
 def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums by row, after the logits were shifted in place; one shift does for nearly all rows."""
-    logits -= logits.max()
+    """Exponentials and their sums by row; the logits are bounded in place."""
+    np.minimum(logits, MOST, out=logits)
     e = np.exp(logits)
-    total = e @ _ONES
-    low = np.flatnonzero(total < 1e-30)
-    if len(low):
-        logits[low] -= logits[low].max(axis=1)[:, None]
-        e[low] = np.exp(logits[low])
-        total[low] = e[low] @ _ONES
-    return e, total
+    return e, np.maximum(e @ _ONES, 1e-30)
 
 
 def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -175,12 +184,12 @@ def _step(logits: np.ndarray, at: np.ndarray, rows: np.ndarray, weights: np.ndar
     e /= total[:, None]
     e[np.arange(len(at)), at] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat)
+    order = np.argsort(flat, kind="stable")  # of 16 bits, in linear time
     sorted_rows = flat[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     found = sorted_rows[first]
     grad = np.add.reduceat(e.take(order // rows.shape[1], axis=0), first, axis=0)
-    past[found] += np.einsum("ij,ij->i", grad, grad) / CLASSES
+    past[found] += np.einsum("ij,ij->i", grad, grad) / WAYS
     uses[found] += np.diff(np.append(first, len(flat)))
     weights[found] -= (RATE / np.sqrt(past[found] + 1e-6))[:, None] * grad
 
@@ -196,6 +205,7 @@ def tokens_table(docs: DataFrame, model_of: Broadcast, key: str, text: str, held
             ids, starts, rare = model.code(batch.column(2))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, rare], ["k", "held_out", "ids", "rare"])
+        release()
 
     coded = rows.mapInArrow(run, f"k {kind}, held_out boolean, ids array<int>, rare array<string>")
     return scratch(coded.withColumn("rid", F.monotonically_increasing_id()), "coded")
@@ -215,8 +225,8 @@ def _frequent(counts: DataFrame, ends: int, size: int) -> tuple[Model, DataFrame
         others = counts.filter((F.col("c") < last_count) | ((F.col("c") == last_count) & (F.col("w") > last_word)))
     else:
         others = counts
-    sums = others.groupBy(last_class_sql(F.col("w")).alias("x")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    totals, tokens, types = np.ones(CLASSES, dtype=np.int64), ends + sum(c for _, c in top), len(top) + (ends > 0)
+    sums = others.groupBy(rare_leaf_sql(F.col("w")).alias("x")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    totals, tokens, types = np.ones(RARE_LEAVES, dtype=np.int64), ends + sum(c for _, c in top), len(top) + (ends > 0)
     for r in sums:
         totals[r["x"]] += r["n"] + r["v"]
         tokens, types = tokens + r["n"], types + r["v"]
@@ -229,11 +239,15 @@ def _summed(parts: DataFrame, n_parts: int) -> dict[int, np.ndarray]:
     fan = max(1, round(n_parts**0.5))
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, dtype=np.float32) for x in group["data"].to_pylist()], axis=0, dtype=np.float64).astype(np.float32)
-        return pa.table({"block": group["block"][:1], "fan": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, fan int, data binary"
-    some = parts.withColumn("fan", F.pmod("fan", F.lit(fan)).cast("int")).groupBy("block", "fan").applyInArrow(add, schema)
+        group = group.sort_by("part")  # rounding then is the same in all runs
+        total = np.zeros(len(group["data"][0].as_py()) // 4)
+        for x in group["data"]:
+            total += np.frombuffer(x.as_py(), dtype=np.float32)
+        part = pa.array([group["part"][0].as_py()], pa.int32())
+        return pa.table({"block": group["block"][:1], "part": part, "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "block int, part int, data binary"
+    some = parts.groupBy("block", F.pmod("part", F.lit(fan)).alias("fan")).applyInArrow(add, schema)
     whole = some.groupBy("block").applyInArrow(add, schema)
     return {r["block"]: np.frombuffer(bytes(r["data"]), dtype=np.float32) for r in whole.collect()}
 
@@ -244,15 +258,16 @@ BLOCK_FLOATS = 1 << 16
 def _emit(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    fan = TaskContext.get().partitionId()
+    part = TaskContext.get().partitionId()
     flat = np.concatenate([x.ravel() for x in arrays]).astype(np.float32)
     for i in range(0, len(flat), BLOCK_FLOATS):
-        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_FLOATS], pa.int32()), pa.array([fan], pa.int32()), pa.array([flat[i : i + BLOCK_FLOATS].tobytes()], pa.binary())], ["block", "fan", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_FLOATS], pa.int32()), pa.array([part], pa.int32()), pa.array([flat[i : i + BLOCK_FLOATS].tobytes()], pa.binary())], ["block", "part", "data"])
+    release()
 
 
-def _gather(rows: DataFrame, run, size: int) -> np.ndarray:
+def _gather(rows: DataFrame, run, size: int, tasks: int) -> np.ndarray:
     """Sum over tasks of the ``size`` floats that ``run`` emits."""
-    found = _summed(rows.mapInArrow(run, "block int, fan int, data binary"), rows.rdd.getNumPartitions())
+    found = _summed(rows.mapInArrow(run, "block int, part int, data binary"), tasks)
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(size, dtype=np.float32)
 
 
@@ -260,8 +275,8 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), (np.asarray(column.offsets)[:-1] - column.offsets[0].as_py()).astype(np.int64)
 
 
-def neighbours(coded: DataFrame, ids: int) -> np.ndarray:
-    """For each id, how often words of each bucket stand before and after it."""
+def neighbours(coded: DataFrame, ids: int, tasks: int) -> np.ndarray:
+    """For each frequent word and one for all others, how often words of each bucket stand before and after it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(ids * 2 * NEIGHBOURS)
@@ -269,7 +284,7 @@ def neighbours(coded: DataFrame, ids: int) -> np.ndarray:
             flat, starts = _lists(batch.column(0))
             if len(flat) < 2:
                 continue
-            flat = flat.astype(np.int64)
+            flat = np.minimum(flat.astype(np.int64), ids - 1)
             bucket = np.where(flat < SINGLE, flat, SINGLE + flat % (NEIGHBOURS - SINGLE))
             inside = np.ones(len(flat), dtype=bool)
             inside[starts] = False
@@ -278,7 +293,7 @@ def neighbours(coded: DataFrame, ids: int) -> np.ndarray:
             sums += np.bincount((flat[at - 1] * 2 + 1) * NEIGHBOURS + bucket[at], minlength=len(sums))
         yield from _emit([sums])
 
-    return _gather(coded.select("ids"), run, ids * 2 * NEIGHBOURS).reshape(ids, 2 * NEIGHBOURS)
+    return _gather(coded, run, ids * 2 * NEIGHBOURS, tasks).reshape(ids, 2 * NEIGHBOURS)
 
 
 def _k_means(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -296,57 +311,49 @@ def _k_means(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray
 
 
 def classify(model: Model, table: np.ndarray) -> None:
-    """Gives each id a class and subclass by k-means over its neighbours, and the model the biases of all classes."""
+    """Gives each frequent word its leaf, neighbours in the order of k-means over their neighbours, and the model the biases of all nodes."""
     known = model.known
     x = np.sqrt(table[:known] + 1e-3)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     weight = np.sqrt(np.maximum(model.counts, 1).astype(np.float64))
-    group = _k_means(x, weight, CLASSES - 1, 1)
-    leaf = np.zeros(model.ids, dtype=np.int64)
-    for g in range(CLASSES - 1):
+    group, inner = _k_means(x, weight, WAYS - 1, 1), np.zeros(known, dtype=np.int64)
+    for g in range(WAYS - 1):
         at = np.flatnonzero(group == g)
         if len(at):
-            leaf[at] = g * CLASSES + _k_means(x[at], weight[at], CLASSES, 2 + g)
-    leaf[known:] = (CLASSES - 1) * CLASSES + np.arange(CLASSES)
-    mass = np.concatenate([model.counts, model.other_totals]).astype(np.float64)
-    of_leaf = np.bincount(leaf, mass, minlength=CLASSES * CLASSES)
-    model.share = np.log10(np.maximum(mass, 1e-300) / np.maximum(of_leaf[leaf], 1e-300))
-    model.share[known:] = -np.log10(model.other_totals)
-    model.leaf = leaf
-    by_class = of_leaf.reshape(CLASSES, CLASSES)
-    log = lambda v: np.where(v > 0, np.log(np.maximum(v, 1e-300)), -40.0).astype(np.float32)
-    model.class_bias = log(by_class.sum(axis=1) / max(1.0, by_class.sum()))
-    model.subclass_bias = log(by_class / np.maximum(by_class.sum(axis=1, keepdims=True), 1e-300))
-    model.class_rows = np.zeros((CLASS_ROWS, CLASSES), dtype=np.float32)
-    model.subclass_rows = np.zeros((SUBCLASS_ROWS, CLASSES), dtype=np.float32)
-
-
-def train(spark: SparkSession, coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+            inner[at] = _k_means(x[at], weight[at], WAYS, 2 + g)
+    model.place = np.empty(known, dtype=np.int64)
+    model.place[np.lexsort((np.arange(known), inner, group))] = np.arange(known) * RARE // known
+    mass = np.zeros(RARE + RARE_LEAVES)
+    mass[model.place] = np.maximum(model.counts, 1e-3)
+    mass[RARE:] = model.other_totals
+    model.bias, model.rows = [], []
+    for level in range(LEVELS):
+        nodes = mass.reshape(WAYS**level, WAYS, -1).sum(axis=2)
+        share = nodes / np.maximum(nodes.sum(axis=1, keepdims=True), 1e-300)
+        model.bias.append(np.where(share > 0, np.log(np.maximum(share, 1e-300)), -40.0).astype(np.float32))
+        model.rows.append(np.zeros((ROWS, WAYS), dtype=np.float32))
+
+
+def train(spark: SparkSession, coded: DataFrame, model: Model, tasks: int, rounds: int = ROUNDS) -> None:
     """Gradient updates over all training text; after each round, a row becomes the mean of the tasks' rows by their uses."""
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            a, b = m.class_rows.copy(), m.subclass_rows.copy()
-            past_a, past_b = np.zeros(len(a), np.float32), np.zeros(len(b), np.float32)
-            uses_a, uses_b = np.zeros(len(a), np.float32), np.zeros(len(b), np.float32)
+            weights = [x.copy() for x in m.rows]
+            past, uses = ([np.zeros(ROWS, np.float32) for _ in m.rows] for _ in range(2))
             for batch in batches:
                 ids, starts = _lists(batch.column(0))
-                if not len(ids):
-                    continue
                 for i in range(0, len(ids), BATCH):
-                    c, s, x, y = m.window(ids, starts, i, i + BATCH)
-                    _step(_summed_rows(m.class_bias, a, x), c, x, a, past_a, uses_a)
-                    _step(_summed_rows(m.subclass_bias[c], b, y), s, y, b, past_b, uses_b)
-            yield from _emit([a * uses_a[:, None], b * uses_b[:, None], uses_a, uses_b])
+                    for k, (branch, node, rows) in enumerate(m.window(ids, starts, i, i + BATCH)):
+                        _step(_summed_rows(m.bias[k][node], weights[k], rows), branch, rows, weights[k], past[k], uses[k])
+            yield from _emit([*(w * u[:, None] for w, u in zip(weights, uses, strict=True)), *uses])
 
-        sizes = [model.class_rows.size, model.subclass_rows.size, CLASS_ROWS, SUBCLASS_ROWS]
-        found = _gather(coded.select("ids"), run, sum(sizes))
-        a, b, uses_a, uses_b = np.split(found, np.cumsum(sizes)[:-1])
-        model.class_rows = a.reshape(-1, CLASSES) / np.maximum(uses_a, 1)[:, None]
-        model.subclass_rows = b.reshape(-1, CLASSES) / np.maximum(uses_b, 1)[:, None]
-        shared.unpersist()
+        sizes = [ROWS * WAYS] * LEVELS + [ROWS] * LEVELS
+        found = np.split(_gather(coded, run, sum(sizes), tasks), np.cumsum(sizes)[:-1])
+        model.rows = [w.reshape(-1, WAYS) / np.maximum(u, 1)[:, None] for w, u in zip(found[:LEVELS], found[LEVELS:], strict=True)]
+        shared.destroy()
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -358,33 +365,37 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column
 
     Null and empty texts consist of their end. Without training rows every
     token is unknown. Rows that repeat a key are scored each for itself. Other
-    columns are ignored. The row of a null key is a training row.
+    columns are ignored. The row of a null key is a training row. The same rows
+    give the same scores, but for the rounding of their sums, however many cores
+    there are and however the rows are dealt.
     """
     spark = docs.sparkSession
     held = crc_mod(F.col(key), 7) == 2 if held is None else held
     counts, ends = word_counts(docs.filter(~held), text)
     model, others = _frequent(counts, ends, vocabulary)
     coded = tokens_table(docs, spark.sparkContext.broadcast(model), key, text, held)
-    rows = coded.filter(~F.col("held_out")).select("ids")
-    tasks = max(1, spark.sparkContext.defaultParallelism, -(-model.tokens // TASK_TOKENS))
-    rows = rows.coalesce(tasks)
-    classify(model, neighbours(rows, model.ids))
-    train(spark, rows, model)
+    tasks = max(1, -(-model.tokens // TASK_TOKENS))
+    rows = coded.filter(~F.col("held_out")).select("ids", F.xxhash64("k", "ids").alias("h"))
+    rows = rows.repartition(int(tasks), "h").sortWithinPartitions("h").select("ids")
+    classify(model, neighbours(rows, model.known + 1, tasks))
+    train(spark, rows, model, tasks)
     base = model.tokens + model.types + 1
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         # per id: log10 of base and of the model, without log10(c + 1) of words that are not frequent
-        log_base = np.concatenate([np.log10(m.counts + 1.0), np.zeros(CLASSES)]) - np.log10(float(base))
-        is_known = np.concatenate([m.counts > 0, np.zeros(CLASSES, dtype=bool)])
+        log_base = np.concatenate([np.log10(m.counts + 1.0), [0.0]]) - np.log10(float(base))
+        is_known = np.concatenate([m.counts > 0, [False]])
         for batch in batches:
             ids, starts = _lists(batch.column(1))
             if not len(starts):
                 continue
-            sums = [np.add.reduceat(v, starts) for v in (log_base[ids], m.score(ids, starts), is_known[ids].astype(np.int64))]
+            own = np.minimum(ids, m.known)
+            sums = [np.add.reduceat(v, starts) for v in (log_base[own], m.score(ids, starts), is_known[own].astype(np.int64))]
             n = np.diff(np.append(starts, len(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], ["rid", "n_tokens", "n_known", "base", "score"])
+        release()
 
     own = coded.select("rid", "ids").mapInArrow(run, "rid long, n_tokens long, n_known long, base double, score double")
     rare = coded.select("rid", F.explode("rare").alias("w")).join(others, "w")
