@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -50,7 +51,6 @@ def test_full_boundary(spark):
         ("see http://jenkins/job/1.", [("private_url", "http://jenkins/job/1")]),
         ("see https://example.com/a", []),
         ("김철수님이 왔다", [("private_person", "김철수")]),
-        ("박물관에 갔다", []),
     ],
 )
 def test_detectors(spark, text, found):
@@ -203,9 +203,48 @@ def test_url_policy_options(spark):
 
 
 def test_ordinary_words_are_no_names(spark):
+    """A corpus gives its own stop list: what stands in many of its texts is hardly a name."""
     words = ["경제", "경찰", "국민", "감사", "공장", "반갑습니"]
-    assert set(words) <= set(D.STOPWORDS) and len(D.STOPWORDS) >= 348
-    find = D.korean_names()
-    df = spark.createDataFrame([(w,) for w in [*words, "김철수"]], "text string")
-    got = [r[0] for r in df.select(F.size(find(F.col("text")))).collect()]
-    assert got == [0] * len(words) + [1]
+    texts = [" ".join(words)] * 4 + ["김철수"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    common = {r.word for r in D.common_words(df).collect()}
+    assert common == set(words)
+    for stop, want in (((), [6] * 4 + [1]), (common, [0] * 4 + [1])):
+        find = D.korean_names(stopwords=sorted(stop))
+        assert [r[0] for r in df.select(F.size(find(F.col("text")))).collect()] == want
+
+
+def test_many_spans_in_a_text(spark):
+    """More spans than a block holds: places, merges and rewriting against plain code; time grows with their number."""
+    for n in (63, 64, 65, 128, 500):
+        text = " ".join(f"é{i} u{i}@ex{i}.org" for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        found = S.find_spans(F.col("text"), P.EMAIL, "private_email", 0.9)
+        want = [(m.start(), m.end()) for m in re.finditer(r"u\d+@ex\d+\.org", text)]
+        got = df.select(found.alias("s"), S.redact(F.col("text"), found, "#").alias("r"), S.merge_leftmost(F.concat(found, found)).alias("m"), S.merge_longest(F.concat(found, found)).alias("l")).first()
+        for spans in (got.s, got.m, got.l):
+            assert [(x.start, x.end) for x in spans] == want
+        assert got.r == re.sub(r"u\d+@ex\d+\.org", lambda m: "#" * len(m[0]), text)
+
+
+def test_merges_against_plain_code(spark):
+    r = random.Random(6)
+    cases = []
+    for _ in range(60):
+        spans = [(a := r.randrange(300), a + r.randint(1, 12), r.choice([0.5, 0.9])) for _ in range(r.randint(0, 150))]
+        cases.append([(a, z, "card", c, "") for a, z, c in spans])
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, s array<{S.SPAN}>")
+    for r_ in df.select("i", S.merge_longest(F.col("s")).alias("a"), S.merge_leftmost(F.col("s")).alias("b")).collect():
+        own = cases[r_.i]
+        long: list = []
+        for s in sorted(own, key=lambda s: (s[0], -(s[1] - s[0]), -s[3])):
+            if not long or s[0] >= long[-1][1]:
+                long.append(s)
+            elif (s[1] - s[0], s[3]) > (long[-1][1] - long[-1][0], long[-1][3]):
+                long[-1] = s
+        left: list = []
+        for s in sorted(own, key=lambda s: (s[0], -s[1])):
+            if not left or s[0] >= left[-1][1]:
+                left.append(s)
+        assert [(x.start, x.end) for x in r_.a] == [s[:2] for s in long]
+        assert [(x.start, x.end) for x in r_.b] == [s[:2] for s in left]

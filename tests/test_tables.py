@@ -1,3 +1,4 @@
+import itertools
 import json
 
 import numpy as np
@@ -137,11 +138,11 @@ def test_every_split():
     for i in range(len(text) + 1):
         for j in range(i, len(text) + 1):
             buffer = D.DeltaBuffer()
-            out = "".join(fix(buffer.push(c)) for c in (text[:i], text[i:j], text[j:])) + fix(buffer.flush())
+            out = "".join(fix(buffer.take(c)) for c in (text[:i], text[i:j], text[j:])) + fix(buffer.take("", last=True))
             assert out == whole
     for n in (1, 2, 3):
         buffer = D.DeltaBuffer()
-        assert "".join(fix(buffer.push(text[i : i + n])) for i in range(0, len(text), n)) + fix(buffer.flush()) == whole
+        assert "".join(fix(buffer.take(text[i : i + n])) for i in range(0, len(text), n)) + fix(buffer.take("", last=True)) == whole
     with pytest.raises(ValueError):
         D.DeltaBuffer(window=5)
 
@@ -251,12 +252,21 @@ def test_api(spark):
 def test_tag_decoding():
     tags = ["O", "B-private_person", "I-private_person", "E-private_person", "S-private_person"]
     high = lambda *best: np.array([[5.0 if i == b else 0.0 for i in range(5)] for b in best])
-    assert ner.viterbi(high(0, 1, 3, 0), tags) == [0, 1, 3, 0]
-    assert ner.viterbi(high(2, 0), tags) in ([0, 0], [4, 0], [1, 3])
+    one = lambda scores: ner.best_paths([scores], tags)[0]
+    assert one(high(0, 1, 3, 0)) == [0, 1, 3, 0]
+    assert one(high(2, 0)) in ([0, 0], [4, 0], [1, 3])
+    several = [high(0, 1, 3, 0), high(2, 0), np.zeros((0, 5)), high(4), high(1, 2, 2, 3, 0, 4)]
+    assert ner.best_paths(several, tags) == [one(x) for x in several] and ner.best_paths([], tags) == []
+    rng, moves = np.random.default_rng(1), ner.transitions(tags)
+    for n in (1, 2, 4):
+        x = rng.normal(size=(n, len(tags)))
+        allowed = lambda p: all(moves[a, b] == 0 for a, b in zip((0, *p), (*p, 0)))
+        best = max((p for p in itertools.product(range(len(tags)), repeat=n) if allowed(p)), key=lambda p: sum(x[i, t] for i, t in enumerate(p)))
+        assert one(x) == list(best)
     text, offsets = "see Al Bo now", [(0, 3), (4, 6), (6, 9), (10, 13)]
     scores = high(0, 1, 3, 0)
-    spans = ner.bioes_spans(text, offsets, ner.viterbi(scores, tags), scores, tags)
-    assert [(a, z, c) for a, z, c, _ in spans] == [(4, 9, "private_person")] and ner.viterbi(np.zeros((0, 5)), tags) == []
+    spans = ner.bioes_spans(text, offsets, one(scores), scores, tags)
+    assert [(a, z, c) for a, z, c, _ in spans] == [(4, 9, "private_person")] and one(np.zeros((0, 5))) == []
     bio = ["O", "B-PS", "I-PS", "B-LC"]
     s = np.array([[0, 9, 0, 0], [0, 0, 9, 0], [9, 0, 0, 0], [0, 0, 0, 9.0], [0, 9, 0, 0]])
     assert [(a, z) for a, z, *_ in ner.bio_spans([(0, 1), (1, 3), (3, 4), (4, 6), (6, 7)], s, bio)] == [(0, 3)]
@@ -292,3 +302,25 @@ def test_image_regions(spark):
     boxes = sorted((r.line_index, r.left, r.top, r.right, r.bottom) for r in images.regions(words, spans, 1).collect())
     assert boxes == [(0, 11, 0, 33, 8), (1, -1, 9, 9, 16)]
     assert images.decision(images.by_confidence(words, 0.5)[1], "block").first().decision == "block"
+
+
+def test_unfinished_tails():
+    whole = "{{OPF:EMAIL:4ov1qksihef66la1}}"
+    for n in range(1, len(whole)):
+        assert D.unfinished(whole[:n]), n
+        assert D.unfinished(whole[:n].lower())
+    for text in (whole, whole + "x", "{x", "{{OPF:1", "{{OPF:E MAIL", "{{OPF:EMAIL:abc}", "{{OPF:EMAIL:4ov1qksihef66la1x", "{{OPF:EMAIL:4ov1qksihef66la1}x"):
+        assert not D.unfinished(text), text
+    buffer = D.DeltaBuffer()
+    assert buffer.take("a {{OPF:" + "L" * 100) == "a {{OPF:" + "L" * 100  # longer than any token
+
+
+def test_layers_of_configuration():
+    base = {"a": {"b": 1, "c": [1, 2]}, "d": {}, "e": "x"}
+    assert config.overlay(base, {"a": {"b": 2}, "d": {"n": 1}}) == {"a": {"b": 2, "c": [1, 2]}, "d": {"n": 1}, "e": "x"}
+    assert config.overlay(base, {"a": {"c": [3]}, "e": None}) == {"a": {"b": 1, "c": [3]}, "d": {}, "e": "x"}
+    assert config.overlay(base, {"a": 5}) == {"a": 5, "d": {}, "e": "x"} and config.overlay(base, {}) == base
+    environ = {"X": "1", "EMPTY": ""}
+    cases = {"${X}": "1", "a${X}b${NO}c": "a1bc", "${NO:-d}": "d", "${EMPTY:-d}": "d", "${X:-d}": "1", "$X ${1a} ${X": "$X ${1a} ${X", "": ""}
+    for raw, want in cases.items():
+        assert config.expanded({"k": [raw]}, environ) == {"k": [want]}

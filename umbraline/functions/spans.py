@@ -25,6 +25,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Arrays of spans are worked on in blocks of so many, so that work is not the square of their number.
+BLOCK = 64
+
+
+def _blocks(values: Column) -> Column:
+    """The array cut into arrays of ``BLOCK`` values; a last one may be shorter, or empty."""
+    return F.transform(F.sequence(F.lit(0), (F.size(values) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each block of an array of numbers, the sum of all numbers before it."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    return let(F.transform(_blocks(sizes), total), lambda t: F.transform(t, lambda x, b: total(F.slice(t, F.lit(1), b))))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, text) of the pattern's matches, which must not be empty strings.
 
@@ -33,11 +48,13 @@ def matches(text: Column, pattern: str) -> Column:
     """
 
     def located(pieces: Column, hits: Column) -> Column:
-        def at(hit: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
-            return F.struct((before + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"), hit.alias("text"))
+        sizes = F.transform(hits, lambda h, i: F.length(h) + F.length(F.get(pieces, i)))
+        return let(sizes, lambda n: let(sums_before(n), lambda bases: F.transform(hits, lambda h, i: at(pieces, n, bases, h, i))))
 
-        return F.transform(hits, at)
+    def at(pieces: Column, sizes: Column, bases: Column, hit: Column, i: Column) -> Column:
+        block = (i - i % BLOCK) / BLOCK
+        inside = F.aggregate(F.slice(sizes, i - i % BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
+        return F.struct((F.get(bases, block.cast("int")) + inside + F.length(F.get(pieces, i))).alias("start"), hit.alias("text"))
 
     found = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: located(p, h)))
     sign = SIGNS.get(pattern)
@@ -72,36 +89,49 @@ def _ranked(spans: Column) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["s"])
 
 
+def _folded(spans: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Spans in order, each met with the last one that stays: ``step`` gives the span to stay in its place, or null where the new one comes after it.
+
+    Those that can no longer change are gathered in blocks, as an array that
+    grows one by one is copied each time.
+    """
+    kind = SPAN
+    none = F.from_json(F.lit("[]"), f"array<array<{kind}>>")
+
+    def put(acc: Column, s: Column) -> Column:
+        # the first span has nothing before it
+        instead = F.when(acc["last"].isNotNull(), step(acc["last"], s))
+        moves = acc["last"].isNotNull() & instead.isNull()
+        some = F.when(moves, F.concat(acc["some"], F.array(acc["last"]))).otherwise(acc["some"])
+        full = moves & (F.size(acc["some"]) >= BLOCK - 1)
+        return F.struct(
+            F.when(full, F.concat(acc["all"], F.array(some))).otherwise(acc["all"]).alias("all"), F.when(full, no_spans()).otherwise(some).alias("some"),
+            F.coalesce(instead, s).alias("last"),
+        )
+
+    start = F.struct(none.alias("all"), no_spans().alias("some"), F.lit(None).cast(kind).alias("last"))
+    return F.aggregate(spans, start, put, lambda a: F.concat(F.flatten(a["all"]), a["some"], F.filter(F.array(a["last"]), lambda x: x.isNotNull())))
+
+
 def merge_longest(spans: Column) -> Column:
     """Disjoint spans: one that overlaps its predecessor replaces it if longer, or as long and surer; else it goes."""
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
+    def step(last: Column, s: Column) -> Column:
         size, had = s["end"] - s["start"], last["end"] - last["start"]
         better = (size > had) | ((size == had) & (s["confidence"] > last["confidence"]))
-        return F.when(s["start"] >= last["end"], F.concat(kept, F.array(s))).otherwise(F.when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(s))).otherwise(kept))
-
-    def fold(spans: Column) -> Column:
-        return F.aggregate(_ranked(spans), no_spans(), lambda k, s: _safe(step, k, s))
-
-    return let(spans, lambda s: F.when(F.size(s) > 1, fold(s)).otherwise(s))
+        return F.when(s["start"] < last["end"], F.when(better, s).otherwise(last))
 
-
-def _safe(step: Callable[[Column, Column], Column], kept: Column, s: Column) -> Column:
-    return F.when(F.size(kept) == 0, F.array(s)).otherwise(step(kept, s))
+    return let(spans, lambda s: F.when(F.size(s) > 1, _folded(_ranked(s), step)).otherwise(s))
 
 
 def merge_leftmost(spans: Column) -> Column:
     """Disjoint spans: the leftmost, then longest, stays; what overlaps it goes."""
 
-    def step(kept: Column, s: Column) -> Column:
-        return F.when(s["start"] >= F.element_at(kept, -1)["end"], F.concat(kept, F.array(s))).otherwise(kept)
-
-    def fold(spans: Column) -> Column:
+    def ordered(spans: Column) -> Column:
         tagged = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
-        return F.aggregate(F.transform(F.array_sort(tagged), lambda t: t["s"]), no_spans(), lambda k, s: _safe(step, k, s))
+        return F.transform(F.array_sort(tagged), lambda t: t["s"])
 
-    return let(spans, lambda s: F.when(F.size(s) > 1, fold(s)).otherwise(s))
+    return let(spans, lambda s: F.when(F.size(s) > 1, _folded(ordered(s), lambda last, x: F.when(x["start"] < last["end"], last))).otherwise(s))
 
 
 MERGES = {"longest": merge_longest, "leftmost": merge_leftmost}
@@ -121,13 +151,20 @@ def assert_disjoint(spans: Column) -> Column:
 def rewrite(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """The text with each of the disjoint spans, in order, replaced."""
 
-    def parts(spans: Column) -> Column:
-        def part(s: Column, i: Column) -> Column:
-            last = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
-            return F.concat(F.substring(text, last + 1, s["start"] - last), replacement(s))
+    def part(own: Column, first: Column, spans: Column, s: Column, i: Column) -> Column:
+        last = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(first)
+        return F.concat(F.substring(own, last - first + 1, s["start"] - last), replacement(s))
 
+    def block(spans: Column, first: Column) -> Column:
+        # cut out once, as each cut counts characters from the text's start
+        own = F.substring(text, first + 1, F.element_at(spans, -1)["end"] - first)
+        return let(F.struct(own.alias("own"), first.alias("first")), lambda b: F.array_join(F.transform(spans, lambda s, i: part(b["own"], b["first"], spans, s, i)), ""))
+
+    def parts(spans: Column) -> Column:
+        ends = lambda bs, i: F.when(i > 0, F.element_at(F.get(bs, i - 1), -1)["end"]).otherwise(F.lit(0))
+        blocks = let(F.filter(_blocks(spans), lambda b: F.size(b) > 0), lambda bs: F.transform(bs, lambda b, i: block(b, ends(bs, i))))
         tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-        return F.concat(F.array_join(F.transform(spans, part), ""), tail)
+        return F.concat(F.array_join(blocks, ""), tail)
 
     return let(F.array_sort(spans), lambda s: F.when(F.size(s) > 0, parts(s)).otherwise(text))
 

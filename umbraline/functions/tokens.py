@@ -19,12 +19,13 @@ from pyspark.sql.functions import pandas_udf
 from .patterns import JS_SPACE
 from .spans import let, matches
 
-# The format of the tokens and of their keys, without which tokens would not be the same.
+# The format of the tokens and the messages of their keys, without which tokens would not be the same.
 OPEN, CLOSE = "{{OPF:", "}}"
 HASH_CHARS, EPOCH_CHARS = 16, 3
-KEY_SALT, KEY_INFO = b"pii-remover-token-hash-v2", b"deterministic-token-index"
+KEY_INFO, HMAC_INFO = b"deterministic-token-index", b"hmac-tokenization-key"
 EPOCH_MESSAGE = b"opf-key-epoch-v1"
-HMAC_SALT, HMAC_INFO = b"pii-remover-hmac-redaction-v1", b"hmac-tokenization-key"
+#: Salts of this engine's keys; a ``Secret`` can bring other ones.
+KEY_SALT, HMAC_SALT = b"umbraline-token-key-1", b"umbraline-hmac-key-1"
 STRICT = r"\{\{OPF:([A-Z][A-Z_]*):([a-z0-9]{16})\}\}"
 LENIENT = r"(?i)\{\{OPF:([A-Za-z][A-Za-z0-9_]*):([a-z0-9]{16})(?:\}\})?(?![A-Za-z0-9_])"
 REPAIR = r"(?i)\{\{?OPF:([A-Za-z][A-Za-z0-9_]*):([a-z0-9]{15,17})(?:\}\}?)?"
@@ -33,6 +34,18 @@ MAX_TOKEN = 32
 _BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
+class Secret(str):
+    """A secret with salts of its own, for tokens that must equal those which another system made with the same secret."""
+
+    key_salt: bytes
+    hmac_salt: bytes
+
+    def __new__(cls, secret: str, key_salt: bytes = KEY_SALT, hmac_salt: bytes = HMAC_SALT) -> Secret:
+        out = super().__new__(cls, secret)
+        out.key_salt, out.hmac_salt = key_salt, hmac_salt
+        return out
+
+
 def hkdf(secret: str, salt: bytes, info: bytes) -> bytes:
     """32 bytes of HKDF-SHA256 (RFC 5869)."""
     if not secret:
@@ -42,7 +55,7 @@ def hkdf(secret: str, salt: bytes, info: bytes) -> bytes:
 
 
 def token_key(secret: str) -> bytes:
-    return hkdf(secret, KEY_SALT, KEY_INFO)
+    return hkdf(secret, getattr(secret, "key_salt", KEY_SALT), KEY_INFO)
 
 
 def base36(digest: bytes, chars: int) -> str:
@@ -130,7 +143,7 @@ def hmac_udf(secret: str, chars: int = 16) -> Callable[[Column, Column], Column]
     """Irreversible ``[LABEL:...]`` values of arrays of labels and raw texts."""
     if chars < 4:
         raise ValueError("at least 4 characters")
-    key = hkdf(secret, HMAC_SALT, HMAC_INFO)
+    key = hkdf(secret, getattr(secret, "hmac_salt", HMAC_SALT), HMAC_INFO)
 
     def mint(labels: pd.Series, texts: pd.Series) -> pd.Series:
         def one(label: str, text: str) -> str:

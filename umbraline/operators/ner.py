@@ -35,25 +35,36 @@ def transitions(tags: Sequence[str]) -> np.ndarray:
     return out
 
 
-def viterbi(scores: np.ndarray, tags: Sequence[str]) -> list[int]:
-    """Best tag sequence that starts from outside and ends outside; the best tag of each token where there is none."""
-    if not len(scores):
-        return []
-    allowed = transitions(tags)
-    outside = tags.index("O")
-    best, back = scores[0] + allowed[outside], []
-    for row in scores[1:]:
-        paths = best[:, None] + allowed
-        back.append(paths.argmax(axis=0))
-        best = paths.max(axis=0) + row
-    ends = np.array([t == "O" or t[:2] in ("E-", "S-") for t in tags])
-    final = np.where(ends, best, IMPOSSIBLE * 10)
-    if final.max() <= IMPOSSIBLE / 2:
-        return scores.argmax(axis=1).tolist()
-    at = [int(final.argmax())]
-    for step in reversed(back):
-        at.append(int(step[at[-1]]))
-    return at[::-1]
+def best_paths(batch: Sequence[np.ndarray], tags: Sequence[str]) -> list[list[int]]:
+    """Best tag path of each sequence of token scores that begins and ends outside of a span, all sequences in step.
+
+    Max-plus algebra: the state before the first token is 'outside' alone, a
+    token adds its scores to the state's product with the allowed moves, and an
+    end adds a move to the outside. A sequence without such a path gets each
+    token's best tag.
+    """
+    size = np.array([len(x) for x in batch], dtype=np.int64)
+    longest, k = int(size.max(initial=0)), len(tags)
+    moves = transitions(tags)
+    to_end = moves[:, tags.index("O")]  # a path may end wherever an outside tag could come next
+    grid = np.zeros((longest, len(batch), k))
+    for b, x in enumerate(batch):
+        grid[: len(x), b] = x
+    state = np.full((len(batch), k), IMPOSSIBLE)
+    state[:, tags.index("O")] = 0.0
+    came = np.zeros((longest, len(batch), k), dtype=np.int64)
+    for t in range(longest):
+        product = state[:, :, None] + moves
+        came[t] = product.argmax(axis=1)
+        state = np.where((t < size)[:, None], product.max(axis=1) + grid[t], state)
+    ended = state + to_end
+    at, out = ended.argmax(axis=1), np.zeros((longest, len(batch)), dtype=np.int64)
+    for t in range(longest - 1, -1, -1):
+        live = t < size
+        out[t] = at
+        at = np.where(live, came[t, np.arange(len(batch)), at], at)
+    possible = ended.max(axis=1, initial=-np.inf) > IMPOSSIBLE / 2
+    return [(out[:n, b] if ok else np.argmax(batch[b], axis=1)).tolist() if n else [] for b, (n, ok) in enumerate(zip(size.tolist(), possible, strict=True))]
 
 
 def bioes_spans(text: str, offsets: Sequence[tuple[int, int]], path: Sequence[int], scores: np.ndarray, tags: Sequence[str]) -> Spans:
@@ -127,9 +138,10 @@ def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories:
                     continue
                 cuts = windows(len(text), size, overlap) if text else []
                 spans: Spans = []
-                for (a, _), (offsets, scores) in zip(cuts, model([text[a:z] for a, z in cuts]) if cuts else [], strict=True):
-                    part = text[a:]
-                    spans += [(a + s, a + e, c, p) for s, e, c, p in bioes_spans(part, offsets, viterbi(scores, tags), scores, tags)]
+                found = model([text[a:z] for a, z in cuts]) if cuts else []
+                paths = best_paths([scores for _, scores in found], tags)
+                for (a, z), (offsets, scores), path in zip(cuts, found, paths, strict=True):
+                    spans += [(a + s, a + e, c, p) for s, e, c, p in bioes_spans(text[a:z], offsets, path, scores, tags)]
                 kept: Spans = []
                 for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
                     if s[2] in categories and s[3] >= least and not any(s[0] < k[1] and s[1] > k[0] for k in kept):

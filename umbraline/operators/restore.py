@@ -3,12 +3,16 @@
 Matches are found per row; only they travel. Exact hits are one equi-join on
 (session, token). Misses are repaired by an equi-join too: two hashes are within
 one edit only if they share one of their one-character deletions, so a vault of
-any size is never paired with all misses. The rows' texts stay put until the
-resolved matches are joined back.
+any size is never paired with all misses, and only the entries of sessions with
+a miss are looked at for that. What a text becomes depends on it and its session
+alone, so matches are gathered and joined back by a hash of both: rows that share
+a key never meet, and equal texts of a session are resolved once.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -55,14 +59,33 @@ def deletions(digest: Column) -> Column:
     return F.array_distinct(F.concat(F.array(digest), cut))
 
 
-def inside_path(left: Column, token: Column, right: Column) -> Column:
-    """True if a token between two texts is part of a path or URL."""
-    before = F.regexp_extract(left, f"[^{JS_SPACE}]*$", 0)
-    after = F.regexp_extract(right, f"^[^{JS_SPACE}]*", 0)
-    segment = F.concat(before, token, after)
-    touches = before.rlike(r"[/\\]$") | after.rlike(r"^[/\\]")
-    separators = F.length(segment) - F.length(F.regexp_replace(segment, r"[/\\]", ""))
-    return segment.rlike(r"^(?:[A-Za-z]:[\\/]|\\\\|/|\.\.?[/\\]|[A-Za-z][A-Za-z0-9+.-]*://)") | (touches & (separators >= 2))
+_SPACE = re.compile(f"[{JS_SPACE}]")
+_PATH_START = re.compile(r"[A-Za-z]:[\\/]|\\\\|/|\.\.?[/\\]|[A-Za-z][A-Za-z0-9+.-]*://")
+
+
+class PathTest:
+    """Tells whether a token of a text is part of a path or URL, with a search for white space instead of a scan of what lies around it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spaces = [m.start() for m in _SPACE.finditer(text)]
+
+    def __call__(self, start: int, after: tuple[bool, int]) -> bool:
+        """``after``: whether what follows the token begins with a separator, and its separators up to the next white space."""
+        at = bisect.bisect_left(self.spaces, start)
+        before = self.text[self.spaces[at - 1] + 1 if at else 0 : start]
+        separators = before.count("/") + before.count("\\") + after[1]
+        touches = before[-1:] in ("/", "\\") and before != "" or after[0]
+        return _PATH_START.match(before) is not None or (touches and separators >= 2)
+
+
+def leading(piece: str, after: tuple[bool, int]) -> tuple[bool, int]:
+    """``after`` of ``PathTest`` for what follows, when a piece is put before it."""
+    if not piece:
+        return after
+    space = _SPACE.search(piece)
+    run = piece[: space.start()] if space else piece
+    return run[:1] in ("/", "\\") and run != "", run.count("/") + run.count("\\") + (0 if space else after[1])
 
 
 def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = True) -> DataFrame:
@@ -76,7 +99,8 @@ def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = Tr
         return hit.select(*matches.columns, "found", F.lit(False).alias("repaired"), F.when(F.col("found").isNull(), "expired").alias("cause"))
     own = F.substring("hash", 1, T.EPOCH_CHARS) == T.epoch(T.token_key(secret))
     miss = hit.filter(F.col("found").isNull()).select("mid", "session_id", "label", "hash", F.explode(deletions(F.col("hash"))).alias("near"))
-    known = vault.select(
+    missed = hit.filter(F.col("found").isNull()).select(F.col("session_id").alias("__m")).distinct()
+    known = vault.join(missed, F.col("session_id").eqNullSafe(F.col("__m")), "left_semi").select(
         F.col("session_id").alias("__s"), F.col("label").alias("__l"), F.col("hash").alias("__h"), F.col("text").alias("__text"),
         F.explode(deletions(F.col("hash"))).alias("__n"),
     )
@@ -92,56 +116,86 @@ def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = Tr
     )
 
 
-def _rewritten(text: Column, resolved: Column, options: RestoreOptions) -> Column:
-    """Text and counters, from resolved matches in order of start; right to left, as a path test sees what is already restored."""
-    zero = F.struct(F.lit("").alias("tail"), F.length(text).cast("int").alias("at"), *[F.lit(0).alias(c) for c in COUNTERS])
-
-    def handled(m: Column) -> Column:
-        gone = F.concat(F.lit("[UNRESTORABLE:"), m["label"], F.lit("/"), m["cause"], F.lit("]"))
-        strict = gone if options.unknown == "placeholder" else m["token"]
-        lenient = gone if options.partial == "placeholder" else m["token"]
-        return F.when(m["kind"] == "strict", strict).when(m["kind"] == "lenient", lenient).otherwise(m["token"])
-
-    def step(acc: Column, m: Column) -> Column:
-        right = F.concat(F.substring(text, m["end"] + 1, acc["at"] - m["end"]), acc["tail"])
-        found, lenient = m["found"].isNotNull(), m["kind"] == "lenient"
-        path = ~found & inside_path(F.substring(text, F.lit(1), m["start"]), m["token"], right) if options.skip_paths else F.lit(False)
-        lost = ~found & ~path
-        put = F.when(found, m["found"]).when(path, m["token"]).otherwise(handled(m))
-        adds = {
-            "restored_count": found, "partial_match_count": lenient, "lenient_restored_count": found & lenient & ~m["repaired"], "repaired_count": m["repaired"],
-            "unknown_token_count": lost, "foreign_count": lost & (m["cause"] == "foreign"), "dead_token_count": lost & (m["cause"] == "expired"),
-            "ambiguous_count": lost & (m["cause"] == "ambiguous"), "path_skip_count": path,
-        }
-        counts = [(acc[c] + F.coalesce(adds[c], F.lit(False)).cast("int")).alias(c) for c in COUNTERS]
-        return F.struct(F.concat(put, right).alias("tail"), m["start"].alias("at"), *counts)
-
-    return F.aggregate(
-        F.reverse(resolved),
-        zero,
-        step,
-        lambda acc: F.struct(F.concat(F.substring(text, F.lit(1), acc["at"]), acc["tail"]).alias("text"), *[acc[c].alias(c) for c in COUNTERS]),
-    )
+def _rewriter(options: RestoreOptions):
+    """Arrow function of a text and its resolved matches in order of start: text and counters.
 
+    Right to left, as a path test sees what is already restored; each piece is
+    put into a list once, so work grows with the text and its matches only.
+    """
+    fields = ("start", "end", "token", "label", "kind", "found", "repaired", "cause")
 
-def restore(df: DataFrame, vault: DataFrame, secret: str, key: str, text: str = "text", session: str = "session_id", options: RestoreOptions | None = None) -> DataFrame:
-    """Adds ``restored`` and the counters to each row; ``key`` is the rows' unique key.
-
-    unknown = foreign + dead + ambiguous; repaired are part of restored;
-    ``residual_token_count`` counts matches left in a text that had any.
-    Null text stays null with counters of 0.
+    def one(text: str, matches: list[dict]) -> tuple:
+        counts = dict.fromkeys(COUNTERS, 0)
+        pieces, at, after, path = [], len(text), (False, 0), PathTest(text)
+        for m in reversed(matches):
+            gap = text[m["end"] : at]
+            pieces.append(gap)
+            after = leading(gap, after)
+            put = m["found"]
+            counts["partial_match_count"] += m["kind"] == "lenient"
+            if put is not None:
+                counts["restored_count"] += 1
+                counts["repaired_count"] += m["repaired"]
+                counts["lenient_restored_count"] += m["kind"] == "lenient" and not m["repaired"]
+            elif options.skip_paths and path(m["start"], after):
+                put = m["token"]
+                counts["path_skip_count"] += 1
+            else:
+                counts["unknown_token_count"] += 1
+                counts[{"foreign": "foreign_count", "expired": "dead_token_count", "ambiguous": "ambiguous_count"}[m["cause"]]] += 1
+                how = {"strict": options.unknown, "lenient": options.partial}.get(m["kind"], "keep")
+                put = f"[UNRESTORABLE:{m['label']}/{m['cause']}]" if how == "placeholder" else m["token"]
+            pieces.append(put)
+            after = leading(put, after)
+            at = m["start"]
+        pieces.append(text[:at])
+        return "".join(reversed(pieces)), *counts.values()
+
+    def run(texts: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, *arrays in zip(texts, *columns, strict=True):
+            if text is None or arrays[0] is None:
+                rows.append((None, *[0] * len(COUNTERS)))
+            else:
+                matches = [dict(zip(fields, (int(m[0]), int(m[1]), *m[2:]), strict=True)) for m in zip(*arrays, strict=True)]
+                rows.append(one(text, matches))
+        return pd.DataFrame(rows, columns=["text", *COUNTERS])
+
+    run.__annotations__ = {"texts": pd.Series, "columns": pd.Series, "return": pd.DataFrame}
+    call = pandas_udf(run, "text string, " + ", ".join(f"{c} int" for c in COUNTERS))
+    return lambda text, matches: call(F.when(matches.isNotNull(), text), *[matches[f] for f in fields])
+
+
+def _row_hash(text: Column, session: Column) -> list[Column]:
+    """Two hashes, 128 bits in all, of text and session."""
+    return [F.xxhash64(F.lit(salt), session.isNull(), session, text).alias(f"__h{salt}") for salt in (1, 2)]
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> list[Column]:
+    return [a[f"__h{salt}"] == b[f"__g{salt}"] for salt in (1, 2)]
+
+
+def restore(df: DataFrame, vault: DataFrame, secret: str, key: str | None = None, text: str = "text", session: str = "session_id", options: RestoreOptions | None = None) -> DataFrame:
+    """Adds ``restored`` and the counters to each row.
+
+    Rows need no key (``key`` is not used): null and repeated keys, and rows
+    that are equal, are each restored for themselves. unknown = foreign + dead +
+    ambiguous; repaired are part of restored; ``residual_token_count`` counts
+    matches left in a text that had any. Null text stays null with counters of 0.
     """
     options = options or RestoreOptions()
     found = T.scan(F.col(text), options.repair)
     if not options.lenient:
         found = F.filter(found, lambda m: m["kind"] == "strict")
-    some = df.filter(T.has_token(F.col(text))).select(F.col(key).alias("__k"), F.col(session).alias("session_id"), F.posexplode(found).alias("__i", "m"))
-    matches = some.select("__k", "session_id", "m.*", F.struct("__k", "__i").alias("mid"))
+    ids = _row_hash(F.col(text), F.col(session))
+    some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.posexplode(found).alias("__i", "m"))
+    matches = some.distinct().select("__h1", "__h2", "session_id", "m.*", F.struct("__h1", "__h2", "__i").alias("mid"))
     solved = resolve(matches, vault, secret, options.repair)
     fields = ("start", "end", "token", "label", "kind", "found", "repaired", "cause")
-    solved = solved.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__m"))
-    rows = df.join(solved, df[key] == solved["__k"], "left").drop("__k")
-    rows = rows.withColumn("__r", F.when(F.col("__m").isNotNull(), _rewritten(F.col(text), F.col("__m"), options)))
+    solved = solved.groupBy(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__m"))
+    rows = df.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
+    rows = rows.join(solved, _same_row(rows, solved), "left").drop("__h1", "__h2", "__g1", "__g2")
+    rows = rows.withColumn("__r", _rewriter(options)(F.col(text), F.col("__m")))
     rows = rows.withColumn("restored", F.when(F.col("__m").isNotNull(), F.col("__r.text")).otherwise(F.col(text)))
     for c in COUNTERS:
         rows = rows.withColumn(c, F.coalesce(F.col(f"__r.{c}"), F.lit(0)))
@@ -160,19 +214,20 @@ def observed(df: DataFrame) -> DataFrame:
     return df.filter(F.col("restored_count") + F.col("unknown_token_count") + F.col("path_skip_count") > 0)
 
 
-def neutralise(df: DataFrame, vault: DataFrame, secret: str, key: str, text: str = "text", session: str = "session_id") -> DataFrame:
-    """Adds ``neutral``: the text with each strict token that is not live as ``[UNRESTORABLE:LABEL/status]``."""
+def neutralise(df: DataFrame, vault: DataFrame, secret: str, key: str | None = None, text: str = "text", session: str = "session_id") -> DataFrame:
+    """Adds ``neutral``: the text with each strict token that is not live as ``[UNRESTORABLE:LABEL/status]``. Rows need no key."""
+    from ..functions.spans import rewrite
     from .mask import token_status
 
     strict = F.filter(T.scan(F.col(text)), lambda m: m["kind"] == "strict")
-    some = df.filter(T.has_token(F.col(text))).select(F.col(key).alias("__k"), F.col(session).alias("session_id"), F.explode(strict).alias("m"))
-    status = token_status(some.select("__k", "session_id", "m.*").drop("kind").withColumnRenamed("token", "raw").withColumnRenamed("normalized", "token"), vault, secret)
+    ids = _row_hash(F.col(text), F.col(session))
+    some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.explode(strict).alias("m")).distinct()
+    status = token_status(some.select("__h1", "__h2", "session_id", "m.*").drop("kind").withColumnRenamed("token", "raw").withColumnRenamed("normalized", "token"), vault, secret)
     gone = F.concat(F.lit("[UNRESTORABLE:"), F.col("label"), F.lit("/"), F.col("status"), F.lit("]"))
-    put = status.select("__k", F.struct("start", "end", F.when(F.col("status") == "live", F.col("raw")).otherwise(gone).alias("put")).alias("s"))
-    lists = put.groupBy("__k").agg(F.array_sort(F.collect_list("s")).alias("__s"))
-    from ..functions.spans import rewrite
-
-    rows = df.join(lists, df[key] == lists["__k"], "left").drop("__k")
+    put = status.select(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2"), F.struct("start", "end", F.when(F.col("status") == "live", F.col("raw")).otherwise(gone).alias("put")).alias("s"))
+    lists = put.groupBy("__g1", "__g2").agg(F.array_sort(F.collect_list("s")).alias("__s"))
+    rows = df.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
+    rows = rows.join(lists, _same_row(rows, lists), "left").drop("__h1", "__h2", "__g1", "__g2")
     return rows.withColumn("neutral", F.when(F.col("__s").isNotNull(), rewrite(F.col(text), F.col("__s"), lambda s: s["put"])).otherwise(F.col(text))).drop("__s")
 
 
@@ -181,41 +236,62 @@ SYNTHETIC_PARTICLES = ("이", "가", "은", "는", "을", "를", "의", "와", "
 
 
 def synthetic_restorer(keep_particle: bool = True):
-    """Arrow function of (text, synthetic values, texts): longest values first, whole words only.
+    """Arrow function of (text, synthetic values, texts): all values in one pass of an automaton, of those that overlap the longest, whole words only.
 
     A value in Hangul may be followed by one particle; it stays, unless
     ``keep_particle`` is off.
     """
-    import re
-
-    hangul, word = re.compile(HANGUL), re.compile(W)
-
-    def one(text: str, values: list[str], originals: list[str]) -> str:
-        taken: list[tuple[int, int, str]] = []
-        for value, original in sorted(zip(values, originals, strict=True), key=lambda p: -len(p[0])):
-            korean = bool(hangul.search(value))
-            at = text.find(value) if value else -1
-            while at >= 0:
-                end = stop = at + len(value)
-                right = text[end : end + 1]
-                if korean:
-                    particle = right != "" and right in SYNTHETIC_PARTICLES
-                    ok = not (at and hangul.match(text[at - 1])) and not (hangul.match(right or " ") and not particle)
-                    if particle and not hangul.match(text[end + 1 : end + 2] or " ") and not keep_particle:
-                        stop = end + 1
-                else:
-                    ok = not (at and word.match(text[at - 1])) and not word.match(right or " ")
-                if ok and not any(at < z and stop > a for a, z, _ in taken):
-                    taken.append((at, stop, original))
-                    at = text.find(value, stop)
-                else:
-                    at = text.find(value, at + 1)
-        for a, z, original in sorted(taken, reverse=True):
-            text = text[:a] + original + text[z:]
-        return text
+    syllable, word = re.compile(HANGUL), re.compile(W)
+
+    def covers(text: str, start: int, end: int) -> int | None:
+        """Where the replaced part ends; none if the value is not a word of its own there."""
+        letter = syllable if syllable.search(text, start, end) else word
+        joined = lambda i: 0 <= i < len(text) and letter.match(text[i]) is not None
+        if joined(start - 1):
+            return None
+        if letter is syllable and text[end : end + 1] in SYNTHETIC_PARTICLES:
+            return end if keep_particle or joined(end + 1) else end + 1
+        return None if joined(end) else end
+
+    def automaton(values: list[str], originals: list[str]):
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for value, original in zip(values, originals, strict=True):
+            if value and value not in out:
+                out.add_word(value, (len(value), original))
+        out.make_automaton()
+        return out
+
+    def one(text: str, machine) -> str:
+        hits = []
+        for last, (n, original) in machine.iter(text):
+            stop = covers(text, last + 1 - n, last + 1)
+            if stop is not None:
+                hits.append((-n, last + 1 - n, stop, original))
+        chosen: list[tuple[int, int, str]] = []  # in order of place, and disjoint
+        for _, start, stop, original in sorted(hits):
+            at = bisect.bisect_left(chosen, (start,))
+            if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or chosen[at][0] >= stop):
+                chosen.insert(at, (start, stop, original))
+        pieces, at = [], 0
+        for start, stop, original in chosen:
+            pieces += [text[at:start], original]
+            at = stop
+        return "".join([*pieces, text[at:]])
 
     def run(texts: pd.Series, values: pd.Series, originals: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or v is None else one(t, list(v), list(o)) for t, v, o in zip(texts, values, originals, strict=True)])
+        machines: dict[tuple, object] = {}
+        out = []
+        for text, own, put in zip(texts, values, originals, strict=True):
+            if text is not None and own is not None and len(own):
+                pairs = (tuple(own), tuple(put))
+                if pairs not in machines:
+                    machines.clear()  # rows of one session stand together
+                    machines[pairs] = automaton(*map(list, pairs))
+                text = one(text, machines[pairs]) if len(machines[pairs]) else text
+            out.append(text)
+        return pd.Series(out, dtype=object)
 
     return pandas_udf(run, "string")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -19,30 +19,60 @@ DEFAULTS: dict[str, Any] = {
     "masking": {"mode": "token", "rules": {}, "policy": "closed", "bypass": ""},
     "restoration": {"lenient": True, "repair": True, "skip_paths": True, "unknown": "keep", "partial": "keep"},
 }
-_VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
-def substituted(value: Any, environ: dict[str, str]) -> Any:
-    """``${NAME}`` and ``${NAME:-default}`` replaced in all strings; a variable that is not set is empty."""
-    if isinstance(value, str):
-        return _VARIABLE.sub(lambda m: environ.get(m[1]) or (m[2] or ""), value)
-    if isinstance(value, list):
-        return [substituted(v, environ) for v in value]
-    return {k: substituted(v, environ) for k, v in value.items()} if isinstance(value, dict) else value
+def leaves(value: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Any]]:
+    """Paths and values of a nested object; lists, empty objects and all other values are leaves."""
+    if isinstance(value, dict) and (value or not path):
+        for name, inner in value.items():
+            yield from leaves(inner, (*path, name))
+    else:
+        yield path, value
+
 
+def overlay(*layers: Any) -> dict[str, Any]:
+    """One object of the layers' leaves, later ones over earlier ones; a null leaf leaves what is below it."""
+    flat: dict[tuple[str, ...], Any] = {}
+    for path, value in (leaf for layer in layers for leaf in leaves(layer)):
+        if value is None and any(known[: len(path)] == path for known in flat):
+            continue
+        if value == {} and any(known[: len(path)] == path for known in flat):
+            continue
+        for other in [known for known in flat if known != path and (known[: len(path)] == path or path[: len(known)] == known)]:
+            del flat[other]
+        flat[path] = value
+    out: dict[str, Any] = {}
+    for path, value in flat.items():
+        place = out
+        for name in path[:-1]:
+            place = place.setdefault(name, {})
+        place[path[-1]] = copy.deepcopy(value)
+    return out
 
-def merged(base: Any, over: Any) -> Any:
-    """Objects merged key by key; lists and other values replace."""
-    if isinstance(base, dict) and isinstance(over, dict):
-        return {**base, **{k: merged(base.get(k), v) for k, v in over.items()}}
-    return base if over is None else over
+
+def expanded(value: Any, environ: dict[str, str]) -> Any:
+    """``${NAME}`` and ``${NAME:-default}`` in all strings put in; a variable that is not set, or empty, is its default, or empty."""
+    if isinstance(value, dict):
+        return {name: expanded(inner, environ) for name, inner in value.items()}
+    if isinstance(value, list):
+        return [expanded(inner, environ) for inner in value]
+    if not isinstance(value, str):
+        return value
+    first, *rest = value.split("${")
+    out = [first]
+    for piece in rest:
+        inside, closed, after = piece.partition("}")
+        name, _, default = inside.partition(":-")
+        known = closed and name.isascii() and name.isidentifier()
+        out.append((environ.get(name) or default) + after if known else "${" + piece)
+    return "".join(out)
 
 
 def load(paths: Iterable[str] = (), environ: dict[str, str] | None = None) -> dict[str, Any]:
     """The defaults with the first of the JSON files that exists laid over them. An unknown category is an error."""
     environ = dict(os.environ) if environ is None else environ
     found = next((p for p in map(Path, paths) if p.expanduser().is_file()), None)
-    config = merged(DEFAULTS, substituted(json.loads(found.expanduser().read_text()), environ)) if found else merged(DEFAULTS, {})
+    config = overlay(DEFAULTS, expanded(json.loads(found.expanduser().read_text()), environ) if found else {})
     for field in ("categories", "disabled_categories"):
         if unknown := set(config["detection"][field]) - set(CATEGORIES):
             raise ValueError(f"{field}: unknown {sorted(unknown)}")

@@ -16,42 +16,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.tokens import HASH_CHARS, MAX_TOKEN, OPEN
+from ..functions.tokens import CLOSE, HASH_CHARS, MAX_TOKEN, OPEN
 
 WINDOW = 2 * MAX_TOKEN
-_STARTS = "|".join(re.escape(OPEN[:n]) for n in range(1, len(OPEN) + 1))
-_WHOLE = re.compile(rf"\{{\{{OPF:[A-Z][A-Z0-9_]*:[a-z0-9]{{{HASH_CHARS}}}\}}\}}$", re.I)
-_OPEN_TAIL = re.compile(rf"(?:{_STARTS}|\{{\{{OPF:[A-Z][A-Z0-9_]*(?::?[a-z0-9]{{0,{HASH_CHARS}}}(?:\}}\}}|\}})?)?)$", re.I)
 _TOKEN = re.compile(rf"\{{\{{OPF:([A-Za-z][A-Za-z0-9_]*):([A-Za-z0-9]{{{HASH_CHARS}}})(?:\}}\}})?(?![A-Za-z0-9_])", re.I)
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+_DIGITS = frozenset("0123456789")
 
 Restore = Callable[[str], str]
 
 
-def safe_length(text: str, window: int = WINDOW) -> int:
-    """How much of the text can be released: all of it, but for a tail that may grow into a token."""
-    start = max(0, len(text) - window)
-    tail = text[start:]
-    if not text or _WHOLE.search(tail):
-        return len(text)
-    found = _OPEN_TAIL.search(tail)
-    return start + found.start() if found else len(text)
+def unfinished(tail: str) -> bool:
+    """True if the tail is the beginning of a token, but not a whole one."""
+    low = tail.lower()
+    if len(low) <= len(OPEN):
+        return OPEN.lower().startswith(low)
+    if not low.startswith(OPEN.lower()):
+        return False
+    label, colon, digest = low[len(OPEN) :].partition(":")
+    if label[:1] not in _LETTERS or not set(label) <= _LETTERS | _DIGITS | {"_"}:
+        return False
+    body = digest[:HASH_CHARS]
+    if not set(body) <= _LETTERS | _DIGITS:
+        return False
+    return not colon or len(digest) < HASH_CHARS or digest[HASH_CHARS:] in ("", CLOSE[:1])
 
 
 class DeltaBuffer:
+    """Text of a stream that waits for what follows it: a tail, no longer than the window, from a brace that may open a token."""
+
     def __init__(self, held: str = "", window: int = WINDOW) -> None:
         if window < MAX_TOKEN:
             raise ValueError("a window shorter than a token would release its start")
         self.held, self.window = held, window
 
-    def push(self, chunk: str) -> str:
-        self.held += chunk
-        n = safe_length(self.held, self.window)
-        out, self.held = self.held[:n], self.held[n:]
-        return out
-
-    def flush(self) -> str:
-        out, self.held = self.held, ""
-        return out
+    def take(self, chunk: str, last: bool = False) -> str:
+        """What can go out after a chunk: all, if it is the last one."""
+        whole = self.held + chunk
+        cut = len(whole)
+        if not last:
+            at = whole.find(OPEN[0], max(0, cut - self.window))
+            while at >= 0 and not unfinished(whole[at:]):
+                at = whole.find(OPEN[0], at + 1)
+            cut = at if at >= 0 else cut
+        self.held = whole[cut:]
+        return whole[:cut]
 
 
 def by_table(entries: dict[str, str]) -> Restore:
@@ -142,11 +151,11 @@ class EventRestorer:
         self.signed: dict[str, str] = {}
 
     def _piece(self, key: str, chunk: str) -> str:
-        return self.restore(self.text.setdefault(key, DeltaBuffer()).push(chunk))
+        return self.restore(self.text.setdefault(key, DeltaBuffer()).take(chunk))
 
     def _rest(self, key: str) -> str:
         buffer = self.text.pop(key, None)
-        return self.restore(buffer.flush()) if buffer else ""
+        return self.restore(buffer.take("", last=True)) if buffer else ""
 
     def push(self, event: str | None, data: str) -> list[tuple[str | None, str]]:
         try:
@@ -269,9 +278,7 @@ RELEASED = "stream_id string, seq long, text string"
 
 def _released(rows: pd.DataFrame, buffer: DeltaBuffer) -> Iterator[tuple[int, str]]:
     for r in rows.sort_values("seq").itertuples():
-        out = buffer.push(r.chunk or "")
-        if r.is_last:
-            out += buffer.flush()
+        out = buffer.take(r.chunk or "", bool(r.is_last))
         if out:
             yield r.seq, out
 
