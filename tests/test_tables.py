@@ -1,4 +1,5 @@
 import itertools
+import random
 import json
 
 import numpy as np
@@ -128,6 +129,19 @@ def test_latency_index(spark):
     assert (got.n, got.p50, got.p95, got.p99, got.avg) == (100, 50.0, 95.0, 99.0, 49.5)
 
 
+def test_latency_against_sorting(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([r.random() * 1000, 5.0, float(r.randrange(20))])) for g in ("a", "b", None) for _ in range(r.randrange(50, 900))] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    for ranges in (2, 7, 512):
+        got = {x.g: x for x in audit.latency(df, "v", ["g"], ranges).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g, x in got.items():
+            own = sorted(v for k, v in rows if k == g and v is not None)
+            want = [own[min(int(len(own) * p), len(own) - 1)] for p in (0.5, 0.95, 0.99)]
+            assert [x.n, x.p50, x.p95, x.p99] == [len(own), *want] and abs(x.avg - sum(own) / len(own)) < 1e-6
+
+
 TOKEN = "{{OPF:EMAIL:4ov1qksihef66la1}}"
 
 

@@ -141,19 +141,33 @@ def leaks(masked: DataFrame, detect, text: str = "masked") -> DataFrame:
     return masked.withColumn("leaked", F.size(detect(sweep(F.col(text), " "))))
 
 
-def latency(samples: DataFrame, column: str, by: list[str]) -> DataFrame:
+def latency(samples: DataFrame, column: str, by: list[str], ranges: int = 512) -> DataFrame:
     """Mean, percentiles and throughput of millisecond samples; a percentile is the sample at index floor(n * p) of the sorted ones.
 
-    Samples are first counted by value, so a group's rows never meet in one place, only its distinct values.
+    Samples are first counted by value, and values by ``ranges`` ranges of each
+    group, whose bounds are approximate quantiles. A window then goes over the
+    ranges of a group, and another one over the values of a range, so that
+    neither a group's rows nor its distinct values meet in one place. Bounds
+    decide where values are counted, never what is found. Null samples do not
+    count; null groups are groups.
     """
     from pyspark.sql import Window
 
-    values = samples.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    group = Window.partitionBy(*by)
-    values = values.withColumn("n", F.sum("c").over(group)).withColumn("upto", F.sum("c").over(group.orderBy("v")))
+    names = [f"g{i}" for i in range(len(by))]
+    values = samples.filter(F.col(column).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    bounds = values.groupBy(*names).agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("bounds"), F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"))
+    others = bounds.toDF(*[f"o{n}" for n in names], "bounds", "n", "total")
+    same = [F.col(n).eqNullSafe(F.col(f"o{n}")) for n in names]
+    values = values.join(others, same, "inner") if names else values.crossJoin(others)  # of one row, if there is no group
+    values = values.withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    group = [*names, "range"]
+    before = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.groupBy(*group).agg(F.sum("c").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    parts = parts.toDF(*[f"p{n}" for n in group], "m", "base")
+    values = values.join(parts, [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in group])
+    values = values.withColumn("upto", F.col("base") + F.sum("c").over(Window.partitionBy(*group).orderBy("v")))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
-    total = F.sum(F.col("v") * F.col("c"))
-    return values.groupBy(*by).agg(
-        F.first("n").alias("n"), (total / F.first("n")).alias("avg"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-        (F.first("n") * 1000 / total).alias("per_second"),
-    )
+    out = values.groupBy(*names).agg(F.first("n").alias("n"), F.first("total").alias("total"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return out.select(
+        *[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "n", (F.col("total") / F.col("n")).alias("avg"), "p50", "p95", "p99", (F.col("n") * 1000 / F.col("total")).alias("per_second")
+    )
