@@ -1,14 +1,17 @@
 import itertools
-import random
 import json
+import os
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from umbraline import api
-from umbraline.operators import audit, evals, images, messages, ner
+from umbraline.functions import spans as S
+from umbraline.operators import audit, detect, evals, images, messages, ner
 from umbraline.operators import mask as M
 from umbraline.sources import config, files
 from umbraline.streaming import deltas as D
@@ -209,8 +212,6 @@ def test_streaming_state_equals_batch(spark, tmp_path):
     for i in range(3):
         part = rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
         pd.DataFrame(part, columns=["stream_id", "seq", "chunk", "is_last"]).to_json(tmp_path / f"in{i}.json", orient="records", lines=True)
-        import os
-
         os.utime(tmp_path / f"in{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in*.json"))
     query = D.rejoin_stream(source).writeStream.format("memory").queryName("rejoined").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -338,3 +339,195 @@ def test_layers_of_configuration():
     cases = {"${X}": "1", "a${X}b${NO}c": "a1bc", "${NO:-d}": "d", "${EMPTY:-d}": "d", "${X:-d}": "1", "$X ${1a} ${X": "$X ${1a} ${X", "": ""}
     for raw, want in cases.items():
         assert config.expanded({"k": [raw]}, environ) == {"k": [want]}
+
+
+def _stream(spark, tmp_path, rows, schema, name, make, batches=3):
+    """Rows as a stream of files, one a batch, through ``make`` into a table in memory."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    for i in range(batches):
+        part = rows[i * len(rows) // batches : (i + 1) * len(rows) // batches]
+        pd.DataFrame(part, columns=columns).to_json(tmp_path / f"in{i}.json", orient="records", lines=True)
+        os.utime(tmp_path / f"in{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in*.json"))
+    query = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return spark.table(name)
+
+
+def test_event_stream_equals_whole_streams(spark, tmp_path):
+    delta = lambda t: json.dumps({"choices": [{"index": 0, "delta": {"content": t}}]})
+    text = f"to {TOKEN} and {TOKEN}"
+    data = [delta(text[i : i + 7]) for i in range(0, len(text), 7)] + [json.dumps({"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}), "[DONE]"]
+    rows = [("a", "s", i, None, d, i == len(data) - 1) for i, d in enumerate(data)]
+    schema = "stream_id string, session_id string, n long, event string, data string, is_last boolean"
+    vault = spark.createDataFrame([("s", TOKEN, "x@y.org"), ("t", TOKEN, "wrong")], "session_id string, token string, text string")
+    got = _stream(spark, tmp_path, rows, schema, "events_back", lambda df: D.restore_event_stream(df, vault, "openai"))
+    whole = D.restore_events(spark.createDataFrame(rows, schema).drop("is_last"), vault, "openai")
+    said = lambda df: "".join(json.loads(r.data)["choices"][0]["delta"].get("content", "") for r in sorted(df.collect(), key=lambda r: r.n) if r.data != "[DONE]")
+    assert said(got) == said(whole) == "to x@y.org and x@y.org"
+    assert [r.n for r in sorted(got.collect(), key=lambda r: r.n)] == list(range(got.count()))
+
+
+def test_sse_stream_equals_whole_streams(spark, tmp_path):
+    raw = ": note\nevent: a\ndata: 1\ndata: 2\n\n\r\ndata: x\r\n\r\nevent: end\n\ndata: tail"
+    rows = [("s", i, raw[i * 3 : i * 3 + 3], i * 3 + 3 >= len(raw)) for i in range(-(-len(raw) // 3))]
+    schema = "stream_id string, seq long, chunk string, is_last boolean"
+    got = _stream(spark, tmp_path, rows, schema, "sse_back", D.parse_sse_stream)
+    whole = D.parse_sse(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str) and got.count() == 4
+
+
+def test_thinking_cache_as_state(spark, tmp_path):
+    w = lambda i, s, t: ("s", i, s, t)
+    rows = [w(0, "a", "A"), w(1, "b", "B"), w(2, "a", None), w(3, "c", "C"), w(4, "b", None), w(5, "a", None), w(6, "big", "x" * 50), w(7, "big", None), w(8, "d", "D" * 9), w(9, "c", None), w(10, "d", None)]
+    got = _stream(spark, tmp_path, rows, "session_id string, seq long, signature string, thinking string", "thinking_back", lambda df: D.thinking_stream(df, entries=2, size=10))
+    assert {r.seq: r.thinking for r in got.collect()} == {2: "A", 4: None, 5: "A", 7: None, 9: None, 10: "D" * 9}
+
+
+def test_stream_to_a_callback(spark, tmp_path):
+    seen = []
+    pd.DataFrame([{"a": 1}, {"a": 2}]).to_json(tmp_path / "in.json", orient="records", lines=True)
+    source = spark.readStream.schema("a long").json(str(tmp_path / "in*.json"))
+    files.stream_to(source, lambda df, n: seen.extend((n, r.a) for r in df.collect()), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(seen) == [(0, 1), (0, 2)]
+
+
+def _spans_or_null(spark, strategy, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return {r.i: r.s if r.s is None else [x.text for x in r.s] for r in df.select("i", strategy.attempt(F.col("text")).alias("s")).collect()}
+
+
+def test_failures_of_backends(spark):
+    """A backend that fails for a text is left out; a critical one, or all of them, fail the text; policies decide what follows."""
+    def backend(word):
+        def run(ts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None or word in t else [{"start": 0, "end": 1, "category": "secret", "confidence": 0.9, "text": t[:1]}] for t in ts], dtype=object)
+
+        return pandas_udf(run, f"array<{S.SPAN}>")
+
+    local = detect.local(["private_email"])
+    texts = ["q a@b.co", "bad a@b.co", "worse a@b.co", None]
+    soft, hard = detect.Backend(backend("bad"), "soft"), detect.Backend(backend("worse"), "hard", critical=True)
+    assert _spans_or_null(spark, detect.Strategy(local, remote=[soft]), texts) == {0: ["q", "a@b.co"], 1: ["a@b.co"], 2: ["w", "a@b.co"], 3: None}
+    both = detect.Strategy(local, remote=[soft, hard])
+    assert _spans_or_null(spark, both, texts) == {0: ["q", "a@b.co"], 1: ["b", "a@b.co"], 2: None, 3: None} and both.name == "local+soft+hard"
+    # as expressions: an Arrow function cannot follow the local patterns in one column
+    column = lambda word: lambda t: F.when(~t.contains(word), F.array(S.span(F.lit(0), F.substring(t, 1, 1), "secret", 0.9)))
+    late, first = detect.Backend(column("worse"), "late", critical=True), column("bad")
+    assert _spans_or_null(spark, detect.Strategy(local, remote=[late], kind="tiered"), texts) == {0: ["q", "a@b.co"], 1: ["b", "a@b.co"], 2: None, 3: None}
+    assert _spans_or_null(spark, detect.Strategy(first, remote=[late], kind="tiered", local_failure="skip_remote"), texts)[1] == []
+    assert _spans_or_null(spark, detect.Strategy(first, remote=[late], kind="tiered"), texts)[1] is None
+    assert _spans_or_null(spark, detect.Strategy(backend("bad"), remote=[soft]), texts)[1] is None
+    df = spark.createDataFrame([(2, texts[2])], "id int, text string")
+    with pytest.raises(Exception, match="detection failed"):
+        M.mask(df, M.MaskOptions("k", both)).collect()
+    assert M.mask(df, M.MaskOptions("k", both, policy="hybrid")).first().masked.startswith("worse {{OPF:EMAIL:")
+    assert M.mask(df, M.MaskOptions("k", both, policy="open")).first().masked == texts[2]
+    # a model in an Arrow function after the local patterns, in texts that these have blanked out
+    tiered = M.mask(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), M.MaskOptions("k", detect.Strategy(local, remote=[soft], kind="tiered")))
+    assert [(r.masked or "").split("{{")[0] for r in tiered.orderBy("id").collect()] == ["", "bad ", "", ""]
+    with pytest.raises(ValueError):
+        detect.Strategy(local, local_failure="guess")
+
+
+def test_remote_detector(spark):
+    """Tries again while a service is unavailable; what it refuses, or never answers, has no spans at all."""
+
+    def send(body):
+        import json
+
+        text = json.loads(body)["text"]
+        turns = send.__dict__.setdefault("turns", {})
+        turns[text] = turns.get(text, 0) + 1
+        if text == "down" or (text.startswith("late") and turns[text] < 3):
+            raise files.Unavailable("try later")
+        if text == "refused":
+            raise ValueError("no")
+        return "no json" if text == "broken" else json.dumps({"detections": [{"start": 0, "end": 4, "label": "private_person", "score": 0.8}]})
+
+    find = files.remote_detector(send, retries=2, wait=0)
+    df = spark.createDataFrame([(t,) for t in ("late Ann", "down", "refused", "broken", "Anna x", None)], "text string").coalesce(1)
+    got = {r.text: r.s if r.s is None else [tuple(x) for x in r.s] for r in df.select("text", find(F.col("text")).alias("s")).collect()}
+    assert got["late Ann"] == [(0, 4, "private_person", 0.8, "late")] and got["Anna x"] == [(0, 4, "private_person", 0.8, "Anna")]
+    assert [got[t] for t in ("down", "refused", "broken", None)] == [None] * 4
+
+
+def test_message_parts(spark):
+    mail = "a@b.co"
+    parts = [
+        {"type": "text", "text": mail}, {"type": "tool", "tool": "x", "state": {"input": {"path": mail, "n": 1}, "output": f"to {mail}"}}, {"type": "subtask", "prompt": mail, "description": mail, "agent": mail},
+        {"type": "file", "source": {"text": {"value": mail}}, "url": mail}, {"type": "compaction", "text": f"{mail} {TOKEN}"}, {"type": "new kind", "id": mail, "deep": [{"x": mail}]},
+    ]
+    df = spark.createDataFrame([(1, json.dumps(p)) for p in parts] + [(1, None)], "id int, part string")
+    got = {r.part: r.masked for r in messages.mask_parts(df, OPT).collect()}
+    token = M.mask(spark.createDataFrame([(mail,)], "text string"), OPT).first().masked
+    out = [json.loads(got[json.dumps(p)]) for p in parts]
+    assert out[0]["text"] == token and out[1]["state"] == {"input": {"path": token, "n": 1}, "output": f"to {token}"}
+    assert out[2] == {"type": "subtask", "prompt": token, "description": token, "agent": mail}
+    assert out[3] == {"type": "file", "source": {"text": {"value": token}}, "url": mail}
+    assert out[4]["text"] == "[REDACTED] [REDACTED]" and out[5] == {"type": "new kind", "id": mail, "deep": [{"x": token}]} and got[None] is None
+
+
+def test_bodies_that_share_a_key(spark):
+    body = lambda t: json.dumps({"messages": [{"role": "user", "content": t}]})
+    rows = [(1, body("a@b.co")), (1, body("no mail")), (None, body("c@d.co")), (1, body("a@b.co"))]
+    got = messages.mask_bodies(spark.createDataFrame(rows, "id int, body string"), "openai", OPT, "id").collect()
+    assert len(got) == 4
+    for r in got:
+        said = json.loads(r.masked)["messages"][-1]["content"]
+        assert (said == "no mail") == ("no mail" in r.body) and "@" not in said
+
+
+def test_settings_of_the_environment():
+    got = config.load([], {"UMBRALINE_US_SSN": "yes", "UMBRALINE_DISABLED_CATEGORIES": "card, rrn", "UMBRALINE_MIN_CONFIDENCE": "0.5", "UMBRALINE_POLICY": "Hybrid", "UMBRALINE_MODE": " "})
+    assert got["detection"]["us_ssn"] is True and got["detection"]["disabled_categories"] == ["card", "rrn"] and got["detection"]["min_confidence"] == 0.5
+    assert got["masking"]["policy"] == "hybrid" and got["masking"]["mode"] == "token"
+    for name, bad in (("UMBRALINE_US_SSN", "maybe"), ("UMBRALINE_MIN_CONFIDENCE", "2"), ("UMBRALINE_POLICY", "guess"), ("UMBRALINE_DISABLED_CATEGORIES", "nothing")):
+        with pytest.raises(ValueError, match="nothing" if "CATEGORIES" in name else name):
+            config.load([], {name: bad})
+
+
+def _png(grid, colour, filters):
+    """A PNG image whose rows have the given filters, by the format's definition."""
+    import struct
+    import zlib
+
+    height, width, step = grid.shape
+    flat, lines = grid.reshape(height, -1).astype(int), []
+    for y in range(height):
+        kind, line = filters[y % len(filters)], []
+        for x in range(width * step):
+            a = flat[y, x - step] if x >= step else 0
+            b = flat[y - 1, x] if y else 0
+            c = flat[y - 1, x - step] if y and x >= step else 0
+            p = a + b - c
+            guess = [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][kind]
+            line.append((flat[y, x] - guess) % 256)
+        lines.append(bytes([kind, *line]))
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"tEXt", b"note\0secret") + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def test_black_boxes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for colour, step in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        grid = rng.integers(0, 256, (9, 7, step)).astype(np.uint8)
+        want = grid.copy()
+        want[2:5, 1:4] = 0
+        want[7:, 5:] = 0
+        if step in (2, 4):
+            want[2:5, 1:4, -1] = want[7:, 5:, -1] = 255
+        got = images.blacken(_png(grid, colour, [0, 1, 2, 3, 4]), [(1, 2, 4, 5), (5, 7, 99, 99)])
+        # read back by the same format: without filters, its rows are the pixels
+        assert b"secret" not in got
+        data = b"".join(d for k, d in images._chunks(got) if k == b"IDAT")
+        back = images._pixels(__import__("zlib").decompress(data), 7, 9, step).reshape(9, 7, step)
+        assert (back == want).all()
+    (tmp_path / "a.png").write_bytes(_png(grid, 6, [4]))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    found = files.images(spark, str(tmp_path / "*.png"))
+    boxes = spark.createDataFrame([(r.image_id, 0, 0, 7, 9) for r in found.collect()], "image_id string, left int, top int, right int, bottom int")
+    out = {r.image_id[-5]: r for r in images.redact_images(found, boxes).collect()}
+    assert out["a"].error is None and out["b"].redacted is None and "PNG" in out["b"].error
+    with pytest.raises(Exception, match="too large"):
+        files.images(spark, str(tmp_path / "*.png"), most=5).collect()

@@ -223,7 +223,7 @@ def test_scoreboard(spark):
     vault = M.build_vault(masked, "session_id", "id")
     board = evals.scoreboard(masked.select("id", "session_id", "masked"), vault, "k")
     rows = {r.class_name: r for r in board.collect()}
-    assert len(rows) == 15
+    assert len(rows) == 16
     for r in rows.values():
         assert r.foreign_restorations == 0, r
         if r.kind != "probe":

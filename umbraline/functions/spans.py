@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import LITERAL_SIGNS, SIGNS
@@ -62,6 +62,15 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(some, found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>"))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed before anything that uses it.
+
+    Arrow functions cannot take arguments in which lambdas stand within lambdas,
+    as spans' do; an optimiser that put them there again stops at a generator.
+    """
+    return df.withColumn("__settled", value).select("*", F.explode(F.array("__settled")).alias(name)).drop("__settled")
+
+
 def span(start: Column, text: Column, category: str | Column, confidence: float | Column) -> Column:
     category = F.lit(category) if isinstance(category, str) else category
     confidence = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence

@@ -7,6 +7,7 @@ category is not asked for, as they are never built.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
@@ -289,6 +290,18 @@ def _person_authority(local_spans: Column, remote: Column) -> Column:
     return F.concat(others(local_spans), F.transform(F.filter(remote, person), sharper), others(remote))
 
 
+@dataclass(frozen=True)
+class Backend:
+    """A detector that may fail for a text, which it tells by null spans; without a ``critical`` one, nothing counts as detected."""
+
+    detector: Detector
+    name: str = "remote"
+    critical: bool = False
+
+    def __call__(self, text: Column) -> Column:
+        return self.detector(text)
+
+
 @dataclass(frozen=True)
 class Strategy:
     """How detectors are combined.
@@ -299,6 +312,12 @@ class Strategy:
 
     Dictionaries and custom patterns are local and keep local names, unless
     ``strict_reference_merge`` counts them as remote.
+
+    A detector that gives null spans for a text has failed there. A text fails
+    if a critical one of the others did, or all of them and the local ones; with
+    ``tiered``, also if the local ones did, unless ``local_failure`` is
+    ``skip_remote``, which then detects nothing. What other detectors found
+    counts without those that failed.
     """
 
     local: Detector
@@ -309,44 +328,90 @@ class Strategy:
     remote_overrules_persons: bool = True
     strict_reference_merge: bool = False
     names: Sequence[str] = field(default=("local",))
+    local_failure: str = "throw"
 
-    def spans(self, text: Column, keep: Callable[[Column], Column] = lambda s: s) -> Column:
-        """Disjoint spans; ``keep`` filters them before they are merged."""
+    def __post_init__(self) -> None:
         if self.kind not in ("single", "merge", "tiered"):
             raise ValueError(f"unknown strategy: {self.kind}")
+        if self.local_failure not in ("throw", "skip_remote"):
+            raise ValueError(f"unknown handling of a local failure: {self.local_failure}")
+
+    @property
+    def name(self) -> str:
+        return "+".join([*self.names, *(d.name for d in self.remote if isinstance(d, Backend))])
+
+    def _base(self, text: Column) -> Column:
+        """Spans of the local detectors; null if one of them failed."""
+        extra = [] if self.kind == "single" or self.strict_reference_merge else [d(text) for d in self.extra]
+        return F.concat(self.local(text), *extra) if extra else self.local(text)
+
+    def _seen(self, text: Column, base: Column) -> Column:
+        return S.redact(text, F.coalesce(base, S.no_spans())) if self.kind == "tiered" else text
+
+    def prepared(self, df: DataFrame, text: Column) -> tuple[DataFrame, tuple[Column, Column] | None]:
+        """The rows with what the remote detectors follow, computed before them, for ``attempt``. Models in Arrow functions need it with ``tiered``."""
+        if not self.remote or self.kind == "single":
+            return df, None
+        df = S.settled(df, "__base", self._base(text))
+        df = S.settled(df, "__seen", self._seen(text, F.col("__base"))) if self.kind == "tiered" else df.withColumn("__seen", text)
+        return df, (F.col("__base"), F.col("__seen"))
+
+    def attempt(self, text: Column, keep: Callable[[Column], Column] = lambda s: s, ready: tuple[Column, Column] | None = None) -> Column:
+        """Disjoint spans; ``keep`` filters them before they are merged. Null for a null text, and for one that failed."""
         fold = lambda s: S.MERGES[self.merge](keep(s))
-        base = self.local(text)
-        if self.kind == "single":
+        base = self._base(text) if ready is None else ready[0]
+        extra = [d(text) for d in self.extra] if self.strict_reference_merge and self.kind != "single" else []
+        if self.kind == "single" or not (extra or self.remote):
             return fold(base)
-        extra = [d(text) for d in self.extra]
-        if not self.strict_reference_merge and extra:
-            base = F.concat(base, *extra)
-        seen = S.redact(text, base) if self.kind == "tiered" else text
-        remote = [d(seen) for d in self.remote]
-        if self.strict_reference_merge:
-            remote = [*extra, *remote]
-        if not remote:
-            return fold(base)
-        more = F.concat(*remote) if len(remote) > 1 else remote[0]
+        seen = self._seen(text, base) if ready is None else ready[1]
+        others = [*extra, *(d(seen) for d in self.remote)]
+        critical = [i for i, d in enumerate([*self.extra[: len(extra)], *self.remote]) if getattr(d, "critical", False)]
+        # bound once, as each is asked for its failure and for its spans; outside of lambdas, where Arrow functions cannot stand
+        found = F.struct(base.alias("base"), *[x.alias(f"x{i}") for i, x in enumerate(others)])
+        return S.let(found, lambda x: F.when(text.isNotNull(), self._judged(text, x["base"], [x[f"x{i}"] for i in range(len(others))], critical, fold)))
+
+    def _judged(self, text: Column, base: Column, others: list[Column], critical: list[int], fold: Callable[[Column], Column]) -> Column:
+        either = lambda conditions, start: functools.reduce(lambda a, b: a | b, conditions, start)
+        some = F.concat(S.no_spans(), *[F.coalesce(x, S.no_spans()) for x in others])
         if self.kind == "tiered":
             whole = lambda s: S.span(s["start"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["category"], s["confidence"])
-            more = F.transform(more, whole)
-        joined = person_authority(base, more) if self.remote_overrules_persons else F.concat(base, more)
-        return fold(joined)
+            some = F.transform(some, whole)
+        mine = F.coalesce(base, S.no_spans())
+        joined = person_authority(mine, some) if self.remote_overrules_persons else F.concat(mine, some)
+        lost = either([others[i].isNull() for i in critical], functools.reduce(lambda a, b: a & b, [x.isNull() for x in others], base.isNull()))
+        if self.kind == "tiered":
+            skipped = F.lit(self.local_failure == "skip_remote")
+            return F.when(base.isNull() & skipped, S.no_spans()).when(~(lost | base.isNull()), fold(joined))
+        return F.when(~lost, fold(joined))
+
+    def spans(self, text: Column, keep: Callable[[Column], Column] = lambda s: s) -> Column:
+        """Disjoint spans; a text that failed fails the query."""
+        return failing(text, self.attempt(text, keep))
+
+
+def failing(text: Column, spans: Column) -> Column:
+    """The spans; an error for a text without any list of them."""
+    return F.coalesce(spans, F.when(text.isNotNull(), F.raise_error(F.lit("detection failed"))).cast(f"array<{S.SPAN}>"))
 
 
 def detections(
-    text: Column, strategy: Strategy | None = None, excluded: Iterable[str] = (), least_confidence: float = 0.0, generic_secrets: bool = False, secret_scan: bool = True
+    text: Column, strategy: Strategy | None = None, excluded: Iterable[str] = (), least_confidence: float = 0.0, generic_secrets: bool = False, secret_scan: bool = True,
+    fallback: bool = False, ready: tuple[Column, Column] | None = None,
 ) -> Column:
     """Disjoint spans of a text; a null text has null.
 
     Excluded categories go before spans are merged, so that a wide excluded one
     hides no other. Persons are widened to whole Latin words. Secrets are
-    scanned again and put first.
+    scanned again and put first. Where the strategy fails, the pattern detectors
+    alone decide, with ``fallback``; without it, the query fails.
     """
     strategy = strategy or Strategy(local())
     gone = list(excluded)
-    found = strategy.spans(text, lambda s: S.confident(S.without(s, gone), least_confidence))
+    keep = lambda s: S.confident(S.without(s, gone), least_confidence)
+    found = strategy.attempt(text, keep, ready)
+    if fallback:
+        found = F.coalesce(found, Strategy(local()).attempt(text, keep))
+    found = failing(text, found)
     found = S.merge_longest(S.expand_person_words(text, found))
     if secret_scan and "secret" not in gone:
         found = S.merge_longest(F.concat(secret_spans(generic_secrets)(text), found))

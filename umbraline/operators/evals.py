@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,11 +159,12 @@ def mutate(masked: DataFrame, text: str = "masked", key: str = "id") -> DataFram
     return rows.select(*masked.columns, "live", "__c.*", F.concat_ws("/", F.col(key).cast("string"), F.col("__c.class_id").cast("string")).alias("case_id"))
 
 
-def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id", text: str = "masked", session: str = "session_id", options: RestoreOptions | None = None) -> DataFrame:
+def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id", text: str = "masked", session: str = "session_id", options: RestoreOptions | None = None, known_gaps: dict[str, float] | None = None) -> DataFrame:
     """For each mutation: cases, values expected and restored, residual tokens, and false restorations.
 
     A restoration is false if a probe gives a value that the mutated text did
-    not name by label and hash.
+    not name by label and hash. ``known_gaps``: shares of values, by class, that
+    are known to come back, where that is less than all.
     """
     cases = mutate(masked, text, key)
     done = restore(cases, vault, secret, "case_id", "mutated", session, options)
@@ -179,13 +182,62 @@ def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id"
         F.count(F.lit(1)).alias("cases"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"), F.coalesce(F.sum("back"), F.lit(0)).alias("restored"),
         F.sum("residual_token_count").alias("residual"), F.coalesce(F.sum("foreign"), F.lit(0)).alias("foreign_restorations"),
     )
-    status = (
+    board = board.unionByName(delta_board(masked, vault, key, text, session))
+    return board.withColumn("status", class_status(dict(known_gaps or {})))
+
+
+def class_status(known_gaps: dict[str, float]) -> Column:
+    """State of a class: a probe is withheld, or repaired by its hash alone whatever its label; others are whole, as far as is known to be possible, or worse."""
+    share = F.col("restored") / F.col("expected")
+    gap = functools.reduce(lambda a, kv: F.when(F.col("class_name") == kv[0], F.lit(float(kv[1]))).otherwise(a), known_gaps.items(), F.lit(None).cast("double"))
+    return (
         F.when(F.col("foreign_restorations") > 0, "invariant-violated")
+        .when((F.col("kind") == "probe") & F.col("class_name").isin(*LABEL_PROBES) & (F.col("restored") > 0), "category-blind-repair")
         .when(F.col("kind") == "probe", "probe-withheld")
         .when(F.col("restored") == F.col("expected"), "ok")
+        .when(share >= gap, "baseline-gap")
         .otherwise("regression")
     )
-    return board.withColumn("status", status)
+
+
+#: Probes that change a token's label and leave its hash.
+LABEL_PROBES = ("category-rename", "category-swap")
+
+
+def delta_board(masked: DataFrame, vault: DataFrame, key: str = "id", text: str = "masked", session: str = "session_id") -> DataFrame:
+    """Mutation 7 as a row of the scoreboard: each text in two deltas, cut at every place; a value counts as restored if every cut gives it back.
+
+    Needs one text and the session's entries of its own tokens at a time.
+    """
+    tokens = masked.select(F.col(session).alias("session_id"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    named = tokens.select("session_id", "t", F.explode_outer(F.array_distinct(F.transform(_tokens(F.col("t")), lambda x: x["token"]))).alias("token"))
+    entries = vault.select(F.col("session_id").alias("__s"), F.col("token").alias("__t"), F.col("text").alias("value"))
+    met = named.join(entries, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("token") == F.col("__t")), "left")
+    cases = met.groupBy("session_id", "t").agg(F.map_from_entries(F.collect_set(F.when(F.col("value").isNotNull(), F.struct("token", "value")))).alias("entries"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..streaming.deltas import DeltaBuffer, by_table
+
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                entries = dict(r.entries)
+                fix, found, left = by_table(entries), set(entries.values()), 0
+                for cut in range(1, len(r.t)):
+                    buffer = DeltaBuffer()
+                    back = fix(buffer.take(r.t[:cut])) + fix(buffer.take(r.t[cut:], last=True))
+                    found = {v for v in found if v in back}
+                    left = max(left, sum(back.count(token) for token in entries))
+                rows.append((len(set(entries.values())), len(found), left))
+            yield pd.DataFrame(rows, columns=["expected", "restored", "residual"])
+
+    done = cases.mapInPandas(run, "expected long, restored long, residual long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    board = done.agg(F.count(F.lit(1)).alias("cases"), total("expected"), total("restored"), total("residual"))
+    return board.select(
+        F.lit(7).alias("class_id"), F.lit("delta-split").alias("class_name"), F.lit("surface").alias("kind"), "cases", "expected", "restored", "residual",
+        F.lit(0).cast("long").alias("foreign_restorations"),
+    )
 
 
 def false_restoration_rate(board: DataFrame) -> DataFrame:

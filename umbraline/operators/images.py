@@ -1,11 +1,17 @@
 """Regions of images to black out, from recognised words and the spans in their text.
 
-Recognition and drawing need libraries that are not part of the engine; the
-table algebra between them is here.
+Recognition needs a library that is not part of the engine; the table algebra
+after it is here, and black boxes in PNG images.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +57,100 @@ def decision(uncertain: DataFrame, policy: str) -> DataFrame:
     if policy not in ("mask", "warn", "block"):
         raise ValueError(f"unknown policy: {policy}")
     return uncertain.groupBy("image_id").agg(F.count(F.lit(1)).alias("uncertain_words")).withColumn("decision", F.lit(policy))
+
+
+_PNG = b"\x89PNG\r\n\x1a\n"
+#: Bytes of a pixel by colour type, for 8 bits a channel: grey, colour, palette, grey and colour with opacity.
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = len(_PNG)
+    while at + 8 <= len(content):
+        (size,) = struct.unpack(">I", content[at : at + 4])
+        yield content[at + 4 : at + 8], content[at + 8 : at + 8 + size]
+        at += 12 + size
+
+
+def _pixels(raw: bytes, width: int, height: int, step: int) -> np.ndarray:
+    """Rows of bytes without the filters of the format, each of which adds what lies to the left, above, or both."""
+    lines = np.frombuffer(raw, dtype=np.uint8).reshape(height, 1 + width * step)
+    out = np.zeros((height, width * step), dtype=np.uint8)
+    above = np.zeros(width * step, dtype=np.uint8)
+    for y in range(height):
+        kind, line = int(lines[y, 0]), lines[y, 1:]
+        if kind == 1:
+            own = np.cumsum(line.reshape(width, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            own = line + above
+        elif kind in (3, 4):
+            own = np.array(line)
+            for x in range(width):
+                a = own[(x - 1) * step : x * step].astype(np.int16) if x else np.zeros(step, np.int16)
+                b = above[x * step : (x + 1) * step].astype(np.int16)
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    c = above[(x - 1) * step : x * step].astype(np.int16) if x else np.zeros(step, np.int16)
+                    p = a + b - c
+                    near = np.abs(np.stack([p - a, p - b, p - c])).argmin(axis=0)
+                    guess = np.choose(near, [a, b, c])
+                own[x * step : (x + 1) * step] = (own[x * step : (x + 1) * step].astype(np.int16) + guess) % 256
+        else:
+            own = line
+        out[y] = above = own
+    return out
+
+
+def blacken(content: bytes, boxes: Sequence[Sequence[int]]) -> bytes:
+    """The PNG image with black boxes (left, top, right, bottom), cut to its size; text and other notes in the file are left out.
+
+    Images of 8 bits a channel that are not interlaced can be drawn on; others raise.
+    """
+    if not content.startswith(_PNG):
+        raise ValueError("not a PNG image")
+    parts = list(_chunks(content))
+    width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", parts[0][1])
+    if depth != 8 or interlaced or colour not in _CHANNELS:
+        raise ValueError("only images of 8 bits a channel, not interlaced")
+    step = _CHANNELS[colour]
+    grid = _pixels(zlib.decompress(b"".join(d for k, d in parts if k == b"IDAT")), width, height, step).reshape(height, width, step)
+    palette = next((d for k, d in parts if k == b"PLTE"), b"")
+    black = np.zeros(step, dtype=np.uint8)
+    if colour == 3:  # a palette may lack black; its last entry is then made black, if it is free
+        entries = [palette[i : i + 3] for i in range(0, len(palette), 3)]
+        if b"\0\0\0" not in entries:
+            if len(entries) == 256:
+                raise ValueError("the palette is full and has no black")
+            entries.append(b"\0\0\0")
+            palette = b"".join(entries)
+        black[0] = entries.index(b"\0\0\0")
+    elif colour in (4, 6):
+        black[-1] = 255
+    for left, top, right, bottom in boxes:
+        grid[max(0, top) : max(0, bottom), max(0, left) : max(0, right)] = black
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), grid.reshape(height, -1)], axis=1)
+    out = [(b"IHDR", parts[0][1]), *([(b"PLTE", palette)] if palette else []), *[(k, d) for k, d in parts if k == b"tRNS"], (b"IDAT", zlib.compress(lines.tobytes())), (b"IEND", b"")]
+    return _PNG + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in out)
+
+
+def redact_images(files: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Images (image_id, content) with ``redacted``, their black boxes drawn; ``error`` has the reason where that cannot be done.
+
+    Such an image has null ``redacted``, so that it never passes as it was. An
+    image without boxes is written anew too, without its notes.
+    """
+    own = boxes.groupBy(F.col("image_id").alias("__i")).agg(F.collect_list(F.array("left", "top", "right", "bottom").cast("array<int>")).alias("boxes"))
+    rows = files.join(own, F.col("image_id") == F.col("__i"), "left").select("image_id", "content", "boxes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                try:
+                    out.append((r.image_id, blacken(bytes(r.content), [] if r.boxes is None else r.boxes), None))
+                except Exception as e:  # noqa: BLE001  one image must not stop the others
+                    out.append((r.image_id, None, str(e)))
+            yield pd.DataFrame(out, columns=["image_id", "redacted", "error"])
+
+    return rows.mapInPandas(run, "image_id string, redacted binary, error string")

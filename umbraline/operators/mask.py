@@ -34,8 +34,9 @@ class MaskOptions:
 
     ``mode``: token (reversible), synthetic (reversible made-up values), hmac
     (irreversible). ``rules`` overrides it by category with placeholders or
-    partial masking. ``policy``: passthrough never detects; closed fails a row
-    that cannot be masked; hybrid goes back to the pattern detectors.
+    partial masking. ``policy``: passthrough (or open) never detects; closed
+    fails the query at a row that cannot be masked; hybrid goes back to the
+    pattern detectors for that row.
     """
 
     secret: str
@@ -51,7 +52,7 @@ class MaskOptions:
     def __post_init__(self) -> None:
         if self.mode not in ("token", "synthetic", "hmac"):
             raise ValueError(f"unknown mode: {self.mode}")
-        if self.policy not in ("passthrough", "closed", "hybrid"):
+        if self.policy not in ("passthrough", "open", "closed", "hybrid"):
             raise ValueError(f"unknown policy: {self.policy}")
 
 
@@ -78,13 +79,14 @@ def mask(df: DataFrame, options: MaskOptions, text: str = "text", spans: str | N
     instead of detecting any; overlapping ones fail the row. Null text stays
     null with null tokens. Columns named ``out`` or ``tokens`` are replaced.
     """
-    if options.policy == "passthrough":
+    if options.policy in ("passthrough", "open"):
         return df.withColumn(out, F.col(text)).withColumn(tokens, F.when(F.col(text).isNotNull(), F.from_json(F.lit("[]"), ASSIGNED)))
+    rows, ready = (df, None) if spans else options.strategy.prepared(df, F.col(text))
     found = S.assert_disjoint(F.col(spans)) if spans else detections(
-        F.col(text), options.strategy, options.excluded, options.least_confidence, options.generic_secrets
+        F.col(text), options.strategy, options.excluded, options.least_confidence, options.generic_secrets, fallback=options.policy == "hybrid", ready=ready
     )
     key = T.token_key(options.secret)
-    rows = df.withColumn("__spans", found)
+    rows = S.settled(rows, "__spans", found)
     labels = F.transform("__spans", lambda s: S.label(s["category"]))
     texts = F.transform("__spans", lambda s: T.canonical(s["text"]))
     rows = rows.withColumn("__tokens", T.token_udf(key)(labels, texts))
@@ -100,19 +102,7 @@ def mask(df: DataFrame, options: MaskOptions, text: str = "text", spans: str | N
         values = F.zip_with("__spans", values, lambda s, v: F.coalesce(rule(s), v))
     rows = rows.withColumn(tokens, _assigned(F.col("__spans"), F.col("__tokens"), values))
     masked = S.rewrite(F.col(text), F.col(tokens), lambda s: s["value"])
-    return rows.withColumn(out, masked).drop("__spans", "__tokens", "__values")
-
-
-def mask_guarded(df: DataFrame, options: MaskOptions, text: str = "text", **names) -> DataFrame:
-    """``mask`` under its policy: with hybrid, the pattern detectors take over where the strategy cannot be built."""
-    try:
-        return mask(df, options, text, **names)
-    except Exception:
-        if options.policy != "hybrid":
-            raise
-        from dataclasses import replace
-
-        return mask(df, replace(options, strategy=Strategy(local())), text, **names)
+    return rows.withColumn(out, masked).drop("__spans", "__tokens", "__values", "__base", "__seen")
 
 
 def build_vault(masked: DataFrame, session: str | Column, order: str | Column, tokens: str = "tokens", cap: int | None = VAULT_HARD_CAP) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from .mask import SYSTEM_NOTE, MaskOptions, mask
 from .restore import RestoreOptions, restore
 
-PROVIDERS = ("anthropic", "openai", "responses", "tree", "tree_strict")
+PROVIDERS = ("part", "anthropic", "openai", "responses", "tree", "tree_strict")
 Path = list[str | int]
 _JSON = "#json"  # path step into a JSON text
 
@@ -96,6 +96,8 @@ def request_leaves(body: Any, provider: str, tool_results: bool = True) -> list[
         return list(_strings(body, [], _plumbing, MIN_CHARS))
     if provider == "tree_strict":
         return list(_strings(body, [], _strict, 0))
+    if provider == "part":
+        return list(_part_leaves(body))
     if provider == "responses":
         if isinstance(body.get("instructions"), str):
             out.append((["instructions"], body["instructions"]))
@@ -119,6 +121,27 @@ def request_leaves(body: Any, provider: str, tool_results: bool = True) -> list[
     return out
 
 
+#: Fields of message parts that carry text, by the part's type (fixed values). Other types are walked as a whole.
+PART_FIELDS = {
+    "text": (("text",),), "reasoning": (("text",),), "compaction": (("text",), ("summary",)), "subtask": (("prompt",), ("description",)),
+    "file": (("source", "text", "value"),), "agent": (("source", "value"),),
+    "tool": (("state", "input"), ("state", "output"), ("state", "error"), ("state", "title"), ("state", "raw")),
+}
+
+
+def _part_leaves(part: Any) -> Iterator[tuple[Path, str]]:
+    """Texts of a message part: the fields of its type, trees below them too; of an unknown type, all strings but its names."""
+    kind = part.get("type") if isinstance(part, dict) else None
+    if kind not in PART_FIELDS:
+        yield from _strings(part, [], _strict, 0)
+        return
+    for path in PART_FIELDS[kind]:
+        value = part
+        for name in path:
+            value = value.get(name) if isinstance(value, dict) else None
+        yield from _strings(value, list(path), _never, -1)
+
+
 def response_leaves(body: Any, provider: str, tool_results: bool = True) -> list[tuple[Path, str]]:
     """Texts of a response that may hold tokens."""
     out: list[tuple[Path, str]] = []
@@ -225,11 +248,15 @@ def rebuilt(body: Column, new: Column, provider: str, response: bool = False, no
 
 def _through(df: DataFrame, key: str, body: str, provider: str, response: bool, tool_results: bool, change: Callable[[DataFrame], DataFrame], out: str, note: bool) -> DataFrame:
     """Takes leaves out, lets ``change`` add a column ``new`` to rows (key, leaf, path, text, and the row's other columns), and puts them back."""
-    rest = [c for c in df.columns if c not in (key, body, "path", "text", "leaf")]
-    cut = df.select(key, *rest, F.posexplode(leaves(F.col(body), provider, response, tool_results)).alias("leaf", "__l"))
-    cut = cut.select(key, *rest, "leaf", "__l.path", "__l.text")
-    new = change(cut).groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("leaf", "path", F.col("new").alias("text")))).alias("__n"))
-    rows = df.join(new, df[key].eqNullSafe(new["__k"]), "left").drop("__k")
+    del key  # rows need none: a row's result depends on its columns alone, so equal rows share it
+    rest = [c for c in df.columns if c not in (body, "path", "text", "leaf")]
+    plain = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    ids = [F.xxhash64(F.lit(salt), *[x for c in plain for x in (F.col(c).isNull(), F.col(c))]).alias(f"__body{salt}") for salt in (1, 2)]
+    cut = df.select(*ids, *rest, F.posexplode(leaves(F.col(body), provider, response, tool_results)).alias("leaf", "__l"))
+    cut = cut.select("__body1", "__body2", *rest, "leaf", "__l.path", "__l.text").dropDuplicates(["__body1", "__body2", "leaf"])
+    new = change(cut).groupBy(F.col("__body1").alias("__same1"), F.col("__body2").alias("__same2")).agg(F.array_sort(F.collect_list(F.struct("leaf", "path", F.col("new").alias("text")))).alias("__n"))
+    rows = df.withColumns({f"__body{i}": c for i, c in enumerate(ids, 1)})
+    rows = rows.join(new, [rows["__body1"] == new["__same1"], rows["__body2"] == new["__same2"]], "left").drop("__body1", "__body2", "__same1", "__same2")
     texts = F.transform("__n", lambda n: F.struct(n["path"].alias("path"), n["text"].alias("text")))
     return rows.withColumn(out, rebuilt(F.col(body), texts, provider, response, note)).drop("__n")
 
@@ -250,17 +277,21 @@ def restore_bodies(df: DataFrame, provider: str, vault: DataFrame, secret: str,
     """Adds the restored response."""
 
     def change(cut: DataFrame) -> DataFrame:
-        return restore(cut.withColumn("__id", F.struct(key, "leaf")), vault, secret, "__id", session=session, options=options).withColumn("new", F.col("restored"))
+        return restore(cut, vault, secret, session=session, options=options).withColumn("new", F.col("restored"))
 
     return _through(df, key, body, provider, True, True, change, out, False)
 
 
-def mask_parts(df: DataFrame, options: MaskOptions, text: str = "text", kind: str = "type") -> DataFrame:
-    """Adds ``masked`` to message parts by their type: compaction summaries lose every token, all else is masked."""
+def mask_parts(df: DataFrame, options: MaskOptions, part: str = "part", out: str = "masked") -> DataFrame:
+    """Adds masked message parts, JSON bodies with a ``type``: each type's own fields, and all strings of a part of an unknown type.
+
+    Compaction summaries also lose every token. A null part stays null; a part
+    that is no object is walked as one of an unknown type.
+    """
     from ..functions.tokens import sweep
 
-    done = mask(df, options, text)
-    return done.withColumn("masked", F.when(F.col(kind) == "compaction", sweep(F.col("masked"))).otherwise(F.col("masked")))
+    done = _through(df, "", part, "part", False, True, lambda cut: mask(cut, options, out="new"), out, False)
+    return done.withColumn(out, F.when(F.get_json_object(part, "$.type") == "compaction", sweep(F.col(out))).otherwise(F.col(out)))
 
 
 # Thinking blocks ------------------------------------------------------------

@@ -122,10 +122,12 @@ def windows(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
         a += size - overlap
 
 
-def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories: dict[str, str], size: int = 1_500, overlap: int = 200, least: float = 0.0):
+def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories: dict[str, str], size: int = 1_500, overlap: int = 200, least: float = 0.0, tolerant: bool = False):
     """A detector from a BIOES model, loaded once for each worker.
 
-    Spans of overlapping windows are joined: of those that overlap, the longest stays.
+    Spans of overlapping windows are joined: of those that overlap, the longest
+    stays. A model that raises for a text fails the query, or, if ``tolerant``,
+    gives null spans for it, for the strategy to judge.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,7 +140,13 @@ def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories:
                     continue
                 cuts = windows(len(text), size, overlap) if text else []
                 spans: Spans = []
-                found = model([text[a:z] for a, z in cuts]) if cuts else []
+                try:
+                    found = model([text[a:z] for a, z in cuts]) if cuts else []
+                except Exception:
+                    if not tolerant:
+                        raise
+                    out.append(None)
+                    continue
                 paths = best_paths([scores for _, scores in found], tags)
                 for (a, z), (offsets, scores), path in zip(cuts, found, paths, strict=True):
                     spans += [(a + s, a + e, c, p) for s, e, c, p in bioes_spans(text[a:z], offsets, path, scores, tags)]

@@ -69,16 +69,73 @@ def expanded(value: Any, environ: dict[str, str]) -> Any:
 
 
 def load(paths: Iterable[str] = (), environ: dict[str, str] | None = None) -> dict[str, Any]:
-    """The defaults with the first of the JSON files that exists laid over them. An unknown category is an error."""
+    """The defaults, over them the first of the JSON files that exists, and over that the environment's settings. An unknown category is an error."""
     environ = dict(os.environ) if environ is None else environ
     found = next((p for p in map(Path, paths) if p.expanduser().is_file()), None)
-    config = overlay(DEFAULTS, expanded(json.loads(found.expanduser().read_text()), environ) if found else {})
+    config = overlay(DEFAULTS, expanded(json.loads(found.expanduser().read_text()), environ) if found else {}, environment(environ))
     for field in ("categories", "disabled_categories"):
         if unknown := set(config["detection"][field]) - set(CATEGORIES):
             raise ValueError(f"{field}: unknown {sorted(unknown)}")
     return config
 
 
+def _flag(value: str) -> bool:
+    low = value.strip().lower()
+    if low not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
+        raise ValueError(f"not a switch: {value!r}")
+    return low in ("1", "true", "yes", "on")
+
+
+def _names(value: str) -> list[str]:
+    return [x for x in (part.strip().lower() for part in value.split(",")) if x]
+
+
+def _share(value: str) -> float:
+    number = float(value)
+    if not 0 <= number <= 1:
+        raise ValueError(f"not from 0 to 1: {value!r}")
+    return number
+
+
+def _one_of(*known: str):
+    def read(value: str) -> str:
+        low = value.strip().lower()
+        if low not in known:
+            raise ValueError(f"{value!r} is none of {', '.join(known)}")
+        return low
+
+    return read
+
+
+#: Settings of the environment: the place of each in the configuration, and how its text is read.
+SETTINGS = {
+    "UMBRALINE_CATEGORIES": ("detection.categories", _names), "UMBRALINE_DISABLED_CATEGORIES": ("detection.disabled_categories", _names),
+    "UMBRALINE_STRICT_RRN": ("detection.strict_rrn", _flag), "UMBRALINE_US_SSN": ("detection.us_ssn", _flag),
+    "UMBRALINE_GENERIC_SECRETS": ("detection.generic_secret_scan", _flag), "UMBRALINE_URL_POLICY": ("detection.url_policy", _one_of("heuristic", "strict")),
+    "UMBRALINE_PRIVATE_URL_HOSTS": ("detection.private_url_hosts", _names), "UMBRALINE_MIN_CONFIDENCE": ("detection.min_confidence", _share),
+    "UMBRALINE_MODE": ("masking.mode", _one_of("token", "synthetic", "hmac")), "UMBRALINE_POLICY": ("masking.policy", _one_of("passthrough", "open", "closed", "hybrid")),
+    "UMBRALINE_BYPASS": ("masking.bypass", str), "UMBRALINE_LENIENT": ("restoration.lenient", _flag), "UMBRALINE_REPAIR": ("restoration.repair", _flag),
+    "UMBRALINE_SKIP_PATHS": ("restoration.skip_paths", _flag), "UMBRALINE_UNKNOWN": ("restoration.unknown", _one_of("keep", "placeholder")),
+    "UMBRALINE_PARTIAL": ("restoration.partial", _one_of("keep", "placeholder")),
+}
+
+
+def environment(environ: dict[str, str] | None = None) -> dict[str, Any]:
+    """The configuration layer that the environment's settings make; empty ones do not count, and one that cannot be read is an error that names it."""
+    environ = dict(os.environ) if environ is None else environ
+    out: dict[str, Any] = {}
+    for name, (path, read) in SETTINGS.items():
+        if not environ.get(name, "").strip():
+            continue
+        try:
+            value = read(environ[name])
+        except ValueError as e:
+            raise ValueError(f"{name}: {e}") from e
+        section, field = path.split(".")
+        out.setdefault(section, {})[field] = value
+    return out
+
+
 def options(config: dict[str, Any], secret: str):
     """``MaskOptions`` of a configuration."""
     from ..operators.detect import CustomPattern, DictionaryEntry, Strategy, dictionary, local
