@@ -95,7 +95,7 @@ def brute_score(model, ids, counts):
         leaf = int(model.place[w]) if w < lm.RARE else lm.RARE + (w - lm.RARE) % lm.RARE_LEAVES
         for level in range(lm.LEVELS):
             node, branch = leaf // 16 ** (lm.LEVELS - level), leaf // 16 ** (lm.LEVELS - level - 1) % 16
-            rows = [(((h + node & mask) << 2) + level & mask) * 0xBF58476D1CE4E5B9 % 2**64 >> 48 for h in (mixed(one, 1), mixed(two, 2), mixed(one * 1_000_003 + two, 3))]
+            rows = [(((h + node & mask) << 2) + level & mask) * 0xBF58476D1CE4E5B9 % 2**64 >> 48 for h in (mixed(one, 1), mixed(two, 2), mixed(one * 1_000_003 + two, 3))[: lm.FEATURES[level]]]
             logits = [float(model.bias[level][node][b]) + sum(float(model.rows[level][r][b]) for r in rows) for b in range(16)]
             out += (logits[branch] - math.log(sum(map(math.exp, logits)))) / math.log(10)
         if w >= lm.RARE:
@@ -124,10 +124,21 @@ def test_step_is_the_gradient():
         for x in r:
             grad[x] += p
     want = weights - lm.RATE * grad / np.sqrt((grad**2).sum(axis=1) / lm.WAYS + 1e-6)[:, None]
-    lm._step(lm._summed_rows(np.zeros((40, lm.WAYS), np.float32), weights, rows), at, rows, weights, past, uses)
+    lines = np.ascontiguousarray(rows.T)
+    lm._step(lm._summed_rows(np.zeros((1, lm.WAYS), np.float32), np.zeros(40, np.int64), weights, lines), at, lines, weights, past, uses)
     assert np.allclose(weights, want, atol=1e-4) and uses.tolist() == np.bincount(rows.ravel(), minlength=6).tolist()
 
 
+def test_segment_sums():
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=(50, lm.WAYS)).astype(np.float32)
+    for sizes in ([1, 2, 40, 7, 8, 9, 1], [1], [30], [1] * 20):
+        at = rng.integers(0, 50, sum(sizes))
+        first = np.cumsum(sizes) - sizes
+        got = lm._segment_sums(e, at, first, np.array(sizes))
+        assert np.allclose(got, [e[at[a : a + n]].sum(axis=0) for a, n in zip(first, sizes)], atol=1e-4)
+
+
 def test_scores_do_not_depend_on_the_layout(spark, small, monkeypatch):
     """However the rows are dealt, and whatever the default parallelism; several training tasks."""
     monkeypatch.setattr(lm, "TASK_TOKENS", 30_000)

@@ -3,9 +3,9 @@
 All words stand at the leaves of a tree of ``WAYS`` branches and ``LEVELS``
 levels: classes, subclasses, and so on. log P(word | history) is the sum of the
 log probabilities of the branches that lead to it, each a softmax over hashed
-features of the history: the word before, the word two before (a skip feature)
-and the pair of both, each with the node. So each factor learns from n-gram and
-skip features, that of the word itself too.
+features of the history, each with the node: the word before, the word two
+before (a skip feature) and, for classes and subclasses, the pair of both. So
+each factor learns from n-gram and skip features, that of the word itself too.
 
 Frequent words have a leaf each, in an order by k-means over their neighbours,
 below all classes but the last. All other words, unseen ones too, have leaves of
@@ -51,7 +51,9 @@ ROWS = 1 << 16
 NEIGHBOURS, SINGLE = 16, 12
 ROUNDS = 1
 RATE = 0.3
-BATCH = 16_384
+BATCH = 32_768
+#: Features of each level: the word before, the one before that, and both.
+FEATURES = (3, 3, 2, 2)
 #: Coded tokens of a training task.
 TASK_TOKENS = 8_000_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -103,7 +105,7 @@ class Model:
         return ids, starts, pa.ListArray.from_arrays(pa.array(bounds), flat.filter(pa.array(rare)).cast(pa.string()))
 
     def features(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level: the branch to each token, the node that it leaves from, and the rows of its features."""
+        """For each level: the branch to each token, the node that it leaves from, and the rows of its features, one line a feature."""
         begin = np.uint64((1 << 31) - 1)
         one = np.concatenate([[begin], ids[:-1].astype(np.uint64)])
         one[starts] = begin
@@ -113,9 +115,9 @@ class Model:
         leaf, out = self.leaf(ids.astype(np.int64)), []
         for level in range(LEVELS):
             node = leaf // WAYS ** (LEVELS - level)
-            rows = np.empty((len(ids), len(histories)), dtype=np.uint16)
-            for i, h in enumerate(histories):
-                rows[:, i] = _row(h + node.astype(np.uint64), level)
+            at, rows = node.astype(np.uint64), np.empty((FEATURES[level], len(ids)), dtype=np.uint16)
+            for i in range(len(rows)):
+                rows[i] = _row(histories[i] + at, level)
             out.append((leaf // WAYS ** (LEVELS - level - 1) % WAYS, node, rows))
         return out
 
@@ -123,7 +125,7 @@ class Model:
         """``features`` of the tokens from a to z; their history may lie before a."""
         lo, z = max(0, a - 2), min(len(ids), z)
         own = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, z)] - lo
-        return [tuple(v[a - lo :] for v in level) for level in self.features(ids[lo:z], own)]
+        return [tuple(v[..., a - lo :] for v in level) for level in self.features(ids[lo:z], own)]
 
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token, without log10(c + 1) of words that are not frequent."""
@@ -132,7 +134,7 @@ class Model:
         out[rare] = -np.log10(self.other_totals[(ids[rare] - RARE) % RARE_LEAVES])
         for a in range(0, len(ids), BATCH):
             for level, (branch, node, rows) in enumerate(self.window(ids, starts, a, a + BATCH)):
-                out[a : a + BATCH] += _log_softmax(_summed_rows(self.bias[level][node], self.rows[level], rows), branch) / np.log(10)
+                out[a : a + BATCH] += _log_softmax(_summed_rows(self.bias[level], node, self.rows[level], rows), branch) / np.log(10)
         return out
 
 
@@ -155,10 +157,11 @@ def _row(x: np.ndarray, level: int) -> np.ndarray:
     return (((x << np.uint64(2)) + np.uint64(level)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - ROWS.bit_length() + 1)
 
 
-def _summed_rows(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    for i in range(rows.shape[1]):
-        bias = bias + table.take(rows[:, i], axis=0)
-    return bias
+def _summed_rows(bias: np.ndarray, node: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = bias.take(node, axis=0)
+    for own in rows:
+        out += table.take(own, axis=0)
+    return out
 
 
 _ONES = np.ones(WAYS, dtype=np.float32)
@@ -187,13 +190,28 @@ def _step(logits: np.ndarray, at: np.ndarray, rows: np.ndarray, weights: np.ndar
     order = np.argsort(flat, kind="stable")  # of 16 bits, in linear time
     sorted_rows = flat[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    found = sorted_rows[first]
-    grad = np.add.reduceat(e.take(order // rows.shape[1], axis=0), first, axis=0)
+    found, size = sorted_rows[first], np.diff(np.append(first, len(flat)))
+    grad = _segment_sums(e, order % len(at), first, size)
     past[found] += np.einsum("ij,ij->i", grad, grad) / WAYS
-    uses[found] += np.diff(np.append(first, len(flat)))
+    uses[found] += size
     weights[found] -= (RATE / np.sqrt(past[found] + 1e-6))[:, None] * grad
 
 
+def _segment_sums(e: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, turns: int = 8) -> np.ndarray:
+    """Sums of the lines ``at`` of e over segments, most of which are short: their lines are added in turns, the rest of long ones by runs."""
+    out, live = e.take(at[first], axis=0), np.flatnonzero(size > 1)
+    turn = 1
+    while len(live) and turn < turns:
+        out[live] += e.take(at[first[live] + turn], axis=0)
+        turn += 1
+        live = live[size[live] > turn]
+    if len(live):
+        start, n = first[live] + turn, size[live] - turn
+        ends = np.cumsum(n)
+        out[live] += np.add.reduceat(e.take(at[np.repeat(start - ends + n, n) + np.arange(ends[-1])], axis=0), ends - n, axis=0)
+    return out
+
+
 def tokens_table(docs: DataFrame, model_of: Broadcast, key: str, text: str, held: Column) -> DataFrame:
     """Coded text of each row: rid, k, held_out, ids, and the words that are not frequent."""
     kind = docs.schema[key].dataType.simpleString()
@@ -246,28 +264,26 @@ def _summed(parts: DataFrame, n_parts: int) -> dict[int, np.ndarray]:
         part = pa.array([group["part"][0].as_py()], pa.int32())
         return pa.table({"block": group["block"][:1], "part": part, "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "block int, part int, data binary"
+    schema = PARTS
     some = parts.groupBy("block", F.pmod("part", F.lit(fan)).alias("fan")).applyInArrow(add, schema)
     whole = some.groupBy("block").applyInArrow(add, schema)
     return {r["block"]: np.frombuffer(bytes(r["data"]), dtype=np.float32) for r in whole.collect()}
 
 
 BLOCK_FLOATS = 1 << 16
+PARTS = "block int, part int, data binary"
 
 
-def _emit(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+def _emit(arrays: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
     flat = np.concatenate([x.ravel() for x in arrays]).astype(np.float32)
     for i in range(0, len(flat), BLOCK_FLOATS):
         yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_FLOATS], pa.int32()), pa.array([part], pa.int32()), pa.array([flat[i : i + BLOCK_FLOATS].tobytes()], pa.binary())], ["block", "part", "data"])
     release()
 
 
-def _gather(rows: DataFrame, run, size: int, tasks: int) -> np.ndarray:
-    """Sum over tasks of the ``size`` floats that ``run`` emits."""
-    found = _summed(rows.mapInArrow(run, "block int, part int, data binary"), tasks)
+def _gather(parts: DataFrame, n_parts: int, size: int) -> np.ndarray:
+    """Sum over parts of the ``size`` floats that each emitted."""
+    found = _summed(parts, n_parts)
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(size, dtype=np.float32)
 
 
@@ -275,10 +291,12 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), (np.asarray(column.offsets)[:-1] - column.offsets[0].as_py()).astype(np.int64)
 
 
-def neighbours(coded: DataFrame, ids: int, tasks: int) -> np.ndarray:
+def neighbours(coded: DataFrame, ids: int) -> np.ndarray:
     """For each frequent word and one for all others, how often words of each bucket stand before and after it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums = np.zeros(ids * 2 * NEIGHBOURS)
         for batch in batches:
             flat, starts = _lists(batch.column(0))
@@ -291,9 +309,11 @@ def neighbours(coded: DataFrame, ids: int, tasks: int) -> np.ndarray:
             at = np.flatnonzero(inside)
             sums += np.bincount(flat[at] * 2 * NEIGHBOURS + bucket[at - 1], minlength=len(sums))
             sums += np.bincount((flat[at - 1] * 2 + 1) * NEIGHBOURS + bucket[at], minlength=len(sums))
-        yield from _emit([sums])
+        yield from _emit([sums], TaskContext.get().partitionId())
 
-    return _gather(coded, run, ids * 2 * NEIGHBOURS, tasks).reshape(ids, 2 * NEIGHBOURS)
+    # counts are whole numbers, so their sums do not depend on how the rows are dealt
+    parts = coded.select("ids").mapInArrow(run, PARTS)
+    return _gather(parts, coded.rdd.getNumPartitions(), ids * 2 * NEIGHBOURS).reshape(ids, 2 * NEIGHBOURS)
 
 
 def _k_means(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -334,24 +354,30 @@ def classify(model: Model, table: np.ndarray) -> None:
         model.rows.append(np.zeros((ROWS, WAYS), dtype=np.float32))
 
 
-def train(spark: SparkSession, coded: DataFrame, model: Model, tasks: int, rounds: int = ROUNDS) -> None:
-    """Gradient updates over all training text; after each round, a row becomes the mean of the tasks' rows by their uses."""
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            weights = [x.copy() for x in m.rows]
-            past, uses = ([np.zeros(ROWS, np.float32) for _ in m.rows] for _ in range(2))
-            for batch in batches:
-                ids, starts = _lists(batch.column(0))
-                for i in range(0, len(ids), BATCH):
-                    for k, (branch, node, rows) in enumerate(m.window(ids, starts, i, i + BATCH)):
-                        _step(_summed_rows(m.bias[k][node], weights[k], rows), branch, rows, weights[k], past[k], uses[k])
-            yield from _emit([*(w * u[:, None] for w, u in zip(weights, uses, strict=True)), *uses])
+def _trainer(shared: Broadcast):
+    """Function of a task's texts that gives its weights, times their uses, and the uses."""
 
+    def run(group: pa.Table) -> pa.Table:
+        m, part = shared.value, group["task"][0].as_py()
+        group = group.sort_by("h").combine_chunks()
+        ids, starts = _lists(group["ids"].chunk(0))
+        weights = [x.copy() for x in m.rows]
+        past, uses = ([np.zeros(ROWS, np.float32) for _ in m.rows] for _ in range(2))
+        for i in range(0, len(ids), BATCH):
+            for k, (branch, node, rows) in enumerate(m.window(ids, starts, i, i + BATCH)):
+                _step(_summed_rows(m.bias[k], node, weights[k], rows), branch, rows, weights[k], past[k], uses[k])
+        return pa.Table.from_batches(_emit([*(w * u[:, None] for w, u in zip(weights, uses, strict=True)), *uses], part))
+
+    return run
+
+
+def train(coded: DataFrame, model: Model, tasks: int, rounds: int = ROUNDS) -> None:
+    """Gradient updates over all training text (ids, task, h); after each round, a row becomes the mean of the tasks' rows by their uses."""
+    for _ in range(rounds):
+        shared = coded.sparkSession.sparkContext.broadcast(model)
         sizes = [ROWS * WAYS] * LEVELS + [ROWS] * LEVELS
-        found = np.split(_gather(coded, run, sum(sizes), tasks), np.cumsum(sizes)[:-1])
+        parts = coded.groupBy("task").applyInArrow(_trainer(shared), PARTS)
+        found = np.split(_gather(parts, tasks, sum(sizes)), np.cumsum(sizes)[:-1])
         model.rows = [w.reshape(-1, WAYS) / np.maximum(u, 1)[:, None] for w, u in zip(found[:LEVELS], found[LEVELS:], strict=True)]
         shared.destroy()
 
@@ -376,9 +402,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column
     coded = tokens_table(docs, spark.sparkContext.broadcast(model), key, text, held)
     tasks = max(1, -(-model.tokens // TASK_TOKENS))
     rows = coded.filter(~F.col("held_out")).select("ids", F.xxhash64("k", "ids").alias("h"))
-    rows = rows.repartition(int(tasks), "h").sortWithinPartitions("h").select("ids")
-    classify(model, neighbours(rows, model.known + 1, tasks))
-    train(spark, rows, model, tasks)
+    classify(model, neighbours(rows, model.known + 1))
+    train(rows.withColumn("task", F.pmod("h", F.lit(int(tasks))).cast("int")), model, tasks)
     base = model.tokens + model.types + 1
     shared = spark.sparkContext.broadcast(model)
 
