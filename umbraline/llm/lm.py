@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, release, scratch, slices, words
+from .common import crc_mod, release, scratch, slices
 
 #: Branches of a node, and levels of the tree.
 WAYS, LEVELS = 16, 4
@@ -81,11 +81,9 @@ class Model:
 
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
         """Ids of all texts in a row, an end after each, where each text's begin, and each text's words that are not frequent."""
-        texts = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), characters=SPACES)
-        split = pc.ascii_split_whitespace(texts)
+        split, empty = _split(texts)
         flat, at = split.values, np.asarray(split.offsets).astype(np.int64)
         n = np.diff(at)
-        empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
         coded = flat.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
         table = np.array([self.words.get(w) or RARE + hashed(w) for w in kinds], dtype=np.int32)
@@ -229,10 +227,28 @@ def tokens_table(docs: DataFrame, model_of: Broadcast, key: str, text: str, held
     return scratch(coded.withColumn("rid", F.monotonically_increasing_id()), "coded")
 
 
+def _split(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Words of each text with A-Z in lower case, and which texts have none, whose list holds one empty word."""
+    texts = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), characters=SPACES)
+    return pc.ascii_split_whitespace(texts), np.asarray(pc.equal(pc.binary_length(texts), 0))
+
+
 def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """Counts of all words of the training rows, and the number of rows, each of which has one end."""
-    found = train.select(F.explode(words(ascii_lower(F.col(text)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    return scratch(found, "counts"), train.count()
+    """Counts of all words of the training rows, and the number of rows, each of which has one end.
+
+    Words are counted by slices of text before they leave their task.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 0, 4 << 20)):
+            found = _split(batch.column(0))[0].flatten().value_counts()
+            words, counts = found.field("values"), found.field("counts")
+            some = pc.not_equal(words, "")
+            yield pa.RecordBatch.from_arrays([words.filter(some).cast(pa.string()), counts.filter(some)], ["w", "c"])
+        release()
+
+    found = train.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "w string, c long")
+    return scratch(found.groupBy("w").agg(F.sum("c").alias("c")), "counts"), train.count()
 
 
 def _frequent(counts: DataFrame, ends: int, size: int) -> tuple[Model, DataFrame]:
