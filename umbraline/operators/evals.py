@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -207,7 +208,9 @@ LABEL_PROBES = ("category-rename", "category-swap")
 def delta_board(masked: DataFrame, vault: DataFrame, key: str = "id", text: str = "masked", session: str = "session_id") -> DataFrame:
     """Mutation 7 as a row of the scoreboard: each text in two deltas, cut at every place; a value counts as restored if every cut gives it back.
 
-    Needs one text and the session's entries of its own tokens at a time.
+    A buffer holds back no more than its window, so only cuts as near to a token
+    can matter, and what lies around it. Needs one text and the session's
+    entries of its own tokens at a time.
     """
     tokens = masked.select(F.col(session).alias("session_id"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     named = tokens.select("session_id", "t", F.explode_outer(F.array_distinct(F.transform(_tokens(F.col("t")), lambda x: x["token"]))).alias("token"))
@@ -216,19 +219,23 @@ def delta_board(masked: DataFrame, vault: DataFrame, key: str = "id", text: str
     cases = met.groupBy("session_id", "t").agg(F.map_from_entries(F.collect_set(F.when(F.col("value").isNotNull(), F.struct("token", "value")))).alias("entries"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from ..streaming.deltas import DeltaBuffer, by_table
+        from ..streaming.deltas import WINDOW, DeltaBuffer, by_table
+
+        def back(piece: str, cut: int, fix: Callable[[str], str]) -> str:
+            buffer = DeltaBuffer()
+            return fix(buffer.take(piece[:cut])) + fix(buffer.take(piece[cut:], last=True))
 
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 entries = dict(r.entries)
-                fix, found, left = by_table(entries), set(entries.values()), 0
-                for cut in range(1, len(r.t)):
-                    buffer = DeltaBuffer()
-                    back = fix(buffer.take(r.t[:cut])) + fix(buffer.take(r.t[cut:], last=True))
-                    found = {v for v in found if v in back}
-                    left = max(left, sum(back.count(token) for token in entries))
-                rows.append((len(set(entries.values())), len(found), left))
+                fix, lost, left = by_table(entries), set(), 0
+                for m in re.finditer(T.STRICT, r.t):
+                    piece = r.t[max(0, m.start() - WINDOW) : m.end() + WINDOW]
+                    if m[0] in entries and any(back(piece, cut, fix) != fix(piece) for cut in range(1, len(piece))):
+                        lost.add(entries[m[0]])
+                        left += 1
+                rows.append((len(set(entries.values())), len(set(entries.values()) - lost), left))
             yield pd.DataFrame(rows, columns=["expected", "restored", "residual"])
 
     done = cases.mapInPandas(run, "expected long, restored long, residual long")
