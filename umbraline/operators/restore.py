@@ -196,9 +196,8 @@ def restore(df: DataFrame, vault: DataFrame, secret: str, key: str | None = None
     rows = df.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
     rows = rows.join(solved, _same_row(rows, solved), "left").drop("__h1", "__h2", "__g1", "__g2")
     rows = rows.withColumn("__r", _rewriter(options)(F.col(text), F.col("__m")))
-    rows = rows.withColumn("restored", F.when(F.col("__m").isNotNull(), F.col("__r.text")).otherwise(F.col(text)))
-    for c in COUNTERS:
-        rows = rows.withColumn(c, F.coalesce(F.col(f"__r.{c}"), F.lit(0)))
+    back = {"restored": F.when(F.col("__m").isNotNull(), F.col("__r.text")).otherwise(F.col(text))}
+    rows = rows.withColumns(back | {c: F.coalesce(F.col(f"__r.{c}"), F.lit(0)) for c in COUNTERS})
     again = F.size(T.scan(F.col("restored"), options.repair))
     rows = rows.withColumn("residual_token_count", F.when(F.col("__m").isNotNull(), again).otherwise(0))
     model = F.lit(options.origin == "model")
