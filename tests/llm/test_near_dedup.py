@@ -53,14 +53,14 @@ def test_empty(empty):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near(empty).count() == 0
 
 
-@pytest.mark.parametrize("small_tasks", [False, True])
-def test_groups_of_near_copies(spark, monkeypatch, small_tasks):
+@pytest.mark.parametrize(("small_tasks", "seed", "parts"), [(False, 4, 3), (True, 4, 3), (True, 5, 1), (True, 6, 7)])
+def test_groups_of_near_copies(spark, monkeypatch, small_tasks, seed, parts):
     """Hub-and-variants groups, chains and families just under the bound, with tasks so small that every path is taken."""
     if small_tasks:
         monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 3)
         monkeypatch.setattr(near_dedup, "TASK_SHINGLES", 500)
         monkeypatch.setattr(near_dedup, "CROWD", 2)
-    r = random.Random(4)
+    r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(4000)]
     rows = []
     for group in range(4):
@@ -75,10 +75,29 @@ def test_groups_of_near_copies(spark, monkeypatch, small_tasks):
             chain[i] = r.choice(vocabulary)
             rows.append((len(rows), " ".join(chain)))
     r.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     check(df, 2)
 
 
+def test_long_look_alikes(spark):
+    """Growing prefixes of one text, each with some words changed: a bucket of many sizes whose tasks often hold nothing that fits a row."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(60000)}" for _ in range(98_000)]
+    rows = []
+    for i in range(25):
+        own = base[: 10_000 + i * 88_000 // 24]
+        for j in r.sample(range(len(own)), len(own) * 3 // 100):
+            own[j] = f"c{i}x{j}"
+        rows.append((i, " ".join(own)))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2)
+
+
+def test_agreement_of_nothing():
+    sig = np.zeros((0, near_dedup.BINS), np.uint8)
+    assert near_dedup._agreeing(sig, np.zeros(near_dedup.BINS, np.uint8)).shape == (0,)
+    assert near_dedup._alike(0, 0, np.array([10]), np.array([1]), np.zeros((1, near_dedup.BINS), np.uint8), 80).shape == (0,)
+
+
 def test_driver_table(spark, small):
     check(spark.read.parquet(f"{small}/documents.parquet"), 2)
 

@@ -320,13 +320,15 @@ class _Forest:
 
 def _agreeing(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
     """In how many bins each signature agrees with one: bytes of 0 and 1 are summed eight at a time, in halves so that no byte overflows."""
-    same = (sig == own).view(np.uint64).reshape(len(sig), 2, -1).sum(axis=2)
+    same = (sig == own).view(np.uint64).reshape(len(sig), 2, BINS // 16).sum(axis=2)
     return ((same * np.uint64(0x0101010101010101)) >> np.uint64(56)).sum(axis=1)
 
 
 def _alike(i: int, every: int, n: np.ndarray, comp: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
     """Of the first rows, which are in order of size, those of other components than row i whose sizes and signatures allow a link, most alike first."""
     a, z = np.searchsorted(n[:every], [-(-n[i] * percent // 100), n[i] * 100 // percent + 1])
+    if a == z:  # a task deals with rows of any size; often none of them fits
+        return np.zeros(0, np.int64)
     same = _agreeing(sig[a:z], sig[i])
     at = np.flatnonzero((same >= _floor(n[i]) * BINS) & (comp[a:z] != comp[i]))
     return at[np.argsort(-same[at].astype(np.int64), kind="stable")] + a
