@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, lm, mixing, near_dedup, pieces, quality, sharding, token_counts
-from .common import crc_mod, table
+from . import chat, exact_dedup, infill, langid, lm, mixing, near_dedup, pieces, quality, quantiles, sharding, token_counts
+from .common import crc_mod, scratch, table
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -110,6 +110,38 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
 """
 
+def priced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted money values (``quantiles.counted``) by stream, grp and batch. Sale lines are counted by item before items are joined, so that no item or brand is hot."""
+    clicks = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.max(F.struct("client_id", "value")).alias("c"))
+    clicks = clicks.select(F.lit("value").alias("stream"), F.col("c.client_id").cast("string").alias("grp"), crc_mod(F.col("click_id"), 8).cast("int").alias("batch"), F.col("c.value").alias("money"), F.lit(1).cast("long").alias("m"))
+    lines = table(spark, sf_dir, "sale_lines").filter(F.col("item_id").isNotNull())
+    lines = lines.groupBy("item_id", crc_mod(F.col("vendor_id"), 8).cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("m"))
+    items = table(spark, sf_dir, "items").select(F.col("item_id").alias("own"), "brand", "price").hint("merge")
+    prices = lines.join(items, F.col("item_id") == F.col("own")).select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), "batch", F.col("price").alias("money"), "m")
+    rows = clicks.unionByName(prices).filter(F.col("grp").isNotNull() & F.col("money").isNotNull() & ~F.isnan("money"))
+    rows = rows.withColumn("value", F.floor(F.col("money") * 100 + 0.5) + F.col("batch") * 1000)
+    return scratch(quantiles.counted(rows, ["stream", "grp", "batch"], "value", F.col("m")), "counted")
+
+
+def op12_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.report(priced_rows(spark, sf_dir), ["stream", "grp"], "batch")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.infill(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT doc_id, t, u, len(u) AS n, [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT for k in range(0, 4)] AS h FROM d),
+k AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_lm_score": op2_lm_score,
@@ -121,5 +153,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_quantiles": op12_quantiles,
+    "op13_infill": op13_infill,
 }
-SQL = {"op8_chat": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+SQL = {"op8_chat": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op13_infill": OP13_SQL}
