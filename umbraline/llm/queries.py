@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, infill, langid, lm, mixing, near_dedup, pieces, quality, quantiles, sharding, token_counts
+from . import chat, exact_dedup, fingerprints, infill, langid, lm, mixing, near_dedup, pieces, quality, quantiles, sharding, token_counts
 from .common import crc_mod, scratch, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -110,6 +110,10 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
 """
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def priced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted money values (``quantiles.counted``) by stream, grp and batch. Sale lines are counted by item before items are joined, so that no item or brand is hot."""
     clicks = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.max(F.struct("client_id", "value")).alias("c"))
@@ -153,6 +157,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fingerprints": op11_fingerprints,
     "op12_quantiles": op12_quantiles,
     "op13_infill": op13_infill,
 }
