@@ -34,8 +34,8 @@ from .common import identified, let, scratch
 PARAGRAPH = r"[^\n.!?]{1,160}+[ \t\n\x0B\f\r.!?]*+|[\n.!?]++"
 #: Cells in each of the three rows of a fingerprint.
 CELLS = 8
-#: Digests of both texts that share a block of larger sketches.
-LOAD = 6
+#: Digests of both texts that share a block of larger sketches, at most on the mean; one block in ten or so then takes a second sketch.
+LOAD = 12
 #: Sketches that are tried for a block, each with twice the cells of the one before.
 ATTEMPTS = 5
 #: Rounds of taking digests out; a sketch that can be emptied at all is so after few of them.
@@ -189,7 +189,9 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Only the beginning that is needed of each next document travels to the row
     before it, with its digests; whole texts are shuffled once.
     """
-    rows, own = identified(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
+    rows, own = identified(docs)
+    rows = rows.select(F.col(own).alias("own"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    own = "own"
     links = scratch(next_rows(rows, own, "k", "t"), "links")
     dealt = rows.select(F.col(own).alias("own"), "k", F.coalesce("t", F.lit("")).alias("t"))
     # both joins deal the texts by row id, which is one exchange
