@@ -62,42 +62,45 @@ def summarise(values: DataFrame, by: list[str], cuts: int = CUTS, least: int = L
     the ``least`` least values. A pass ends in two tables in the shared folder,
     from which the next one goes on. Values must lie within 2**52 of zero.
     """
-    first = values.groupBy(*by).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # groups go by 128 bits of a hash of their names, which are carried along
+    ids = ["g1", "g2"]
+    values = values.select(F.xxhash64(*by).alias("g1"), F.xxhash64(F.lit(1), *[c for b in by for c in (F.col(b).isNull(), F.col(b))]).alias("g2"), *by, "x", "m")
+    first = values.groupBy(*ids).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     zero = F.lit(0).cast("long")
     place, state = ["start", "cell"], ["n", "d", "lo", "hi", "before", "ahead"]
     cells = scratch(first.withColumns({c: zero for c in ("before", "ahead", *place)}), "groups")
-    rows = values.select(*by, "x", "m", *[zero.alias(c) for c in place])
+    rows = values.select(*ids, *by, "x", "m", *[zero.alias(c) for c in place])
     found = None
     while True:
-        rows = scratch(_dealt(rows, cells.select(*by, *place, *state), by), "rows")
+        rows = scratch(_dealt(rows, cells.select(*ids, *place, *state)), "rows")
         # a value that has a part of its own is counted already
-        single = rows.filter(F.col("d") <= PARTS).select(*by, *place, "n", "before", "ahead", F.col("m").alias("c"), F.lit(1).cast("long").alias("d"), F.col("x").alias("lo"), F.col("x").alias("hi"))
+        single = rows.filter(F.col("d") <= PARTS).select(*ids, *by, *place, "n", "before", "ahead", F.col("m").alias("c"), F.lit(1).cast("long").alias("d"), F.col("x").alias("lo"), F.col("x").alias("hi"))
         shared = rows.filter(F.col("d") > PARTS)
-        parts = shared.groupBy(*by, *place).agg(
-            *[F.first(c).alias(c) for c in ("n", "before", "ahead")], F.sum("m").alias("c"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")
+        parts = shared.groupBy(*ids, *place).agg(
+            *[F.first(c).alias(c) for c in (*by, "n", "before", "ahead")], F.sum("m").alias("c"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")
         )
-        order = Window.partitionBy(*by, "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = Window.partitionBy(*ids, "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         parts = parts.unionByName(single).withColumns({"upto": F.col("before") + F.sum("c").over(order), "seen": F.col("ahead") + F.sum("d").over(order)})
         parts = parts.withColumns({"before": F.col("upto") - F.col("c"), "ahead": F.col("seen") - F.col("d")})
         reached = lambda c: F.floor(F.col(c) * cuts / F.col("n"))
         parts = parts.filter((reached("upto") > reached("before")) | (F.col("ahead") < least))
-        parts = scratch(parts.select(*by, *place, *state, "upto"), "parts")
+        parts = scratch(parts.select(*ids, *by, *place, *state, "upto"), "parts")
         points = parts.filter(F.col("lo") == F.col("hi")).select(*by, "n", F.col("lo").alias("x"), F.col("before").alias("below"), "upto")
         found = points if found is None else found.unionByName(points)
         cells = parts.filter(F.col("lo") < F.col("hi")).drop("upto")
         if cells.isEmpty():
             return found
-        rows = shared.select(*by, "x", "m", *place)
+        rows = shared.select(*ids, *by, "x", "m", *place)
 
 
-def _dealt(rows: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """The rows of the open intervals, each in its part: ``start`` is the interval's least value, ``cell`` the part's place in it."""
-    key = F.xxhash64(*by, "start", "cell")
-    r, c = rows.withColumn("k", key).alias("r"), cells.withColumn("k", key).alias("c").hint("merge")
-    met = r.join(c, (F.col("r.k") == F.col("c.k")) & (F.col("r.start") == F.col("c.start")) & (F.col("r.cell") == F.col("c.cell")) & _same(by, "r", "c"))
-    width = (F.col("c.hi") - F.col("c.lo") + 1) / PARTS
-    cell = F.when(F.col("c.d") <= PARTS, F.col("r.x")).otherwise(F.floor((F.col("r.x") - F.col("c.lo")) / width)).cast("long")
-    return met.select(*[F.col(f"r.{x}").alias(x) for x in by], "r.x", "r.m", F.col("c.lo").alias("start"), cell.alias("cell"), "c.n", "c.d", "c.before", "c.ahead")
+    on = ["g1", "g2", "start", "cell"]
+    met = rows.join(cells.hint("merge"), on)
+    width = (F.col("hi") - F.col("lo") + 1) / PARTS
+    cell = F.when(F.col("d") <= PARTS, F.col("x")).otherwise(F.floor((F.col("x") - F.col("lo")) / width)).cast("long")
+    own = [F.col(c) for c in rows.columns if c not in ("start", "cell")]
+    return met.select(*own, F.col("lo").alias("start"), cell.alias("cell"), "n", "d", "before", "ahead")
 
 
 BOUNDS = ("below_lo", "below_hi", "upto_lo", "upto_hi")
