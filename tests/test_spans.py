@@ -248,3 +248,34 @@ def test_merges_against_plain_code(spark):
                 left.append(s)
         assert [(x.start, x.end) for x in r_.a] == [s[:2] for s in long]
         assert [(x.start, x.end) for x in r_.b] == [s[:2] for s in left]
+
+
+def test_merges_of_many_spans_in_one_text(spark):
+    """Thousands of spans, some over several blocks of others: both merges equal a loop over a list."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for n in (63, 64, 65, 700, 3000):
+        spans = []
+        for _ in range(n):
+            a = r.randrange(n * 9)
+            spans.append((a, a + r.choice([2, 5, 9, 9, 40, 2000 if n > 1000 else 30]), r.choice("xy"), r.choice([0.5, 0.9]), "t"))
+        rows.append((n, spans))
+    df = spark.createDataFrame(rows, f"n int, s array<{S.SPAN}>")
+    got = df.select("n", "s", S.merge_longest(F.col("s")).alias("longest"), S.merge_leftmost(F.col("s")).alias("leftmost")).collect()
+
+    def fold(spans, key, better):
+        out = []
+        for s in sorted(spans, key=key):
+            if not out or s[0] >= out[-1][1]:
+                out.append(s)
+            elif better(s, out[-1]):
+                out[-1] = s
+        return out
+
+    for row in got:
+        spans = [tuple(s) for s in row.s]
+        longer = lambda s, last: (s[1] - s[0], s[3]) > (last[1] - last[0], last[3])
+        assert [tuple(s) for s in row.longest] == fold(spans, lambda s: (s[0], -s[1], -s[3]), longer)
+        assert [tuple(s) for s in row.leftmost] == fold(spans, lambda s: (s[0], -s[1]), lambda s, last: False)

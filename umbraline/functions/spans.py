@@ -27,17 +27,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 #: Arrays of spans are worked on in blocks of so many, so that work is not the square of their number.
 BLOCK = 64
+#: Spans whose part of a text is cut out at once when it is rewritten.
+PIECE = 512
 
 
-def _blocks(values: Column) -> Column:
-    """The array cut into arrays of ``BLOCK`` values; a last one may be shorter, or empty."""
-    return F.transform(F.sequence(F.lit(0), (F.size(values) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+def _blocks(values: Column, size: int = BLOCK) -> Column:
+    """The array, which must be bound, cut into arrays of ``size`` values; a last one may be shorter, or empty."""
+    return F.transform(F.sequence(F.lit(0), (F.size(values) / size).cast("int")), lambda b: F.slice(values, b * size + 1, F.lit(size)))
 
 
 def sums_before(sizes: Column) -> Column:
     """For each block of an array of numbers, the sum of all numbers before it."""
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    return let(F.transform(_blocks(sizes), total), lambda t: F.transform(t, lambda x, b: total(F.slice(t, F.lit(1), b))))
+    each = F.transform(F.sequence(F.lit(0), (F.size(sizes) / BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+    return let(each, lambda t: F.transform(t, lambda x, b: total(F.slice(t, F.lit(1), b))))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -56,7 +59,8 @@ def matches(text: Column, pattern: str) -> Column:
         inside = F.aggregate(F.slice(sizes, i - i % BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
         return F.struct((F.get(bases, block.cast("int")) + inside + F.length(F.get(pieces, i))).alias("start"), hit.alias("text"))
 
-    found = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: located(p, h)))
+    both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
+    found = let(both, lambda x: located(x["p"], x["h"]))
     sign = SIGNS.get(pattern)
     some = text.rlike(pattern) if sign is None else (text.contains(sign) if sign in LITERAL_SIGNS else text.rlike(sign)) & text.rlike(pattern)
     return F.when(some, found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>"))
@@ -95,31 +99,36 @@ def _ranked(spans: Column) -> Column:
     tagged = F.transform(
         spans, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["confidence"]).alias("c"), i.alias("i"), s.alias("s"))
     )
-    return F.transform(F.array_sort(tagged), lambda t: t["s"])
+    return F.sort_array(tagged)["s"]
 
 
 def _folded(spans: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Spans in order, each met with the last one that stays: ``step`` gives the span to stay in its place, or null where the new one comes after it.
+    """Bound spans in order, each met with the last one that stays: ``step`` gives the span to stay in its place, or null where the new one comes after it.
 
-    Those that can no longer change are gathered in blocks, as an array that
-    grows one by one is copied each time.
+    A fold copies its state at every step, so it goes over one group of blocks
+    at a time: a block is joined to the one before if its first span begins
+    before an end in any block before.
     """
-    kind = SPAN
-    none = F.from_json(F.lit("[]"), f"array<array<{kind}>>")
 
     def put(acc: Column, s: Column) -> Column:
         # the first span has nothing before it
         instead = F.when(acc["last"].isNotNull(), step(acc["last"], s))
         moves = acc["last"].isNotNull() & instead.isNull()
-        some = F.when(moves, F.concat(acc["some"], F.array(acc["last"]))).otherwise(acc["some"])
-        full = moves & (F.size(acc["some"]) >= BLOCK - 1)
-        return F.struct(
-            F.when(full, F.concat(acc["all"], F.array(some))).otherwise(acc["all"]).alias("all"), F.when(full, no_spans()).otherwise(some).alias("some"),
-            F.coalesce(instead, s).alias("last"),
-        )
+        return F.struct(F.when(moves, F.concat(acc["some"], F.array(acc["last"]))).otherwise(acc["some"]).alias("some"), F.coalesce(instead, s).alias("last"))
+
+    def free(most: Column) -> Column:
+        begins = lambda b: (b == 0) | (F.get(spans, b * BLOCK)["start"] >= F.array_max(F.slice(most, F.lit(1), b)))
+        return F.filter(F.sequence(F.lit(0), F.size(most) - 1), begins)
+
+    def folds(at: Column, most: Column) -> Column:
+        size = lambda b, i: (F.coalesce(F.get(at, i + 1), F.size(most)) - b) * BLOCK
+        return F.flatten(F.transform(at, lambda b, i: fold(F.slice(spans, b * BLOCK + 1, size(b, i)))))
 
-    start = F.struct(none.alias("all"), no_spans().alias("some"), F.lit(None).cast(kind).alias("last"))
-    return F.aggregate(spans, start, put, lambda a: F.concat(F.flatten(a["all"]), a["some"], F.filter(F.array(a["last"]), lambda x: x.isNotNull())))
+    start = F.struct(no_spans().alias("some"), F.lit(None).cast(SPAN).alias("last"))
+    fold = lambda g: F.aggregate(g, start, put, lambda a: F.concat(a["some"], F.array(a["last"])))
+    ends = lambda b: F.array_max(F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))["end"])
+    most = F.transform(F.sequence(F.lit(0), (F.size(spans) / BLOCK).cast("int")), ends)
+    return let(most, lambda m: let(free(m), lambda at: folds(at, m)))
 
 
 def merge_longest(spans: Column) -> Column:
@@ -130,7 +139,7 @@ def merge_longest(spans: Column) -> Column:
         better = (size > had) | ((size == had) & (s["confidence"] > last["confidence"]))
         return F.when(s["start"] < last["end"], F.when(better, s).otherwise(last))
 
-    return let(spans, lambda s: F.when(F.size(s) > 1, _folded(_ranked(s), step)).otherwise(s))
+    return let(_ranked(spans), lambda r: F.when(F.size(r) > 1, _folded(r, step)).otherwise(r))
 
 
 def merge_leftmost(spans: Column) -> Column:
@@ -138,9 +147,10 @@ def merge_leftmost(spans: Column) -> Column:
 
     def ordered(spans: Column) -> Column:
         tagged = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
-        return F.transform(F.array_sort(tagged), lambda t: t["s"])
+        return F.sort_array(tagged)["s"]
 
-    return let(spans, lambda s: F.when(F.size(s) > 1, _folded(ordered(s), lambda last, x: F.when(x["start"] < last["end"], last))).otherwise(s))
+    step = lambda last, s: F.when(s["start"] < last["end"], last)
+    return let(ordered(spans), lambda r: F.when(F.size(r) > 1, _folded(r, step)).otherwise(r))
 
 
 MERGES = {"longest": merge_longest, "leftmost": merge_leftmost}
@@ -171,11 +181,11 @@ def rewrite(text: Column, spans: Column, replacement: Callable[[Column], Column]
 
     def parts(spans: Column) -> Column:
         ends = lambda bs, i: F.when(i > 0, F.element_at(F.get(bs, i - 1), -1)["end"]).otherwise(F.lit(0))
-        blocks = let(F.filter(_blocks(spans), lambda b: F.size(b) > 0), lambda bs: F.transform(bs, lambda b, i: block(b, ends(bs, i))))
+        blocks = let(F.filter(_blocks(spans, PIECE), lambda b: F.size(b) > 0), lambda bs: F.transform(bs, lambda b, i: block(b, ends(bs, i))))
         tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
         return F.concat(F.array_join(blocks, ""), tail)
 
-    return let(F.array_sort(spans), lambda s: F.when(F.size(s) > 0, parts(s)).otherwise(text))
+    return let(F.sort_array(spans), lambda s: F.when(F.size(s) > 0, parts(s)).otherwise(text))
 
 
 def redact(text: Column, spans: Column, filler: str = "·") -> Column:

@@ -8,6 +8,7 @@ category is not asked for, as they are never built.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
@@ -211,11 +212,38 @@ class DictionaryEntry:
     word_boundary: bool | None = None
 
 
+#: The automata of the dictionary that a worker used last, by its digest.
+_BUILT: dict[str, list] = {}
+
+
+def _machines(own: str, entries: list[DictionaryEntry]) -> list[tuple[bool, object]]:
+    """The automata of a dictionary, for exact and for lower case; built once in each worker."""
+    if own not in _BUILT:
+        import ahocorasick
+
+        machines = []
+        for exact in (True, False):
+            needles: dict[str, list[int]] = {}
+            for i, e in enumerate(entries):
+                if e.case_sensitive == exact:
+                    needles.setdefault(e.value if exact else e.value.lower(), []).append(i)
+            if needles:
+                auto = ahocorasick.Automaton()
+                for needle, which in needles.items():
+                    auto.add_word(needle, (len(needle), which))
+                auto.make_automaton()
+                machines.append((exact, auto))
+        _BUILT.clear()
+        _BUILT[own] = machines
+    return _BUILT[own]
+
+
 def dictionary(entries: Sequence[DictionaryEntry]) -> Detector:
     """Literal values of a personal dictionary, overlapping ones too, at word boundaries where asked for.
 
     All entries are looked for in one pass of an Aho-Corasick automaton in Arrow
-    batches, whatever their number.
+    batches, whatever their number. Entries travel with the function, which
+    Spark broadcasts if it is large; a worker builds the automata once.
     """
     seen: dict[tuple, DictionaryEntry] = {}
     for i, e in enumerate(entries):
@@ -232,21 +260,10 @@ def dictionary(entries: Sequence[DictionaryEntry]) -> Detector:
         word = re.compile(patterns.HANGUL if re.search(patterns.HANGUL, value) else patterns.W)
         return not (start and word.match(text[start - 1])) and not (end < len(text) and word.match(text[end]))
 
-    def look(texts: pd.Series) -> pd.Series:
-        import ahocorasick
+    own = hashlib.sha256(repr(found).encode()).hexdigest()
 
-        machines = []
-        for exact in (True, False):
-            machine: dict[str, list[int]] = {}
-            for i, e in enumerate(found):
-                if e.case_sensitive == exact:
-                    machine.setdefault(e.value if exact else e.value.lower(), []).append(i)
-            if machine:
-                auto = ahocorasick.Automaton()
-                for needle, which in machine.items():
-                    auto.add_word(needle, (len(needle), which))
-                auto.make_automaton()
-                machines.append((exact, auto))
+    def look(texts: pd.Series) -> pd.Series:
+        machines = _machines(own, found)
 
         def one(text: str | None) -> list[dict] | None:
             if text is None:

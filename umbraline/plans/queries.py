@@ -261,7 +261,7 @@ FROM ({_merge_sql(_BY_LENGTH, _LONGER)}) WHERE category IN ('card', 'private_ema
 
 _BY_LENGTH = 's."start", s."start" - s."end", -s.confidence'
 
-#: A secret of each family between other text: its parts are put together here, so that this file holds none.
+#: A secret of each family between other text, planted into documents: its parts are put together here, so that this file holds none.
 _A, _D = "abcdefghij", "0123456789"
 SECRET_CASES = (
     ("aws", "key ", "AKIA" + "ABCDEFGHIJKLMNOP", " end"), ("github", "x=", "ghp" + "_" + _A * 3, ";"), ("anthropic", "", "sk-" + "ant-api03-" + _A * 2, ""),
@@ -277,16 +277,32 @@ SECRET_CASES = (
 )
 
 
+def _planted(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
+    """Every document with one of the texts, by its id, in a line of its own behind it: doc_id, case (its number), text, base (where it begins)."""
+    case = F.pmod(F.col("doc_id"), F.lit(len(texts))).cast("int")
+    own = F.coalesce(F.col("text"), F.lit(""))
+    put = F.element_at(F.array(*map(F.lit, texts)), case + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", case.alias("case"), F.concat(own, F.lit("\n"), put).alias("text"), (F.length(own) + 1).alias("base"))
+
+
+def _planted_sql(rows, columns) -> str:
+    """The documents beside what is expected of the text planted into each."""
+    numbered = _values_sql([(i, *r) for i, r in enumerate(rows)], ("case_no", *columns))
+    return f"""(SELECT doc_id, coalesce(text, '') AS doc, v.* FROM documents JOIN ({numbered}) v ON doc_id % {len(rows)} = case_no)"""
+
+
 def secret_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credentials of each family in a text of their own."""
-    rows = spark.createDataFrame([(name, a + secret + z) for name, a, secret, z in SECRET_CASES], "name string, text string")
-    found = rows.select("name", F.explode(detect.secret_spans()(F.col("text"))).alias("s"))
-    return found.select("name", "s.start", "s.end", "s.text")
+    """Credentials of each family, planted into all documents; what is found behind the documents' own text."""
+    rows = _planted(spark, sf_dir, [a + secret + z for _, a, secret, z in SECRET_CASES])
+    found = rows.select("doc_id", "case", "base", F.explode(detect.secret_spans()(F.col("text"))).alias("s")).filter(F.col("s.start") >= F.col("base"))
+    name = F.element_at(F.array(*[F.lit(n) for n, *_ in SECRET_CASES]), F.col("case") + 1)
+    return found.select("doc_id", name.alias("name"), "s.start", "s.end", "s.text")
 
 
 def _secret_cases_sql() -> str:
-    rows = [(n, len(a), len(a) + len(x), x) for n, a, x, _ in SECRET_CASES if x]
-    return "SELECT * FROM (VALUES " + ", ".join("('{}', {}, {}, '{}')".format(*r) for r in rows) + ') AS t(name, start, "end", text)'
+    rows = [(n, len(a), len(a) + len(x), x) for n, a, x, _ in SECRET_CASES]
+    source = _planted_sql(rows, ("name", "a", "z", "secret"))
+    return f"""SELECT doc_id, name, (len(doc) + 1 + a)::INTEGER AS start, (len(doc) + 1 + z)::INTEGER AS "end", secret AS text FROM {source} WHERE secret <> ''"""
 
 
 #: A vault, and texts with what they become: whole, in another case, without braces, one edit away, ambiguous, of another key, in a path.
@@ -315,9 +331,16 @@ def _literal_vault(spark: SparkSession) -> DataFrame:
 
 
 def restore_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of every kind of damage, restored from a small vault; two rows share a key."""
-    rows = spark.createDataFrame([r[:3] for r in RESTORE_CASES], "case_id int, session_id string, text string")
-    return R.restore(rows, _literal_vault(spark), SECRET).select("case_id", "session_id", "restored", *_RESTORE_COUNTS)
+    """Texts of every kind of damage, planted into all documents and restored from a small vault."""
+    rows = _planted(spark, sf_dir, [r[2] for r in RESTORE_CASES])
+    session = F.element_at(F.array(*[F.lit(r[1]) for r in RESTORE_CASES]), F.col("case") + 1)
+    rows = rows.select("doc_id", session.alias("session_id"), "text")
+    return R.restore(rows, _literal_vault(spark), SECRET).select("doc_id", "session_id", "restored", *_RESTORE_COUNTS)
+
+
+def _restore_cases_sql() -> str:
+    source = _planted_sql([(r[1], *r[3:]) for r in RESTORE_CASES], ("session_id", "becomes", *_RESTORE_COUNTS))
+    return f"SELECT doc_id, session_id, doc || chr(10) || becomes AS restored, {', '.join(_RESTORE_COUNTS)} FROM {source}"
 
 
 def _values_sql(rows, columns) -> str:
@@ -326,14 +349,14 @@ def _values_sql(rows, columns) -> str:
 
 
 def status_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of tokens: live in their session only, expired if of this key, else foreign; and the text with those that are not live taken out."""
+    """Status of tokens planted into all documents: live in their session only, expired if of this key, else foreign; and the text with those that are not live taken out."""
     mine = tokens.epoch(tokens.token_key(SECRET))
-    texts = [(s, t.replace("<mine>", mine)) for s, t, *_ in STATUS_CASES]
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "case_id int, session_id string, text string")
-    seen = rows.select("case_id", "session_id", "text", F.regexp_extract("text", tokens.STRICT, 0).alias("token"))
-    status = M.token_status(seen, _literal_vault(spark), SECRET).select("case_id", "status")
-    neutral = R.neutralise(rows, _literal_vault(spark), SECRET).select("case_id", "neutral")
-    return status.join(neutral, "case_id").select("case_id", "status", F.regexp_replace("neutral", mine, "<mine>").alias("neutral"))
+    rows = _planted(spark, sf_dir, [t.replace("<mine>", mine) for _, t, *_ in STATUS_CASES])
+    session = F.element_at(F.array(*[F.lit(s) for s, *_ in STATUS_CASES]), F.col("case") + 1)
+    rows = rows.select("doc_id", session.alias("session_id"), "text", F.regexp_extract("text", tokens.STRICT, 0).alias("token"))
+    status = M.token_status(rows, _literal_vault(spark), SECRET)
+    out = R.neutralise(status, _literal_vault(spark), SECRET)
+    return out.select("doc_id", "status", F.regexp_replace("neutral", mine, "<mine>").alias("neutral"))
 
 
 STATUS_CASES = (
@@ -559,8 +582,8 @@ SQL = {
   SELECT label, arg_min(text, (doc_id, start)) AS text, c AS canonical_text, count(*) AS uses FROM m GROUP BY label, c""",
     "hmac_values": _hmac_sql(),
     "secret_cases": _secret_cases_sql(),
-    "restore_cases": _values_sql([(a, b, *r) for a, b, _, *r in RESTORE_CASES], ("case_id", "session_id", "restored", *_RESTORE_COUNTS)),
-    "status_cases": _values_sql([(i, s, n) for i, (_, _, s, n) in enumerate(STATUS_CASES)], ("case_id", "status", "neutral")),
+    "restore_cases": _restore_cases_sql(),
+    "status_cases": f"SELECT doc_id, status, doc || chr(10) || becomes AS neutral FROM {_planted_sql([(s, n) for _, _, s, n in STATUS_CASES], ('status', 'becomes'))}",
     "leak_rate": f"""SELECT d.lang, 0 AS leaked, count(m.doc_id) AS tokens FROM documents d LEFT JOIN ({_merge_sql(_BY_LENGTH, _LONGER)}) m USING (doc_id) GROUP BY d.lang""",
     "conversation_mask": f"""SELECT conv_id, role, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS content FROM (SELECT conv_id, role, text FROM conversations
   UNION ALL SELECT * FROM ({_values_sql([(-1, r, t) for r, t in TURNS], ("conv_id", "role", "text"))}))""",
