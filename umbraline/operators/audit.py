@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import patterns
 from ..functions import spans as S
+from .mask import ASSIGNED
 
 SCHEMA = """timestamp string, event string, vault_id string, session_id string, request_id string, categories map<string,bigint>,
 backend_name string, latency_ms double, policy_result string, restored_count bigint, unknown_token_count bigint, partial_match_count bigint,
@@ -171,3 +175,51 @@ def latency(samples: DataFrame, column: str, by: list[str], ranges: int = 512) -
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "n", (F.col("total") / F.col("n")).alias("avg"), "p50", "p95", "p99", (F.col("n") * 1000 / F.col("total")).alias("per_second")
     )
+
+
+def observed(masked: DataFrame, name: str = "masking", text: str = "text", tokens: str = "tokens") -> DataFrame:
+    """The masked rows, which give their audit figures to whoever listens for ``name`` as they pass: no second scan.
+
+    Figures: mask_events, text_length, masked_char_count, minted_count (token
+    uses), failed_texts (null), and a count for each category, ``n_<category>``.
+    A batch query gives them to ``Observation(name)``, a stream's queries to
+    ``MetricsListener``. Sums over nothing are 0.
+    """
+    return masked.observe(name, *_figures(text, tokens))
+
+
+def observation(masked: DataFrame, text: str = "text", tokens: str = "tokens") -> tuple[DataFrame, Observation]:
+    """The masked rows, and what holds their figures after the first action on them."""
+    seen = Observation()
+    return masked.observe(seen, *_figures(text, tokens)), seen
+
+
+def _figures(text: str, tokens: str) -> list[Column]:
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    spans = F.coalesce(tokens, F.from_json(F.lit("[]"), ASSIGNED))
+    each = [total(F.size(F.filter(spans, lambda t, c=c: t["category"] == c)), f"n_{c}") for c in patterns.CATEGORIES]
+    return [
+        F.count_if(F.col(text).isNotNull()).alias("mask_events"), total(F.length(text), "text_length"), total(S.masked_chars(spans), "masked_char_count"),
+        total(F.size(spans), "minted_count"), F.count_if(F.col(text).isNull()).alias("failed_texts"), *each,
+    ]
+
+
+class MetricsListener(StreamingQueryListener):
+    """Hands the figures of each batch of a stream to ``sink`` (batch id, figures), as they are observed under ``name``."""
+
+    def __init__(self, sink: Callable[[int, dict[str, int]], None], name: str = "masking") -> None:
+        self.sink, self.name = sink, name
+
+    def onQueryStarted(self, event) -> None:
+        return None
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.sink(event.progress.batchId, row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        return None
+
+    def onQueryTerminated(self, event) -> None:
+        return None

@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import tokens as T
 from ..functions.patterns import HANGUL, JS_SPACE, W
+from .vaults import session_key
 
 
 @dataclass(frozen=True)
@@ -91,10 +92,16 @@ def leading(piece: str, after: tuple[bool, int]) -> tuple[bool, int]:
 def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = True) -> DataFrame:
     """Adds ``found`` (the entry's text), ``repaired`` and ``cause`` (foreign, expired or ambiguous) to matches.
 
-    ``matches`` has session_id, label, hash, normalized and a unique ``mid``.
+    ``matches`` has session_id, label, hash, normalized and a unique ``mid``. A
+    stored vault (``VaultTable.entries``) is not shuffled for exact matches.
     """
-    entries = vault.select(F.col("session_id").alias("__s"), F.col("token").alias("__t"), F.col("text").alias("found"))
-    hit = matches.join(entries, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("normalized") == F.col("__t")), "left").drop("__s", "__t")
+    if "session_key" in vault.columns:  # a stored vault, which is joined by its buckets
+        entries = vault.select(F.col("session_key").alias("__s"), F.col("token").alias("__t"), F.col("text").alias("found"))
+        hit = matches.withColumn("__k", session_key(F.col("session_id"))).join(entries, (F.col("__k") == F.col("__s")) & (F.col("normalized") == F.col("__t")), "left")
+    else:
+        entries = vault.select(F.col("session_id").alias("__s"), F.col("token").alias("__t"), F.col("text").alias("found"))
+        hit = matches.join(entries, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("normalized") == F.col("__t")), "left")
+    hit = hit.drop("__k", "__s", "__t")
     if not repair:
         return hit.select(*matches.columns, "found", F.lit(False).alias("repaired"), F.when(F.col("found").isNull(), "expired").alias("cause"))
     own = F.substring("hash", 1, T.EPOCH_CHARS) == T.epoch(T.token_key(secret))
