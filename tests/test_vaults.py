@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pandas as pd
 import pytest
@@ -98,7 +99,10 @@ def run(spark, tmp_path, rows, schema, make, name, batches=3):
         os.utime(tmp_path / f"in{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in*.json"))
     query = make(source).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    until = time.monotonic() + 240
+    while query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < len(rows) and time.monotonic() < until:
+        time.sleep(0.2)
+    query.stop()  # timers of processing time keep a query up
     return spark.table(name)
 
 
@@ -231,8 +235,6 @@ def test_figures_come_with_the_pass(spark, tmp_path):
         for _ in range(100):
             if sum(b["mask_events"] for b in batches) >= got["mask_events"]:
                 break
-            import time
-
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(listener)

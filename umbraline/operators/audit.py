@@ -197,7 +197,7 @@ def observation(masked: DataFrame, text: str = "text", tokens: str = "tokens") -
 def _figures(text: str, tokens: str) -> list[Column]:
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     spans = F.coalesce(tokens, F.from_json(F.lit("[]"), ASSIGNED))
-    each = [total(F.size(F.filter(spans, lambda t, c=c: t["category"] == c)), f"n_{c}") for c in patterns.CATEGORIES]
+    each = [total(F.size(S.only(spans, [c])), f"n_{c}") for c in patterns.CATEGORIES]
     return [
         F.count_if(F.col(text).isNotNull()).alias("mask_events"), total(F.length(text), "text_length"), total(S.masked_chars(spans), "masked_char_count"),
         total(F.size(spans), "minted_count"), F.count_if(F.col(text).isNull()).alias("failed_texts"), *each,
