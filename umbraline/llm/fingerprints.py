@@ -67,9 +67,9 @@ def _places(digests: Column, attempt: Column) -> Column:
     return F.transform(digests, lambda w: F.struct(w.alias("w"), F.xxhash64(w, attempt).alias("p")))
 
 
-def _in_cell(p: Column, shift: Column, place: Column, cells: Column) -> Column:
-    """Whether a digest's bits choose the cell at a place of the row whose bits begin at ``shift``; ``cells`` is a power of two."""
-    return F.call_function("shiftrightunsigned", p, shift).bitwiseAND(cells - 1) == place
+def _cell(p: Column, shift: Column, cells: Column) -> Column:
+    """The cell that a digest's bits choose in the row whose bits begin at ``shift``; ``cells`` is a power of two."""
+    return F.call_function("shiftrightunsigned", p, shift).bitwiseAND(cells - 1).cast("int")
 
 
 def _xor(words: Column) -> Column:
@@ -79,13 +79,16 @@ def _xor(words: Column) -> Column:
 def sketch(digests: Column, cells: Column, attempt: Column) -> Column:
     """The cells of a set of digests: n of them, their exclusive or w, and where the cell is (bits s, place q)."""
 
-    def cell(placed: Column, shift: Column, q: Column) -> Column:
-        own = F.filter(placed, lambda x: _in_cell(x["p"], shift, q, cells))
+    def cell(own: Column, shift: Column, q: Column) -> Column:
         return let(own, lambda o: F.struct(F.size(o).alias("n"), _xor(o).alias("w"), shift.alias("s"), q.alias("q")))
 
+    def row(placed: Column, shift: Column) -> Column:
+        # each digest's cell is computed once, so that the filters, one a cell, only compare two numbers
+        at = F.transform(placed, lambda x: F.struct(x["w"].alias("w"), _cell(x["p"], shift, cells).alias("q")))
+        return let(at, lambda a: F.transform(F.sequence(F.lit(0), cells - 1), lambda q: cell(F.filter(a, lambda x: x["q"] == q), shift, q)))
+
     rows = F.array(F.lit(0), F.lit(16), F.lit(32))
-    every = lambda placed: F.transform(rows, lambda s: F.transform(F.sequence(F.lit(0), cells - 1), lambda q: cell(placed, s, q)))
-    return F.flatten(let(_places(digests, attempt), every))
+    return F.flatten(let(_places(digests, attempt), lambda placed: F.transform(rows, lambda s: row(placed, s))))
 
 
 def base_sketch(digests: Column) -> Column:
@@ -100,7 +103,7 @@ def peeled(difference: Column, cells: Column, attempt: Column) -> Column:
     """How many digests a difference of sketches holds, as all of them are taken out of it; null if it cannot be emptied."""
 
     def without(cell: Column, known: Column) -> Column:
-        gone = F.filter(known, lambda k: _in_cell(k["p"], cell["s"], cell["q"], cells))
+        gone = F.filter(known, lambda k: _cell(k["p"], cell["s"], cells) == cell["q"])
         n = lambda g: cell["n"] - F.aggregate(g, F.lit(0), lambda a, k: a + k["n"])
         less = lambda g: F.struct(n(g).alias("n"), cell["w"].bitwiseXOR(_xor(g)).alias("w"), cell["s"].alias("s"), cell["q"].alias("q"))
         return let(gone, lambda g: F.when(F.size(g) > 0, less(g)).otherwise(cell))
@@ -184,24 +187,25 @@ def next_rows(docs: DataFrame, own: str, key: str, text: str) -> DataFrame:
 
 
 def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, text, edited (its last quarter replaced by the next document's beginning), next_key, and the digests of the text, the edited and the next one.
+    """key, n_chars, text, edited (its last quarter replaced by the next document's beginning), next_key, the digests of the text, the edited and the next one, and the sketches of the first and the last.
 
     Only the beginning that is needed of each next document travels to the row
-    before it, with its digests; whole texts are shuffled once.
+    before it, with its digests and its sketch, which are computed once for both
+    uses; whole texts are shuffled once.
     """
     rows, own = identified(docs)
     rows = rows.select(F.col(own).alias("own"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     own = "own"
     links = scratch(next_rows(rows, own, "k", "t"), "links")
-    dealt = rows.select(F.col(own).alias("own"), "k", F.coalesce("t", F.lit("")).alias("t"))
-    # both joins deal the texts by row id, which is one exchange
+    dealt = rows.select(F.col(own).alias("own"), "k", F.coalesce("t", F.lit("")).alias("t")).withColumn("x", digests(F.col("t"))).withColumn("s", base_sketch(F.col("x")))
+    # both joins deal the texts, with their digests and sketches, by row id, which is one exchange
     needs = links.select(F.col("own").alias("reader"), F.col("next").alias("giver"), F.floor(F.col("n_chars") / 4).cast("int").alias("need"))
     given = dealt.join(needs.hint("merge"), F.col("own") == F.col("giver"))
-    given = given.select("reader", F.col("k").alias("next_key"), F.substring("t", F.lit(1), F.col("need")).alias("head"), "need", digests(F.col("t")).alias("x"))
+    given = given.select("reader", F.col("k").alias("next_key"), F.substring("t", F.lit(1), F.col("need")).alias("head"), "need", F.col("x").alias("next_digests"), F.col("s").alias("next_sketch"))
     met = dealt.join(given.hint("merge"), F.col("own") == F.col("reader"))
     n = F.length("t")
-    met = met.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.col("t").alias("text"), F.concat(F.substring("t", F.lit(1), n - F.col("need")), "head").alias("edited"), "next_key", "x")
-    return met.select(key, "n_chars", "text", "edited", "next_key", digests(F.col("text")).alias("digests"), digests(F.col("edited")).alias("edited_digests"), F.col("x").alias("next_digests"))
+    met = met.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.col("t").alias("text"), F.concat(F.substring("t", F.lit(1), n - F.col("need")), "head").alias("edited"), "next_key", F.col("x").alias("digests"), F.col("s").alias("sketch"), "next_digests", "next_sketch")
+    return met.withColumn("edited_digests", digests(F.col("edited")))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,6 +220,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             likeness(own, after, s["a"], s["c"]).alias("near_next"),
         )
 
-    sketches = F.struct(*[base_sketch(c).alias(n) for c, n in zip((own, edited, after), "abc", strict=True)])
+    sketches = F.struct(F.col("sketch").alias("a"), base_sketch(edited).alias("b"), F.col("next_sketch").alias("c"))
     rows = rows.select(key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_key", let(sketches, told).alias("r"))
     return rows.select(key, "n_chars", "edited_sha256", "r.*", "next_key")
