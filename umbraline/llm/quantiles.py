@@ -55,42 +55,43 @@ def _same(by: list[str], a: str, b: str) -> Column:
     return functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
 
 
-def summarise(values: DataFrame, by: list[str], cuts: int = CUTS, least: int = LEAST) -> DataFrame:
-    """Points of each group of counted values (``counted``): by, n (its rows), x, below and upto (how many rows are below x, and up to x).
+def summarise(values: DataFrame, by: list[str], cuts: int = CUTS, least: int = LEAST, wanted: str | None = None) -> DataFrame:
+    """Points of each group of counted values (``counted``): by, n (its rows), x, below and upto (how many rows are below x, and up to x), and wanted.
 
-    They stand at the ranks ceil(j * n / cuts) for j from 1 to ``cuts``, and at
-    the ``least`` least values. A pass ends in two tables in the shared folder,
+    They stand at the ranks ceil(j * n / cuts) for j from 1 to ``cuts``, at the
+    ``least`` least values, and at those that the boolean column ``wanted``
+    marks, a bounded number in each group. A pass ends in two tables in the shared folder,
     from which the next one goes on. Values must lie within 2**52 of zero.
     """
     # groups go by 128 bits of a hash of their names, which are carried along
     ids = ["g1", "g2"]
-    values = values.select(F.xxhash64(*by).alias("g1"), F.xxhash64(F.lit(1), *[c for b in by for c in (F.col(b).isNull(), F.col(b))]).alias("g2"), *by, "x", "m")
+    values = values.select(F.xxhash64(*by).alias("g1"), F.xxhash64(F.lit(1), *[c for b in by for c in (F.col(b).isNull(), F.col(b))]).alias("g2"), *by, "x", "m", (F.col(wanted) if wanted else F.lit(False)).alias("wanted"))
     first = values.groupBy(*ids).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     zero = F.lit(0).cast("long")
     place, state = ["start", "cell"], ["n", "d", "lo", "hi", "before", "ahead"]
     cells = scratch(first.withColumns({c: zero for c in ("before", "ahead", *place)}), "groups")
-    rows = values.select(*ids, *by, "x", "m", *[zero.alias(c) for c in place])
+    rows = values.select(*ids, *by, "x", "m", "wanted", *[zero.alias(c) for c in place])
     found = None
     while True:
         rows = scratch(_dealt(rows, cells.select(*ids, *place, *state)), "rows")
         # a value that has a part of its own is counted already
-        single = rows.filter(F.col("d") <= PARTS).select(*ids, *by, *place, "n", "before", "ahead", F.col("m").alias("c"), F.lit(1).cast("long").alias("d"), F.col("x").alias("lo"), F.col("x").alias("hi"))
+        single = rows.filter(F.col("d") <= PARTS).select(*ids, *by, *place, "n", "before", "ahead", F.col("m").alias("c"), F.lit(1).cast("long").alias("d"), F.col("x").alias("lo"), F.col("x").alias("hi"), "wanted")
         shared = rows.filter(F.col("d") > PARTS)
         parts = shared.groupBy(*ids, *place).agg(
-            *[F.first(c).alias(c) for c in (*by, "n", "before", "ahead")], F.sum("m").alias("c"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")
+            *[F.first(c).alias(c) for c in (*by, "n", "before", "ahead")], F.sum("m").alias("c"), F.count(F.lit(1)).alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("wanted").alias("wanted")
         )
         order = Window.partitionBy(*ids, "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         parts = parts.unionByName(single).withColumns({"upto": F.col("before") + F.sum("c").over(order), "seen": F.col("ahead") + F.sum("d").over(order)})
         parts = parts.withColumns({"before": F.col("upto") - F.col("c"), "ahead": F.col("seen") - F.col("d")})
         reached = lambda c: F.floor(F.col(c) * cuts / F.col("n"))
-        parts = parts.filter((reached("upto") > reached("before")) | (F.col("ahead") < least))
-        parts = scratch(parts.select(*ids, *by, *place, *state, "upto"), "parts")
-        points = parts.filter(F.col("lo") == F.col("hi")).select(*by, "n", F.col("lo").alias("x"), F.col("before").alias("below"), "upto")
+        parts = parts.filter((reached("upto") > reached("before")) | (F.col("ahead") < least) | F.col("wanted"))
+        parts = scratch(parts.select(*ids, *by, *place, *state, "upto", "wanted"), "parts")
+        points = parts.filter(F.col("lo") == F.col("hi")).select(*by, "n", F.col("lo").alias("x"), F.col("before").alias("below"), "upto", "wanted")
         found = points if found is None else found.unionByName(points)
-        cells = parts.filter(F.col("lo") < F.col("hi")).drop("upto")
+        cells = parts.filter(F.col("lo") < F.col("hi")).drop("upto", "wanted")
         if cells.isEmpty():
             return found
-        rows = shared.select(*ids, *by, "x", "m", *place)
+        rows = shared.select(*ids, *by, "x", "m", "wanted", *place)
 
 
 def _dealt(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -121,6 +122,8 @@ def merge(points: DataFrame, by: list[str], batch: str, cuts: int = MERGED_CUTS,
     last, and the ``least`` least ones. A task reads the points of a group's
     batches, so that their number must be bounded; merge more of them in rounds.
     """
+    # dealt by group once, which serves all that follows
+    points = points.repartition(*by)
     own = Window.partitionBy(*by, batch).orderBy("x")
     before = lambda c: F.coalesce(F.lag(c).over(own), F.lit(0))
     after = lambda c, end: F.coalesce(F.lead(c).over(own), end)
@@ -224,9 +227,13 @@ def report(values: DataFrame, by: list[str], batch: str, parts: int = 10, least_
     own = _with(own, truth(large, each, parts), [*each, "i"])
     whole = merge(bounded(points, each), by, batch).filter(F.col("n") >= least_rows)
     asked = scratch(estimate(whole, by, parts), "answers")
-    every = scratch(values.groupBy(*by, "x").agg(F.sum("m").alias("m")), "every")
-    exact = truth(summarise(every, by, cuts=parts, least=0), by, parts)
-    joined = _with(_with(asked, exact, [*by, "i"]), ranks(every, asked, by, most=parts - 1), [*by, "answer"]).withColumn(batch, F.lit(-1))
+    # answers are values of the group, so their ranks are searched with the exact cut values, in the same passes
+    marks = asked.select(*by, F.col("answer").alias("x"), F.lit(0).cast("long").alias("m"), F.lit(True).alias("asked"))
+    every = values.select(*by, "x", "m", F.lit(False).alias("asked")).unionByName(marks)
+    every = scratch(every.groupBy(*by, "x").agg(F.sum("m").alias("m"), F.max("asked").alias("asked")), "every")
+    exact = summarise(every, by, cuts=parts, least=0, wanted="asked")
+    placed = exact.filter("wanted").select(*by, F.col("x").alias("answer"), F.col("below").alias("n_below"), F.col("upto").alias("n_upto"))
+    joined = _with(_with(asked, truth(exact, by, parts), [*by, "i"]), placed, [*by, "answer"]).withColumn(batch, F.lit(-1))
     columns = [*each, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto"]
     out = own.select(*columns).unionByName(joined.select(*columns))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
