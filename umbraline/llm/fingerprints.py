@@ -79,13 +79,11 @@ def _xor(words: Column) -> Column:
 def sketch(digests: Column, cells: Column, attempt: Column) -> Column:
     """The cells of a set of digests: n of them, their exclusive or w, and where the cell is (bits s, place q)."""
 
-    def cell(own: Column, shift: Column, q: Column) -> Column:
-        return let(own, lambda o: F.struct(F.size(o).alias("n"), _xor(o).alias("w"), shift.alias("s"), q.alias("q")))
-
     def row(placed: Column, shift: Column) -> Column:
         # each digest's cell is computed once, so that the filters, one a cell, only compare two numbers
         at = F.transform(placed, lambda x: F.struct(x["w"].alias("w"), _cell(x["p"], shift, cells).alias("q")))
-        return let(at, lambda a: F.transform(F.sequence(F.lit(0), cells - 1), lambda q: cell(F.filter(a, lambda x: x["q"] == q), shift, q)))
+        own = let(at, lambda a: F.transform(F.sequence(F.lit(0), cells - 1), lambda q: F.filter(a, lambda x: x["q"] == q)))
+        return F.transform(own, lambda o, q: F.struct(F.size(o).alias("n"), _xor(o).alias("w"), shift.alias("s"), q.alias("q")))
 
     rows = F.array(F.lit(0), F.lit(16), F.lit(32))
     return F.flatten(let(_places(digests, attempt), lambda placed: F.transform(rows, lambda s: row(placed, s))))
@@ -102,18 +100,18 @@ def subtracted(a: Column, b: Column) -> Column:
 def peeled(difference: Column, cells: Column, attempt: Column) -> Column:
     """How many digests a difference of sketches holds, as all of them are taken out of it; null if it cannot be emptied."""
 
-    def without(cell: Column, known: Column) -> Column:
-        gone = F.filter(known, lambda k: _cell(k["p"], cell["s"], cells) == cell["q"])
-        n = lambda g: cell["n"] - F.aggregate(g, F.lit(0), lambda a, k: a + k["n"])
-        less = lambda g: F.struct(n(g).alias("n"), cell["w"].bitwiseXOR(_xor(g)).alias("w"), cell["s"].alias("s"), cell["q"].alias("q"))
-        return let(gone, lambda g: F.when(F.size(g) > 0, less(g)).otherwise(cell))
+    def without(cell: Column, gone: Column) -> Column:
+        n = cell["n"] - F.aggregate(gone, F.lit(0), lambda a, k: a + k["n"])
+        less = F.struct(n.alias("n"), cell["w"].bitwiseXOR(_xor(gone)).alias("w"), cell["s"].alias("s"), cell["q"].alias("q"))
+        return F.when(F.size(gone) > 0, less).otherwise(cell)
 
     def round_(state: Column) -> Column:
         single = F.filter(state["c"], lambda x: (F.abs(x["n"]) == 1) & _genuine(x["w"]))
         known = F.array_distinct(F.transform(single, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), F.xxhash64(x["w"], attempt).alias("p"))))
 
         def taken(k: Column) -> Column:
-            left = F.transform(state["c"], lambda x: without(x, k))
+            gone = F.transform(state["c"], lambda x: F.filter(k, lambda y: _cell(y["p"], x["s"], cells) == x["q"]))
+            left = F.zip_with(state["c"], gone, without)
             return F.struct(left.alias("c"), (state["found"] + F.size(k)).alias("found"), (F.size(k) > 0).alias("more"))
 
         return let(known, taken)
