@@ -12,9 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a page at which words and spans are cut for their join.
+STRETCH = 128
 WORD = "image_id string, line_index int, word_index int, text string, left int, top int, width int, height int, confidence double"
 
 
@@ -34,10 +36,28 @@ def word_offsets(words: DataFrame) -> DataFrame:
     return words.withColumn("start", before.cast("int")).withColumn("end", (before + F.length("text")).cast("int"))
 
 
+def _stretches(start: str, end: str) -> Column:
+    """The stretches of ``STRETCH`` characters that an interval touches, as rows."""
+    last = F.greatest(F.col(start), F.col(end) - 1)
+    return F.explode(F.sequence(F.floor(F.col(start) / STRETCH), F.floor(last / STRETCH)))
+
+
+def covered_words(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each word with each span of its image that covers a part of it, once.
+
+    Both are cut at stretches of the text and joined by image and stretch; a
+    pair that shares several of them is kept in the first. Work is linear in
+    words, spans and pairs, and one large image is spread over many tasks.
+    """
+    w = word_offsets(words).withColumnsRenamed({"start": "w_start", "end": "w_end"}).withColumn("__at", _stretches("w_start", "w_end"))
+    s = spans.withColumn("__at", _stretches("start", "end"))
+    met = s.join(w, ["image_id", "__at"]).filter((F.col("w_end") > F.col("start")) & (F.col("w_start") < F.col("end")))
+    return met.filter(F.col("__at") == F.floor(F.greatest("start", "w_start") / STRETCH)).drop("__at")
+
+
 def regions(words: DataFrame, spans: DataFrame, padding: int = 0) -> DataFrame:
     """Box of each span (image_id, span_id, start, end, category) on each line it covers."""
-    w = word_offsets(words).withColumnsRenamed({"start": "w_start", "end": "w_end"})
-    met = spans.join(w, "image_id").filter((F.col("w_end") > F.col("start")) & (F.col("w_start") < F.col("end")))
+    met = covered_words(words, spans)
     box = met.groupBy("image_id", "span_id", "category", "line_index").agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom")
     )

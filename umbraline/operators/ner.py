@@ -7,7 +7,8 @@ is here. Long texts are cut into overlapping windows, so no text is left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,33 +21,62 @@ Spans = list[tuple[int, int, str, float]]
 #: A model: texts to (offsets of tokens, scores of tags) of each.
 Tagger = Callable[[list[str]], list[tuple[list[tuple[int, int]], np.ndarray]]]
 IMPOSSIBLE = -1e9
-
-
-def transitions(tags: Sequence[str]) -> np.ndarray:
-    """0 where a BIOES tag may follow another one, a very low score elsewhere."""
+#: The names of the biases in a calibration file, by the first letters of the tags before and after.
+BIASES = {
+    "OO": "transition_bias_background_stay",
+    "OB": "transition_bias_background_to_start",
+    "OS": "transition_bias_background_to_start",
+    "EO": "transition_bias_end_to_background",
+    "SO": "transition_bias_end_to_background",
+    "EB": "transition_bias_end_to_start",
+    "ES": "transition_bias_end_to_start",
+    "SB": "transition_bias_end_to_start",
+    "SS": "transition_bias_end_to_start",
+    "BI": "transition_bias_inside_to_continue",
+    "II": "transition_bias_inside_to_continue",
+    "BE": "transition_bias_inside_to_end",
+    "IE": "transition_bias_inside_to_end",
+}
+
+
+def calibration(text: str) -> dict[str, float]:
+    """Biases from the JSON text of a calibration file: the first object in it, at any depth, that names one; those it does not name are 0."""
+    names = set(BIASES.values())
+    todo = [json.loads(text)]
+    while todo:
+        at = todo.pop(0)
+        if isinstance(at, dict) and names & at.keys():
+            wrong = [k for k in names & at.keys() if isinstance(at[k], bool) or not isinstance(at[k], (int, float)) or not np.isfinite(at[k])]
+            if wrong:
+                raise ValueError(f"not a number: {', '.join(sorted(wrong))}")
+            return {k: float(at.get(k, 0.0)) for k in sorted(names)}
+        todo += list(at.values()) if isinstance(at, dict) else at if isinstance(at, list) else []
+    raise ValueError("the file names no bias")
+
+
+def transitions(tags: Sequence[str], biases: Mapping[str, float] | None = None) -> np.ndarray:
+    """The bias of each move between BIOES tags (0 where none is given), a very low score where a tag may not follow another one."""
     out = np.full((len(tags), len(tags)), IMPOSSIBLE)
     for i, a in enumerate(tags):
         for j, b in enumerate(tags):
-            opens = b == "O" or b[:2] in ("B-", "S-")
-            inside = b[:2] in ("I-", "E-") and a[:2] in ("B-", "I-") and a[2:] == b[2:]
-            closed = a == "O" or a[:2] in ("E-", "S-")
-            if (opens and closed) or inside:
-                out[i, j] = 0.0
+            name = BIASES.get(a[0] + b[0])
+            if name and (b[0] in "OBS" or a[2:] == b[2:]):
+                out[i, j] = (biases or {}).get(name, 0.0)
     return out
 
 
-def best_paths(batch: Sequence[np.ndarray], tags: Sequence[str]) -> list[list[int]]:
+def best_paths(batch: Sequence[np.ndarray], tags: Sequence[str], biases: Mapping[str, float] | None = None) -> list[list[int]]:
     """Best tag path of each sequence of token scores that begins and ends outside of a span, all sequences in step.
 
     Max-plus algebra: the state before the first token is 'outside' alone, a
-    token adds its scores to the state's product with the allowed moves, and an
-    end adds a move to the outside. A sequence without such a path gets each
-    token's best tag.
+    token adds its scores to the state's product with the allowed moves and
+    their biases, and a path ends where it may move to the outside, which costs
+    nothing. A sequence without such a path gets each token's best tag.
     """
     size = np.array([len(x) for x in batch], dtype=np.int64)
     longest, k = int(size.max(initial=0)), len(tags)
-    moves = transitions(tags)
-    to_end = moves[:, tags.index("O")]  # a path may end wherever an outside tag could come next
+    moves = transitions(tags, biases)
+    to_end = transitions(tags)[:, tags.index("O")]  # a path may end wherever an outside tag could come next
     grid = np.zeros((longest, len(batch), k))
     for b, x in enumerate(batch):
         grid[: len(x), b] = x
@@ -122,11 +152,11 @@ def windows(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
         a += size - overlap
 
 
-def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories: dict[str, str], size: int = 1_500, overlap: int = 200, least: float = 0.0, tolerant: bool = False):
+def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories: dict[str, str], size: int = 1_500, overlap: int = 200, least: float = 0.0, tolerant: bool = False, biases: Mapping[str, float] | None = None):
     """A detector from a BIOES model, loaded once for each worker.
 
     Spans of overlapping windows are joined: of those that overlap, the longest
-    stays. A model that raises for a text fails the query, or, if ``tolerant``,
+    stays. ``biases`` (``calibration``) are added to moves between tags. A model that raises for a text fails the query, or, if ``tolerant``,
     gives null spans for it, for the strategy to judge.
     """
 
@@ -147,7 +177,7 @@ def model_detector(load: Callable[[], Tagger], tags: Sequence[str], categories:
                         raise
                     out.append(None)
                     continue
-                paths = best_paths([scores for _, scores in found], tags)
+                paths = best_paths([scores for _, scores in found], tags, biases)
                 for (a, z), (offsets, scores), path in zip(cuts, found, paths, strict=True):
                     spans += [(a + s, a + e, c, p) for s, e, c, p in bioes_spans(text[a:z], offsets, path, scores, tags)]
                 kept: Spans = []

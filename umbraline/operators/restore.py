@@ -89,6 +89,27 @@ def leading(piece: str, after: tuple[bool, int]) -> tuple[bool, int]:
     return run[:1] in ("/", "\\") and run != "", run.count("/") + run.count("\\") + (0 if space else after[1])
 
 
+def halves(digest: Column) -> Column:
+    """The first and the last characters of a hash; hashes within one edit share one of them, as an edit touches one half only."""
+    n = (T.HASH_CHARS - 1) // 2
+    return F.array(F.concat(F.lit("<"), F.substring(digest, 1, n)), F.concat(F.lit(">"), F.right(digest, F.lit(n))))
+
+
+def near_entries(missed: DataFrame, vault: DataFrame) -> DataFrame:
+    """Entries (__s, __l, __h, __text) of a vault that may be within one edit of a missed match (session_id, label, hash), some of them twice.
+
+    Only their sessions' entries are looked at, and of those only the ones that
+    share a half with a miss go on: none where nothing was missed.
+    """
+    sessions = missed.select(F.col("session_id").alias("__m")).distinct()
+    some = vault.join(sessions, F.col("session_id").eqNullSafe(F.col("__m")), "left_semi").select(
+        F.col("session_id").alias("__s"), F.col("label").alias("__l"), F.col("hash").alias("__h"), F.col("text").alias("__text"), F.explode(halves(F.col("hash"))).alias("__half")
+    )
+    wanted = missed.select(F.col("session_id").alias("__m"), F.col("label").alias("__k"), F.explode(halves(F.col("hash"))).alias("__p")).distinct()
+    same = F.col("__s").eqNullSafe(F.col("__m")) & (F.col("__l") == F.col("__k")) & (F.col("__half") == F.col("__p"))
+    return some.join(wanted, same, "left_semi").drop("__half")
+
+
 def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = True) -> DataFrame:
     """Adds ``found`` (the entry's text), ``repaired`` and ``cause`` (foreign, expired or ambiguous) to matches.
 
@@ -105,12 +126,9 @@ def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = Tr
     if not repair:
         return hit.select(*matches.columns, "found", F.lit(False).alias("repaired"), F.when(F.col("found").isNull(), "expired").alias("cause"))
     own = F.substring("hash", 1, T.EPOCH_CHARS) == T.epoch(T.token_key(secret))
-    miss = hit.filter(F.col("found").isNull()).select("mid", "session_id", "label", "hash", F.explode(deletions(F.col("hash"))).alias("near"))
-    missed = hit.filter(F.col("found").isNull()).select(F.col("session_id").alias("__m")).distinct()
-    known = vault.join(missed, F.col("session_id").eqNullSafe(F.col("__m")), "left_semi").select(
-        F.col("session_id").alias("__s"), F.col("label").alias("__l"), F.col("hash").alias("__h"), F.col("text").alias("__text"),
-        F.explode(deletions(F.col("hash"))).alias("__n"),
-    )
+    missed = hit.filter(F.col("found").isNull())
+    miss = missed.select("mid", "session_id", "label", "hash", F.explode(deletions(F.col("hash"))).alias("near"))
+    known = near_entries(missed, vault).withColumn("__n", F.explode(deletions(F.col("__h"))))
     near = miss.join(known, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("near") == F.col("__n")))
     near = near.filter(within_one_edit(F.col("hash"), F.col("__h")))
     fixed = near.groupBy("mid").agg(F.count_distinct("__h").alias("__ways"), F.min("__text").alias("__fix"))

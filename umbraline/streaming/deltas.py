@@ -330,6 +330,105 @@ def rejoin_stream(deltas: DataFrame) -> DataFrame:
     )
 
 
+PIECES = "stream_id string, n long, seq long, text string, missing long"
+
+
+class ReorderProcessor(StatefulProcessor):
+    """Deltas that arrive in any order: they wait for those before them, or until the watermark has passed one that came after a gap.
+
+    State: the deltas that wait, the next one's number, the held-back tail, the
+    number of pieces so far. A gap is closed when a waiting delta's time is
+    behind the watermark: what is missing before it would be dropped as late.
+    What is held back goes out before a gap, so no token is joined across it.
+    """
+
+    def __init__(self, first: int = 0) -> None:
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq long", "chunk string, is_last boolean, at long")
+        self.state = handle.getValueState("state", "next long, held string, n long, ended boolean")
+
+    def _state(self) -> tuple[int, str, int, bool]:
+        if not self.state.exists():
+            return self.first, "", 0, False
+        due, held, n, ended = self.state.get()
+        return int(due), held, int(n), bool(ended)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due, _, _, ended = self._state()
+        last_at = None
+        for r in pd.concat(list(rows)).itertuples():
+            seq, at = int(r.seq), int(r.at_ms)
+            if not ended and seq >= due and not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), (r.chunk or "", bool(r.is_last), at))
+            last_at = at if last_at is None else max(last_at, at)
+        yield self._released(key, None, last_at, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._state()[3]:
+            self.waiting.clear()
+            self.state.clear()
+            return
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        behind = [int(k[0]) for k, v in self.waiting.iterator() if int(v[2]) <= passed]
+        yield self._released(key, max(behind, default=None), passed, timerValues)
+
+    def _released(self, key, closed: int | None, at: int, timerValues) -> pd.DataFrame:
+        """The pieces that can go out, with gaps before ``closed`` left open no longer."""
+        due, held, n, ended = self._state()
+        buffer, out, missing = DeltaBuffer(held), [], 0
+        order = sorted(int(k[0]) for k, _ in self.waiting.iterator()) if closed is not None else []
+
+        def put(seq: int, text: str) -> None:
+            nonlocal n, missing
+            if text or missing:
+                out.append((key[0], n, seq, text, missing))
+                n, missing = n + 1, 0
+
+        while not ended:
+            if not self.waiting.containsKey((due,)):
+                after = next((s for s in order if s > due), None)
+                if after is None or after > closed:
+                    break
+                put(due - 1, buffer.take("", last=True))
+                due, missing = after, after - due
+            chunk, ended, _ = self.waiting.getValue((due,))
+            self.waiting.removeKey((due,))
+            put(due, buffer.take(chunk, bool(ended)))
+            due += 1
+        self.state.update((due, buffer.held, n, bool(ended)))
+        self._wake(bool(ended), at, timerValues)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    def _wake(self, ended: bool, at: int, timerValues) -> None:
+        """One timer: at the time of the first waiting delta, or, of a stream that ended, when no more deltas of it can come."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        times = [at] if ended else [int(v[2]) for _, v in self.waiting.iterator()]
+        if times:
+            self.handle.registerTimer(max(min(times), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        return None
+
+
+def reordered_stream(deltas: DataFrame, lateness: str = "1 minute", first: int = 0) -> DataFrame:
+    """Pieces that no token crosses, from deltas (stream_id, seq, chunk, is_last, at) in any order over batches.
+
+    Numbers run from ``first`` without gaps. A repeated number is dropped, the
+    first one stays. A delta that is later than ``lateness`` is dropped, by the
+    watermark or because its place was given up; the piece after it has in
+    ``missing`` how many were. ``n`` numbers a stream's pieces. Null chunks are
+    empty, rows without a number or stream are left out. Needs the RocksDB
+    state store.
+    """
+    rows = deltas.withWatermark("at", lateness).filter(F.col("stream_id").isNotNull() & F.col("seq").isNotNull())
+    rows = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", F.coalesce("is_last", F.lit(False)).alias("is_last"), "at", F.coalesce(F.unix_millis("at"), F.lit(0)).alias("at_ms"))
+    return rows.groupBy("stream_id").transformWithStateInPandas(ReorderProcessor(first), outputStructType=PIECES, outputMode="Append", timeMode="EventTime")
+
+
 def parse_sse(chunks: DataFrame) -> DataFrame:
     """Events (stream_id, n, event, data) of the chunks (stream_id, seq, chunk) of whole streams."""
 
