@@ -84,3 +84,15 @@ def test_many_blocks_equal_their_sum():
     model = langid.Model({"a": b" the house", "b": b" das haus"})
     long = "the house " * 1000
     assert (model.phrases([long, "das"])[0] == model.phrases([long])[0]).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than fit the sample: their shares shrink, none is left out, in and beyond the broadcast of their bounds."""
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 300 * 20)
+    rows = [(i, f"l{i % 300:03d}", f"{chr(0x4E00 + i % 300)}{chr(0x5E00 + i % 300)} " * 8) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for most in (65_536, 10):
+        monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", most)
+        model = langid.fit(docs)
+        assert model.langs == sorted({r[1] for r in rows}) and max(model.sizes.values()) <= 21
+        assert langid.identify(docs, model, keep=["lang"]).filter("lang != lang_pred").count() == 0

@@ -13,9 +13,9 @@ begins as if a phrase did; then those into which a phrase reaches are walked
 again from the state in which it does, until both walks meet, which gives the
 phrases of the whole text.
 
-Scale: labelled text is a bounded sample (of ``LANGUAGES`` languages at most,
-``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes of each, the rows with the lowest
-hashes of key and text), and all tables together have ``MODEL_BYTES`` at most,
+Scale: labelled text is a bounded sample (``TRAIN_ROWS`` rows and ``TRAIN_BYTES``
+bytes of each language, ``SAMPLE_BYTES`` of all, the rows with the lowest hashes
+of key and text), and all tables together have ``MODEL_BYTES`` at most,
 for which a language's share of bytes falls when there are many. A counted bound
 on the hash leaves few candidates of each language, of which equal rows are one,
 so no language's rows meet in a task. Prediction is one map-only pass over whole
@@ -40,8 +40,10 @@ TRAIN_ROWS = 96
 TRAIN_BYTES = 24_000
 #: Characters that one of the sample's rows adds at most, from a hashed place in its text; less with more rows, so that all of them count.
 ROW_CHARS = 1_000
-#: Languages that are learned at most, those with the most labelled rows.
-LANGUAGES = 256
+#: Letters of the sample of all languages together; with many languages, each one's share shrinks, and none is left out.
+SAMPLE_BYTES = 256 * TRAIN_BYTES
+#: Languages up to which their bounds are broadcast, a few bytes each.
+BROADCAST_LANGUAGES = 65_536
 #: All transition tables together.
 MODEL_BYTES = 64 << 20
 #: Bytes of the blocks that advance in step.
@@ -234,13 +236,15 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     named = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("r"))
     counts = named.groupBy("l").agg(F.approx_count_distinct("r", 0.02).alias("n"))
-    top = [(r["l"], r["n"]) for r in counts.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
+    top = sorted((r["l"], r["n"]) for r in counts.collect())  # a row a language
     if not top:
         return None
+    size = max(1, min(size, SAMPLE_BYTES // len(top)))
     # of the hashes of a language's n rows, about four times as many lie below the bound as are wanted; all of them if there are few
     bound = lambda n: (1 << 63) - 1 if n <= 4 * rows else (4 * rows << 64) // n - (1 << 63)
     bounds = labelled.sparkSession.createDataFrame([(x, bound(n), max(1, min(ROW_CHARS, -(-size // min(n, rows))))) for x, n in top], f"x {labelled.schema[lang].dataType.simpleString()}, most long, chars int")
-    some = named.join(F.broadcast(bounds), (F.col("l") == F.col("x")) & (F.col("r") <= F.col("most")))
+    bounds = F.broadcast(bounds) if len(top) <= BROADCAST_LANGUAGES else bounds
+    some = named.join(bounds, (F.col("l") == F.col("x")) & (F.col("r") <= F.col("most")))
     first = F.pmod("r", F.greatest(F.length("t") - F.col("chars") + 1, F.lit(1))).cast("int") + 1
     some = some.groupBy("l", "r").agg(F.min(F.substring(F.col("t"), first, F.col("chars"))).alias("t"))
     some = some.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("r"))).filter(F.col("nth") <= rows)
