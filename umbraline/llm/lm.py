@@ -53,7 +53,7 @@ ROUNDS = 1
 RATE = 0.3
 BATCH = 32_768
 #: Features of each level: the word before, the one before that, and both.
-FEATURES = (3, 3, 2, 2)
+FEATURES = (3, 3, 3, 3)
 #: Coded tokens of a training task.
 TASK_TOKENS = 8_000_000
 SPACES = " \t\n\x0b\x0c\r"
