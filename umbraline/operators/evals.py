@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..functions.patterns import LABELS
 from ..functions.spans import let, matches, rewrite
-from .restore import RestoreOptions, restore
+from ..sources.scratch import scratch
+from .restore import RestoreOptions, restore, row_hash, same_row
 
 # Names that labels are changed to, particles that are glued on, and the text that an invented hash is made of.
 ALIASES = {
@@ -160,6 +161,19 @@ def mutate(masked: DataFrame, text: str = "masked", key: str = "id") -> DataFram
     return rows.select(*masked.columns, "live", "__c.*", F.concat_ws("/", F.col(key).cast("string"), F.col("__c.class_id").cast("string")).alias("case_id"))
 
 
+def _valued(masked: DataFrame, vault: DataFrame, text: str, session: str) -> DataFrame:
+    """The rows with ``__v``: label, hash and value of the text's distinct tokens that the session's vault holds."""
+    ids = row_hash(F.col(text), F.col(session))
+    named = masked.select(*ids, F.col(session).alias("__s0"), F.explode(_tokens(F.col(text))).alias("t")).select("__h1", "__h2", "__s0", "t.label", "t.hash").distinct()
+    entries = vault.select(F.col("session_id").alias("__s"), F.col("label").alias("__l"), F.col("hash").alias("__h"), F.col("text").alias("value"))
+    met = named.join(entries, F.col("__s0").eqNullSafe(F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("hash") == F.col("__h")))
+    lists = met.groupBy(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2")).agg(F.collect_set(F.struct("label", "hash", "value")).alias("__found"))
+    rows = masked.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
+    rows = rows.join(lists, same_row(rows, lists), "left")
+    none = F.from_json(F.lit("[]"), "array<struct<label:string,hash:string,value:string>>")
+    return rows.select(*masked.columns, F.coalesce("__found", none).alias("__v"))
+
+
 def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id", text: str = "masked", session: str = "session_id", options: RestoreOptions | None = None, known_gaps: dict[str, float] | None = None) -> DataFrame:
     """For each mutation: cases, values expected and restored, residual tokens, and false restorations.
 
@@ -167,21 +181,18 @@ def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id"
     not name by label and hash. ``known_gaps``: shares of values, by class, that
     are known to come back, where that is less than all.
     """
-    cases = mutate(masked, text, key)
+    # values meet their texts before these are multiplied, and the mutated texts are written, as restoring reads them twice
+    cases = scratch(mutate(_valued(masked, vault, text, session), text, key).drop("live"), "cases")
     done = restore(cases, vault, secret, "case_id", "mutated", session, options)
-    entries = vault.select(F.col("session_id").alias("__s"), F.col("label").alias("__l"), F.col("hash").alias("__h"), F.col("text").alias("__v"))
-    named = done.select("case_id", F.col(session).alias("__s0"), "mutated", "restored", "kind", F.explode("live").alias("t"))
-    scored = named.join(entries, F.col("__s0").eqNullSafe(F.col("__s")) & (F.col("t.label") == F.col("__l")) & (F.col("t.hash") == F.col("__h")))
-    scored = scored.select("case_id", F.col("__v").alias("value"), F.expr("contains(restored, __v)").alias("back"), F.expr("contains(mutated, __v)").alias("already"), "kind", "mutated", F.struct("t.label", "t.hash").alias("t"))
-    rightful = F.col("mutated").contains(F.concat(F.lit(T.OPEN), F.col("t.label"), F.lit(":"), F.col("t.hash")))
-    per_case = scored.groupBy("case_id").agg(
-        F.count_distinct("value").alias("expected"), F.count_distinct(F.when(F.col("back"), F.col("value"))).alias("back"),
-        F.count_distinct(F.when((F.col("kind") == "probe") & F.col("back") & ~F.col("already") & ~rightful, F.col("value"))).alias("foreign"),
-    )
-    board = done.select("case_id", "class_id", "class_name", "kind", "residual_token_count").join(per_case, "case_id", "left")
-    board = board.groupBy("class_id", "class_name", "kind").agg(
-        F.count(F.lit(1)).alias("cases"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"), F.coalesce(F.sum("back"), F.lit(0)).alias("restored"),
-        F.sum("residual_token_count").alias("residual"), F.coalesce(F.sum("foreign"), F.lit(0)).alias("foreign_restorations"),
+    count = lambda keep: F.size(F.array_distinct(F.transform(F.filter("__v", keep), lambda v: v["value"])))
+    named = lambda v: F.col("mutated").contains(F.concat(F.lit(T.OPEN), v["label"], F.lit(":"), v["hash"]))
+    back = lambda v: F.col("restored").contains(v["value"])
+    foreign = F.when(F.col("kind") == "probe", count(lambda v: back(v) & ~F.col("mutated").contains(v["value"]) & ~named(v))).otherwise(0)
+    scored = done.select("class_id", "class_name", "kind", "residual_token_count", count(lambda v: F.lit(True)).alias("expected"), count(back).alias("back"), foreign.alias("foreign"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    board = scored.groupBy("class_id", "class_name", "kind").agg(
+        F.count(F.lit(1)).alias("cases"), total("expected").alias("expected"), total("back").alias("restored"),
+        F.sum("residual_token_count").alias("residual"), total("foreign").alias("foreign_restorations"),
     )
     board = board.unionByName(delta_board(masked, vault, key, text, session))
     return board.withColumn("status", class_status(dict(known_gaps or {})))

@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import tokens as T
 from ..functions.patterns import HANGUL, JS_SPACE, W
+from ..sources.scratch import scratch
 from .vaults import session_key
 
 
@@ -191,12 +192,12 @@ def _rewriter(options: RestoreOptions):
     return lambda text, matches: call(F.when(matches.isNotNull(), text), *[matches[f] for f in fields])
 
 
-def _row_hash(text: Column, session: Column) -> list[Column]:
+def row_hash(text: Column, session: Column) -> list[Column]:
     """Two hashes, 128 bits in all, of text and session."""
     return [F.xxhash64(F.lit(salt), session.isNull(), session, text).alias(f"__h{salt}") for salt in (1, 2)]
 
 
-def _same_row(a: DataFrame, b: DataFrame) -> list[Column]:
+def same_row(a: DataFrame, b: DataFrame) -> list[Column]:
     return [a[f"__h{salt}"] == b[f"__g{salt}"] for salt in (1, 2)]
 
 
@@ -212,14 +213,15 @@ def restore(df: DataFrame, vault: DataFrame, secret: str, key: str | None = None
     found = T.scan(F.col(text), options.repair)
     if not options.lenient:
         found = F.filter(found, lambda m: m["kind"] == "strict")
-    ids = _row_hash(F.col(text), F.col(session))
+    ids = row_hash(F.col(text), F.col(session))
     some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.posexplode(found).alias("__i", "m"))
     matches = some.distinct().select("__h1", "__h2", "session_id", "m.*", F.struct("__h1", "__h2", "__i").alias("mid"))
+    matches = scratch(matches, "matches")  # resolving reads them several times, and they are few beside the texts they were searched in
     solved = resolve(matches, vault, secret, options.repair)
     fields = ("start", "end", "token", "label", "kind", "found", "repaired", "cause")
     solved = solved.groupBy(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__m"))
     rows = df.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
-    rows = rows.join(solved, _same_row(rows, solved), "left").drop("__h1", "__h2", "__g1", "__g2")
+    rows = rows.join(solved, same_row(rows, solved), "left").drop("__h1", "__h2", "__g1", "__g2")
     rows = rows.withColumn("__r", _rewriter(options)(F.col(text), F.col("__m")))
     back = {"restored": F.when(F.col("__m").isNotNull(), F.col("__r.text")).otherwise(F.col(text))}
     rows = rows.withColumns(back | {c: F.coalesce(F.col(f"__r.{c}"), F.lit(0)) for c in COUNTERS})
@@ -244,14 +246,14 @@ def neutralise(df: DataFrame, vault: DataFrame, secret: str, key: str | None = N
     from .mask import token_status
 
     strict = F.filter(T.scan(F.col(text)), lambda m: m["kind"] == "strict")
-    ids = _row_hash(F.col(text), F.col(session))
+    ids = row_hash(F.col(text), F.col(session))
     some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.explode(strict).alias("m")).distinct()
     status = token_status(some.select("__h1", "__h2", "session_id", "m.*").drop("kind").withColumnRenamed("token", "raw").withColumnRenamed("normalized", "token"), vault, secret)
     gone = F.concat(F.lit("[UNRESTORABLE:"), F.col("label"), F.lit("/"), F.col("status"), F.lit("]"))
     put = status.select(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2"), F.struct("start", "end", F.when(F.col("status") == "live", F.col("raw")).otherwise(gone).alias("put")).alias("s"))
     lists = put.groupBy("__g1", "__g2").agg(F.array_sort(F.collect_list("s")).alias("__s"))
     rows = df.withColumns({f"__h{i}": c for i, c in enumerate(ids, 1)})
-    rows = rows.join(lists, _same_row(rows, lists), "left").drop("__h1", "__h2", "__g1", "__g2")
+    rows = rows.join(lists, same_row(rows, lists), "left").drop("__h1", "__h2", "__g1", "__g2")
     return rows.withColumn("neutral", F.when(F.col("__s").isNotNull(), rewrite(F.col(text), F.col("__s"), lambda s: s["put"])).otherwise(F.col(text))).drop("__s")
 
 

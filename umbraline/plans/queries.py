@@ -17,6 +17,7 @@ from ..functions import spans as S
 from ..operators import audit, detect, evals, messages
 from ..operators import mask as M
 from ..operators import restore as R
+from ..sources.scratch import scratch
 from ..streaming import deltas
 
 SECRET = "example-secret"
@@ -380,9 +381,11 @@ def leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mangled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Masked documents with tokens, and their vault; both written once, as detection costs more than all that reads them."""
     docs = _docs(spark, sf_dir).withColumn("session_id", F.concat(F.lit("s"), F.col("doc_id") % 7))
-    masked = M.mask(docs, M.MaskOptions(SECRET)).filter(F.size("tokens") > 0)
-    return masked, M.build_vault(masked, "session_id", "doc_id")
+    masked = M.mask(docs, M.MaskOptions(SECRET)).filter(F.size("tokens") > 0).select("doc_id", "session_id", "masked", "tokens")
+    masked = scratch(masked, "masked")
+    return masked, scratch(M.build_vault(masked, "session_id", "doc_id"), "vault")
 
 
 def restore_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
