@@ -43,8 +43,8 @@ def sums_before(sizes: Column) -> Column:
     return let(each, lambda t: F.transform(t, lambda x, b: total(F.slice(t, F.lit(1), b))))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, text) of the pattern's matches, which must not be empty strings.
+def matches(text: Column, pattern: str | Column) -> Column:
+    """Array of (start, text) of the pattern's matches, which must not be empty strings; the pattern may differ by row.
 
     The pieces between the matches and the matches themselves come from the same
     regex engine, so their lengths add up to offsets.
@@ -59,11 +59,19 @@ def matches(text: Column, pattern: str) -> Column:
         inside = F.aggregate(F.slice(sizes, i - i % BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
         return F.struct((F.get(bases, block.cast("int")) + inside + F.length(F.get(pieces, i))).alias("start"), hit.alias("text"))
 
-    both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
-    found = let(both, lambda x: located(x["p"], x["h"]))
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>")
+
+    def search(pattern: Column) -> Column:
+        # the matches first, as most texts have none and need no pieces
+        both = lambda h: let(F.struct(F.split(text, pattern, -1).alias("p"), h.alias("h")), lambda x: located(x["p"], x["h"]))
+        return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda h: F.when(F.size(h) > 0, both(h)).otherwise(none))
+
+    if isinstance(pattern, Column):
+        return let(pattern, search)
     sign = SIGNS.get(pattern)
-    some = text.rlike(pattern) if sign is None else (text.contains(sign) if sign in LITERAL_SIGNS else text.rlike(sign)) & text.rlike(pattern)
-    return F.when(some, found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>"))
+    found = search(F.lit(pattern))
+    some = text.rlike(pattern) if sign is None else text.contains(sign) if sign in LITERAL_SIGNS else text.rlike(sign)
+    return F.when(some, found).otherwise(none)
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -83,7 +91,7 @@ def span(start: Column, text: Column, category: str | Column, confidence: float
 
 
 def find_spans(
-    text: Column, pattern: str, category: str, confidence: float, keep: Callable[[Column], Column] | None = None, trim: str | None = None
+    text: Column, pattern: str | Column, category: str, confidence: float, keep: Callable[[Column], Column] | None = None, trim: str | None = None
 ) -> Column:
     """Spans of the pattern's matches, cut by ``trim`` at their end and filtered by ``keep`` on their text."""
     found = matches(text, pattern)
