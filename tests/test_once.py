@@ -42,3 +42,19 @@ def test_families_of_credentials_are_searched_by_their_sign(spark):
     long = "b" * 60_000 + " sk-" + "a1" * 16
     assert spark.createDataFrame([(long,)], "t string").select(F.size(detect.secret_spans()(F.col("t")))).first()[0] == 1
     assert time.monotonic() - began < 15
+
+
+def test_rows_of_one_token_are_dealt_over_tasks(spark):
+    vault = spark.createDataFrame([("s", "{{OPF:EMAIL:aaaaaaaaaaaaaaa1}}")], "session_id string, token string")
+    rows = spark.range(2_000).select("id", F.lit("s").alias("session_id"), F.lit("{{OPF:EMAIL:aaaaaaaaaaaaaaa1}}").alias("token"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        dealt = M.token_status(rows, vault, SECRET).groupBy(F.spark_partition_id().alias("task"), "status").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.status for r in dealt} == {"live"} and sum(r["count"] for r in dealt) == 2_000
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 1_500

@@ -160,13 +160,33 @@ def retain(vault_uses: DataFrame, now: Column, ttl_seconds: int = 3_600, most: i
     return live.orderBy(F.desc("last_access"), "session_id").limit(most)
 
 
+#: Parts that the rows of one token are dealt over when they meet its entry.
+SHARES = 16
+
+
+def _share(df: DataFrame) -> Column:
+    """A number below ``SHARES`` from all that tells the row from others of its token."""
+    names = [c.lower() for c in df.columns]
+    plain = [f"`{c}`" for c, kind in df.dtypes if names.count(c.lower()) == 1 and not any(x in kind for x in ("map<", "variant"))]
+    return F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(SHARES))
+
+
 def token_status(df: DataFrame, vault: DataFrame, secret: str, token: str = "token", session: str = "session_id") -> DataFrame:
-    """Adds ``status`` of each row's token: live, expired (of this key), or foreign."""
-    known = vault.select(F.col("session_id").alias("__s"), F.col("token").alias("__t"), F.lit(True).alias("__live"))
-    rows = df.join(known, (F.col(session).eqNullSafe(F.col("__s"))) & (F.col(token) == F.col("__t")), "left")
+    """Adds ``status`` of each row's token: live, expired (of this key), or foreign.
+
+    One token may stand in most rows, so each is looked up once, and its rows
+    meet what was found in ``SHARES`` parts. A stream's tokens meet the vault itself.
+    """
+    known = vault.select(F.col("session_id").alias("__s"), F.col("token").alias("__t"))
+    if not df.isStreaming:
+        seen = df.select(F.col(session).alias("__m"), F.col(token).alias("__k")).distinct()
+        known = known.join(seen, F.col("__s").eqNullSafe(F.col("__m")) & (F.col("__t") == F.col("__k")), "left_semi")
+    known = known.select("__s", "__t", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("__p"), F.lit(True).alias("__live"))
+    rows = df.withColumn("__part", _share(df))
+    rows = rows.join(known, (F.col(session).eqNullSafe(F.col("__s"))) & (F.col(token) == F.col("__t")) & (F.col("__part") == F.col("__p")), "left")
     own = F.substring(F.regexp_extract(token, T.STRICT, 2), 1, T.EPOCH_CHARS) == T.epoch(T.token_key(secret))
     status = F.when(F.col("__live"), "live").when(own, "expired").otherwise("foreign")
-    return rows.withColumn("status", status).drop("__s", "__t", "__live")
+    return rows.withColumn("status", status).drop("__s", "__t", "__p", "__part", "__live")
 
 
 def analyze(text: Column, strategy: Strategy | None = None, **options) -> Column:

@@ -355,8 +355,7 @@ def status_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _planted(spark, sf_dir, [t.replace("<mine>", mine) for _, t, *_ in STATUS_CASES])
     session = F.element_at(F.array(*[F.lit(s) for s, *_ in STATUS_CASES]), F.col("case") + 1)
     rows = rows.select("doc_id", session.alias("session_id"), "text", F.regexp_extract("text", tokens.STRICT, 0).alias("token"))
-    status = M.token_status(rows, _literal_vault(spark), SECRET)
-    out = R.neutralise(status, _literal_vault(spark), SECRET)
+    out = M.token_status(R.neutralise(rows, _literal_vault(spark), SECRET), _literal_vault(spark), SECRET)
     return out.select("doc_id", "status", F.regexp_replace("neutral", mine, "<mine>").alias("neutral"))
 
 
