@@ -177,6 +177,11 @@ def _scan(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(matches(text, pattern), match)
 
 
+def strict(text: Column) -> Column:
+    """The strict matches of ``scan``, without a search for others."""
+    return F.when(has_token(text), _scan(text, STRICT, "strict")).otherwise(F.from_json(F.lit("[]"), f"array<{MATCH}>"))
+
+
 def scan(text: Column, repair: bool = False) -> Column:
     """Token matches in order of their start: strict ones, then lenient, then repairable ones where they do not overlap."""
 

@@ -245,9 +245,9 @@ def neutralise(df: DataFrame, vault: DataFrame, secret: str, key: str | None = N
     from ..functions.spans import rewrite
     from .mask import token_status
 
-    strict = F.filter(T.scan(F.col(text)), lambda m: m["kind"] == "strict")
     ids = row_hash(F.col(text), F.col(session))
-    some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.explode(strict).alias("m")).distinct()
+    some = df.filter(T.has_token(F.col(text))).select(*ids, F.col(session).alias("session_id"), F.explode(T.strict(F.col(text))).alias("m")).distinct()
+    some = scratch(some, "matches")  # read twice
     status = token_status(some.select("__h1", "__h2", "session_id", "m.*").drop("kind").withColumnRenamed("token", "raw").withColumnRenamed("normalized", "token"), vault, secret)
     gone = F.concat(F.lit("[UNRESTORABLE:"), F.col("label"), F.lit("/"), F.col("status"), F.lit("]"))
     put = status.select(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2"), F.struct("start", "end", F.when(F.col("status") == "live", F.col("raw")).otherwise(gone).alias("put")).alias("s"))
