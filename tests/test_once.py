@@ -14,7 +14,7 @@ from umbraline.plans import queries as Q
 SECRET = "golden-test-secret"
 
 
-@pytest.mark.parametrize("name", ["mutation_scoreboard", "restore_counters", "token_status", "neutralised"])
+@pytest.mark.parametrize("name", ["mutation_scoreboard", "restore_counters", "token_status", "neutralised", "roundtrip_exact"])
 def test_masked_documents_are_detected_once(spark, small, name):
     plan = Q.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "mint(" not in plan

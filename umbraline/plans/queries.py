@@ -168,9 +168,9 @@ def mask_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks and restores all documents; a session for each document."""
     docs = _docs(spark, sf_dir).withColumn("session_id", F.col("doc_id").cast("string"))
-    masked = M.mask(docs, M.MaskOptions(SECRET))
-    vault = M.build_vault(masked, "session_id", "doc_id")
-    back = R.restore(masked.select("doc_id", "session_id", "text", "masked"), vault, SECRET, "doc_id", "masked")
+    masked = scratch(M.mask(docs, M.MaskOptions(SECRET)).select("doc_id", "session_id", "masked", "tokens"), "masked")
+    vault = scratch(M.build_vault(masked, "session_id", "doc_id"), "vault")
+    back = R.restore(masked.select("doc_id", "session_id", "masked"), vault, SECRET, "doc_id", "masked")
     return back.select("doc_id", "restored", F.col("residual_token_count").alias("residual"))
 
 
