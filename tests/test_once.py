@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbraline.operators import detect, evals
 from umbraline.operators import mask as M
+from umbraline.operators import restore as R
 from umbraline.plans import queries as Q
 
 SECRET = "golden-test-secret"
@@ -58,3 +59,16 @@ def test_rows_of_one_token_are_dealt_over_tasks(spark):
             spark.conf.set(k, v)
     assert {r.status for r in dealt} == {"live"} and sum(r["count"] for r in dealt) == 2_000
     assert len(dealt) > 1 and max(r["count"] for r in dealt) < 1_500
+
+
+def test_texts_are_rewritten_a_slice_at_a_time(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 900, None, "b" * 5_000, "", "c" * 900])
+    got = list(R.text_slices(texts, 1_100))
+    assert got == [(0, 2), (2, 1), (3, 2)] and list(R.text_slices(texts.slice(0, 0))) == []
+    vault = spark.createDataFrame([("s", "{{OPF:EMAIL:aaaaaaaaaaaaaaa1}}", "EMAIL", "ann@x.org", "aaaaaaaaaaaaaaa1")], "session_id string, token string, label string, text string, hash string")
+    own = F.concat(F.col("id").cast("string"), F.lit(" é{{OPF:EMAIL:aaaaaaaaaaaaaaa1}} "), F.repeat(F.lit("x"), 100_000))
+    rows = spark.range(60).coalesce(1).select("id", F.lit("s").alias("session_id"), F.when(F.col("id") != 7, own).alias("text"))
+    back = R.restore(rows, vault, SECRET).select("id", F.substring("restored", 1, 30).alias("t"), "restored_count").collect()
+    assert {(r.id, r.t, r.restored_count) for r in back} == {(i, f"{i} éann@x.org " + "x" * (18 - len(str(i))), 1) for i in range(60) if i != 7} | {(7, None, 0)}

@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions import tokens as T
 from ..functions.patterns import HANGUL, JS_SPACE, W
@@ -177,21 +181,41 @@ def _rewriter(options: RestoreOptions):
         pieces.append(text[:at])
         return "".join(reversed(pieces)), *counts.values()
 
-    def run(texts: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("text", pa.string()), *[(c, pa.int32()) for c in COUNTERS]])
+
+    def solved(texts: pa.Array, columns: list[pa.Array]) -> pa.Array:
         rows = []
-        for text, *arrays in zip(texts, *columns, strict=True):
+        for text, *arrays in zip(texts.to_pylist(), *[c.to_pylist() for c in columns], strict=True):
             if text is None or arrays[0] is None:
                 rows.append((None, *[0] * len(COUNTERS)))
             else:
-                matches = [dict(zip(fields, (int(m[0]), int(m[1]), *m[2:]), strict=True)) for m in zip(*arrays, strict=True)]
-                rows.append(one(text, matches))
-        return pd.DataFrame(rows, columns=["text", *COUNTERS])
+                rows.append(one(text, [dict(zip(fields, m, strict=True)) for m in zip(*arrays, strict=True)]))
+        return pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind))
+
+    def run(texts: pa.Array, *columns: pa.Array) -> pa.Array:
+        # a slice at a time, as Python's strings of a whole batch take several times its memory
+        done = [solved(texts.slice(at, n), [c.slice(at, n) for c in columns]) for at, n in text_slices(texts)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
-    run.__annotations__ = {"texts": pd.Series, "columns": pd.Series, "return": pd.DataFrame}
-    call = pandas_udf(run, "text string, " + ", ".join(f"{c} int" for c in COUNTERS))
+    run.__annotations__ = {"texts": pa.Array, "columns": pa.Array, "return": pa.Array}
+    call = arrow_udf(run, "text string, " + ", ".join(f"{c} int" for c in COUNTERS))
     return lambda text, matches: call(F.when(matches.isNotNull(), text), *[matches[f] for f in fields])
 
 
+#: Bytes of text that are Python strings at once when texts are rewritten.
+SLICE_BYTES = 2 << 20
+
+
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of runs of texts of about ``size`` bytes, one text at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield start, stop - start
+        start = stop
+
+
 def row_hash(text: Column, session: Column) -> list[Column]:
     """Two hashes, 128 bits in all, of text and session."""
     return [F.xxhash64(F.lit(salt), session.isNull(), session, text).alias(f"__h{salt}") for salt in (1, 2)]
