@@ -72,3 +72,18 @@ def test_texts_are_rewritten_a_slice_at_a_time(spark):
     rows = spark.range(60).coalesce(1).select("id", F.lit("s").alias("session_id"), F.when(F.col("id") != 7, own).alias("text"))
     back = R.restore(rows, vault, SECRET).select("id", F.substring("restored", 1, 30).alias("t"), "restored_count").collect()
     assert {(r.id, r.t, r.restored_count) for r in back} == {(i, f"{i} éann@x.org " + "x" * (18 - len(str(i))), 1) for i in range(60) if i != 7} | {(7, None, 0)}
+
+
+def test_repair_meets_the_vault_in_a_shuffle(spark, tmp_path):
+    """By its file a vault looks small enough to broadcast; its entries' deletions are many times larger, and stay off the driver."""
+    entry = F.concat(F.lit("own"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 13))
+    made = spark.range(3_000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("session_id"), F.lit("EMAIL").alias("label"), F.format_string("%d@x.org", "id").alias("text"), entry.alias("hash"))
+    made.withColumn("token", F.format_string("{{OPF:EMAIL:%s}}", "hash")).write.parquet(str(tmp_path / "vault"))
+    vault = spark.read.parquet(str(tmp_path / "vault"))
+    hurt = F.concat(F.substring("hash", 1, 9), F.lit("z"), F.substring("hash", 11, 6))
+    rows = made.select("id", "session_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("own"), F.format_string("{{OPF:EMAIL:%s}}", hurt).alias("t"), "text")
+    back = R.restore(rows.withColumn("text", F.concat("own", F.lit(" "), F.col("t"))), vault, SECRET)
+    joins = [line for line in back._jdf.queryExecution().executedPlan().toString().splitlines() if "levenshtein" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    got = {(r.restored, r.repaired_count) for r in back.select("restored", "repaired_count").collect()}
+    assert got == {(f"{own} {i}@x.org", 1) for own in "ab" for i in range(3_000)}

@@ -131,13 +131,16 @@ def resolve(matches: DataFrame, vault: DataFrame, secret: str, repair: bool = Tr
     if not repair:
         return hit.select(*matches.columns, "found", F.lit(False).alias("repaired"), F.when(F.col("found").isNull(), "expired").alias("cause"))
     own = F.substring("hash", 1, T.EPOCH_CHARS) == T.epoch(T.token_key(secret))
-    missed = hit.filter(F.col("found").isNull())
-    miss = missed.select("mid", "session_id", "label", "hash", F.explode(deletions(F.col("hash"))).alias("near"))
-    known = near_entries(missed, vault).withColumn("__n", F.explode(deletions(F.col("__h"))))
-    near = miss.join(known, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("near") == F.col("__n")))
+    # what a hash may be repaired to is the same wherever it was missed, so each is asked for once
+    asked = hit.filter(F.col("found").isNull()).select("session_id", "label", "hash").distinct()
+    miss = asked.withColumn("near", F.explode(deletions(F.col("hash"))))
+    known = near_entries(asked, vault).distinct().withColumn("__n", F.explode(deletions(F.col("__h"))))
+    # never broadcast: Spark takes these rows for no more than the vault's file, which is many times smaller
+    near = miss.join(known.hint("merge"), F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("near") == F.col("__n")))
     near = near.filter(within_one_edit(F.col("hash"), F.col("__h")))
-    fixed = near.groupBy("mid").agg(F.count_distinct("__h").alias("__ways"), F.min("__text").alias("__fix"))
-    out = hit.join(fixed, "mid", "left")
+    near = near.select(F.col("session_id").alias("__m"), F.col("label").alias("__k"), F.col("hash").alias("__d"), "__h", "__text")
+    fixed = near.groupBy("__m", "__k", "__d").agg(F.count_distinct("__h").alias("__ways"), F.min("__text").alias("__fix"))
+    out = hit.join(fixed, F.col("session_id").eqNullSafe(F.col("__m")) & (F.col("label") == F.col("__k")) & (F.col("hash") == F.col("__d")), "left")
     repaired = F.col("found").isNull() & (F.coalesce("__ways", F.lit(0)) == 1)
     cause = F.when(F.col("__ways") > 1, "ambiguous").when(own, "expired").otherwise("foreign")
     return out.select(
