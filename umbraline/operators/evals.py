@@ -181,9 +181,10 @@ def scoreboard(masked: DataFrame, vault: DataFrame, secret: str, key: str = "id"
     not name by label and hash. ``known_gaps``: shares of values, by class, that
     are known to come back, where that is less than all.
     """
-    # values meet their texts before these are multiplied, and the mutated texts are written, as restoring reads them twice
-    cases = scratch(mutate(_valued(masked, vault, text, session), text, key).drop("live"), "cases")
-    done = restore(cases, vault, secret, "case_id", "mutated", session, options)
+    # values meet their texts before these are multiplied, and the mutated texts are written, as restoring reads them twice;
+    # the texts that they were made of are not read again, and would travel with each
+    cases = mutate(_valued(masked, vault, text, session), text, key).select(session, "class_id", "class_name", "kind", "mutated", "__v")
+    done = restore(scratch(cases, "cases"), vault, secret, None, "mutated", session, options)
     count = lambda keep: F.size(F.array_distinct(F.transform(F.filter("__v", keep), lambda v: v["value"])))
     named = lambda v: F.col("mutated").contains(F.concat(F.lit(T.OPEN), v["label"], F.lit(":"), v["hash"]))
     back = lambda v: F.col("restored").contains(v["value"])
