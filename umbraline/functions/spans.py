@@ -61,15 +61,17 @@ def matches(text: Column, pattern: str | Column) -> Column:
 
     none = F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>")
 
-    def search(pattern: Column) -> Column:
-        # the matches first, as most texts have none and need no pieces
-        both = lambda h: let(F.struct(F.split(text, pattern, -1).alias("p"), h.alias("h")), lambda x: located(x["p"], x["h"]))
-        return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda h: F.when(F.size(h) > 0, both(h)).otherwise(none))
+    def search(text: Column, pattern: Column) -> Column:
+        # the matches first, as most texts have none and need no pieces; the text is bound with them, as an expression with lambdas
+        # of its own would be resolved anew inside of this one, and Spark's analyser gives up after a number of rounds
+        both = lambda x: let(F.struct(F.split(x["t"], pattern, -1).alias("p"), x["h"].alias("h")), lambda y: located(y["p"], y["h"]))
+        found = F.struct(text.alias("t"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("h"))
+        return let(found, lambda x: F.when(F.size(x["h"]) > 0, both(x)).otherwise(none))
 
     if isinstance(pattern, Column):
-        return let(pattern, search)
+        return let(F.struct(text.alias("t"), pattern.alias("p")), lambda x: search(x["t"], x["p"]))
     sign = SIGNS.get(pattern)
-    found = search(F.lit(pattern))
+    found = search(text, F.lit(pattern))
     some = text.rlike(pattern) if sign is None else (text.contains(sign) if sign in LITERAL_SIGNS else text.rlike(sign)) & text.rlike(pattern)
     return F.when(some, found).otherwise(none)
 
